@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import byte_bpe, mixing
 
 QUERIES = {
+    "op7_byte_bpe": byte_bpe.op7,
     "op10_mixing": mixing.op10,
 }
 
