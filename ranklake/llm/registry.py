@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, flac, mixing
+from . import byte_bpe, divergence, flac, langid, mixing
 
 QUERIES = {
     "op1_flac": flac.op1,
     "op4_divergence": divergence.op4,
     "op7_byte_bpe": byte_bpe.op7,
+    "op9_langid": langid.op9,
     "op10_mixing": mixing.op10,
 }
 
