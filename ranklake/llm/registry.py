@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, flac, langid, mixing
+from . import byte_bpe, divergence, flac, langid, mixing, pii
 
 QUERIES = {
     "op1_flac": flac.op1,
+    "op3_pii": pii.op3,
     "op4_divergence": divergence.op4,
     "op7_byte_bpe": byte_bpe.op7,
     "op9_langid": langid.op9,
