@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, flac, langid, mixing, pii
+from . import byte_bpe, divergence, flac, langid, mixing, pii, simhash
 
 QUERIES = {
     "op1_flac": flac.op1,
     "op3_pii": pii.op3,
     "op4_divergence": divergence.op4,
+    "op5_simhash": simhash.op5,
     "op7_byte_bpe": byte_bpe.op7,
     "op9_langid": langid.op9,
     "op10_mixing": mixing.op10,
