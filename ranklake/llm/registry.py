@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, flac, langid, mixing, pii, simhash
+from . import byte_bpe, divergence, flac, langid, mixing, pii, simhash, substring
 
 QUERIES = {
     "op1_flac": flac.op1,
+    "op2_substring": substring.op2,
     "op3_pii": pii.op3,
     "op4_divergence": divergence.op4,
     "op5_simhash": simhash.op5,
