@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, byte_bpe, divergence, flac, langid, mixing, pii, simhash, substring
+from . import bitpack, byte_bpe, divergence, flac, kneser_ney, langid, mixing, pii, simhash, substring
 
 QUERIES = {
     "op1_flac": flac.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_divergence": divergence.op4,
     "op5_simhash": simhash.op5,
+    "op6_kneser_ney": kneser_ney.op6,
     "op7_byte_bpe": byte_bpe.op7,
     "op8_bitpack": bitpack.op8,
     "op9_langid": langid.op9,
