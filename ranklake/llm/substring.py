@@ -26,14 +26,14 @@ from .common import NULL_ID, chunks, id_text, text_bytes, to_partitions
 
 SPAN = 20
 GRAM = 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19  # small, so that a chunk's arrays stay in the processor's cache
 #: Packed bytes a task holds before it hands them on.
 HOLD_BYTES = 48 << 20
 #: A minimiser is split if more than this many of its packed strings lie in one task's share ...
 LOCAL_HOT = 64
 #: ... and more than this many in all tasks, once each task has dropped equal ones.
 HOT = 5_000
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 8
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,16 +43,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 GRAMS = _r.integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 del _r
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i < n."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (BASE, INVERSE))
-    return _powers[size]
+    """BASE^i and BASE^-i modulo 2^64, for i < n at least; grown as needed."""
+    if n > len(_powers[0]):
+        size = 1 << max(16, (n - 1).bit_length())
+        for i, b in enumerate((BASE, INVERSE)):
+            _powers[i] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]))
+    return _powers[0], _powers[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,10 +68,17 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def running_sum(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(BYTE[data], powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    np.cumsum(total, out=total)
+    return total
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each word, from one running sum over all bytes."""
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE[data] * up[: len(data)])])
+    total = running_sum(data) if total is None else total
+    down = powers(len(data) + 1)[1]
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -89,7 +96,8 @@ class Super:
         self.first_word = np.searchsorted(self.start, offsets)  # of each text
         words = np.diff(self.first_word)
         self.words = words
-        h = word_hashes(held, self.start, self.end)
+        self.total = running_sum(held)
+        self.hashes = h = word_hashes(held, self.start, self.end, self.total)
         grams = len(h) - gram + 1
         windows = len(h) - span + 1
         if windows <= 0:
@@ -129,10 +137,8 @@ def hot_minimisers(docs: DataFrame, span: int, gram: int) -> np.ndarray:
             if not len(s.first):
                 continue
             # equal packed strings of this chunk count once, by the hash of their bytes' ends
-            up, down = powers(len(s.data) + 1)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE[s.data] * up[: len(s.data)])])
             a, b = s.start[s.first], s.end[s.last - 1]
-            own = mixed((total[b] - total[a]) * down[a] + s.minimiser)
+            own = mixed((s.total[b] - s.total[a]) * powers(len(s.data) + 1)[1][a] + s.minimiser)
             _, at = np.unique(own, return_index=True)
             value, n = np.unique(s.minimiser[at], return_counts=True)
             keep = n > LOCAL_HOT
@@ -191,8 +197,7 @@ def packed(docs: DataFrame, buckets: int, hot: np.ndarray, span: int, gram: int)
                     # one string for each window; where it goes depends on all its words
                     count = last[split] - first[split] - span + 1
                     f = np.repeat(first[split], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    h = word_hashes(s.data, s.start, s.end)
-                    w = sum(h[f + i] * GRAMS[i] for i in range(span))
+                    w = sum(s.hashes[f + i] * GRAMS[i] for i in range(span))
                     t = np.repeat(text[split], count)
                     first, last = np.concatenate([first[~split], f]), np.concatenate([last[~split], f + span])
                     text, m = np.concatenate([text[~split], t]), np.concatenate([m[~split], mixed(w)])
@@ -219,41 +224,60 @@ def packed(docs: DataFrame, buckets: int, hot: np.ndarray, span: int, gram: int)
     return docs.mapInArrow(run, "bucket long, blob binary, doc_id long, lo long, hi long")
 
 
-def later_windows(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """doc and start of each window whose words also start earlier; strings are in order of (doc, start)."""
-    split = [s.split() for s in strings]
-    words = np.fromiter(map(len, split), np.int64, len(split))
-    flat = [w for s in split for w in s]
-    del split
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    del flat, number
+def exact_ids(raw: bytes) -> np.ndarray:
+    """A number for each word of raw, equal for equal words only."""
+    words = raw.split()
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words)).astype(np.uint64)
+
+
+def later_windows(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """doc and start of each window whose words also start earlier.
+
+    Windows are sorted by a 64-bit hash. Where hashes agree the words are compared: a stretch of
+    windows that follow each other on both sides is one comparison of bytes. Should one fail, all
+    is done again with numbers for words in place of hashes, and full comparison of windows.
+    """
+    raw = b" ".join(strings)
+    data = np.frombuffer(raw, np.uint8)
+    word_start, word_end = word_bounds(data)
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    string_at = np.cumsum(size + 1) - size - 1
+    at = np.searchsorted(word_start, string_at)  # first word of each string
+    words = np.diff(np.append(at, len(word_start)))
+    ids = exact_ids(raw) if exact else word_hashes(data, word_start, word_end)
     count = words - span + 1
-    at = np.cumsum(words) - words
-    first = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    string = np.repeat(np.arange(len(strings)), count)
+    first = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count) + at[string]
     up, down = powers(len(ids) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(1)) * up[: len(ids)])])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(ids + np.uint64(1)) * up[: len(ids)])])
     h = (total[first + span] - total[first]) * down[first]
-    own = np.repeat(doc, count), np.repeat(start, count) + first - np.repeat(at, count)
-    # windows of one string ascend, but a later string may start before an earlier one's windows end
-    order = np.lexsort((own[1], own[0], h))
+    if exact:
+        _, inverse = np.unique(np.stack([ids[first + i] for i in range(span)], 1), axis=0, return_inverse=True)
+        h = inverse.ravel().astype(np.uint64)
+    order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     if not same.any():
-        return own[0][:0], own[1][:0]
-    where = np.flatnonzero(same)
-    equal = np.ones(len(where), bool)
-    for i in range(span):
-        equal &= ids[first[order[where]] + i] == ids[first[order[where + 1]] + i]
-    if not equal.all():  # two window texts with one hash: compare the words themselves
-        _, inverse = np.unique(np.stack([ids[first + i] for i in range(span)], 1), axis=0, return_inverse=True)
-        order = np.lexsort((own[1], own[0], inverse.ravel()))
-        same = inverse.ravel()[order][1:] == inverse.ravel()[order][:-1]
+        return doc[:0], start[:0]
+    order = order[np.append(same, False) | np.append(False, same)]  # windows that are not alone
+    d, s = doc[string[order]], start[string[order]] + first[order] - at[string[order]]
+    rank = np.lexsort((s, d, h[order]))
+    order, d, s = order[rank], d[rank], s[rank]
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     # the same occurrence can come twice (repeated rows): it is not earlier than itself
-    d, s = own[0][order], own[1][order]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    lead = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    later = (d != d[lead][group]) | (s != s[lead][group])
-    return d[later], s[later]
+    later = (d != d[lead]) | (s != s[lead])
+    order, lead, d, s = order[later], order[lead[later]], d[later], s[later]
+    if not exact and len(order):
+        by_place = np.argsort(order)
+        a, b = first[order[by_place]], first[lead[by_place]]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)))
+        last = np.append(new[1:], len(a)) - 1
+        places = [word_start[a[new]], word_end[a[last] + span - 1], word_start[b[new]], word_end[b[last] + span - 1]]
+        for i, j, k, m in zip(*[p.tolist() for p in places], strict=True):
+            if raw[i:j] != raw[k:m] and raw[i:j].split() != raw[k:m].split():
+                return later_windows(doc, start, strings, span, exact=True)
+    return d, s
 
 
 def ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,10 +306,8 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
             doc, start, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
             raw = b"".join(p[3] for p in parts)
             end = np.cumsum(size, dtype=np.int64)
-            order = np.lexsort((start, doc))
-            a, b = (end - size)[order].tolist(), end[order].tolist()
-            strings = [raw[x:y] for x, y in zip(a, b, strict=True)]
-            d, lo, hi = ranges(*later_windows(doc[order], start[order].astype(np.int64), strings, span))
+            strings = [raw[x:y] for x, y in zip((end - size).tolist(), end.tolist(), strict=True)]
+            d, lo, hi = ranges(*later_windows(doc, start.astype(np.int64), strings, span))
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
 
         for batch in batches:
