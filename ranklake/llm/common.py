@@ -147,5 +147,17 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False) if column.null_count else column.to_numpy(zero_copy_only=False)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A worker's large object (a tokenizer with its words, a scorer): one at a time, so that stages of
+    other kinds, which reuse the worker, don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def to_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
