@@ -302,7 +302,8 @@ def deduplicated(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -> Data
     found = staged(_found(docs, size, limit), "simhash-found")
     named = found.filter("doc_id is not null")
     stays = named.filter(F.col("doc_id") == F.col("component")).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
+    # texts are shuffled once, at every size: a broadcast of ids would grow with the corpus
+    kept = docs.join(stays.hint("merge"), F.col("doc_id") == F.col("_stays"), "left_semi")
     if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     lone = found.filter(F.col("component") >= NO_ID)
