@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, id_text
+from .common import chunks, held, id_text
 
 #: Pre-tokens a worker remembers (about 200 bytes each).
 CACHE = 1_000_000
@@ -153,9 +153,8 @@ class Encoder(dict):
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

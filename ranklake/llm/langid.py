@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, held
 
 LONG = 256
 SPAN = 16  # characters of the longest piece
@@ -33,7 +33,8 @@ FIT_ROWS = 600
 #: The languages fitted: those with the most labelled rows.
 FIT_LANGS = 64
 ROUNDS = 3
-CACHE = 500_000
+#: Words a worker remembers (about 250 bytes each).
+CACHE = 400_000
 CHUNK_BYTES = 2 << 20
 LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -203,16 +204,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[tuple[str, bytes], Scorer] = {}
-
-
 def scorer(path: str, table: np.ndarray) -> Scorer:
-    """The worker's scorer for this model; one is held at a time, so later tasks find its words."""
-    key = (path, hashlib.md5(table.tobytes()).digest())
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(path, table)
-    return _SCORERS[key]
+    """The worker's scorer for this model; later tasks find its words."""
+    return held(("langid", path, hashlib.md5(table.tobytes()).digest()), lambda: Scorer(path, table))
 
 
 def fit(labelled: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray]:
