@@ -209,9 +209,11 @@ def spans(docs: DataFrame) -> DataFrame:
     hits = unseen.join(F.broadcast(good) if few else good, "pattern")
     hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     hits = hits.groupBy("uid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("more")).withColumnRenamed("uid", "hit")
-    out = rows.join(hits, F.col("uid") == F.col("hit"), "left")
+    # texts without any instance, most of a corpus, need no join
+    plain = rows.filter(F.size("found") == 0).select("doc_id", "uid", "base", F.col("base").alias("spans"))
+    out = rows.filter(F.size("found") > 0).join(hits, F.col("uid") == F.col("hit"), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:long,end:long>>"))))
-    return out.select("doc_id", "uid", "base", every.alias("spans"))
+    return plain.unionByName(out.select("doc_id", "uid", "base", every.alias("spans")))
 
 
 def _said(column: str):
