@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_divergence": divergence.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
