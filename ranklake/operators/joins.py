@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def valid_on(facts: DataFrame, intervals: DataFrame, key: str, date: str, start: str, end: str, how: str = "inner") -> DataFrame:
     """Intervals of a key that hold on the fact's date: an open end is unbounded, a fact without a date matches all.
@@ -51,24 +53,22 @@ def reassigned(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
     return df.join(m, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
-def resolved_chains(edges: DataFrame, most: int = 64) -> DataFrame:
+def resolved_chains(edges: DataFrame) -> DataFrame:
     """old_id, new_id with every chain of edges followed to its end, by pointer jumping.
 
-    Each round doubles the distance; a cycle never ends and is refused. Rounds are cut by a
-    checkpoint where the session has a folder for it.
+    A round doubles the distance, so n edges need log2(n) rounds; what still moves then is on a
+    cycle, which is refused.
     """
-    spark = edges.sparkSession
-    now = edges.select("old_id", "new_id").distinct()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    for _ in range(most):
+    now = cut(edges.select("old_id", "new_id").distinct(), "chains")
+    for _ in range(max(1, now.count()).bit_length() + 1):
         step = now.select(F.col("old_id").alias("_from"), F.col("new_id").alias("_to"))
         after = now.join(step, F.col("new_id") == F.col("_from"), "left").select("old_id", F.coalesce("_to", "new_id").alias("new_id"), F.col("_to").isNotNull().alias("_moved"))
-        after = after.checkpoint() if folder else after.persist()
-        if after.filter(F.col("old_id") == F.col("new_id")).limit(1).count():
-            raise ValueError("the merge edges hold a cycle")
-        moved = after.filter("_moved").limit(1).count()
+        after = cut(after, "chains")
+        seen = after.agg(F.count_if(F.col("old_id") == F.col("new_id")), F.count_if("_moved")).first()
+        if seen[0]:
+            break
         now = after.drop("_moved")
-        if not moved:
+        if not seen[1]:
             return now
     raise ValueError("the merge edges hold a cycle")
 
