@@ -650,12 +650,12 @@ def e3_resolved_identities(spark, sf):
     return E.resolved(o).select("seq", "person_id", "identity_state", "identity_confidence")
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_nationkey % 7 || '-' || c_mktsegment AS k, CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey % 2)::INT END AS y, c_acctbal > 5000 AS v FROM customer)
+@query("""WITH p AS (SELECT c_custkey + 1 AS id, c_nationkey % 7 || '-' || c_mktsegment AS k, CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey % 2)::INT END AS y, c_acctbal > 5000 AS v FROM customer)
 , n AS (SELECT k, count(DISTINCT y) AS years FROM p GROUP BY ALL), g AS (SELECT p.*, CASE WHEN years <= 1 THEN -1 ELSE y END AS grp FROM p JOIN n USING (k))
 , b AS (SELECT k, grp, first(id ORDER BY v DESC, y IS NOT NULL DESC, id) AS new_id FROM g WHERE grp IS NOT NULL GROUP BY ALL)
 SELECT id AS old_id, new_id FROM g JOIN b USING (k, grp) WHERE id <> new_id""")
 def e7_merge_edges(spark, sf):
-    p = read(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.concat_ws("-", (F.col("c_nationkey") % 7).cast("string"), "c_mktsegment").alias("name_key"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_nationkey") % 2).cast("int")).alias("birth_year"), (F.col("c_acctbal") > 5000).alias("verified"))
+    p = read(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("person_id"), F.concat_ws("-", (F.col("c_nationkey") % 7).cast("string"), "c_mktsegment").alias("name_key"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_nationkey") % 2).cast("int")).alias("birth_year"), (F.col("c_acctbal") > 5000).alias("verified"))
     return E.merge_edges(p)
 
 
