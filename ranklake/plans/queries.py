@@ -27,11 +27,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, whole: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and its SQL; whole names a column that Spark gives as a 32-bit integer."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = f"SELECT * REPLACE (CAST({whole} AS INT) AS {whole}) FROM ({sql})" if whole else sql
         return f
 
     return add
@@ -62,12 +64,12 @@ def w1b_gap_recovery(spark, sf):
     return W.gap_recovered(results(spark, sf), ["list_id"], "seq").select("result_id", "rank_recovered")
 
 
-@query(R + "SELECT result_id, rank() OVER (PARTITION BY stage_id ORDER BY (rank IS NULL), rank ASC NULLS FIRST, time_s ASC NULLS FIRST) AS regional_rank FROM r")
+@query(R + "SELECT result_id, rank() OVER (PARTITION BY stage_id ORDER BY (rank IS NULL), rank ASC NULLS FIRST, time_s ASC NULLS FIRST) AS regional_rank FROM r", whole="regional_rank")
 def w2_regional_rank(spark, sf):
     return W.regional_rank(results(spark, sf), "stage_id").select("result_id", "regional_rank")
 
 
-@query("SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place FROM customer")
+@query("SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place FROM customer", whole="place")
 def w2_customer_places(spark, sf):
     return W.competition_rank(read(spark, sf, "customer"), ["c_nationkey"], F.col("c_acctbal").desc()).select("c_custkey", "place")
 
@@ -134,7 +136,7 @@ def w11_overall_rederived(spark, sf):
     return W.overall_rederived(results(spark, sf), ["list_id"], "seq").select("result_id", "overall_rank")
 
 
-@query(R + "SELECT DISTINCT event_id, day::VARCHAR AS day, dense_rank() OVER (PARTITION BY event_id ORDER BY day) AS stage_number FROM r")
+@query(R + "SELECT DISTINCT event_id, day::VARCHAR AS day, dense_rank() OVER (PARTITION BY event_id ORDER BY day) AS stage_number FROM r", whole="stage_number")
 def w13_stage_numbers(spark, sf):
     return W.stage_numbers(results(spark, sf), "event_id", "day").select("event_id", F.col("day").cast("string").alias("day"), "stage_number").distinct()
 
@@ -147,7 +149,7 @@ def w14_team_status(spark, sf):
     return U.normalized_teams(df, ["list_id", "club"], leg="rank").select("result_id", "team_status", "team_legs")
 
 
-@query(R + "SELECT result_id, row_number() OVER (PARTITION BY list_id, club ORDER BY seq) AS team_sequence FROM r")
+@query(R + "SELECT result_id, row_number() OVER (PARTITION BY list_id, club ORDER BY seq) AS team_sequence FROM r", whole="team_sequence")
 def w15_team_numbers(spark, sf):
     return W.team_numbers(results(spark, sf), ["list_id", "club"], "seq").select("result_id", "team_sequence")
 
@@ -230,13 +232,13 @@ def a11_jurisdiction_rollup(spark, sf):
 _SEASON = "year({d}) + CASE WHEN month({d}) >= 11 AND {s} THEN 1 ELSE 0 END"
 
 
-@query(f"SELECT o_orderkey, {_SEASON.format(d='o_orderdate', s=chr(34) + 'o_orderpriority' + chr(34) + ' = ' + chr(39) + '1-URGENT' + chr(39))} AS season FROM orders")
+@query(f"SELECT o_orderkey, {_SEASON.format(d='o_orderdate', s=chr(34) + 'o_orderpriority' + chr(34) + ' = ' + chr(39) + '1-URGENT' + chr(39))} AS season FROM orders", whole="season")
 def m5_season_year(spark, sf):
     sport = F.when(F.col("o_orderpriority") == "1-URGENT", "ski-o").otherwise("foot-o")
     return read(spark, sf, "orders").select("o_orderkey", N.season_year("o_orderdate", sport).alias("season"))
 
 
-@query(R + "SELECT year(day) + CASE WHEN month(day) >= 11 THEN 1 ELSE 0 END AS season, count(DISTINCT stage_id) AS stages FROM r GROUP BY ALL")
+@query(R + "SELECT year(day) + CASE WHEN month(day) >= 11 THEN 1 ELSE 0 END AS season, count(DISTINCT stage_id) AS stages FROM r GROUP BY ALL", whole="season")
 def a13_season_counts(spark, sf):
     return A.season_counts(results(spark, sf), N.season_year("day", F.lit("ski")), "stage_id")
 
@@ -255,12 +257,12 @@ def _podium(spark, sf):
     return W.competition_rank(o, ["year", "o_orderpriority"], F.col("o_totalprice").desc(), out="won")
 
 
-@query(f"WITH p AS ({_PODIUM}), m AS (SELECT o_custkey, {_MEDALS} FROM p WHERE won <= 3 GROUP BY ALL) SELECT *, rank() OVER (ORDER BY gold DESC, silver DESC, bronze DESC, elite_gold DESC, elite_silver DESC, elite_bronze DESC) AS place FROM m")
+@query(f"WITH p AS ({_PODIUM}), m AS (SELECT o_custkey, {_MEDALS} FROM p WHERE won <= 3 GROUP BY ALL) SELECT *, rank() OVER (ORDER BY gold DESC, silver DESC, bronze DESC, elite_gold DESC, elite_silver DESC, elite_bronze DESC) AS place FROM m", whole="place")
 def g1_medal_table(spark, sf):
     return A.medal_table(_podium(spark, sf), ["o_custkey"], "won", F.col("o_orderpriority") == "1-URGENT")
 
 
-@query(f"WITH p AS (SELECT c_nationkey, won, elite FROM ({_PODIUM}) JOIN customer ON o_custkey = c_custkey), m AS (SELECT c_nationkey, {_MEDALS} FROM p WHERE won <= 3 GROUP BY ALL) SELECT *, rank() OVER (ORDER BY gold DESC, silver DESC, bronze DESC, elite_gold DESC, elite_silver DESC, elite_bronze DESC) AS place FROM m")
+@query(f"WITH p AS (SELECT c_nationkey, won, elite FROM ({_PODIUM}) JOIN customer ON o_custkey = c_custkey), m AS (SELECT c_nationkey, {_MEDALS} FROM p WHERE won <= 3 GROUP BY ALL) SELECT *, rank() OVER (ORDER BY gold DESC, silver DESC, bronze DESC, elite_gold DESC, elite_silver DESC, elite_bronze DESC) AS place FROM m", whole="place")
 def g1b_club_medals(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
     p = _podium(spark, sf).filter("won <= 3").join(c, F.col("o_custkey") == F.col("c_custkey"))
@@ -322,7 +324,7 @@ def d4_broadest_owner(spark, sf):
     return D.broadest_owner(d, "content", "owner", "day").select("doc_id")
 
 
-@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderpriority = '5-LOW', o_orderstatus <> 'F', o_totalprice <= 200000, o_orderkey) AS doc_order FROM orders""")
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderpriority = '5-LOW', o_orderstatus <> 'F', o_totalprice <= 200000, o_orderkey) AS doc_order FROM orders""", whole="doc_order")
 def d5_document_order(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("split"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))).otherwise(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("name"), F.when(F.col("o_orderstatus") == "F", "relay").otherwise("race").alias("kind"), (F.col("o_totalprice") > 200000).alias("extract"))
     return D.document_order(o, "o_custkey", "name", "kind", F.col("extract")).select("o_orderkey", "doc_order")
@@ -334,7 +336,7 @@ def d6_special_rows(spark, sf):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderkey AS pos FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, o_totalprice + 1 AS price, -o_orderkey AS pos FROM orders WHERE o_orderkey % 3 <> 1)
-SELECT coalesce(n.id, o.id) AS id, coalesce(n.price, o.price) AS price, row_number() OVER (ORDER BY o.pos ASC NULLS LAST, n.pos ASC NULLS LAST) AS pos FROM o FULL JOIN n USING (id)""")
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.price, o.price) AS price, row_number() OVER (ORDER BY o.pos ASC NULLS LAST, n.pos ASC NULLS LAST) AS pos FROM o FULL JOIN n USING (id)""", whole="pos")
 def d7_snapshot_merge(spark, sf):
     o = read(spark, sf, "orders")
     old = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("pos"))
@@ -449,9 +451,9 @@ def f14_title_classes(spark, sf):
     return results(spark, sf).select("result_id", T.open_eligible("category").alias("open_title"), T.state_eligible("category").alias("state_title"))
 
 
-@query(R + """SELECT person_id, day, count(*) FILTER (status = 'ok') AS timed, count(rank) AS ranked, max(CASE WHEN status = 'ok' THEN time_s END) AS longest FROM r WHERE rank IS NULL GROUP BY ALL HAVING count(*) FILTER (status = 'ok') >= 2""")
+@query(R + """SELECT person_id, day::VARCHAR AS day, count(*) FILTER (status = 'ok') AS timed, count(rank) AS ranked, max(CASE WHEN status = 'ok' THEN time_s END) AS longest FROM r WHERE rank IS NULL GROUP BY ALL HAVING count(*) FILTER (status = 'ok') >= 2""")
 def f9_minute_precision(spark, sf):
-    return FI.minute_precision(results(spark, sf).filter("rank is null"), ["person_id", "day"], least=2)
+    return FI.minute_precision(results(spark, sf).filter("rank is null").withColumn("day", F.col("day").cast("string")), ["person_id", "day"], least=2)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1998-01-01' AND o_orderstatus = 'O'")
@@ -474,13 +476,13 @@ def f8_course_views(spark, sf):
 # sorts, sets, scalars ----------------------------------------------------------------------------
 
 
-@query(R + "SELECT result_id, row_number() OVER (PARTITION BY list_id ORDER BY rank IS NULL, rank, team_number NULLS FIRST, time_s, seq) AS place FROM r")
+@query(R + "SELECT result_id, row_number() OVER (PARTITION BY list_id ORDER BY rank IS NULL, rank, team_number NULLS FIRST, time_s, seq) AS place FROM r", whole="place")
 def s1_result_order(spark, sf):
     w = Window.partitionBy("list_id").orderBy(F.col("rank").isNull(), "rank", F.col("team_number").asc_nulls_first(), "time_s", "seq")
     return results(spark, sf).select("result_id", F.row_number().over(w).alias("place"))
 
 
-@query(R + """SELECT category, row_number() OVER (ORDER BY CASE WHEN category LIKE 'D%' THEN 0 WHEN category LIKE 'H%' THEN 1 ELSE 2 END, coalesce(nullif(regexp_extract(category, '(\\d+)', 1), '')::INT, 999), lower(category), category) AS place FROM (SELECT DISTINCT category FROM r)""")
+@query(R + """SELECT category, row_number() OVER (ORDER BY CASE WHEN category LIKE 'D%' THEN 0 WHEN category LIKE 'H%' THEN 1 ELSE 2 END, coalesce(nullif(regexp_extract(category, '(\\d+)', 1), '')::INT, 999), lower(category), category) AS place FROM (SELECT DISTINCT category FROM r)""", whole="place")
 def s2_category_order(spark, sf):
     c = results(spark, sf).select("category").distinct()
     return c.select("category", F.row_number().over(Window.orderBy(*T.category_order("category"))).alias("place"))
@@ -544,9 +546,10 @@ def t37_declared_count(spark, sf):
     return results(spark, sf).select("result_id", T.declared_count(F.concat(F.lit("H 21 ("), F.col("rank").cast("string"), F.lit(" / 99)"))).alias("declared"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(html, '(?i)<a\\b')) AS n_links FROM pages WHERE html NOT LIKE '%&%;%</title>%'")
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(html, '(?i)<a\\b')) AS n_links FROM pages WHERE regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) NOT LIKE '%&%'", whole="n_links")
 def t38_page_titles(spark, sf):
-    return html.links(read(spark, sf, "pages").filter("html NOT LIKE '%&%;%</title>%'"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return html.links(read(spark, sf, "pages").filter(~title.contains("&")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity::INT * 60 + l_linenumber)::INT AS s, (l_quantity::INT * 3600 + l_linenumber)::INT AS h FROM lineitem")
@@ -737,7 +740,7 @@ def c14_regional_mappings(spark, sf):
     return C.regional_mappings(li)
 
 
-@query(R + """SELECT result_id, row_number() OVER (PARTITION BY stage_id, person_id ORDER BY eligibility <> 'eligible', CASE source WHEN 'api' THEN 4 ELSE 3 END DESC, result_id) AS claim FROM r""")
+@query(R + """SELECT result_id, row_number() OVER (PARTITION BY stage_id, person_id ORDER BY eligibility <> 'eligible', CASE source WHEN 'api' THEN 4 ELSE 3 END DESC, result_id) AS claim FROM r""", whole="claim")
 def c15_claims(spark, sf):
     r = results(spark, sf).select("stage_id", F.col("person_id").alias("unit"), F.lit("WIEN").alias("region"), F.when(F.col("eligibility") == "eligible", "confirmed").otherwise("draft").alias("instance_state"), F.when(F.col("source") == "api", "source_nat").otherwise("document").alias("evidence"), F.col("result_id").alias("mapping_id"), "result_id")
     return C.partitioned_claims(r).select("result_id", "claim")
@@ -789,7 +792,7 @@ def _catalog(spark):
 
 
 @query(_ISSUES + """, w AS (SELECT list_id, sum(CASE severity WHEN 'blocker' THEN 10000 WHEN 'warning' THEN 100 ELSE 1 END + CASE code WHEN 'entry_count_mismatch' THEN 50 WHEN 'unknown_status' THEN 50 WHEN 'source_declared_omission' THEN 30 ELSE 0 END)::BIGINT AS score, count(*) AS issues, count(*) FILTER (severity = 'blocker') AS blockers FROM i GROUP BY ALL)
-SELECT list_id, score, issues, blockers, row_number() OVER (ORDER BY score DESC, list_id) AS place FROM w""")
+SELECT list_id, score, issues, blockers, row_number() OVER (ORDER BY score DESC, list_id) AS place FROM w""", whole="place")
 def q4_report(spark, sf):
     li = _lists(spark, sf)
     return Q.report(Q.findings(li, _quality_rows(spark, sf)), li, _catalog(spark)).select("list_id", F.col("score").cast("long").alias("score"), "issues", "blockers", "place")

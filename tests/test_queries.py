@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ranklake.plans import queries as results
+from ranklake.plans import view_queries  # noqa: F401  registers itself
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
