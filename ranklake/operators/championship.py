@@ -48,6 +48,35 @@ def ooc_stripped(results: DataFrame) -> DataFrame:
     return results.withColumn("championship", F.when(~F.col("out_of_competition"), F.col("championship")))
 
 
+def overrides_stripped(results: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Tags go where the ledger refuses the person at the event, but never from an official ranking."""
+    no = ledger.filter(~F.col("decision").isin("true", "error")).select("person_id", "event_id").distinct().withColumn("_no", F.lit(True))
+    out = results.join(no, ["person_id", "event_id"], "left")
+    gone = F.coalesce("_no", F.lit(False)) & (F.coalesce("eligibility_basis", F.lit("")) != "official_championship_ranking")
+    return out.withColumn("championship", F.when(~gone, F.col("championship"))).drop("_no")
+
+
+def nation_region(code: Column) -> Column:
+    """The region of a printed nation code, null for anything else."""
+    c = F.upper(F.trim(code))
+    return F.when(c.isin(*X.REGIONS), c).otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in X.REGION_COMPACT.items() for x in kv]), c))
+
+
+def configured_stage(stages: DataFrame, pattern: str) -> DataFrame:
+    """The stage of each event whose title fits, where exactly one does."""
+    hit = stages.filter(F.col("stage_title").rlike(pattern))
+    return hit.groupBy("event_id").agg(F.count_distinct("stage_id").alias("_n"), F.min("stage_id").alias("stage_id")).filter("_n = 1").drop("_n")
+
+
+def registered_evidence(documents: DataFrame) -> DataFrame:
+    """Rows of official ranking documents as evidence, with ids by content.
+
+    documents: stage_id, source_document_id, scope, rows array<struct<category_key, name_key, rank, club>>.
+    """
+    e = documents.select("stage_id", "source_document_id", "scope", F.posexplode("rows").alias("pos", "r")).select("stage_id", "source_document_id", "scope", "pos", "r.*")
+    return e.withColumn("evidence_id", hash_id("evidence", "stage_id", "source_document_id", "category_key", "name_key", "pos"))
+
+
 def eligibility(results: DataFrame, ledger: DataFrame) -> DataFrame:
     """eligibility and its basis of tagged rows: official ranking, nationality, ledger, club, none — the first that speaks.
 

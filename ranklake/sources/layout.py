@@ -132,6 +132,24 @@ def parse_flowing(text: str) -> list[dict]:
     return parse_rows(rows)
 
 
+def trailing_club(tokens: list[str], clubs: set[str], most: int = 8) -> tuple[list[str], str | None]:
+    """Tokens before the longest known club that ends them, and the club."""
+    for n in range(min(most, len(tokens) - 1), 0, -1):
+        club = " ".join(tokens[-n:])
+        if club.casefold() in clubs:
+            return tokens[:-n], club
+    return tokens, None
+
+
+def flow_row(text: str, clubs: set[str]) -> dict | None:
+    """A result in one run of words: rank, name, club of the dictionary, time or status."""
+    m = re.match(r"^(?:(\d+)\.?\s+)?(.+?)\s+(\d{1,3}:\d{2}(?::\d{2})?|Aufg\.?|Fehlst\.?|N\.?\s*Ang\.?|Disq?\.?)$", text.strip(), re.I)
+    if not m:
+        return None
+    name, club = trailing_club(m[2].split(), {c.casefold() for c in clubs})
+    return {"rank": int(m[1]) if m[1] else None, "name": " ".join(name), "club": club or "", "time_text": m[3]}
+
+
 def merged_continuations(classes: list[dict]) -> list[dict]:
     """A class that goes on (same name, or one of fifteen letters that begins it; equal count; other ranks) joins its first part."""
     out: list[dict] = []

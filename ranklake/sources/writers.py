@@ -29,6 +29,16 @@ def partitions(df: DataFrame, path: str, by: str) -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
+def export(df: DataFrame, path: str) -> None:
+    """One gzipped JSON file set for readers without Parquet; one task writes it, so for small tables."""
+    df.coalesce(1).write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """path and SHA-256 of binary files (path, content)."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def normalized(df: DataFrame, path: str) -> None:
     """Documents as JSON, absent fields left out."""
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)

@@ -154,3 +154,17 @@ def test_stream_follows_files_once(spark, tmp_path):
     for _ in range(2):
         sync.follow(stream, lambda b: b, f"{tmp_path}/out", ["id"], f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_flow_rows():
+    clubs = {"NF Wien", "OL Ost Graz"}
+    assert layout.flow_row("1. Anna Berg NF Wien 26:21", clubs) == {"rank": 1, "name": "Anna Berg", "club": "NF Wien", "time_text": "26:21"}
+    assert layout.flow_row("Eva Tal OL Ost Graz Aufg.", clubs)["club"] == "OL Ost Graz"
+    assert layout.flow_row("nothing here", clubs) is None
+
+
+def test_title_words(spark):
+    from ranklake.operators.stages import discipline, round_number
+
+    df = spark.createDataFrame([("Sprint Ost",), ("Sprint und Mittel",), ("3. Lauf",), ("erg-e2.html",)], "t string")
+    assert [tuple(r) for r in df.select(discipline(F.col("t")), round_number(F.col("t"))).collect()] == [("sprint", None), (None, None), (None, 3), (None, 2)]
