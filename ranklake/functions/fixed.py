@@ -41,7 +41,7 @@ LEGACY_STATUS = (
     (r"verletzt", "dnf"), (r"dis\.?", "dsq"), (r"teilgenommen", "ok"),
 )
 
-LIVE_STATUS = {0: "ok", 1: "dns", 2: "dnf", 3: "mp", 4: "dsq", 5: "dsq", 9: "unknown", 10: "unknown", 11: "dns"}
+LIVE_STATUS = {0: "ok", 1: "dns", 2: "dnf", 3: "mp", 4: "dsq", 5: "dsq", 9: "dns", 10: "dns", 11: "dns"}
 
 TEAM_STATUS_ORDER = ("unknown", "ok", "dns", "dnf", "mp", "dsq")
 
@@ -56,8 +56,9 @@ FAMILY = r"(?iu)(?:\bfam(?:ilie|ily|iliy)?\b|familien|rahmenbewerb\s+familie)"
 AMBIGUOUS_FAMILY = r"(?iu)^(?:AT-)?F$"
 
 CLUB_JUNK_PREFIX = r"(?iu)^(?:empty|leer|vacant|frei|\.)\s+"
-CLUB_NUMBER_SUFFIX = r"^(.*\D)\s+\d{1,2}$"
-CLUB_CODE_PREFIX = r"^([^\s]{2,10})\s+(.+)$"
+CLUB_NUMBER_SUFFIX = r"^(.+)\s(\d+)$"
+CLUB_CODE_PREFIX = r"^([A-Za-zÄÖÜäöüß]{2,6})\s+(.+)$"
+CLUB_ABBREVIATED = r"^NF\s*(.+)$"
 CORRUPT_CLUB = r"^\d{1,3}:\d{2}:\d{2}\s+\d+$"
 POINTS_CLUB = r"(?iu)\b-?\d+\s*p\.\s*$"
 RUN_LABEL = r"(?iu)\b\d+\.\s*Lauf\b"
@@ -110,7 +111,9 @@ AUXILIARY_ATTACHMENT = (
 )
 COURSE_LIST = r"(?iu)^bahn"
 HEAT = r"(?iu)viertelfinale|halbfinale|b-finale"
-JUNK_DOCUMENT = r"(?iu)split|zwischenzeit|after[-_ ]?e\d+"
+JUNK_DOCUMENT = r"(?i)-split\.|results-after-e\d+"
+COURSE_VIEW = r"(?i)(?:nach[\s._-]*bahnen|by[\s._-]*courses?)"
+STAGE_TITLE = r"(?iuU)^(.*?)\s-\s*Ergebnis(?:\s+nach\s+\w+)?\b\s*-?\s*(.*)$"
 DOCUMENT_NAME = r"^\d+-(?:club)?\d+\.json$"
 
 REGIONS = {"WIEN": "Wien", "NOE": "Niederösterreich", "BGLD": "Burgenland", "STMK": "Steiermark", "OOE": "Oberösterreich", "SBG": "Salzburg", "TIR": "Tirol", "KTN": "Kärnten", "VBG": "Vorarlberg"}
@@ -126,13 +129,14 @@ REGION_PATTERNS = {
     "VBG": r"(?iuU)\b(?:vbg\.?|vorarlberg(?:er|isch(?:e[rsn]?)?)?)\b",
 }
 REGION_COMPACT = {"W": "WIEN", "N": "NOE", "B": "BGLD", "ST": "STMK", "O": "OOE", "S": "SBG", "T": "TIR", "K": "KTN", "V": "VBG"}
+REGION_NATION_CODES = {"w": "WIEN", "nö": "NOE", "noe": "NOE", "b": "BGLD", "st": "STMK"}
 REGIONAL_TITLE = r"(?iuU)(?:\b(?:lm|lms|ms|km)\b|meisterschaft|landesmeister|landes[- ]?ms)"
 REGIONAL_FRAME = r"(?iu)(?:rahmen(?:bewerb)?|gäste?|offen|neu(?:ling(?:e)?)?|fam(?:il(?:ie|ien|y)|iliy)?|kids?|kinderfähnchen|bahn|lyceum)"
 CITY_NOT_REGION = r"(?iu)wiener\s+neustadt|wr\.?\s*neustadt"
 GUEST_CODE = r"^[0-9]{4} - "
 GUEST_TEAM = r"(?iu)^AA "
 GUEST_TEAM_HOME = r"(?iu)^AA .*(?:kärnten|steiermark)"
-CLUBLESS = r"(?iu)\bvereinslos\b"
+CLUBLESS = r"(?iu)vereins?los|verienslos|kein\s*verein|ohne\s*verein|no\s*club|club[- ]?less|individuals?\s*/\s*no\s*club"
 
 EVIDENCE_ORDER = {"source_nat": 4, "document": 3, "category": 2, "event_title": 1}
 IDENTITY_CONFIDENCE = {"registry_year": 0.99, "registry_club": 0.95, "with_year": 0.75, "without_year": 0.55, "direct": 1.0}
@@ -143,5 +147,6 @@ EVENT_STAGE_BASE, DATED_STAGE_BASE, MAPPED_STAGE_BASE = 10_000_000, 20_000_000,
 SYNTHETIC_ID_BITS = 62
 MAX_CORE_DROP = 0.02
 BIRTH_YEAR_PIVOT = 26
+SKI = "skiOrienteering"
 
 # --- end of fixed values ----------------------------------------------------------------------

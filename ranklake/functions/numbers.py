@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed as X
 from .text import _c, _t
 
-TIME = r"^(?:(\d{1,2}):)?(\d{1,3}):(\d{2})$"
+TIME = r"^(?:(\d+):)?(\d{1,3}):(\d{2})$"
 
 
 def parse_time(x: Column | str) -> Column:
@@ -39,7 +39,7 @@ def format_time(seconds: Column | str) -> Column:
 def season_year(date: Column | str, sport: Column | str) -> Column:
     """The year of a date; November and December on skis belong to the next."""
     d = _c(date).cast("date")
-    return F.year(d) + F.when((F.month(d) >= 11) & F.lower(F.coalesce(_c(sport), F.lit(""))).contains("ski"), 1).otherwise(0)
+    return F.year(d) + F.when((F.month(d) >= 11) & (F.coalesce(_c(sport), F.lit("")) == X.SKI), 1).otherwise(0)
 
 
 def document_date(file_name: Column | str, text: Column | str) -> Column:
@@ -66,18 +66,18 @@ def birth_year(two_digits: Column | str, pivot: int = X.BIRTH_YEAR_PIVOT) -> Col
     return F.when(y > 99, y).when(y <= pivot, 2000 + y).otherwise(1900 + y)
 
 
-def clean_year(x: Column | str, this_year: int = 2100) -> Column:
+def clean_year(x: Column | str) -> Column:
     """A plausible birth year; 1900 and 1901 stand for unknown."""
     y = _c(x).try_cast("int")
-    return F.when(y.between(1902, this_year), y)
+    return F.when(y.between(1800, 2100) & ~y.isin(1900, 1901), y)
 
 
 def name_and_year(x: Column | str) -> Column:
-    """struct(name, year) of 'Name (1990)' or 'Name 90'."""
-    pattern = r"^(.*?)[\s,]*\(?(\d{4}|\d{2})\)?$"
+    """struct(name, year) of 'Name (1990)'."""
+    pattern = r"^(.*?)\s+\((\d{4})\)$"
     t = _t(x)
     has = t.rlike(pattern)
-    return F.struct(F.when(has, F.trim(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("name"), F.when(has, birth_year(F.regexp_extract(t, pattern, 2))).alias("year"))
+    return F.struct(F.when(has, F.trim(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("name"), F.when(has, F.regexp_extract(t, pattern, 2).cast("int")).alias("year"))
 
 
 def hash_id(prefix: str, *parts: Column | str) -> Column:

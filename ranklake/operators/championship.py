@@ -58,8 +58,8 @@ def overrides_stripped(results: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def nation_region(code: Column) -> Column:
     """The region of a printed nation code, null for anything else."""
-    c = F.upper(F.trim(code))
-    return F.when(c.isin(*X.REGIONS), c).otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in X.REGION_COMPACT.items() for x in kv]), c))
+    c = F.regexp_replace(F.lower(F.regexp_replace(code, r"\s+", "")), r"\.+$", "")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in X.REGION_NATION_CODES.items() for x in kv]), c)
 
 
 def configured_stage(stages: DataFrame, pattern: str) -> DataFrame:

@@ -28,7 +28,7 @@ def is_clone_title(title: str, mark: str = "bewertung") -> Column:
 
 def without_course_views(docs: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Course views go where a normal view of the same stage exists."""
-    course = _t(name).rlike(r"(?i)(?:bahn|course)(?:en|s)?[-_. ]")
+    course = _t(name).rlike(X.COURSE_VIEW)
     normal = docs.filter(~course).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     on = F.lit(True)
     for k in keys:

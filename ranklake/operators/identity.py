@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions.fixed import IDENTITY_CONFIDENCE
 from ..functions.numbers import synthetic_id
 
@@ -162,19 +163,20 @@ def canonical_clubs(names: DataFrame, official: DataFrame, aliases: dict[str, st
         if not value:
             return None
         now = value.rstrip("*").strip()
-        if m := re.match(r"^(.*\D)\s+\d{1,2}$", now):
+        if m := re.match(X.CLUB_NUMBER_SUFFIX, now):
             now = m[1].strip()
         now = alias.get(now.casefold(), now)
+        now = known.get(now.casefold(), now)
         for _ in range(8):
-            if now.casefold() in known:
-                return known[now.casefold()]
+            if now in known.values():
+                return now
             low = now.casefold()
             inside = [c for c in table if len(c) >= 8 and c.casefold() in low]
             begun = [c for c in table if len(now) >= 10 and c.casefold().startswith(low)]
-            code = re.match(r"^\S{2,10}\s+(.+)$", now)
-            spelled = re.match(r"^NF\s+(.+)$", now)
-            if code and code[1].strip() in known.values():
-                now = code[1].strip()
+            code = re.match(X.CLUB_CODE_PREFIX, now)
+            spelled = re.match(X.CLUB_ABBREVIATED, now)
+            if code and code[2].strip() in known.values():
+                now = code[2].strip()
             elif spelled and f"Naturfreunde {spelled[1].strip()}" in known.values():
                 now = f"Naturfreunde {spelled[1].strip()}"
             elif len(inside) == 1:

@@ -112,7 +112,7 @@ def e9_pending_candidates(spark, sf):
     return E.pending_candidates(rows, reg).select("seq", "person_id", "shared")
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'WIEN' WHEN 1 THEN 'STMK' WHEN 2 THEN 'TIR' END AS region FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'WIEN' WHEN 1 THEN 'STMK' WHEN 2 THEN 'NOE' END AS region FROM supplier")
 def t22_nation_regions(spark, sf):
     k = F.col("s_suppkey") % 4
-    return read(spark, sf, "supplier").select("s_suppkey", C.nation_region(F.when(k == 0, " wien").when(k == 1, "ST").when(k == 2, "T").otherwise("GER")).alias("region"))
+    return read(spark, sf, "supplier").select("s_suppkey", C.nation_region(F.when(k == 0, " W.").when(k == 1, "ST").when(k == 2, "N Ö").otherwise("GER")).alias("region"))

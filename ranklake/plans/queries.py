@@ -234,13 +234,13 @@ _SEASON = "year({d}) + CASE WHEN month({d}) >= 11 AND {s} THEN 1 ELSE 0 END"
 
 @query(f"SELECT o_orderkey, {_SEASON.format(d='o_orderdate', s=chr(34) + 'o_orderpriority' + chr(34) + ' = ' + chr(39) + '1-URGENT' + chr(39))} AS season FROM orders", whole="season")
 def m5_season_year(spark, sf):
-    sport = F.when(F.col("o_orderpriority") == "1-URGENT", "ski-o").otherwise("foot-o")
+    sport = F.when(F.col("o_orderpriority") == "1-URGENT", "skiOrienteering").otherwise("foot-o")
     return read(spark, sf, "orders").select("o_orderkey", N.season_year("o_orderdate", sport).alias("season"))
 
 
 @query(R + "SELECT year(day) + CASE WHEN month(day) >= 11 THEN 1 ELSE 0 END AS season, count(DISTINCT stage_id) AS stages FROM r GROUP BY ALL", whole="season")
 def a13_season_counts(spark, sf):
-    return A.season_counts(results(spark, sf), N.season_year("day", F.lit("ski")), "stage_id")
+    return A.season_counts(results(spark, sf), N.season_year("day", F.lit("skiOrienteering")), "stage_id")
 
 
 @query("SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS starts FROM customer")
@@ -469,7 +469,7 @@ def f23_ungated(spark, sf):
 
 @query("""SELECT o_orderkey FROM orders o WHERE o_orderstatus <> 'P' OR NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus <> 'P')""")
 def f8_course_views(spark, sf):
-    o = read(spark, sf, "orders").withColumn("name", F.when(F.col("o_orderstatus") == "P", "ergebnis-bahn-1.html").otherwise("ergebnis.html"))
+    o = read(spark, sf, "orders").withColumn("name", F.when(F.col("o_orderstatus") == "P", "ergebnis-nach-bahnen.html").otherwise("ergebnis.html"))
     return FI.without_course_views(o, ["o_custkey"], "name").select("o_orderkey")
 
 

@@ -11,7 +11,7 @@ from .tables import R, read, results
 
 def _tables(spark, sf):
     r = results(spark, sf).withColumn("official_club", F.when(F.col("club") != "Club 0", F.col("club"))).withColumn("national_rank", F.col("rank")).withColumn("leg_number", F.lit(None).cast("int")).withColumn("observed_name", F.concat(F.lit("P"), F.col("person_id").cast("string")))
-    event = r.select("event_id").distinct().select("event_id", F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"), F.expr("date_add(date'2020-01-01', cast(event_id % 900 as int))").cast("string").alias("date"), F.when(F.col("event_id") % 2 == 0, "ski-o").otherwise("foot-o").alias("sport"))
+    event = r.select("event_id").distinct().select("event_id", F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"), F.expr("date_add(date'2020-01-01', cast(event_id % 900 as int))").cast("string").alias("date"), F.when(F.col("event_id") % 2 == 0, "skiOrienteering").otherwise("foot-o").alias("sport"))
     stage = r.select("stage_id", "event_id").distinct().select("stage_id", "event_id", F.lit(1).alias("number"), F.lit("Stage").alias("stage_title"), F.lit(None).cast("string").alias("date"))
     person = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"))
     return r, event, stage, person

@@ -31,6 +31,10 @@ CASES = [
     (T.championship_of, ["Österr. Meister 2022", "Staatsmeisterin", "Niederösterreichischer Meister", "und ÖM"], ["ÖM", "ÖSTM", None, "ÖM"]),
     (T.regions, ["Wiener Neustadt", "Wiener MS", "NÖ und Steiermark"], [[], ["WIEN"], ["NOE", "STMK"]]),
     (T.compact_regions, ["W D-14", "ST-H21", "D-14"], [["WIEN"], ["STMK"], []]),
+    (T.category_key, ["D21E", "Damen ab 21 Elite", "H-14", "Herren bis 12", "Herren", "Offen Lang"], ["d21e", "d21e", "h14", "h12", "h21e", "offenlang"]),
+    (T.age_group, ["D-14", "H35-", "ab 45", "H 21", "Elite"], ["youth", "senior", "senior", None, None]),
+    (T.stage_title, ["Weekend - Ergebnis - ÖM Nacht", "ÖM Mittel 2016 - Ergebnis", "Lauf"], ["ÖM Nacht", "ÖM Mittel 2016", None]),
+    (T.is_junk_document, ["x-split.html", "results-after-e3.html", "erg.html"], [True, True, False]),
     (N.parse_time, ["26:21", "1:02:33", "114:08", "x"], [1581, 3753, 6848, None]),
     (N.parse_time_loose, ["19:24 (*)", "-32:10", "Zeit 22:46 (+)"], [1164, None, 1366]),
     (N.sheet_duration, ["32:10:00", "26:21"], [1930, 1581]),
@@ -67,7 +71,7 @@ def test_dates_and_courses(spark):
     assert [r[0] for r in df.select(N.document_date("f", "t")).collect()] == ["2019-06-02", "2023-05-07", None]
     c = values(spark, N.course_info, ["2,3 km  130 Hm  8 P", "5 P"])
     assert [tuple(x) for x in c] == [(2300 if int(2.3 * 1000) == 2300 else 2299, 130, 8), (None, None, 5)]
-    df = spark.createDataFrame([("2025-11-01", "ski-o"), ("2025-11-01", "foot"), ("", "ski")], "d string, s string")
+    df = spark.createDataFrame([("2025-11-01", "skiOrienteering"), ("2025-11-01", "foot"), ("", "skiOrienteering")], "d string, s string")
     assert [r[0] for r in df.select(N.season_year(F.nullif("d", F.lit("")), "s")).collect()] == [2026, 2025, None]
 
 
