@@ -29,10 +29,12 @@ GRAM = 4
 CHUNK_BYTES = 1 << 19  # small, so that a chunk's arrays stay in the processor's cache
 #: Packed bytes a task holds before it hands them on.
 HOLD_BYTES = 48 << 20
-#: A minimiser is split if more than this many of its packed strings lie in one task's share ...
+#: Once a gate on a task's share of a minimiser; not read any longer, as every count goes into the sums.
 LOCAL_HOT = 64
-#: ... and more than this many in all tasks, once each task has dropped equal ones.
+#: A minimiser is split if more than this many of its packed strings lie in all tasks, once each task has dropped equal ones.
 HOT = 5_000
+#: Minimisers (16 bytes each) that a task counts before it hands the counts on.
+COUNTED = 2_000_000
 BUCKETS_PER_PARTITION = 8
 
 SPACE = np.zeros(256, bool)
@@ -128,24 +130,98 @@ class Super:
         self.minimiser, self.text = mm[new], tt[new]
 
 
+def pack_counts(values: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted minimisers and their counts; the steps between them compress better than they do."""
+    raw = np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, 8, -1)
+    steps, n = (np.ascontiguousarray(x.T).reshape(-1) for x in raw)
+    return np.cumsum(steps.view("<u8"), dtype=np.uint64), n.view("<i8")
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each minimiser once, sorted, with the sum of its counts."""
+    m, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(m, kind="stable")
+    m, n = m[order], n[order]
+    new = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+    return m[new], np.add.reduceat(n, new)
+
+
 def hot_minimisers(docs: DataFrame, span: int, gram: int) -> np.ndarray:
-    """The minimisers to split, sorted. At most 1 / HOT of all packed strings, so a bounded share."""
+    """The minimisers to split, sorted. At most 1 / HOT of all packed strings, so a bounded share.
+
+    Every count of every task goes into the sums, however small: a phrase may be spread thinly.
+    """
+    partitions = to_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        entries = weight = 0
+        held = np.zeros(0, np.uint64)  # the strings that `packed` would hold, by the hash of their words
+        minimisers: list[np.ndarray] = []
+
+        def settle() -> None:
+            nonlocal held, minimisers, weight, entries
+            if minimisers:
+                counted.append(np.unique(np.concatenate(minimisers), return_counts=True))
+                entries += len(counted[-1][0])
+            held, minimisers, weight = held[:0], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal entries
+            if not counted:
+                return
+            m, n = summed(counted)
+            counted.clear()
+            entries = 0
+            part = (mixed(m) % np.uint64(partitions)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, m, n = part[order], m[order], n[order]
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            blobs = [pack_counts(m[x:y], n[x:y]) for x, y in zip(new.tolist(), [*new[1:].tolist(), len(m)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
         for batch in chunks(batches, CHUNK_BYTES):
             s = Super(*text_bytes(batch.column("text")), span, gram)
             if not len(s.first):
                 continue
-            # equal packed strings of this chunk count once, by the hash of their bytes' ends
+            # equal packed strings count once for as long as `packed` holds them
             a, b = s.start[s.first], s.end[s.last - 1]
             own = mixed((s.total[b] - s.total[a]) * powers(len(s.data) + 1)[1][a] + s.minimiser)
-            _, at = np.unique(own, return_index=True)
-            value, n = np.unique(s.minimiser[at], return_counts=True)
-            keep = n > LOCAL_HOT
-            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["m", "n"])
+            own, at = np.unique(own, return_index=True)
+            fresh = ~np.isin(own, held, assume_unique=True)
+            own, at = own[fresh], at[fresh]
+            held = np.concatenate([held, own])
+            minimisers.append(s.minimiser[at])
+            weight += int((b[at] - a[at] + 120).sum())
+            if weight > HOLD_BYTES:
+                settle()
+                if entries > COUNTED:
+                    yield from out()
+        settle()
+        yield from out()
 
-    counted = docs.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
-    return np.sort(np.array([r["m"] for r in counted.select("m").collect()], np.int64).view(np.uint64))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        entries, bound = 0, COUNTED
+        for batch in batches:
+            for blob in batch.column("blob"):
+                held.append(unpack_counts(blob.as_py()))
+                entries += len(held[-1][0])
+                if entries > bound:
+                    held = [summed(held)]
+                    entries = len(held[0][0])
+                    bound = max(COUNTED, 2 * entries)
+        if held:
+            m, n = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(m[n > HOT].view(np.int64))], ["m"])
+
+    counted = docs.mapInArrow(run, "part long, blob binary").repartition(partitions, "part")
+    return np.sort(np.array([r["m"] for r in counted.mapInArrow(total, "m long").collect()], np.int64).view(np.uint64))
 
 
 def pack(ids: list[int], start: list[int], strings: list[bytes]) -> bytes:

@@ -75,6 +75,31 @@ def test_split_minimisers(make, monkeypatch):
     assert plain
 
 
+def test_thinly_spread_phrase_is_hot(make, monkeypatch):
+    """One phrase in many chunks, a few times in each, with other neighbours every time: LOCAL_HOT as it is."""
+    phrase = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(25)), phrase, *(f"b{i}x{j}" for j in range(25))]), "en", "s") for i in range(300)]
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(substring, "HOT", 200)
+    docs = make(rows)
+    hot = substring.hot_minimisers(substring.id_text(docs), 20, 4)
+    assert len(hot) >= 1
+    assert sorted(map(tuple, substring.deduplicated(docs).collect()), key=repr) == brute([r[:2] for r in rows])
+    # what a task hands on early is summed too
+    monkeypatch.setattr(substring, "HOLD_BYTES", 5_000)
+    monkeypatch.setattr(substring, "COUNTED", 100)
+    assert set(hot) <= set(substring.hot_minimisers(substring.id_text(docs), 20, 4))
+
+
+def test_counts_pack():
+    r = np.random.default_rng(5)
+    m = np.unique(r.integers(0, 2**63, 1000, np.uint64))
+    m[-1], n = np.uint64(2**64 - 1), r.integers(1, 10**12, len(m))
+    got = substring.unpack_counts(substring.pack_counts(m, n))
+    assert (got[0] == m).all() and (got[1] == n).all()
+    assert [x.tolist() for x in substring.summed([(m, n), (m[:3], n[:3])])][1][:4] == [*(2 * n[:3]).tolist(), int(n[3])]
+
+
 def test_hash_collisions_are_resolved(monkeypatch):
     monkeypatch.setattr(substring, "word_hashes", lambda data, start, end, total=None: np.zeros(len(start), np.uint64))
     a, b = b" ".join(b"a%d" % i for i in range(20)), b"\n".join(b"b%d" % i for i in range(20))
