@@ -109,12 +109,24 @@ def crossed_ids(rows: DataFrame, registry: DataFrame, key: str = "name_key") ->
 
 
 def pending_candidates(rows: DataFrame, registry: DataFrame, key: str = "name_key", most: int = 4) -> DataFrame:
-    """Up to `most` profiles for each row that share words with its name, most shared words first."""
-    a = rows.select("seq", key, F.explode(F.array_distinct(F.split(key, " "))).alias("_w"))
-    b = registry.select("person_id", F.explode(F.array_distinct(F.split(key, " "))).alias("_w"))
-    n = a.join(b, "_w").groupBy("seq", "person_id").agg(F.count("*").alias("shared"))
-    by = Window.partitionBy("seq").orderBy(F.col("shared").desc(), "person_id")
-    return n.withColumn("choice", F.row_number().over(by)).filter(F.col("choice") <= most)
+    """Up to `most` profiles for each row that share words with its name, most shared words first.
+
+    Rows of equal words have equal choices, and of profiles of equal words only the first `most`
+    can be chosen: words are joined between distinct names, not between rows and profiles.
+    """
+    words = F.array_distinct(F.split(key, " "))
+    bag = lambda df, own: df.filter(F.col(key).isNotNull()).groupBy(own).agg(F.array_sort(F.flatten(F.collect_list(words))).alias("_bag"))
+    named = bag(rows, "seq")
+    a = named.select("_bag").distinct().select("_bag", F.explode("_bag").alias("_w"))
+    first = Window.partitionBy("_bag").orderBy("person_id")
+    profiles = bag(registry, "person_id").withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most)
+    own = profiles.groupBy("_bag").agg(F.collect_list("person_id").alias("_people"))
+    b = own.select(F.col("_bag").alias("_own"), "_people", F.explode("_bag").alias("_w"))
+    n = a.join(b, "_w").groupBy("_bag", "_own").agg(F.count("*").alias("shared"), F.first("_people").alias("_people"))
+    n = n.select("_bag", F.explode("_people").alias("person_id"), "shared")
+    by = Window.partitionBy("_bag").orderBy(F.col("shared").desc(), "person_id")
+    chosen = n.withColumn("choice", F.row_number().over(by)).filter(F.col("choice") <= most)
+    return named.join(chosen, "_bag").select("seq", "person_id", "shared", "choice")
 
 
 def member_match(rows: DataFrame, members: DataFrame, aliases: DataFrame, key: str = "name_key", year: str = "birth_year") -> DataFrame:

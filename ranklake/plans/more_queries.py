@@ -106,12 +106,24 @@ def u9_regional_units(spark, sf):
 , n AS (SELECT seq, person_id, count(*) AS shared FROM a JOIN b USING (w) GROUP BY seq, person_id)
 SELECT seq, person_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY seq ORDER BY shared DESC, person_id) <= 4""")
 def e9_pending_candidates(spark, sf):
-    rows = read(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("seq"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("name_key"))
+    return _pending(spark, sf, read(spark, sf, "orders").filter("o_orderkey % 10 = 0"))
+
+
+def _pending(spark, sf, orders):
+    rows = orders.select(F.col("o_orderkey").alias("seq"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("name_key"))
     reg = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("person_id"), F.concat_ws(" ", F.when(F.col("s_suppkey") % 2 == 0, "5-LOW").otherwise("1-URGENT"), F.when(F.col("s_suppkey") % 3 == 0, "F").otherwise("O")).alias("name_key"))
     rows = rows.withColumn("name_key", F.regexp_replace("name_key", "NOT SPECIFIED", "NOT_SPECIFIED"))
     return E.pending_candidates(rows, reg).select("seq", "person_id", "shared")
 
 
+@query("""WITH a AS (SELECT p, s, unnest([p, s]) AS w FROM (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS s FROM orders)), b AS (SELECT s_suppkey AS person_id, unnest([CASE WHEN s_suppkey % 2 = 0 THEN '5-LOW' ELSE '1-URGENT' END, CASE WHEN s_suppkey % 3 = 0 THEN 'F' ELSE 'O' END]) AS w FROM supplier)
+, n AS (SELECT p, s, person_id, count(*) AS shared FROM a JOIN b USING (w) GROUP BY p, s, person_id)
+, t AS (SELECT p, s, person_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY p, s ORDER BY shared DESC, person_id) <= 4)
+SELECT o_orderkey AS seq, person_id, shared FROM orders JOIN t ON o_orderpriority = p AND o_orderstatus = s""")
+def e9_pending_candidates_all(spark, sf):
+    return _pending(spark, sf, read(spark, sf, "orders"))
+
+
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'WIEN' WHEN 1 THEN 'STMK' WHEN 2 THEN 'NOE' END AS region FROM supplier")
 def t22_nation_regions(spark, sf):
     k = F.col("s_suppkey") % 4

@@ -168,3 +168,35 @@ def test_title_words(spark):
 
     df = spark.createDataFrame([("Sprint Ost",), ("Sprint und Mittel",), ("3. Lauf",), ("erg-e2.html",)], "t string")
     assert [tuple(r) for r in df.select(discipline(F.col("t")), round_number(F.col("t"))).collect()] == [("sprint", None), (None, None), (None, 3), (None, 2)]
+
+
+def test_pending_candidates_equal_brute_force(spark):
+    r = random.Random(4)
+    words = ["anna", "berg", "eva", "tal", "hot"]
+    name = lambda: " ".join(["hot", *r.sample(words, r.randrange(0, 4))])
+    rows = [(i, name()) for i in range(120)] + [(0, "anna tal"), (500, None), (501, "nobody"), (502, "")]
+    registry = [(p, name()) for p in range(60)] + [(3, "eva berg"), (700, None), (701, "")]
+    got = E.pending_candidates(spark.createDataFrame(rows, "seq int, name_key string"), spark.createDataFrame(registry, "person_id int, name_key string")).collect()
+    want = {}
+    for s, a in rows:
+        for p, b in registry:
+            if a is not None and b is not None and (n := len(set(a.split(" ")) & set(b.split(" ")))):
+                want[s, p] = want.get((s, p), 0) + n
+    best = []
+    for s in {s for s, _ in want}:
+        own = sorted((-n, p) for (t, p), n in want.items() if t == s)[:4]
+        best += [(s, p, -n, i + 1) for i, (n, p) in enumerate(own)]
+    assert sorted((x.seq, x.person_id, x.shared, x.choice) for x in got) == sorted(best)
+
+
+def test_pending_candidates_of_every_order(spark):
+    import os
+
+    from ranklake.plans import more_queries  # noqa: F401  it registers itself
+    from ranklake.plans.queries import QUERIES
+
+    if not os.path.isdir(sf := "/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderpriority IN ('1-URGENT', '5-LOW') OR o_orderstatus IN ('F', 'O')")
+    got = QUERIES["e9_pending_candidates_all"](spark, sf)
+    assert got.select("seq").distinct().count() == orders.count()
