@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import chunks, staged
 
@@ -164,7 +165,7 @@ def extracted(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 own = base_spans(text)
                 inst = instances(text, own)
-                uid.append(hashlib.blake2b(text.encode(), digest_size=12).hexdigest() if inst else "")
+                uid.append(_uid(text) if inst else "")
                 base.append([dict(zip(b_names, s, strict=True)) for s in own])
                 found.append([dict(zip(f_names, s, strict=True)) for s in inst])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(uid, pa.string()), pa.array(base, base_type), pa.array(found, found_type)], ["doc_id", "uid", "base", "found"])
@@ -194,25 +195,32 @@ def patterns(rows: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_
     return confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, base and spans (arrays of kind, start, end by kind then start) of every row.
+MORE = "array<struct<kind:int,start:long,end:long>>"
 
-    A null or empty text has none; equal texts have equal spans; an empty table gives no rows;
-    other columns of docs are not read.
-    """
-    rows = staged(extracted(docs), "pii-rows")
-    good = staged(patterns(rows), "pii-patterns")
+
+def _hits(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """hit (a uid) and more: the spans that the patterns give to a text's unseen tokens."""
     few = good.count() <= BROADCAST_PATTERNS
     unseen = rows.filter(F.exists("found", lambda f: f["kind"] < 0)).groupBy("uid").agg(F.first("found").alias("found"))
     unseen = unseen.select("uid", F.explode(F.filter("found", lambda f: f["kind"] < 0)).alias("f"))
     unseen = unseen.select("uid", "f.start", "f.end", F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
     hits = unseen.join(F.broadcast(good) if few else good, "pattern")
     hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    hits = hits.groupBy("uid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("more")).withColumnRenamed("uid", "hit")
+    return hits.groupBy("uid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("more")).withColumnRenamed("uid", "hit")
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, uid, base and spans (arrays of kind, start, end by kind then start) of every row.
+
+    A null or empty text has none; equal texts have equal spans; an empty table gives no rows;
+    other columns of docs are not read.
+    """
+    rows = staged(extracted(docs), "pii-rows")
+    hits = _hits(rows, staged(patterns(rows), "pii-patterns"))
     # texts without any instance, most of a corpus, need no join
     plain = rows.filter(F.size("found") == 0).select("doc_id", "uid", "base", F.col("base").alias("spans"))
     out = rows.filter(F.size("found") > 0).join(hits, F.col("uid") == F.col("hit"), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:long,end:long>>"))))
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(MORE))))
     return plain.unionByName(out.select("doc_id", "uid", "base", every.alias("spans")))
 
 
@@ -227,19 +235,32 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"))
 
 
+def _uid(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
+
+
+def _marked(text: str, found: list[tuple[int, int, int]]) -> str:
+    """text with each (kind, start, end) replaced by its kind."""
+    parts, last = [], 0
+    for a, b, kind in sorted((a, b, k) for k, a, b in found):
+        if a >= last:  # spans of two kinds may overlap: the first keeps its mark
+            parts += [text[last:a], f"<{KINDS[kind].upper()}>"]
+        last = max(last, b)
+    return "".join([*parts, text[last:]])
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of `spans` replaced by its kind in angle brackets; other columns as they are.
 
     The patterns are learned in a first pass and carried to a second, so no text is shuffled.
-    Where more than BROADCAST_PATTERNS pass, only the most confident are carried by broadcast in
-    the second pass and the rest are refused with an error rather than dropped in silence.
+    Where more than BROADCAST_PATTERNS pass, the spans are joined to the texts by their hash.
     """
     rows = staged(extracted(docs), "pii-rows")
     good = staged(patterns(rows), "pii-patterns")
+    names, at = docs.columns, docs.columns.index("text")
     if good.count() > BROADCAST_PATTERNS:
-        raise ValueError("too many patterns to broadcast: raise BROADCAST_PATTERNS or MIN_SEEDS")
+        return _redacted_by_join(docs, _hits(rows, good))
     known = docs.sparkSession.sparkContext.broadcast({r["pattern"]: (r["confidence"], -r["kind"]) for r in good.collect()})
-    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
@@ -251,14 +272,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 for kind, a, b, _, one, two in instances(text, own) if table and text else ():
                     if kind < 0 and (hits := [table[p] for p in (f"1 {one}", f"2 {two}") if p in table]):
                         found.append((-max(hits)[1], a, b))
-                if found:
-                    parts, last = [], 0
-                    for a, b, kind in sorted((a, b, k) for k, a, b in found):
-                        if a >= last:  # spans of two kinds may overlap: the first keeps its mark
-                            parts += [text[last:a], f"<{KINDS[kind].upper()}>"]
-                        last = max(last, b)
-                    text = "".join([*parts, text[last:]])
-                out.append(text)
+                out.append(_marked(text, found) if found else text)
             columns = batch.columns
             columns[at] = pa.array(out, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -266,5 +280,29 @@ def redacted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _redacted_by_join(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """As `redacted`, with the spans of hits (hit, more), which may be any number."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, CHUNK_BYTES):
+            uid = [_uid(t) if t else None for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uid, pa.string())], [*names, "_pii_uid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, CHUNK_BYTES):
+            out = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("_pii_more").to_pylist(), strict=True):
+                found = (base_spans(text) if text else []) + [(m["kind"], m["start"], m["end"]) for m in more or ()]
+                out.append(_marked(text, found) if found else text)
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(out, batch.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    own = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_pii_uid", StringType())]))
+    joined = own.join(hits.select(F.col("hit").alias("_pii_hit"), F.col("more").alias("_pii_more")), F.col("_pii_uid") == F.col("_pii_hit"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], "_pii_more").mapInArrow(run, docs.schema)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return digest(spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
