@@ -6,7 +6,8 @@ Every identifier-like token of the corpus, seed or not, gives edges between the
 and itself. Scoring alternates over that graph: a pattern's confidence is the mean score of the
 distinct instances it matches (each seed counts 1), an instance's score is the chance that not all
 of its patterns are wrong. After ROUNDS rounds, patterns of high confidence that matched enough
-distinct seeds give their kind to the unseen tokens they match.
+distinct seeds give their kind to the unseen tokens they match. Those of a high score become seeds,
+and all is scored again, up to GENERATIONS times.
 
 Edges are counts, so a context that a third of all texts share is one row a task before any
 shuffle; texts are never shuffled.
@@ -27,10 +28,16 @@ from .common import chunks, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+#: Times that tokens found become seeds, unless none is found before.
+GENERATIONS = 3
 MIN_CONFIDENCE = 0.8
 #: Distinct seeds that a pattern must match.
 MIN_SEEDS = 5
 MIN_LENGTH = 6
+#: Digits of the longest run of groups that is one candidate (a card number has up to 19).
+RUN_DIGITS = 19
+#: Characters before an instance that may hold its context.
+CONTEXT = 120
 #: Up to this many patterns (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
 CHUNK_BYTES = 4 << 20
@@ -41,6 +48,9 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
+MARKED = re.compile(r"[0-9]+|@|\(at\)|\[at\]", re.IGNORECASE)
+#: Groups of digits and marks of numbers, one blank between them; no letter at either end.
+RUN = re.compile(r"(?<![\w@.,()/+-])\(?[0-9][0-9()./-]*(?:[\x20\t\xa0]\(?[0-9][0-9()./-]*)+(?![\w@])")
 SPACES = " \t\n\x0b\x0c\r"
 EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=/\\"
 
@@ -115,21 +125,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _left(text: str, start: int) -> tuple[str, str]:
-    """The word before a place and the two before it, lower-cased, without marks at their edges."""
-    words = [w for w in (x.strip(EDGE) for x in text[max(0, start - 120) : start].lower().split()[-4:]) if w][-2:]
-    return (words[-1], " ".join(words)) if len(words) == 2 else ("", "")
+    """The word before a place and the two before it, lower-cased, without marks at their edges; empty where there are none."""
+    at = max(0, start - CONTEXT)
+    near = text[at:start].lower().split()
+    if at and near and text[at - 1] not in SPACES and text[at] not in SPACES:
+        near = near[1:] if len(near) < 3 else near  # a word that the bound cuts is no word
+    words = [w for w in (x.strip(EDGE) for x in near[-4:]) if w][-2:]
+    return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "")
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
     """(kind or -1, start, end, token, one word before, two words before) of seeds and of unseen identifier-like tokens.
 
-    Unseen: a word, without the marks at its edges, of MIN_LENGTH characters or more with a digit
-    in it, that no base span touches.
+    Unseen, of MIN_LENGTH characters or more, and touched by no base span: a word, without the
+    marks at its edges, with a digit, @ or (at) in it; and a run of groups of digits, as numbers
+    are often written, of up to RUN_DIGITS digits. The words of a run also count alone.
     """
     out = [(k, a, b, text[a:b].lower(), *_left(text, a)) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    n, done, i = len(text), 0, 0
-    for m in DIGITS.finditer(text):
+    n, done, i, seen = len(text), 0, 0, 0
+    unseen = []
+    for m in MARKED.finditer(text):
         if m.start() < done:
             continue
         a, b = m.span()
@@ -145,8 +161,17 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if b - a >= MIN_LENGTH and not any(x < b for x, _ in taken[i : i + 1]):
-            out.append((-1, a, b, text[a:b].lower(), *_left(text, a)))
-    return out
+            unseen.append((a, b))
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while b > a and text[b - 1] in EDGE:
+            b -= 1
+        while seen < len(taken) and taken[seen][1] <= a:
+            seen += 1
+        digits = sum(c.isdigit() for c in text[a:b])
+        if b - a >= MIN_LENGTH <= digits <= RUN_DIGITS and not any(x < b for x, _ in taken[seen : seen + 1]):
+            unseen.append((a, b))
+    return out + [(-1, a, b, text[a:b].lower(), *_left(text, a)) for a, b in sorted(set(unseen))]
 
 
 FOUND = "doc_id long, uid string, base array<struct<kind:int,start:long,end:long>>, found array<struct<kind:int,start:long,end:long,token:string,one:string,two:string>>"
@@ -178,7 +203,18 @@ def patterns(rows: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_
     each = rows.filter(F.size("found") > 0).select(F.explode("found").alias("f"))
     each = each.select(F.col("f.kind").alias("kind"), F.col("f.token").alias("token"), F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
     edges = staged(each.filter(F.length("pattern") > 2).groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
-    # only patterns that matched a seed can ever score, and only tokens they touch
+    for _ in range(GENERATIONS):
+        good, learned = _scored(edges, rounds, min_confidence, min_seeds)
+        if learned.isEmpty():
+            break
+        # what the patterns have found seeds further ones
+        edges = staged(edges.join(learned, "token", "left").select("pattern", "token", F.greatest("kind", F.coalesce("learned", F.lit(-1))).alias("kind")), "pii-edges")
+    return good
+
+
+def _scored(edges: DataFrame, rounds: int, min_confidence: float, min_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """The patterns that pass, and token, learned (a kind) of the tokens that they add to the seeds."""
+    # only patterns that matched a seed can score now, and only tokens they touch
     live = edges.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("seeds")).filter("seeds > 0").select("pattern")
     edges = staged(edges.join(live, "pattern", "left_semi"), "pii-live-edges")
     score = edges.filter("kind >= 0").select("token", F.lit(1.0).alias("score")).distinct()
@@ -192,7 +228,12 @@ def patterns(rows: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_
         score = staged(doubt.select("token", F.when(F.col("kind") >= 0, 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "pii-scores")
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     kinds = seeds.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
-    return confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
+    good = confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
+    good = staged(good, "pii-good")
+    hit = edges.filter("kind < 0").select("pattern", "token").join(good.withColumnRenamed("kind", "learned"), "pattern")
+    hit = hit.groupBy("token").agg(F.max_by("learned", F.struct("confidence", -F.col("learned"))).alias("learned"))
+    sure = score.filter(F.col("score") >= min_confidence).select("token")
+    return good, staged(hit.join(sure, "token", "left_semi"), "pii-learned")
 
 
 MORE = "array<struct<kind:int,start:long,end:long>>"

@@ -79,3 +79,24 @@ def test_redaction_with_any_number_of_patterns(make, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
     assert sorted(map(tuple, pii.redacted(docs).collect()), key=repr) == few
     assert any("<IP> left" in (r[1] or "") for r in few) and pii.redacted(docs).schema == docs.schema
+
+
+def test_candidates():
+    def found(text):
+        return [(text[a:b], one, two) for k, a, b, _, one, two in pii.instances(text, pii.base_spans(text)) if k < 0]
+
+    assert found("call me on 555 123 4567") == [("555 123 4567", "on", "me on")]
+    assert found("Tel. (030) 12 34 56, later") == [("(030) 12 34 56", "tel", "")]
+    assert found("user jane.doe(at)corp or jane@localhost.") == [("jane.doe(at)corp", "user", ""), ("jane@localhost", "or", "jane.doe(at)corp or")]
+    assert found("Phone: 0301234567") == [("0301234567", "phone", "")]
+    assert found("the old 1234567 89 way") == [("1234567", "old", "the old"), ("1234567 89", "old", "the old")]
+    assert found("no 12 34 and 123 456abc") == [("456abc", "123", "and 123")]
+    assert found("x" * 200 + " 1234567") == [("1234567", "", "")]
+
+
+def test_found_tokens_seed_further_patterns(make):
+    docs = [(i, f"the badge holder 10.0.{i}.{i + 1} left", "en", "s") for i in range(20)]
+    docs += [(100 + i, f"the badge holder ZX-{4000 + i}-Q left", "en", "s") for i in range(5)]
+    docs += [(200 + i, f"Locker: ZX-{4000 + i}-Q is shut", "en", "s") for i in range(5)] + [(300, "Locker: YY-77-20 is shut", "en", "s")]
+    by = {r.doc_id: r.spans for r in pii.digest(pii.spans(make(docs))).collect()}
+    assert by[100] == "ip:17:26" and by[200] == "ip:8:17" and by[300] == "ip:8:16"
