@@ -153,7 +153,9 @@ class Encoder(dict):
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are its words'.
     It lower-cases; doing that for A-Z beforehand, and parting a comma or stop from the letter
-    before it, leaves the ids as they are and far fewer distinct words to encode.
+    before it, leaves the ids as they are and far fewer distinct words to encode. Its added tokens
+    (`<|endoftext|>` and the like, found in a text as the library finds them) are told by case, so
+    a word that holds one in any case stays as it is.
     """
 
     def __init__(self, path: str):
@@ -161,7 +163,8 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)", re.IGNORECASE)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
     def learn(self, words: set[bytes]) -> None:
@@ -174,8 +177,13 @@ class Encoder(dict):
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
+    def split(self, raw: bytes) -> list[bytes]:
+        if self.added.search(raw):
+            return [p for w in raw.split() for p in ([w] if self.added.search(w) else LAST_MARK.sub(rb"\1 \2", w.lower()).split())]
+        return LAST_MARK.sub(rb"\1 \2", raw.lower()).split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [LAST_MARK.sub(rb"\1 \2", t.encode().lower()).split() for t in texts]
+        split = [self.split(t.encode()) for t in texts]
         self.learn({w for s in split for w in s})
         return [b"".join([self[w] for w in s]) for s in split]
 
@@ -219,7 +227,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
 
 def read(shards: DataFrame, ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and the ids, if asked) of every document in the shards."""
+    """doc_id, start, n_tokens, ids_crc32 (and the ids, if asked) of every document in the shards.
+
+    Every row that was written comes back, repeated ones too, each with a start of its own; a null
+    doc_id is null again, and a null or empty text is its end id. No shard gives no rows. Of shards
+    only uri and first are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

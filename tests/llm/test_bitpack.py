@@ -37,24 +37,26 @@ def test_random_access(tmp_path, monkeypatch, bits):
         assert (own.ids(a, n) == every[a : a + n]).all()
 
 
-def plain():
-    t = Tokenizer.from_file(bitpack.default_path())
-    t.encode_special_tokens = True
-    return t
+PLAIN = Tokenizer.from_file(bitpack.default_path())
+PIECES = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "a", "B,", " ", "\n", "é.", "x's", "\u0308", "1", "<|endoftext|>,"]
 
 
-PLAIN = plain()
-
-
-@settings(max_examples=400, deadline=None)
-@given(st.text(max_size=60) | st.text("aB xé\n'1Σ̈<|endoftext|>", max_size=120))
+@settings(max_examples=600, deadline=None)
+@given(st.text(max_size=60) | st.text("aB xé\n'1Σ̈<|endoftext|>", max_size=120) | st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
 def test_words_give_the_ids_of_the_text(text):
     own = bitpack.encoder(bitpack.default_path()).encode([text])[0]
     assert np.frombuffer(own, "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_found_as_the_library_does():
+    own = bitpack.encoder(bitpack.default_path())
+    for text in ("<|endoftext|>", "a <|startoftext|> b", "A<|endoftext|>B, c", "<|ENDOFTEXT|> x,"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(["<|endoftext|>"])[0], "<u4").tolist() == [49407]
+
+
 def test_rows(spark, make):
-    rows = [(5, "The cat's  hat\n", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "x y", "en", "b"), (5, "The cat's  hat\n", "en", "a"), (4, "word " * 30000, "en", "a")]
+    rows = [(5, "The cat's  hat\n", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "x y", "en", "b"), (5, "The cat's  hat\n", "en", "a"), (4, "word " * 30000, "en", "a"), (6, "Say <|endoftext|> or <|ENDOFTEXT|>.", "en", "a")]
     got = bitpack.read(bitpack.write(make(rows), new_dir(spark, "test-ids")), ids=True).orderBy("start").collect()
     start = 0
     for r, (i, text, _, _) in zip(got, sorted(rows, key=lambda x: -1 if x[0] is None else x[0]), strict=True):
