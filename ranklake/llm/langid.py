@@ -7,14 +7,14 @@ maximisation, whose expected counts come from the same pass and its backward twi
 sample of labelled rows. A text's score is the sum over its words, lower-cased; a word's scores
 are remembered by the worker, as words repeat.
 
-Characters outside the vocabulary take a piece of their own; a word of more than LONG characters
-is scored in stretches of LONG.
+Every labelled language is learned, LANG_BLOCK of them at a time: the probabilities of a block are
+a file in the shared folder that workers map, so the driver holds one block however many there are.
+Characters outside the vocabulary take a piece of their own. Words of any length are scored whole:
+beyond LONG characters the forward pass carries its last values from stretch to stretch.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,20 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import chunks, held
+from .common import chunks, drop_staged, held, mapped, new_dir, staged, to_partitions, write_shared
 
-LONG = 256
+#: Characters of a word up to which many words of like length are worked on at once.
+LONG = 4096
 SPAN = 16  # characters of the longest piece
-#: The fit reads about this many labelled rows of each language, chosen by a hash of doc_id.
+#: The fit reads about this many labelled rows of each language, chosen by a hash of doc_id and text.
 FIT_ROWS = 600
-#: The languages fitted: those with the most labelled rows.
-FIT_LANGS = 64
+#: Languages fitted and scored at once.
+LANG_BLOCK = 64
+#: Up to this many languages' shares of rows are broadcast to draw the sample.
+BROADCAST_LANGS = 10_000
 ROUNDS = 3
-#: Words a worker remembers (about 250 bytes each).
-CACHE = 400_000
+#: Scores (words times languages, 8 bytes each) that a worker remembers, beside about 200 bytes a word.
+CACHE = 1_600_000
 CHUNK_BYTES = 2 << 20
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +50,11 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in it: numerals such as fractions are none."""
+    return any(c.isalpha() for m in WORDY.finditer(text) for c in m.group())
+
+
 class Vocabulary:
     """The pieces as sorted hashes: piece i is row i of every language's table, row `size` is for unknown characters."""
 
@@ -70,7 +79,10 @@ class Vocabulary:
 
     def edges(self, words: list[str]) -> np.ndarray:
         """ids (words, ends, SPAN): the piece that ends after a character and is 1..SPAN long, or -1."""
-        marked = ["▁" + w for w in words]
+        return self.pieces(["▁" + w for w in words])
+
+    def pieces(self, marked: list[str]) -> np.ndarray:
+        """As `edges`, of stretches that bear the mark of a word's begin where they have one."""
         wide = max(map(len, marked))
         codes = np.array(marked, dtype=f"<U{wide}").view(np.uint32).reshape(len(marked), wide)
         out = np.full((len(marked), wide, SPAN), -1, np.int32)
@@ -89,15 +101,23 @@ class Vocabulary:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
 
+def padded(table: np.ndarray) -> np.ndarray:
+    """A table with a last row of zeros: row -1 stands for no such piece."""
+    return np.vstack([table, np.zeros((1, table.shape[1]))])
 
-def forward(edges: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log of each word's probability (words, languages), and the scaled forward values."""
+
+def forward(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """log of each word's probability (words, languages); table is padded."""
     n, wide, _ = edges.shape
-    padded = np.vstack([table, np.zeros((1, table.shape[1]))])  # row -1: no such piece
     alpha = np.zeros((n, wide + 1, table.shape[1]))
     alpha[:, 0] = 1
     scale = np.zeros((n, table.shape[1]))
@@ -107,7 +127,7 @@ def forward(edges: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for span in range(1, min(SPAN, j) + 1):
             e = edges[:, j - 1, span - 1]
             if (e >= 0).any():
-                alpha[:, j] += alpha[:, j - span] * padded[e]
+                alpha[:, j] += alpha[:, j - span] * table[e]
         done = length == j
         if done.any():
             out[done] = np.log(np.maximum(alpha[done, j], 1e-300)) + scale[done]
@@ -116,38 +136,76 @@ def forward(edges: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
             top[top == 0] = 1
             alpha[:, max(0, j - SPAN) : j + 1] /= top[:, None]
             scale += np.log(top)
-    return out, alpha
+    return out
+
+
+def forward_long(own: Vocabulary, word: str, table: np.ndarray) -> np.ndarray:
+    """As `forward`, of one word of any length: the last SPAN values go on from stretch to stretch."""
+    marked = "▁" + word
+    last = np.zeros((SPAN, table.shape[1]))
+    last[-1] = 1
+    scale = np.zeros(table.shape[1])
+    for at in range(0, len(marked), LONG):
+        before = min(at, SPAN - 1)
+        edges = own.pieces([marked[at - before : at + LONG]])[0, before:]
+        alpha = np.vstack([last, np.zeros((len(edges), table.shape[1]))])
+        for i in range(0, len(edges), 256):
+            weight = table[edges[i : i + 256, ::-1]]
+            for j in range(i, min(i + 256, len(edges))):
+                alpha[SPAN + j] = np.einsum("sl,sl->l", alpha[j : j + SPAN], weight[j - i])
+                if j % SPAN == SPAN - 1:
+                    top = alpha[j + 1 : j + 1 + SPAN].max(0)
+                    top[top == 0] = 1
+                    alpha[j + 1 : j + 1 + SPAN] /= top
+                    scale += np.log(top)
+        last = alpha[-SPAN:]
+    return np.log(np.maximum(last[-1], 1e-300)) + scale
 
 
 def expected(edges: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces in words of less than SPAN characters, by forward and backward passes."""
+    """Expected counts of the pieces in words, by forward and backward passes that are scaled as they go."""
     n, wide, _ = edges.shape
-    padded = np.append(table, 0.0)
+    own = np.append(table, 0.0)
     length = (edges[:, :, 0] >= 0).sum(1)
-    alpha = np.zeros((n, wide + 1))
-    beta = np.zeros((n, wide + 1))
+    rows = np.arange(n)
+    alpha, beta = np.zeros((n, wide + 1)), np.zeros((n, wide + 1))
+    alpha_log, beta_log = np.zeros((n, wide + 1)), np.zeros((n, wide + 1))
     alpha[:, 0] = 1
-    beta[np.arange(n), length] = 1
+    beta[rows, length] = 1
+    scale = np.zeros(n)
     for j in range(1, wide + 1):
         for span in range(1, min(SPAN, j) + 1):
-            alpha[:, j] += alpha[:, j - span] * padded[edges[:, j - 1, span - 1]]
+            alpha[:, j] += alpha[:, j - span] * own[edges[:, j - 1, span - 1]]
+        alpha_log[:, j] = scale
+        if j % SPAN == 0:
+            top = alpha[:, j - SPAN : j + 1].max(1)
+            top[top == 0] = 1
+            alpha[:, j - SPAN : j + 1] /= top[:, None]
+            scale = scale + np.log(top)
+            alpha_log[:, j - SPAN : j + 1] = scale[:, None]
+    scale = np.zeros(n)
     for j in range(wide, 0, -1):
+        beta_log[:, j] = scale
         for span in range(1, min(SPAN, j) + 1):
-            beta[:, j - span] += beta[:, j] * padded[edges[:, j - 1, span - 1]]
-    total = beta[:, 0]
+            beta[:, j - span] += beta[:, j] * own[edges[:, j - 1, span - 1]]
+        if j % SPAN == 0:
+            top = beta[:, j - SPAN : j].max(1)
+            top[top == 0] = 1
+            beta[:, j - SPAN : j] /= top[:, None]
+            scale = scale + np.log(top)
+    total = alpha[rows, length]
     each = np.divide(weight, total, out=np.zeros(n), where=total > 0)
-    out = np.zeros(len(padded))
-    for j in range(1, wide + 1):
-        for span in range(1, min(SPAN, j) + 1):
-            e = edges[:, j - 1, span - 1]
-            out += np.bincount(e + 1, each * alpha[:, j - span] * beta[:, j] * padded[e], len(padded) + 1)[np.r_[1 : len(padded) + 1]]
+    at = alpha_log[rows, length]
+    out = np.zeros(len(own))
+    for span in range(1, min(SPAN, wide) + 1):
+        e = edges[:, span - 1 :, span - 1]
+        there = e >= 0
+        factor = np.exp(np.minimum(alpha_log[:, : wide - span + 1] + beta_log[:, span:] - at[:, None], 700))
+        value = each[:, None] * alpha[:, : wide - span + 1] * beta[:, span:] * factor * own[e]
+        out += np.bincount(e[there], value[there], len(own))
     return out[:-1]
 
 
-def stretches(word: str) -> list[str]:
-    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word), LONG)]
-
-
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
     """Indices of words of like length, few enough to work on at once."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -161,87 +219,129 @@ def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
 
 
 class Scorer:
-    def __init__(self, path: str, table: np.ndarray):
-        self.vocabulary, self.table = vocabulary(path), table
+    """Remembers the scores of words; tables is one padded table for each block of languages."""
+
+    def __init__(self, path: str, tables: list[np.ndarray]):
+        self.vocabulary, self.tables = vocabulary(path), tables
+        self.langs = sum(t.shape[1] for t in tables)
+        self.most = max(1024, CACHE // self.langs)
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, table.shape[1]))
+        self.rows = np.zeros((1024, self.langs))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.langs))
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        for group in by_length([words[i] for i in short]):
+            group = [short[i] for i in group]
+            edges = self.vocabulary.edges([words[i] for i in group])
+            out[group] = np.hstack([forward(edges, t) for t in self.tables])
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = np.hstack([forward_long(self.vocabulary, w, t) for t in self.tables])
+        return out
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > CACHE:
+        if len(self.at) + len(new) > self.most:
             self.at.clear()
             new = list(words)
         if not new:
             return
-        parts = [p for w in new for p in stretches(w)]
-        owner = np.repeat(np.arange(len(new)), [len(stretches(w)) for w in new])
-        scores = np.zeros((len(parts), self.table.shape[1]))
-        for group in by_length(parts):
-            scores[group] = forward(self.vocabulary.edges([parts[i] for i in group]), self.table)[0]
-        own = np.zeros((len(new), self.table.shape[1]))
-        np.add.at(own, owner, scores)
         base = len(self.at)
         if base + len(new) > len(self.rows):
-            grown = np.zeros((max(2 * len(self.rows), base + len(new)), self.table.shape[1]))
+            grown = np.zeros((max(2 * len(self.rows), base + len(new)), self.langs))
             grown[:base] = self.rows[:base]
             self.rows = grown
-        self.rows[base : base + len(new)] = own
+        self.rows[base : base + len(new)] = self.forward(new)
         self.at.update(zip(new, range(base, base + len(new)), strict=True))
 
     def score(self, texts: list[str]) -> np.ndarray:
         """log probability of each text in each language."""
         split = [t.lower().split() for t in texts]
-        self.learn({w.replace("\0", "�") for s in split for w in s})
         get = self.at.__getitem__
-        out = np.zeros((len(texts), self.table.shape[1]))
-        for i, s in enumerate(split):
-            if s:
-                try:
-                    rows = list(map(get, s))
-                except KeyError:
-                    rows = [get(w.replace("\0", "�")) for w in s]
-                out[i] = self.rows[rows].sum(0)
+        out = np.zeros((len(texts), self.langs))
+        start = 0
+        while start < len(split):  # as many texts as have few enough words to remember at once
+            end, words = start, set()
+            while end < len(split) and (end == start or len(words) < self.most):
+                words.update(w.replace("\0", "�") for w in split[end])
+                end += 1
+            self.learn(words)
+            for i in range(start, end):
+                for k in range(0, len(split[i]), 1 << 16):
+                    s = split[i][k : k + (1 << 16)]
+                    try:
+                        rows = list(map(get, s))
+                    except KeyError:
+                        rows = [get(w.replace("\0", "�")) for w in s]
+                    out[i] += self.rows[rows].sum(0)
+            start = end
         return out
 
 
-def scorer(path: str, table: np.ndarray) -> Scorer:
+def scorer(path: str, uris: list[str]) -> Scorer:
     """The worker's scorer for this model; later tasks find its words."""
-    return held(("langid", path, hashlib.md5(table.tobytes()).digest()), lambda: Scorer(path, table))
 
+    def make() -> Scorer:
+        rows = vocabulary(path).size + 2
+        return Scorer(path, [np.array(mapped(u, "<f8")).reshape(rows, -1) for u in uris])
+
+    return held(("langid", path, tuple(uris)), make)
 
-def fit(labelled: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces and one for unknown characters, languages).
 
-    labelled: doc_id, text, lang. Reads about FIT_ROWS rows of each of the FIT_LANGS languages
-    that have the most; what reaches the driver is a count for each language and piece.
+def fit(labelled: DataFrame, path: str | None = None) -> tuple[list[str], list[str]]:
+    """Languages, and a file of piece probabilities for each LANG_BLOCK of them, in the shared folder.
+
+    labelled: doc_id, text, lang. Reads about FIT_ROWS rows of each language, every one of them;
+    equal texts of a language count once in the sample. Words of LONG characters or more are
+    counted in stretches of that length, the later ones without a mark of a word's begin (the
+    scoring cuts nothing). What reaches the driver at once is a count for each piece and language
+    of one block. Rows without text or lang teach nothing; with none left there are no languages.
     """
     path = path or default_path()
     spark = labelled.sparkSession
     rows = labelled.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
-    langs = sorted(r["lang"] for r in counts)
+    counts = staged(rows.groupBy("lang").count().select(F.col("lang").alias("own_lang"), (FIT_ROWS / F.col("count")).alias("share")), "langid-langs")
+    langs = sorted(r["own_lang"] for r in counts.select("own_lang").collect())
     size = vocabulary(path).size
     if not langs:
-        return [], np.zeros((size + 1, 0))
-    share = spark.createDataFrame([(r["lang"], FIT_ROWS / r["count"]) for r in counts], "own_lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(share), F.col("lang") == F.col("own_lang")).filter(draw < F.col("share")).select("lang", "text")
+        return [], []
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.broadcast(counts) if len(langs) <= BROADCAST_LANGS else counts
+    sample = rows.join(share, F.col("lang") == F.col("own_lang")).filter(draw < F.col("share")).select("lang", "text").dropDuplicates()
+    sample = staged(sample.repartition(to_partitions(spark), F.xxhash64("text")), "langid-sample")
+    folder, uris = new_dir(spark, "langid"), []
+    for i in range(0, len(langs), LANG_BLOCK):
+        block = langs[i : i + LANG_BLOCK]
+        table = _fitted(sample.filter(F.col("lang").isin(block)), block, path, size)
+        uris.append(f"{folder}/pieces-{i:06d}.bin")
+        write_shared(uris[-1], [padded(table).astype("<f8").tobytes()])
+    drop_staged(sample)
+    drop_staged(counts)
+    return langs, uris
+
+
+def _fitted(sample: DataFrame, langs: list[str], path: str, size: int) -> np.ndarray:
+    """The probabilities of the pieces, and of one for unknown characters, in each of a few languages."""
     at = {x: i for i, x in enumerate(langs)}
     table = np.full((size + 1, len(langs)), 1 / (size + 1))
     for _ in range(ROUNDS):
-        held = spark.sparkContext.broadcast(table)
+        sent = sample.sparkSession.sparkContext.broadcast(table)
 
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own, table = vocabulary(path), held.value
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, table = vocabulary(path), sent.value
             for batch in chunks(batches, CHUNK_BYTES):
                 words: dict[str, Counter] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    words.setdefault(lang, Counter()).update(w.replace("\0", "�") for w in text.lower().split())
+                    seen = words.setdefault(lang, Counter())
+                    for w in text.lower().split():
+                        w = "▁" + w.replace("\0", "�")
+                        seen.update([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w), LONG)))
                 for lang, seen in words.items():
-                    names = [w for w in seen if len(w) < 2 * SPAN]
+                    names = list(seen)
                     total = np.zeros(size + 1)
                     for group in by_length(names):
-                        total += expected(own.edges([names[i] for i in group]), table[:, at[lang]], np.array([seen[names[i]] for i in group], float))
+                        total += expected(own.pieces([names[i] for i in group]), table[:, at[lang]], np.array([seen[names[i]] for i in group], float))
                     piece = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(piece), pa.string()), pa.array(piece, pa.int64()), pa.array(total[piece], pa.float64())], ["lang", "piece", "n"])
 
@@ -250,42 +350,66 @@ def fit(labelled: DataFrame, path: str | None = None) -> tuple[list[str], np.nda
         for r in got:
             table[r["piece"], at[r["lang"]]] += r["n"]
         table /= table.sum(0)
-    return langs, table
+    return table
+
 
+def _judged(batch: pa.RecordBatch, langs: list[str], own: Scorer | None) -> tuple[list[str], np.ndarray]:
+    """The language of each text of a batch, and its share of the text's probability."""
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    if own is None:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    logs = own.score(texts)
+    best = logs.argmax(1)
+    share = 1 / np.exp(logs - logs.max(1)[:, None]).sum(1)
+    letter = [has_letter(t) for t in texts]
+    return [langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0)
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, path: str | None = None, keep: bool = False) -> DataFrame:
+
+def predict(docs: DataFrame, langs: list[str], uris: list[str], path: str | None = None, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every row (keep: every column, and _lang_pred, _lang_score).
 
     score is the predicted language's share of the text's probability. A null text, or one without
-    a letter, gets `und` and score 0, as does every text where no language was learned. Repeated
-    rows get equal results; an empty table gives no rows.
+    a letter (Unicode category L), gets `und` and score 0, as does every text where no language was
+    learned. Of languages that tie, the first by code point is named. Repeated rows get equal
+    results; an empty table gives no rows; other columns of docs are not read.
     """
     path = path or default_path()
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(table)
     names = [*docs.columns] if keep else ["doc_id"]
     added = ["_lang_pred", "_lang_score"] if keep else ["lang_pred", "score"]
     source = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names] + [f"`{added[0]}` string", f"`{added[1]}` double"])
+    fields = docs.schema.fields if keep else [StructField("doc_id", LongType())]
+    schema = StructType([*fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(path, held.value) if langs else None
+        own = scorer(path, uris) if langs else None
         for batch in chunks(batches, CHUNK_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            letter = [LETTER.search(t) is not None for t in texts]
-            if langs:
-                logs = own.score(texts)
-                best = logs.argmax(1)
-                share = 1 / np.exp(logs - logs.max(1)[:, None]).sum(1)
-            else:
-                best, share, letter = [0] * len(texts), np.zeros(len(texts)), [False] * len(texts)
-            pred = [langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
-            columns = [batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(np.where(letter, share, 0.0), pa.float64())]
+            pred, share = _judged(batch, langs, own)
+            columns = [batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(share, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return source.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, langs: list[str], uris: list[str], min_share: float, path: str | None = None) -> DataFrame:
+    """The rows of docs that `predict` gives a language with a share of min_share or more, their columns as they are.
+
+    No column is added on the way, so none can clash. Null texts, texts without a letter, and all
+    texts where no language was learned, go; repeated rows stay or go together; an empty table
+    stays empty.
+    """
+    path = path or default_path()
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer(path, uris) if langs else None
+        for batch in chunks(batches, CHUNK_BYTES):
+            pred, share = _judged(batch, langs, own)
+            stays = pa.array([p != "und" and s >= min_share for p, s in zip(pred, share.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays(batch.columns, names).filter(stays)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training(docs: DataFrame) -> DataFrame:
     """The rows to learn from: crc32 of doc_id as text, modulo 3, isn't 1."""
     return docs.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1).select(
@@ -295,6 +419,6 @@ def training(docs: DataFrame) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    langs, table = fit(training(docs))
+    langs, uris = fit(training(docs))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    return predict(docs, langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, langs, uris).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
