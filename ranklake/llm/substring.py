@@ -22,19 +22,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, id_text, text_bytes, to_partitions
+from .common import NULL_ID, chunks, drop_staged, id_text, staged, text_bytes, to_partitions
 
 SPAN = 20
 GRAM = 4
 CHUNK_BYTES = 1 << 19  # small, so that a chunk's arrays stay in the processor's cache
 #: Packed bytes a task holds before it hands them on.
 HOLD_BYTES = 48 << 20
-#: Once a gate on a task's share of a minimiser; not read any longer, as every count goes into the sums.
-LOCAL_HOT = 64
 #: A minimiser is split if more than this many of its packed strings lie in all tasks, once each task has dropped equal ones.
 HOT = 5_000
+#: No more minimisers than this (8 bytes each) are split, the most common ones. Others are then rarer than one packed string in so many.
+MOST_HOT = 1_000_000
 #: Minimisers (16 bytes each) that a task counts before it hands the counts on.
 COUNTED = 2_000_000
+#: Up to this many doc_ids that rows of different texts share are broadcast; beyond, every row carries its text's hash.
+BROADCAST_IDS = 200_000
 BUCKETS_PER_PARTITION = 8
 
 SPACE = np.zeros(256, bool)
@@ -151,8 +153,25 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return m[new], np.add.reduceat(n, new)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, tie: tie is a hash of the text where rows of different texts share the doc_id, else 0."""
+    texts = id_text(docs)
+    own = F.xxhash64("text")
+    key = F.coalesce("doc_id", F.lit(NULL_ID))
+    shared = texts.groupBy(key.alias("shared")).agg(F.min(own).alias("a"), F.max(own).alias("b")).filter("a <> b").select("shared")
+    shared = staged(shared, "substring-ids")
+    n = shared.count()
+    if not n:
+        drop_staged(shared)
+        return texts.withColumn("tie", F.lit(0).cast("long"))
+    if n > BROADCAST_IDS:
+        return texts.withColumn("tie", own)
+    out = texts.join(F.broadcast(shared), key == F.col("shared"), "left")
+    return out.select("doc_id", "text", F.when(F.col("shared").isNotNull(), own).otherwise(0).alias("tie"))
+
+
 def hot_minimisers(docs: DataFrame, span: int, gram: int) -> np.ndarray:
-    """The minimisers to split, sorted. At most 1 / HOT of all packed strings, so a bounded share.
+    """The minimisers to split, sorted: those of more than HOT packed strings, and MOST_HOT of them at most.
 
     Every count of every task goes into the sums, however small: a phrase may be spread thinly.
     """
@@ -218,52 +237,55 @@ def hot_minimisers(docs: DataFrame, span: int, gram: int) -> np.ndarray:
                     bound = max(COUNTED, 2 * entries)
         if held:
             m, n = summed(held)
-            yield pa.RecordBatch.from_arrays([pa.array(m[n > HOT].view(np.int64))], ["m"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[n > HOT].view(np.int64)), pa.array(n[n > HOT])], ["m", "n"])
 
-    counted = docs.mapInArrow(run, "part long, blob binary").repartition(partitions, "part")
-    return np.sort(np.array([r["m"] for r in counted.mapInArrow(total, "m long").collect()], np.int64).view(np.uint64))
+    counted = docs.select("text").mapInArrow(run, "part long, blob binary").repartition(partitions, "part")
+    most = counted.mapInArrow(total, "m long, n long").orderBy(F.col("n").desc(), "m").limit(MOST_HOT)
+    return np.sort(np.array([r["m"] for r in most.collect()], np.int64).view(np.uint64))
 
 
-def pack(ids: list[int], start: list[int], strings: list[bytes]) -> bytes:
-    head = np.array([len(ids)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + np.array(start, "<i4").tobytes() + np.array(list(map(len, strings)), "<i4").tobytes()
+def pack(ids: list[int], ties: list[int], start: list[int], strings: list[bytes]) -> bytes:
+    head = b"".join(np.array(x, "<i8").tobytes() for x in ([len(ids)], ids, ties)) + b"".join(np.array(x, "<i4").tobytes() for x in (start, list(map(len, strings))))
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(strings))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n), raw[8 + 16 * n :]
+    wide = [np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(2)]
+    return *wide, *[np.frombuffer(raw, "<i4", n, 8 + 16 * n + 4 * n * i) for i in range(2)], raw[8 + 24 * n :]
 
 
 def packed(docs: DataFrame, buckets: int, hot: np.ndarray, span: int, gram: int) -> DataFrame:
-    """bucket, blob (packed strings of a bucket), or doc_id, lo, hi (a range of repeated windows, bucket -1)."""
+    """bucket, blob (packed strings of a bucket), or doc_id, tie, lo, hi (a range of repeated windows, bucket -1)."""
     hot_list = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_list.value
-        held: dict[bytes, tuple[int, int, int]] = {}  # string to doc_id, start, bucket
-        repeats: list[tuple[int, int, int]] = []
+        held: dict[bytes, tuple[int, int, int, int]] = {}  # string to doc_id, tie, start, bucket
+        repeats: list[tuple[int, int, int, int]] = []
         weight = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            groups: dict[int, tuple[list, list, list]] = {}
-            for string, (doc, start, bucket) in held.items():
+            groups: dict[int, tuple[list, list, list, list]] = {}
+            for string, (doc, tie, start, bucket) in held.items():
                 g = groups.get(bucket)
                 if g is None:
-                    g = groups[bucket] = ([], [], [])
+                    g = groups[bucket] = ([], [], [], [])
                 g[0].append(doc)
-                g[1].append(start)
-                g[2].append(string)
-            rows = [(b, pack(*g), None, None, None) for b, g in groups.items()] + [(-1, None, *r) for r in repeats]
+                g[1].append(tie)
+                g[2].append(start)
+                g[3].append(string)
+            rows = [(b, pack(*g), None, None, None, None) for b, g in groups.items()] + [(-1, None, *r) for r in repeats]
             for i in range(0, len(rows), 4096):
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "blob", "doc_id", "lo", "hi"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), (pa.int64(), pa.binary(), *[pa.int64()] * 4), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "blob", "doc_id", "tie", "lo", "hi"])
 
         for batch in chunks(batches, CHUNK_BYTES):
             s = Super(*text_bytes(batch.column("text")), span, gram)
             if not len(s.first):
                 continue
-            ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
+            ids, ties = batch.column("doc_id").fill_null(NULL_ID).to_numpy(), batch.column("tie").to_numpy()
             first, last, text, m = s.first, s.last, s.text, s.minimiser
             if len(hot):
                 at = np.searchsorted(hot, m)
@@ -281,23 +303,23 @@ def packed(docs: DataFrame, buckets: int, hot: np.ndarray, span: int, gram: int)
             raw = s.data.tobytes()
             a, b = s.start[first], s.end[last - 1]
             place = first - s.first_word[text]
-            for x, y, doc, start, n, k in zip(a.tolist(), b.tolist(), ids[text].tolist(), place.tolist(), (last - first - span + 1).tolist(), bucket.tolist(), strict=True):
+            for x, y, doc, tie, start, n, k in zip(a.tolist(), b.tolist(), ids[text].tolist(), ties[text].tolist(), place.tolist(), (last - first - span + 1).tolist(), bucket.tolist(), strict=True):
                 string = raw[x:y]
-                old = held.get(string)
+                own, old = (doc, tie, start, k), held.get(string)
                 if old is None:
-                    held[string] = (doc, start, k)
+                    held[string] = own
                     weight += y - x + 120
-                elif (doc, start) < old[:2]:
-                    held[string] = (doc, start, k)
-                    repeats.append((old[0], old[1], old[1] + n))
-                elif (doc, start) != old[:2]:
-                    repeats.append((doc, start, start + n))
+                elif own < old:
+                    held[string] = own
+                    repeats.append((*old[:3], old[2] + n))
+                elif own != old:
+                    repeats.append((*own[:3], start + n))
             if weight > HOLD_BYTES:
                 yield from out()
                 held, repeats, weight = {}, [], 0
         yield from out()
 
-    return docs.mapInArrow(run, "bucket long, blob binary, doc_id long, lo long, hi long")
+    return docs.mapInArrow(run, "bucket long, blob binary, doc_id long, tie long, lo long, hi long")
 
 
 def exact_ids(raw: bytes) -> np.ndarray:
@@ -307,8 +329,8 @@ def exact_ids(raw: bytes) -> np.ndarray:
     return np.fromiter(map(number.__getitem__, words), np.int64, len(words)).astype(np.uint64)
 
 
-def later_windows(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """doc and start of each window whose words also start earlier.
+def later_windows(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, strings: list[bytes], span: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, tie and start of each window whose words also start earlier.
 
     Windows are sorted by a 64-bit hash. Where hashes agree the words are compared: a stretch of
     windows that follow each other on both sides is one comparison of bytes. Should one fail, all
@@ -334,16 +356,16 @@ def later_windows(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     if not same.any():
-        return doc[:0], start[:0]
+        return doc[:0], tie[:0], start[:0]
     order = order[np.append(same, False) | np.append(False, same)]  # windows that are not alone
-    d, s = doc[string[order]], start[string[order]] + first[order] - at[string[order]]
-    rank = np.lexsort((s, d, h[order]))
-    order, d, s = order[rank], d[rank], s[rank]
+    d, t, s = doc[string[order]], tie[string[order]], start[string[order]] + first[order] - at[string[order]]
+    rank = np.lexsort((s, t, d, h[order]))
+    order, d, t, s = order[rank], d[rank], t[rank], s[rank]
     new = np.append(True, h[order][1:] != h[order][:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     # the same occurrence can come twice (repeated rows): it is not earlier than itself
-    later = (d != d[lead]) | (s != s[lead])
-    order, lead, d, s = order[later], order[lead[later]], d[later], s[later]
+    later = (d != d[lead]) | (t != t[lead]) | (s != s[lead])
+    order, lead, d, t, s = order[later], order[lead[later]], d[later], t[later], s[later]
     if not exact and len(order):
         by_place = np.argsort(order)
         a, b = first[order[by_place]], first[lead[by_place]]
@@ -352,45 +374,50 @@ def later_windows(doc: np.ndarray, start: np.ndarray, strings: list[bytes], span
         places = [word_start[a[new]], word_end[a[last] + span - 1], word_start[b[new]], word_end[b[last] + span - 1]]
         for i, j, k, m in zip(*[p.tolist() for p in places], strict=True):
             if raw[i:j] != raw[k:m] and raw[i:j].split() != raw[k:m].split():
-                return later_windows(doc, start, strings, span, exact=True)
-    return d, s
+                return later_windows(doc, tie, start, strings, span, exact=True)
+    return d, t, s
 
 
-def ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive starts of a document as (doc, lo, hi), hi exclusive."""
+def ranges(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive starts of a document as (doc, tie, lo, hi), hi exclusive."""
     if not len(doc):
-        return doc, start, start
-    order = np.lexsort((start, doc))
-    d, s = doc[order], start[order]
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)]))
-    return d[new], s[new], s[np.append(new[1:], len(d)) - 1] + 1
+        return doc, tie, start, start
+    order = np.lexsort((start, tie, doc))
+    d, t, s = doc[order], tie[order], start[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)]))
+    return d[new], t[new], s[new], s[np.append(new[1:], len(d)) - 1] + 1
 
 
-def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, lo, hi: ranges of window starts whose words also start earlier (null doc_id: NULL_ID)."""
-    spark = docs.sparkSession
-    texts = id_text(docs)
+MARKS = ["doc_id", "tie", "lo", "hi"]
+
+
+def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """doc_id, tie, lo, hi: ranges of window starts whose words also start earlier (null doc_id: NULL_ID); texts is `named`.
+
+    Null and empty texts, and those of fewer words than a window, have none; rows equal in doc_id
+    and text are one document, and so have equal ranges; an empty table gives no rows.
+    """
+    spark = texts.sparkSession
     partitions = to_partitions(spark)
     rows = packed(texts, partitions * BUCKETS_PER_PARTITION, hot_minimisers(texts, span, gram), span, gram)
-    rows = rows.repartition(partitions, F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "lo")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    rows = rows.repartition(partitions, F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "tie", "lo")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
 
         def solved() -> pa.RecordBatch:
             parts = [unpack(b) for b in blobs]
-            doc, start, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            raw = b"".join(p[3] for p in parts)
+            doc, tie, start, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            raw = b"".join(p[4] for p in parts)
             end = np.cumsum(size, dtype=np.int64)
             strings = [raw[x:y] for x, y in zip((end - size).tolist(), end.tolist(), strict=True)]
-            d, lo, hi = ranges(*later_windows(doc, start.astype(np.int64), strings, span))
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, ranges(*later_windows(doc, tie, start.astype(np.int64), strings, span)))), MARKS)
 
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
             direct = np.flatnonzero(bucket < 0)
             if len(direct):
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(direct)) for c in ("doc_id", "lo", "hi")], ["doc_id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(direct)) for c in MARKS], MARKS)
             for i in np.flatnonzero(bucket >= 0).tolist():
                 if bucket[i] != current:
                     if blobs:
@@ -400,7 +427,7 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         if blobs:
             yield solved()
 
-    return rows.mapInArrow(run, "doc_id long, lo long, hi long")
+    return rows.mapInArrow(run, "doc_id long, tie long, lo long, hi long")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -411,13 +438,14 @@ def deduplicated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, texts: boo
 
     A word goes if a window over it has a word sequence that also starts earlier: in a smaller
     doc_id, or earlier in the same text. Windows are judged on the input. A null or empty text has
-    no words. Rows without a doc_id come before all others and count as one document; so do rows
-    that repeat a doc_id: a place that is a repeat in one of them is removed from all, and no row
-    is a repeat of itself. An empty table gives no rows; other columns of docs are not read.
+    no words. Rows without a doc_id come before all others. Rows that share a doc_id, or have none,
+    are one document if their texts are equal, and no repeats of each other; if not, they are
+    documents that follow each other by a 64-bit hash of the text. An empty table gives no rows;
+    other columns of docs are not read.
     """
-    marks = repeated(docs, span, gram).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    own = id_text(docs)
-    rows = own.join(marks, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("of"), "left").select("doc_id", "text", "marks")
+    own = named(docs)
+    marks = repeated(own, span, gram).groupBy(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    rows = own.join(marks, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("of")) & (F.col("tie") == F.col("of_tie")), "left").select("doc_id", "text", "marks")
     schema = RESULT + (", text string" if texts else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,13 @@ import pytest
 from ranklake.llm import substring
 
 
-def brute(rows, span=20):
-    """Windows by their words; the earliest (doc_id, start) of each stays."""
+def brute(rows, span=20, tie=lambda text: 0):
+    """Windows by their words; the earliest (doc_id, tie, start) of each stays. tie orders texts of one doc_id."""
     low = -(2**63)
     first, split = {}, []
     for i, text in rows:
         words = (text or "").encode().split()
-        split.append((low if i is None else i, words))
+        split.append(((low if i is None else i, tie(text or "")), words))
     for i, words in split:
         for s in range(len(words) - span + 1):
             w = tuple(words[s : s + span])
@@ -62,11 +62,30 @@ def test_null_and_repeated_rows(make):
     assert substring.deduplicated(make([])).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_rows_that_share_an_id_lose_no_word_of_their_own(spark, make, monkeypatch, few):
+    monkeypatch.setattr(substring, "BROADCAST_IDS", few)
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    rows = [(1, one), (7, one), (7, two), (7, two), (None, three), (None, three + " " + two), (None, one), (9, three)]
+    ties = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    got = substring.deduplicated(make([(i, t, "en", "s") for i, t in rows]), texts=True).collect()
+    assert sorted(map(tuple, (r[:4] for r in got)), key=repr) == brute(rows, tie=ties.__getitem__)
+    assert {w for r in got for w in r.text.split()} == set(f"{one} {two} {three}".split())
+
+
+def test_no_more_are_split_than_the_bound(make, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 1)
+    monkeypatch.setattr(substring, "MOST_HOT", 3)
+    rows = corpus(4)
+    docs = make([(i, t, "en", "s") for i, t in rows])
+    assert len(substring.hot_minimisers(substring.id_text(docs), 20, 4)) == 3
+    assert sorted(map(tuple, substring.deduplicated(docs).collect()), key=repr) == brute(rows)
+
+
 def test_split_minimisers(make, monkeypatch):
     rows = corpus(3)
     docs = make([(i, t, "en", "s") for i, t in rows])
-    plain = sorted(map(tuple, substring.repeated(docs).collect()))
-    monkeypatch.setattr(substring, "LOCAL_HOT", 0)
+    plain = sorted(map(tuple, substring.repeated(substring.named(docs)).collect()))
     monkeypatch.setattr(substring, "HOT", 1)
     texts = substring.id_text(docs)
     assert len(substring.hot_minimisers(texts, 20, 4)) > 5
@@ -76,7 +95,7 @@ def test_split_minimisers(make, monkeypatch):
 
 
 def test_thinly_spread_phrase_is_hot(make, monkeypatch):
-    """One phrase in many chunks, a few times in each, with other neighbours every time: LOCAL_HOT as it is."""
+    """One phrase in many chunks, a few times in each, with other neighbours every time."""
     phrase = " ".join(f"p{i}" for i in range(20))
     rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(25)), phrase, *(f"b{i}x{j}" for j in range(25))]), "en", "s") for i in range(300)]
     monkeypatch.setattr(substring, "CHUNK_BYTES", 4_000)
@@ -103,5 +122,5 @@ def test_counts_pack():
 def test_hash_collisions_are_resolved(monkeypatch):
     monkeypatch.setattr(substring, "word_hashes", lambda data, start, end, total=None: np.zeros(len(start), np.uint64))
     a, b = b" ".join(b"a%d" % i for i in range(20)), b"\n".join(b"b%d" % i for i in range(20))
-    doc, start = substring.later_windows(np.array([1, 2, 3, 4]), np.array([0, 5, 9, 2]), [a, b, a.replace(b" ", b"\t"), b], 20)
+    doc, _, start = substring.later_windows(np.array([1, 2, 3, 4]), np.zeros(4, int), np.array([0, 5, 9, 2]), [a, b, a.replace(b" ", b"\t"), b], 20)
     assert sorted(zip(doc.tolist(), start.tolist(), strict=True)) == [(3, 9), (4, 2)]
