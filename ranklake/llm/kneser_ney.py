@@ -30,6 +30,8 @@ from .substring import mixed, word_bounds, word_hashes
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 BEGIN = 0xFFFFFFFF  # as a context's id
+#: Distinct words that ids of 32 bits can tell apart, beside BEGIN; `train` refuses more.
+MOST_TYPES = 0xFFFFFFFF
 CHUNK_BYTES = 4 << 20
 HOLD = 3_000_000
 #: What a word has as a context (tokens after it; distinct words seen once, twice, more) and as a word (distinct words before it).
@@ -107,7 +109,7 @@ def _dealt(key: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> list[tuple
     key, count, bucket = key[order], count[order], bucket[order]
     new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     end = np.append(new[1:], len(key))
-    return [(int(bucket[a]), packed_sorted(key[a:b]), planes(count[a:b].astype("<u4"))) for a, b in zip(new.tolist(), end.tolist(), strict=True)]
+    return [(int(bucket[a]), packed_sorted(key[a:b]), planes(count[a:b].astype("<u8"))) for a, b in zip(new.tolist(), end.tolist(), strict=True)]
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -205,7 +207,12 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, folder: str | None = None) -> dict:
-    """Count docs (doc_id, text) into a model folder; returns what a scorer needs to open it."""
+    """Count docs (doc_id, text) into a model folder; returns what a scorer needs to open it.
+
+    A null or empty text is its end alone; repeated rows count as often as they come; an empty
+    table gives a model that knows no word; other columns of docs are not read. Counts have 64
+    bits. Over MOST_TYPES distinct words are refused, as ids of 32 bits could not tell them apart.
+    """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "kneser-ney")
     buckets = to_partitions(spark)
@@ -227,7 +234,7 @@ def train(docs: DataFrame, folder: str | None = None) -> dict:
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            key, count = merged(np.concatenate([unpacked_sorted(r["keys"]) for r in rows]), np.concatenate([unplaned(r["counts"], "<u4") for r in rows]).astype(np.int64))
+            key, count = merged(np.concatenate([unpacked_sorted(r["keys"]) for r in rows]), np.concatenate([unplaned(r["counts"], "<u8") for r in rows]).astype(np.int64))
             write_shared(f"{folder}/words-{bucket:06d}.bin", [key.astype("<u8").tobytes()])
             write_shared(f"{folder}/counts-{bucket:06d}.bin", [count.astype("<u8").tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(key)]), pa.array([int(count.sum())])], ["bucket", "types", "total"])
@@ -239,6 +246,8 @@ def train(docs: DataFrame, folder: str | None = None) -> dict:
     for r in staged(dealt(texts.mapInArrow(words, BLOBS)).mapInArrow(merge_words, "bucket long, types long, total long"), "kn-words").collect():
         sizes[r["bucket"]] = r["types"]
         total += r["total"]
+    if sum(sizes) > MOST_TYPES:
+        raise ValueError(f"{sum(sizes)} distinct words are more than the {MOST_TYPES} that ids of 32 bits tell apart")
     model = {"folder": folder, "sizes": sizes, "tokens": total, "types": sum(sizes), "buckets": buckets}
     size_key = tuple(sizes)
 
@@ -259,9 +268,9 @@ def train(docs: DataFrame, folder: str | None = None) -> dict:
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.concatenate([[0], np.cumsum(size_key)])
         for bucket, rows in _by_bucket(batches):
-            key, count = merged(np.concatenate([unpacked_sorted(r["keys"]) for r in rows]), np.concatenate([unplaned(r["counts"], "<u4") for r in rows]).astype(np.int64))
+            key, count = merged(np.concatenate([unpacked_sorted(r["keys"]) for r in rows]), np.concatenate([unplaned(r["counts"], "<u8") for r in rows]).astype(np.int64))
             write_shared(f"{folder}/pairs-{bucket:06d}.bin", [key.astype("<u8").tobytes()])
-            write_shared(f"{folder}/pair_counts-{bucket:06d}.bin", [np.minimum(count, 2**32 - 1).astype("<u4").tobytes()])
+            write_shared(f"{folder}/pair_counts-{bucket:06d}.bin", [count.astype("<u8").tobytes()])
             once = [int((count == k).sum()) for k in range(1, 5)]
             context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             # a record for each context and word of this bucket, to the range that holds it
@@ -329,9 +338,9 @@ class Scorer:
             a, e = np.searchsorted(bucket, [b, b + 1])
             if b not in self.arrays:
                 try:
-                    self.arrays[b] = mapped(f"{m['folder']}/pairs-{b:06d}.bin", "<u8"), mapped(f"{m['folder']}/pair_counts-{b:06d}.bin", "<u4")
+                    self.arrays[b] = mapped(f"{m['folder']}/pairs-{b:06d}.bin", "<u8"), mapped(f"{m['folder']}/pair_counts-{b:06d}.bin", "<u8")
                 except FileNotFoundError:  # no pair fell into this bucket
-                    self.arrays[b] = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+                    self.arrays[b] = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             own, counts = self.arrays[b]
             if len(own):
                 at = np.minimum(np.searchsorted(own, key[a:e]), len(own) - 1)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ranklake.llm import kneser_ney as kn
 
@@ -77,6 +78,19 @@ def test_nothing_to_learn_from(make):
     assert kn.score(make([]), model).collect() == []
 
 
+def test_more_words_than_ids_are_refused(make, monkeypatch):
+    monkeypatch.setattr(kn, "MOST_TYPES", 5)
+    with pytest.raises(ValueError, match="distinct words"):
+        kn.train(make([(1, "a b c d e", "en", "s")]))
+    assert kn.train(make([(1, "a b c d", "en", "s")]))["types"] == 5
+
+
+def test_counts_beyond_32_bits():
+    counts = np.array([2**32 + 5, 1, 2**40])
+    (_, keys, blob), = kn._dealt(np.arange(3).astype(np.uint64), counts, np.zeros(3, int))
+    assert kn.unpacked_sorted(keys).tolist() == [0, 1, 2] and kn.unplaned(blob, "<u8").tolist() == counts.tolist()
+
+
 def test_packing():
     for dtype in ("<u8", "<u4"):
         x = np.sort(np.random.default_rng(0).integers(0, 2**31, 1000)).astype(dtype)
