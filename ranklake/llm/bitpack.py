@@ -18,7 +18,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, held, id_text, new_dir, open_shared, staged, to_partitions
+from .common import NULL_ID, chunks, create_shared, held, id_text, move_shared, new_dir, open_shared, staged, to_partitions
 
 BLOCK = 1 << 14
 MAGIC = b"RLIDS01\n"
@@ -69,15 +68,7 @@ class Writer:
     def __init__(self, uri: str, bits: int):
         self.uri, self.bits = uri, bits
         self.own = f"{uri}.{uuid.uuid4().hex}"
-        at = urlparse(uri)
-        if at.scheme in ("", "file"):
-            os.makedirs(os.path.dirname(at.path), exist_ok=True)
-        else:
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(uri)
-            system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.file = open_shared(self.own, "wb")
+        self.file = create_shared(self.own)
         self.held: list[np.ndarray] = []
         self.waiting = self.n = self.at = 0
         self.offsets: list[int] = []
@@ -110,14 +101,7 @@ class Writer:
             self.file.write(part.tobytes())
         self.file.write(MAGIC)
         self.file.close()
-        at = urlparse(self.uri)
-        if at.scheme in ("", "file"):
-            os.replace(urlparse(self.own).path, at.path)
-        else:
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(self.uri)
-            system.move(fs.FileSystem.from_uri(self.own)[1], path)
+        move_shared(self.own, self.uri)
 
 
 class Reader:

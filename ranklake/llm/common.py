@@ -72,26 +72,47 @@ def open_shared(uri: str, mode: str):
     return system.open_output_stream(path) if "w" in mode else system.open_input_file(path)
 
 
-def write_shared(uri: str, parts: list) -> None:
-    """Write a file whole or not at all; a second attempt of the same task replaces it."""
+def create_shared(uri: str):
+    """A new file of the shared folder, opened for writing; its folder is made."""
     at = urlparse(uri)
     if at.scheme in ("", "file"):
         os.makedirs(os.path.dirname(at.path), exist_ok=True)
-        own = f"{at.path}.{uuid.uuid4().hex}"
-        with open(own, "wb") as f:
-            for part in parts:
-                f.write(part)
-        os.replace(own, at.path)
-        return
-    from pyarrow import fs
+    else:
+        from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as f:
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+    return open_shared(uri, "wb")
+
+
+def move_shared(uri: str, to: str) -> None:
+    """Give a file its place; one that is there already is replaced."""
+    if urlparse(uri).scheme in ("", "file"):
+        os.replace(urlparse(uri).path, urlparse(to).path)
+    else:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        system.move(path, fs.FileSystem.from_uri(to)[1])
+
+
+def remove_shared(uri: str) -> None:
+    if urlparse(uri).scheme in ("", "file"):
+        os.remove(urlparse(uri).path)
+    else:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        system.delete_file(path)
+
+
+def write_shared(uri: str, parts: list) -> None:
+    """Write a file whole or not at all; a second attempt of the same task replaces it."""
+    own = f"{uri}.{uuid.uuid4().hex}"
+    with create_shared(own) as f:
         for part in parts:
             f.write(part)
-    system.move(own, path)
+    move_shared(own, uri)
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
@@ -105,6 +126,17 @@ def mapped(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """A name for each wanted one that no column of docs has, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text as string (null: empty), whatever else the table holds."""
     return docs.select(

@@ -6,27 +6,32 @@ decoded together: step i reads the i-th Rice residual of every frame and adds th
 prediction. Both frame checksums and the stream's MD5 are verified on reading.
 
 `decode_stream` reads one stream of any origin (any block size, stereo, 4 to 32 bits) bit by bit;
-the frame-parallel path hands it whatever it doesn't know.
+the frame-parallel path hands it whatever it doesn't know. Decoded samples go out in blocks of
+known offsets (`pcm_blocks`, `write_pcm`), so that a seek reads the blocks it needs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import chunks, id_text, text_bytes
+from .common import chunks, create_shared, id_text, new_dir, open_shared, remove_shared, text_bytes
 
 BLOCK = 192
 PARTS = 4  # Rice partitions of a block
 PRECISION = 10  # bits of an LPC coefficient
 TAPS = 4
 RATE = 8000
+#: How the stream info begins to say the rate, one channel and 8 bits.
+MONO = (RATE << 44 | 0 << 41 | 7 << 36).to_bytes(8, "big")[:3]
 TOP_K = 12
 STEP = 8192  # frames worked on at a time
 POINTS = 900_000  # of one seek table block
@@ -374,44 +379,81 @@ def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray, numbe
     return out
 
 
-def decode_media(media: list[bytes]) -> list[bytes]:
-    """The samples of each stream as unsigned bytes (silence at 128), all frames decoded together."""
+def _together(media: list[bytes]) -> list[bytes]:
+    """The samples of streams such as `encode_payloads` makes, all frames decoded together."""
     data, start, length, number, frames = [], [], [], [], []
     at = 0
     infos = []
-    try:
-        for m in media:
-            info, points, begin = parse(m)
-            total = int.from_bytes(info[10:18], "big") & ((1 << 36) - 1)
-            n = len(points)
-            if info[:4] != struct.pack(">HH", BLOCK, BLOCK) or total != n * BLOCK or (points["sample"] != np.arange(n, dtype=np.uint64) * BLOCK).any():
-                raise _Other
-            offsets = points["byte"].astype(np.int64)
-            start.append(offsets + begin + at)
-            length.append(np.diff(np.append(offsets, len(m) - begin)))
-            number.append(np.arange(n))
-            frames.append(n)
-            infos.append(info)
-            data.append(np.frombuffer(m, np.uint8))
-            at += len(m)
-        data, start, length, number = map(np.concatenate, (data, start, length, number))
-        x = np.zeros((len(start), BLOCK), np.int8)
-        for i in range(0, len(start), STEP):
-            s, e = start[i : i + STEP], length[i : i + STEP]
-            a, b = int(s[0]), int(s[-1] + e[-1])
-            x[i : i + STEP] = decode_frames(data[a:b], s - a, e, number[i : i + STEP])
-    except _Other:
-        return [((np.concatenate([*decode_stream(m)[1]]) & 0xFF).astype(np.uint8) ^ 0x80).tobytes() for m in media]
+    for m in media:
+        info, points, begin = parse(m)
+        total = int.from_bytes(info[10:18], "big") & ((1 << 36) - 1)
+        n = len(points)
+        if info[:4] != struct.pack(">HH", BLOCK, BLOCK) or info[10:13] != MONO or not n or total != n * BLOCK or (points["sample"] != np.arange(n, dtype=np.uint64) * BLOCK).any():
+            raise _Other
+        offsets = points["byte"].astype(np.int64)
+        if (np.diff(offsets) <= 0).any() or offsets[-1] >= len(m) - begin:
+            raise _Other
+        start.append(offsets + begin + at)
+        length.append(np.diff(np.append(offsets, len(m) - begin)))
+        number.append(np.arange(n))
+        frames.append(n)
+        infos.append(info)
+        data.append(np.frombuffer(m, np.uint8))
+        at += len(m)
+    data, start, length, number = map(np.concatenate, (data, start, length, number))
+    x = np.zeros((len(start), BLOCK), np.int8)
+    for i in range(0, len(start), STEP):
+        s, e = start[i : i + STEP], length[i : i + STEP]
+        a, b = int(s[0]), int(s[-1] + e[-1])
+        x[i : i + STEP] = decode_frames(data[a:b], s - a, e, number[i : i + STEP])
     out, first = [], 0
     for info, n in zip(infos, frames, strict=True):
         own = x[first : first + n].tobytes()
-        if info[18:34] != bytes(16) and hashlib.md5(own).digest() != info[18:34]:
-            raise ValueError("the stream's MD5 is wrong")
+        _verify(info, own)
         out.append((np.frombuffer(own, np.uint8) ^ 0x80).tobytes())
         first += n
     return out
 
 
+def _verify(info: bytes, samples: bytes) -> None:
+    """The stream's MD5, where it has one; it covers interleaved signed samples, low byte first."""
+    if info[18:34] != bytes(16) and hashlib.md5(samples).digest() != info[18:34]:
+        raise ValueError("the stream's MD5 is wrong")
+
+
+def _alone(media: bytes) -> tuple[bytes, int, int]:
+    """A stream of any origin: its samples, channels and bytes a sample."""
+    own, channels = decode_stream(media)
+    width = -(-own["depth"] // 8)
+    x = np.stack(channels, 1)
+    raw = x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    _verify(parse(media)[0], raw)
+    if own["samples"] and own["samples"] != len(x):
+        raise ValueError(f"{len(x)} samples where the stream names {own['samples']}")
+    return (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes() if width == 1 else raw, own["channels"], width
+
+
+def decoded(media: list[bytes]) -> list[tuple[bytes, int, int]]:
+    """Samples, channels and bytes a sample of each stream, checksums and MD5 verified.
+
+    Samples are interleaved, low byte first; those of up to 8 bits are unsigned (silence at 128),
+    wider ones signed, as in WAV files. Streams of other origin are found by halving the list, so
+    that only they go to the bit reader.
+    """
+    try:
+        return [(p, 1, 1) for p in _together(media)] if media else []
+    except _Other:
+        if len(media) == 1:
+            return [_alone(media[0])]
+        half = len(media) // 2
+        return decoded(media[:half]) + decoded(media[half:])
+
+
+def decode_media(media: list[bytes]) -> list[bytes]:
+    """The samples alone that `decoded` gives."""
+    return [p for p, _, _ in decoded(media)]
+
+
 def seek(media: bytes, sample: int, count: int) -> bytes:
     """`count` samples from `sample` on, decoding only the frames that hold them."""
     info, points, begin = parse(media)
@@ -553,39 +595,108 @@ def encode(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame, path: str) -> DataFrame:
+    """What `encode` gives, written as a table below path and read back."""
+    encode(docs).write.option("compression", "none").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+BLOCKS = "doc_id long, sample_offset long, n_samples long, channels int, sample_bytes int, pcm binary"
+
+
 def pcm_blocks(media: DataFrame, samples: int = 1 << 16) -> DataFrame:
-    """doc_id, sample_offset, n_samples, pcm: decoded blocks of at most `samples` samples."""
+    """doc_id, sample_offset, n_samples, channels, sample_bytes, pcm: blocks of at most `samples` samples.
+
+    A block's offset is a multiple of `samples` and counts samples of one channel, so the block
+    that holds a sample is known without reading others. Rows without media, and streams without
+    samples, give no block; repeated rows give theirs again; an empty table gives none; other
+    columns are not read. A damaged stream fails the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, CHUNK_BYTES, "media"):
             ids = batch.column("doc_id").to_pylist()
-            rows = [(i, at, pcm[at : at + samples]) for i, pcm in zip(ids, decode_media(batch.column("media").to_pylist()), strict=True) for at in range(0, len(pcm), samples)]
-            i, at, pcm = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(at, pa.int64()), pa.array(map(len, pcm), pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "sample_offset", "n_samples", "pcm"])
+            rows = [
+                (i, at // (c * w), min(samples, (len(pcm) - at) // (c * w)), c, w, pcm[at : at + samples * c * w])
+                for i, (pcm, c, w) in zip(ids, decoded(batch.column("media").to_pylist()), strict=True)
+                for at in range(0, len(pcm), samples * c * w)
+            ]
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], [x.split()[0] for x in BLOCKS.split(", ")])
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").filter("media is not null").mapInArrow(run, BLOCKS)
+
 
-    return media.select("doc_id", "media").filter("media is not null").mapInArrow(run, "doc_id long, sample_offset long, n_samples long, pcm binary")
+def write_pcm(media: DataFrame, path: str, samples: int = 1 << 16) -> DataFrame:
+    """`pcm_blocks` as a table below path, read back; files are sorted, so that a seek prunes row groups."""
+    pcm_blocks(media, samples).sortWithinPartitions("doc_id", "sample_offset").write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+def seek_pcm(blocks: DataFrame, doc_id: int, sample: int, count: int) -> DataFrame:
+    """The blocks of one document that hold `count` samples from `sample` on; the filters reach the scan."""
+    return blocks.filter((F.col("doc_id") == doc_id) & (F.col("sample_offset") < sample + count) & (F.col("sample_offset") + F.col("n_samples") > sample))
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _features(ids: pa.Array, n_bytes: pa.Array, media: list[bytes]) -> pa.RecordBatch:
+    rows = []
+    for m, p in zip(media, decode_media(media), strict=True):
+        x = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        says = f"samples={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int((x.astype(np.int64) ** 2).sum())};changes={int(np.count_nonzero(np.diff(x)))}"
+        rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), says))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+    return pa.RecordBatch.from_arrays([ids, n_bytes, *columns], [x.split()[0] for x in FEATURES.split(", ")])
+
+
 def features(media: DataFrame) -> DataFrame:
-    """The stored streams read back: digests of what they hold, and simple signal features."""
+    """Digests of what stored 8-bit mono streams hold, and simple signal features, of every row with media.
+
+    Rows without media give no row; repeated rows give theirs again; an empty table gives none;
+    other columns are not read. A damaged stream fails the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, CHUNK_BYTES, "media"):
-            stored = batch.column("media").to_pylist()
-            rows = []
-            for m, p in zip(stored, decode_media(stored), strict=True):
-                x = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-                crossings = int(np.count_nonzero(np.diff(x)))
-                says = f"samples={len(x)};peak={int(np.abs(x).max())};energy={int((x.astype(np.int64) ** 2).sum())};changes={crossings}"
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), says))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], [x.split()[0] for x in FEATURES.split(", ")])
+            yield _features(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media").to_pylist())
+
+    return media.select("doc_id", "n_bytes", "media").filter("media is not null").mapInArrow(run, FEATURES)
+
+
+def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The `features` of every text, by way of a file of the shared folder.
+
+    A task writes its streams to a file of its own, reads them back from there and deletes it, so
+    the disk holds no more than the tasks at work need; `stored` keeps the streams. A null or
+    empty text is 192 spaces; repeated rows repeat; a null doc_id stays null; an empty table gives
+    no rows; other columns of docs are not read.
+    """
+    folder = folder or new_dir(docs.sparkSession, "flac")
 
-    return media.mapInArrow(run, FEATURES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, file, index = f"{folder}/streams-{uuid.uuid4().hex}.bin", None, []
+        for batch in chunks(batches, CHUNK_BYTES):
+            file = file or create_shared(uri)
+            payload, sizes, frames = payloads(batch.column("text"))
+            media = encode_payloads(payload, frames)
+            index.append((batch.column("doc_id"), pa.array(sizes, pa.int64()), np.fromiter(map(len, media), np.int64, len(media))))
+            file.write(b"".join(media))
+        if not file:
+            return
+        file.close()
+        try:
+            with open_shared(uri, "rb") as file:
+                for ids, sizes, lengths in index:
+                    raw, end = bytes(file.read(int(lengths.sum()))), np.cumsum(lengths)
+                    yield _features(ids, sizes, [raw[a:b] for a, b in zip((end - lengths).tolist(), end.tolist(), strict=True)])
+        finally:
+            remove_shared(uri)
+
+    return id_text(docs).mapInArrow(run, FEATURES)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return features(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
