@@ -5,9 +5,11 @@ over six classes, and how its words spread over the language's common words. Bot
 Jensen-Shannon distance (base 2, so 0 to 1). Short documents have noisy histograms: below
 `min_words` words the method gives no verdict.
 
-The references are counted over all documents. A common word holds at least `share` of all words
-of its language, so a language has at most 1 / share of them, and a language counts if it holds at
-least `lang_share` of all words: the table of references has a size bound and is broadcast.
+The references are counted over all documents. A common word occurs more than once and holds at
+least `share` of all words of its language, so a language has at most 1 / share of them. Every
+language of MIN_REFERENCE words or more has a reference, whatever share of the corpus it holds; one
+without common words (written without spaces, say) has that of its characters alone. References
+are broadcast up to BROADCAST_LANGS languages, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, staged
+from .common import GAP, WORD, staged
 
 SHARE = 0.005
-LANG_SHARE = 0.001
+#: A language of fewer words has no reference: its own documents would be most of it.
+MIN_REFERENCE = 10_000
+#: Up to this many languages' references (some 4 KB each) are broadcast.
+BROADCAST_LANGS = 1_000
 #: Documents with fewer words get no verdict from the divergence.
 MIN_WORDS = 50
 #: Largest distances of a kept document.
@@ -90,31 +95,32 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(docs: DataFrame, share: float = SHARE, lang_share: float = LANG_SHARE) -> DataFrame:
-    """lang, chars (6 shares) and common (word to share) of each language, over all documents."""
+def references(docs: DataFrame, share: float = SHARE, min_reference: int = MIN_REFERENCE) -> DataFrame:
+    """lang, common (word to share; null without common words) and chars (6 sums) of each language, over all documents.
+
+    Rows without a lang or text are in no reference; repeated rows count as often as they come; an
+    empty table gives no reference.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = rows.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counted = staged(counted.filter("n > 1"), "divergence-words")
-    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    every = total.agg(F.sum("total").alias("every"))
-    # at most 1 / lang_share languages pass
-    total = total.crossJoin(F.broadcast(every)).filter(F.col("total") >= lang_share * F.col("every")).drop("every")
-    common = (
-        counted.join(F.broadcast(total), "lang")
-        .filter(F.col("n") >= share * F.col("total"))
-        .groupBy("lang")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))))).alias("common"))
-    )
     left1 = F.regexp_replace("text", r"\p{Ll}+", "")
-    sized = rows.select("lang", F.length("text").alias("n0"), left1.alias("a"))
+    sized = rows.select("lang", F.regexp_count("text", F.lit(WORD)).alias("words"), F.length("text").alias("n0"), left1.alias("a"))
     for i, pattern in enumerate((GAP, r"\p{Lu}+", r"\p{Nd}+", r"\p{P}+")):
         sized = sized.withColumn(f"n{i + 1}", F.length("a")).withColumn("a", F.regexp_replace("a", pattern, ""))
     sized = sized.withColumn("n5", F.length("a"))
     n = [F.col(f"n{i}") for i in range(6)]
     counts = [n[0] - n[1], n[2] - n[3], n[3] - n[4], n[1] - n[2], n[4] - n[5], n[5]]
-    sums = sized.groupBy("lang").agg(*[F.sum(c).cast("double").alias(f"c{i}") for i, c in enumerate(counts)])
-    sums = sums.select("lang", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("chars"))
-    return common.join(sums, "lang").select("lang", "common", "chars")
+    sums = sized.groupBy("lang").agg(F.sum("words").alias("total"), *[F.sum(c).cast("double").alias(f"c{i}") for i, c in enumerate(counts)])
+    sums = staged(sums.filter(F.col("total") >= min_reference).select("lang", "total", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("chars")), "divergence-langs")
+    total = sums.select("lang", "total")
+    common = (
+        counted.join(F.broadcast(total) if total.count() <= BROADCAST_LANGS else total, "lang")
+        .filter(F.col("n") >= share * F.col("total"))
+        .groupBy("lang")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))))).alias("common"))
+    )
+    return sums.join(common, "lang", "left").select("lang", "common", "chars")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -126,7 +132,12 @@ def _term(p: Column, q: Column) -> Column:
 
 def _distance(p: Column, q: Column) -> Column:
     total = F.aggregate(F.zip_with(p, q, _term), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    return _root(total)
+
+
+def _root(total: Column) -> Column:
+    """The distance of a divergence that may lie below 0 by rounding; null where it is null, which greatest() would skip."""
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def _shares(counts: Column) -> Column:
@@ -134,15 +145,16 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def scored(docs: DataFrame, share: float = SHARE, min_reference: int = MIN_REFERENCE) -> DataFrame:
     """measured() with char_distance and common_distance (null where no reference applies)."""
-    own = staged(references(docs, share), "divergence-references")
-    # at most 1 / share words of at most 1 / LANG_SHARE languages: few enough to test words against all of them first
-    every = [r["word"] for r in own.select(F.explode(F.map_keys("common")).alias("word")).distinct().collect()]
-    known = F.broadcast(own.select(F.col("lang").alias("known"), F.col("common"), F.col("chars").alias("own_chars")))
-    out = measured(docs).join(known, F.col("lang") == F.col("known"), "left")
+    own = staged(references(docs, share, min_reference), "divergence-references")
+    few = own.count() <= BROADCAST_LANGS
+    # at most 1 / share words of each language: where they are few, words are tested against all of them first
+    every = [r["word"] for r in own.select(F.explode(F.map_keys("common")).alias("word")).distinct().limit(PREFILTER + 1).collect()] if few else []
+    known = own.select(F.col("lang").alias("known"), F.col("common"), F.col("chars").alias("own_chars"))
+    out = measured(docs).join(F.broadcast(known) if few else known, F.col("lang") == F.col("known"), "left")
     names = F.map_keys("common")
-    candidates = F.filter("words", lambda w: w.isin(every)) if len(every) <= PREFILTER else F.col("words")
+    candidates = F.filter("words", lambda w: w.isin(every)) if few and len(every) <= PREFILTER else F.col("words")
     found = F.sort_array(F.filter("candidates", lambda w: F.array_contains(F.col("names"), w)))
     out = out.withColumn("names", names).withColumn("candidates", candidates)
     out = out.withColumn("found", F.when(F.col("known").isNotNull(), found)).drop("words", "candidates")
@@ -159,20 +171,22 @@ def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
         + (F.col("all_q") - F.col("sum_q")) / 2
         + _term(F.greatest(1 - F.col("sum_p"), F.lit(0.0)), F.greatest(1 - F.col("all_q"), F.lit(0.0)))
     )
-    out = out.withColumn("common_distance", F.when(F.col("n_words") > 0, F.sqrt(F.greatest(total, F.lit(0.0)))))
+    out = out.withColumn("common_distance", F.when(F.col("n_words") > 0, _root(total)))
     return out.withColumn("char_distance", _distance(_shares(F.col("chars")), _shares(F.col("own_chars")))).drop(
         "names", "found", "each", "first", "p", "q", "all_q", "sum_p", "sum_q", "common", "known", "own_chars"
     )
 
 
-def judged(docs: DataFrame, max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON, min_words: int = MIN_WORDS, share: float = SHARE) -> DataFrame:
+def judged(
+    docs: DataFrame, max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON, min_words: int = MIN_WORDS, share: float = SHARE, min_reference: int = MIN_REFERENCE
+) -> DataFrame:
     """Base counts, base_failed and kept of every row of docs.
 
-    An empty or null text has no words and fails the base rule. A null lang, or one too rare to
-    have a reference, passes the method's rule. Repeated rows get equal verdicts; an empty table
+    An empty or null text has no words and fails the base rule. A null lang, or one of fewer than
+    min_reference words in all, passes the method's rule. Repeated rows get equal verdicts; an empty table
     gives no rows; other columns of docs are not read.
     """
-    out = scored(docs, share)
+    out = scored(docs, share, min_reference)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.col("n_words") >= min_words) & (
         F.coalesce(F.col("char_distance") > max_chars, F.lit(False)) | F.coalesce(F.col("common_distance") > max_common, F.lit(False))
@@ -186,7 +200,8 @@ def op4(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP4_SQL = rf"""
+def op4_sql(min_reference: int = MIN_REFERENCE) -> str:
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, text IS NULL AS empty FROM documents)
 , s AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)
 , w AS (SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM s)
@@ -201,11 +216,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '')
 , z5 AS (SELECT *, regexp_replace(t4, '\p{{P}}+', '', 'g') AS t5 FROM z4)
 , m AS (SELECT rid, doc_id, lang, empty, length(text) - length(t1) AS c0, length(t2) - length(t3) AS c1, length(t3) - length(t4) AS c2, length(t1) - length(t2) AS c3, length(t4) - length(t5) AS c4, length(t5) AS c5,
     length(text) - (length(t1) - length(t2)) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols FROM z5)
-, f AS (SELECT lang, a, count(*) AS n FROM w JOIN d USING (rid) WHERE lang IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
-, t AS (SELECT lang, sum(n) AS total FROM f GROUP BY lang)
-, k AS (SELECT lang, a, n / total AS q FROM f JOIN t USING (lang) WHERE n >= {SHARE} * total AND total >= {LANG_SHARE} * (SELECT sum(total) FROM t))
+, f AS (SELECT lang, a, count(*) AS n FROM w JOIN d USING (rid) WHERE lang IS NOT NULL GROUP BY ALL)
+, t AS (SELECT lang, sum(n) AS total FROM f GROUP BY lang HAVING sum(n) >= {min_reference})
+, k AS (SELECT lang, a, n / total AS q FROM f JOIN t USING (lang) WHERE n > 1 AND n >= {SHARE} * total)
 , kk AS (SELECT lang, sum(q) AS all_q FROM k GROUP BY lang)
-, r AS (SELECT lang, sum(c0) AS r0, sum(c1) AS r1, sum(c2) AS r2, sum(c3) AS r3, sum(c4) AS r4, sum(c5) AS r5, sum(c0 + c1 + c2 + c3 + c4 + c5) AS rt FROM m WHERE lang IS NOT NULL AND NOT empty GROUP BY lang)
+, r AS (SELECT lang, sum(c0) AS r0, sum(c1) AS r1, sum(c2) AS r2, sum(c3) AS r3, sum(c4) AS r4, sum(c5) AS r5, sum(c0 + c1 + c2 + c3 + c4 + c5) AS rt FROM m JOIN t USING (lang) WHERE NOT empty GROUP BY lang)
 , nw AS (SELECT rid, len(words) AS n FROM s)
 , h AS (SELECT rid, lang, a, count(*) AS n FROM w JOIN d USING (rid) GROUP BY ALL)
 , j AS (SELECT h.rid, h.n / nw.n AS p, k.q FROM h JOIN k ON h.lang = k.lang AND h.a = k.a JOIN nw ON nw.rid = h.rid)
@@ -213,9 +228,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '')
 , cd AS (SELECT m.rid, sqrt(greatest(v + (all_q - sq) / 2 + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) / 2 ELSE 0 END + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (po + qo)) / 2 ELSE 0 END, 0)) AS dist FROM (
     SELECT m.rid, kk.all_q, coalesce(v, 0) AS v, coalesce(sq, 0) AS sq, greatest(1 - coalesce(sp, 0), 0) AS po, greatest(1 - all_q, 0) AS qo FROM m JOIN kk USING (lang) LEFT JOIN jj USING (rid)) m)
 , ch AS (SELECT rid, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist FROM (
-    SELECT rid, unnest([c0, c1, c2, c3, c4, c5]) / (c0 + c1 + c2 + c3 + c4 + c5) AS p, unnest([r0, r1, r2, r3, r4, r5]) / rt AS q FROM m JOIN r USING (lang) JOIN kk USING (lang) WHERE c0 + c1 + c2 + c3 + c4 + c5 > 0) GROUP BY rid)
+    SELECT rid, unnest([c0, c1, c2, c3, c4, c5]) / (c0 + c1 + c2 + c3 + c4 + c5) AS p, unnest([r0, r1, r2, r3, r4, r5]) / rt AS q FROM m JOIN r USING (lang) WHERE c0 + c1 + c2 + c3 + c4 + c5 > 0) GROUP BY rid)
 , o AS (SELECT m.doc_id, nw.n::BIGINT AS n_words, m.word_chars::BIGINT AS word_chars, m.n_symbols::BIGINT AS n_symbols, coalesce(li.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
     nw.n < 50 OR 100 * coalesce(cov.n, 0) > 50 * nw.n AS base_failed, coalesce(ch.dist > {MAX_CHARS}, false) OR coalesce(cd.dist > {MAX_COMMON}, false) AS far
   FROM m JOIN nw USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN li USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN ch USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND far) AS kept FROM o
 """
+
+
+OP4_SQL = op4_sql()

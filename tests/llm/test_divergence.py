@@ -46,12 +46,11 @@ def distance(p, q):
 
 def test_rows_equal_brute_force(make):
     rows = corpus()
-    got = divergence.judged(make(rows)).collect()
+    got = divergence.judged(make(rows), min_reference=50).collect()
     assert len(got) == len(rows)
     words = Counter(w for _, t, la, _ in rows if la == "en" and t for w in re.findall(r"[^\x20\x09-\x0D]+", t))
-    words = {w: n for w, n in words.items() if n > 1}
     total = sum(words.values())
-    q = {w: n / total for w, n in words.items() if n >= SHARE * total}
+    q = {w: n / total for w, n in words.items() if n > 1 and n >= SHARE * total}
     classes = lambda t: [sum(c.islower() for c in t), sum(c.isupper() for c in t), sum(c.isdigit() for c in t), sum(c in " \t\n\x0b\x0c\r" for c in t)]
     for r in got:
         text = next(t for i, t, _, _ in rows if i == r.doc_id) or ""
@@ -69,12 +68,33 @@ def test_rows_equal_brute_force(make):
     assert divergence.judged(make([])).collect() == []
 
 
+def test_small_and_unspaced_languages(make):
+    """A language has a reference from so many words on, whatever its share, and without common words one of its characters."""
+    big = [(i, " ".join(EN[(i + j * 7) % len(EN)] + (f"x{j}" if j % 3 == 0 else "") for j in range(400)), "en", "s") for i in range(60)]
+    zh = [(100 + i, " ".join(chr(0x4E00 + (i * 977 + j * 31) % 5000) * 8 for j in range(60)), "zh", "s") for i in range(20)]
+    junk = (200, "123 456 " * 3 + " ".join(f"{i}90" for i in range(80)), "zh", "s")
+    got = {r.doc_id: r for r in divergence.judged(make([*big, *zh, junk]), min_reference=500).collect()}
+    assert got[0].common_distance is not None and got[0].kept
+    assert all(got[100 + i].kept and got[100 + i].common_distance is None and got[100 + i].char_distance < MAX_CHARS for i in range(20))
+    assert got[200].char_distance > MAX_CHARS and not got[200].kept
+    few = {r.doc_id: r for r in divergence.judged(make([*big, *zh, junk]), min_reference=5_000).collect()}
+    assert few[200].char_distance is None and few[200].kept
+
+
+def test_many_languages_are_joined_by_a_shuffle(make, monkeypatch):
+    rows = [(i, " ".join(f"{EN[(i + j * 7) % len(EN)]}{i % 7}" for j in range(120)), f"l{i % 7}", "s") for i in range(42)]
+    run = lambda: sorted((r.doc_id, r.kept, round(r.common_distance, 9)) for r in divergence.judged(make(rows), min_reference=50).collect())
+    plain = run()
+    monkeypatch.setattr(divergence, "BROADCAST_LANGS", 3)
+    assert run() == plain
+
+
 def test_sql(make):
     rows = corpus()
     documents = pd.DataFrame([(i, t, la) for i, t, la, _ in rows], columns=["doc_id", "text", "lang"]).astype({"doc_id": "Int64"})
     con = duckdb.connect()
     con.register("documents", documents)
     columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
-    want = con.execute(f"SELECT {columns} FROM ({divergence.OP4_SQL})").fetchall()
-    got = divergence.judged(make(rows)).select(*columns.split(", ")).collect()
+    want = con.execute(f"SELECT {columns} FROM ({divergence.op4_sql(50)})").fetchall()
+    got = divergence.judged(make(rows), min_reference=50).select(*columns.split(", ")).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
