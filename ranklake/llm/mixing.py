@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, free_names, staged
 
 BITS = 12
 LEVELS = 3
@@ -100,7 +100,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     The same hash and thresholds are applied to the documents themselves, so that texts are not
     shuffled: the per-source edges are few and broadcast, or joined by source beyond the bound.
+    Null and empty texts have no words and go; a null source is a source of its own; a null doc_id
+    is hashed by its text; rows that repeat a doc_id are taken alike; an empty table stays empty;
+    all columns of docs stay as they are.
     """
+    mix_source, mix_base, mix_last, mix_size, mix_hash, mix_copies, mix_copy = free_names(
+        docs, "mix_source", "mix_base", "mix_last", "mix_size", "mix_hash", "mix_copies", "mix_copy"
+    )
     rules = (
         mix(docs, weights, cap)
         .groupBy("source")
@@ -108,17 +114,21 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
             F.max(F.struct("copies", "hash")).alias("most"),
             F.min(F.when(F.col("size") > 0, F.col("copies"))).alias("base"),
         )
-        .select("source", F.coalesce("base", F.lit(0)).alias("base"), F.when(F.col("most.copies") > F.col("base"), F.col("most.hash")).alias("last"))
+        .select(
+            F.col("source").alias(mix_source),
+            F.coalesce("base", F.lit(0)).alias(mix_base),
+            F.when(F.col("most.copies") > F.col("base"), F.col("most.hash")).alias(mix_last),
+        )
     )
-    rules = staged(rules.withColumnRenamed("source", "_mix_source"), "mix-rules")
+    rules = staged(rules, "mix-rules")
     few = rules.count() <= BROADCAST_SOURCES
-    sized = docs.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).withColumn(
-        "_mix_hash", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))), 1, 9), 16, 10).cast("long")
+    sized = docs.withColumn(mix_size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).withColumn(
+        mix_hash, F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))), 1, 9), 16, 10).cast("long")
     )
-    out = sized.join(F.broadcast(rules) if few else rules, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    copies = F.when(F.col("_mix_size") > 0, F.col("base") + F.when(F.col("_mix_hash") <= F.col("last"), 1).otherwise(0)).otherwise(0)
-    out = out.withColumn("_mix_copies", copies.cast("int")).filter("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = sized.join(F.broadcast(rules) if few else rules, F.col("source").cast("string").eqNullSafe(F.col(mix_source)))
+    copies = F.when(F.col(mix_size) > 0, F.col(mix_base) + F.when(F.col(mix_hash) <= F.col(mix_last), 1).otherwise(0)).otherwise(0)
+    out = out.withColumn(mix_copies, copies.cast("int")).filter(F.col(mix_copies) > 0)
+    return out.withColumn(mix_copy, F.explode(F.sequence(F.lit(1), mix_copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -80,3 +80,12 @@ def test_clashing_columns(make):
     docs = make(corpus()).withColumn("size", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("copies", F.lit(2))
     assert mixing.mix(docs).count() == len(corpus())
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_clashing_names_stay(make):
+    docs = make(corpus()).selectExpr("*", *[f"'kept' AS {c}" for c in ("mix_size", "MIX_HASH", "mix_copies", "mix_copy", "mix_base", "mix_last", "mix_source", "base", "last", "copies", "_mix_size")])
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == mixing.mixed_documents(make(corpus())).count()
+    assert all(r[c] == "kept" for r in rows for c in docs.columns[5:])
