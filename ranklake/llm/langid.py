@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import chunks, drop_staged, held, mapped, new_dir, staged, to_partitions, write_shared
 
@@ -365,8 +364,8 @@ def _judged(batch: pa.RecordBatch, langs: list[str], own: Scorer | None) -> tupl
     return [langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0)
 
 
-def predict(docs: DataFrame, langs: list[str], uris: list[str], path: str | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score of every row (keep: every column, and _lang_pred, _lang_score).
+def predict(docs: DataFrame, langs: list[str], uris: list[str], path: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score of every row.
 
     score is the predicted language's share of the text's probability. A null text, or one without
     a letter (Unicode category L), gets `und` and score 0, as does every text where no language was
@@ -374,20 +373,15 @@ def predict(docs: DataFrame, langs: list[str], uris: list[str], path: str | None
     results; an empty table gives no rows; other columns of docs are not read.
     """
     path = path or default_path()
-    names = [*docs.columns] if keep else ["doc_id"]
-    added = ["_lang_pred", "_lang_score"] if keep else ["lang_pred", "score"]
-    source = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fields = docs.schema.fields if keep else [StructField("doc_id", LongType())]
-    schema = StructType([*fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(path, uris) if langs else None
         for batch in chunks(batches, CHUNK_BYTES):
             pred, share = _judged(batch, langs, own)
-            columns = [batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(share, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(share, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, langs: list[str], uris: list[str], min_share: float, path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import chunks, staged
+from .common import chunks, drop_staged, free_names, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -40,6 +40,8 @@ RUN_DIGITS = 19
 CONTEXT = 120
 #: Up to this many patterns (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
+#: Tasks that one pattern's rows are dealt to where they are joined: a common context has a great share of all.
+SALTS = 16
 CHUNK_BYTES = 4 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -198,17 +200,33 @@ def extracted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
+def _by_pattern(rows: DataFrame, of_pattern: DataFrame, *own: str) -> DataFrame:
+    """rows joined to what each pattern has, a common pattern's rows dealt by a hash of their own columns."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int"))
+    return dealt.join(of_pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pattern", "salt"]).drop("salt")
+
+
 def patterns(rows: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """pattern, kind, confidence of the patterns that pass; rows is what `extracted` gives, staged."""
+    """pattern, kind, confidence of the patterns that pass; rows is what `extracted` gives, staged.
+
+    Rows without instances, as of null or empty texts, teach nothing; repeated ones teach once; an
+    empty table gives no pattern. Of kinds that tie, the first of KINDS is taken.
+    """
     each = rows.filter(F.size("found") > 0).select(F.explode("found").alias("f"))
     each = each.select(F.col("f.kind").alias("kind"), F.col("f.token").alias("token"), F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
     edges = staged(each.filter(F.length("pattern") > 2).groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
+    done = [edges]
     for _ in range(GENERATIONS):
         good, learned = _scored(edges, rounds, min_confidence, min_seeds)
+        done += [good, learned]
         if learned.isEmpty():
             break
         # what the patterns have found seeds further ones
         edges = staged(edges.join(learned, "token", "left").select("pattern", "token", F.greatest("kind", F.coalesce("learned", F.lit(-1))).alias("kind")), "pii-edges")
+        done.append(edges)
+    for table in done:
+        if table is not good:
+            drop_staged(table)
     return good
 
 
@@ -216,24 +234,29 @@ def _scored(edges: DataFrame, rounds: int, min_confidence: float, min_seeds: int
     """The patterns that pass, and token, learned (a kind) of the tokens that they add to the seeds."""
     # only patterns that matched a seed can score now, and only tokens they touch
     live = edges.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("seeds")).filter("seeds > 0").select("pattern")
-    edges = staged(edges.join(live, "pattern", "left_semi"), "pii-live-edges")
+    edges = staged(_by_pattern(edges, live, "token"), "pii-live-edges")
+    done = [edges]
     score = edges.filter("kind >= 0").select("token", F.lit(1.0).alias("score")).distinct()
     confidence = None
     for _ in range(rounds):
         confidence = edges.join(score, "token", "left").groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"))
         confidence = staged(confidence, "pii-confidence")
-        doubt = edges.join(confidence, "pattern").groupBy("token").agg(
+        doubt = _by_pattern(edges, confidence, "token").groupBy("token").agg(
             F.max("kind").alias("kind"), F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).alias("doubt")
         )
         score = staged(doubt.select("token", F.when(F.col("kind") >= 0, 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "pii-scores")
+        done += [confidence, score]
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     kinds = seeds.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
     good = confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
     good = staged(good, "pii-good")
-    hit = edges.filter("kind < 0").select("pattern", "token").join(good.withColumnRenamed("kind", "learned"), "pattern")
+    hit = _by_pattern(edges.filter("kind < 0").select("pattern", "token"), good.withColumnRenamed("kind", "learned"), "token")
     hit = hit.groupBy("token").agg(F.max_by("learned", F.struct("confidence", -F.col("learned"))).alias("learned"))
     sure = score.filter(F.col("score") >= min_confidence).select("token")
-    return good, staged(hit.join(sure, "token", "left_semi"), "pii-learned")
+    learned = staged(hit.join(sure, "token", "left_semi"), "pii-learned")
+    for table in done:
+        drop_staged(table)
+    return good, learned
 
 
 MORE = "array<struct<kind:int,start:long,end:long>>"
@@ -245,7 +268,7 @@ def _hits(rows: DataFrame, good: DataFrame) -> DataFrame:
     unseen = rows.filter(F.exists("found", lambda f: f["kind"] < 0)).groupBy("uid").agg(F.first("found").alias("found"))
     unseen = unseen.select("uid", F.explode(F.filter("found", lambda f: f["kind"] < 0)).alias("f"))
     unseen = unseen.select("uid", "f.start", "f.end", F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
-    hits = unseen.join(F.broadcast(good) if few else good, "pattern")
+    hits = unseen.join(F.broadcast(good), "pattern") if few else _by_pattern(unseen, good, "uid", "start")
     hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     return hits.groupBy("uid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("more")).withColumnRenamed("uid", "hit")
 
@@ -271,7 +294,7 @@ def _said(column: str):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans as text."""
+    """doc_id, counts of base spans by kind, base_sha256 and spans as text, of every row that `spans` gives."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"))
 
@@ -294,7 +317,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of `spans` replaced by its kind in angle brackets; other columns as they are.
 
     The patterns are learned in a first pass and carried to a second, so no text is shuffled.
-    Where more than BROADCAST_PATTERNS pass, the spans are joined to the texts by their hash.
+    Where more than BROADCAST_PATTERNS pass, the spans are joined to the texts by their hash. A
+    null or empty text stays as it is; repeated rows get equal texts; an empty table stays empty.
     """
     rows = staged(extracted(docs), "pii-rows")
     good = staged(patterns(rows), "pii-patterns")
@@ -324,25 +348,26 @@ def redacted(docs: DataFrame) -> DataFrame:
 def _redacted_by_join(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """As `redacted`, with the spans of hits (hit, more), which may be any number."""
     names, at = docs.columns, docs.columns.index("text")
+    own_uid, own_hit, own_more = free_names(docs, "pii_uid", "pii_hit", "pii_more")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, CHUNK_BYTES):
             uid = [_uid(t) if t else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uid, pa.string())], [*names, "_pii_uid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uid, pa.string())], [*names, own_uid])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, CHUNK_BYTES):
             out = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("_pii_more").to_pylist(), strict=True):
+            for text, more in zip(batch.column("text").to_pylist(), batch.column(own_more).to_pylist(), strict=True):
                 found = (base_spans(text) if text else []) + [(m["kind"], m["start"], m["end"]) for m in more or ()]
                 out.append(_marked(text, found) if found else text)
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(out, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    own = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_pii_uid", StringType())]))
-    joined = own.join(hits.select(F.col("hit").alias("_pii_hit"), F.col("more").alias("_pii_more")), F.col("_pii_uid") == F.col("_pii_hit"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_pii_more").mapInArrow(run, docs.schema)
+    own = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(own_uid, StringType())]))
+    joined = own.join(hits.select(F.col("hit").alias(own_hit), F.col("more").alias(own_more)), F.col(own_uid) == F.col(own_hit), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], own_more).mapInArrow(run, docs.schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

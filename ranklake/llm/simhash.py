@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, free_names, id_text, staged, to_partitions
+from .common import chunks, drop_staged, free_names, id_text, staged, to_partitions
 from .graph import components
 
 SEED = 42
@@ -440,7 +440,10 @@ def _found(docs: DataFrame, size: int, limit: int, similarity: float | None) ->
     nodes = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", lone).alias("node")), "simhash-nodes")
     roots = components(similar_links(nodes, similarity, wide=wide) if wide else links(nodes, limit)).withColumnRenamed("node", "own")
     named = nodes.join(roots, F.col("node") == F.col("own"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "node").alias("component"))
-    return own.join(named, F.col("fp") == F.col("of")).drop("of")
+    out = staged(own.join(named, F.col("fp") == F.col("of")).drop("of"), "simhash-found")
+    for done in (own, nodes, roots):
+        drop_staged(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, limit: int = LIMIT, similarity: float | None = None) -> DataFrame:
@@ -462,7 +465,7 @@ def deduplicated(docs: DataFrame, size: int = WORDS, limit: int = LIMIT, similar
     Of rows that share it, or of a group without a doc_id, the text of least 64-bit hash stays; of
     repeated rows one. Null texts count as empty; an empty table stays empty; all columns stay.
     """
-    found = staged(_found(docs, size, limit, similarity), "simhash-found")
+    found = _found(docs, size, limit, similarity)
     own_hash, least_id, least_hash = free_names(docs, "text_hash", "least_id", "least_hash")
     every = found.groupBy("component").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("named"), F.min("text_hash").alias("lone")
