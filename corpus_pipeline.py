@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.llm import byte_bpe, langid, mixing, pii, simhash
-from ranklake.llm.common import staged
+from ranklake.llm.common import drop_staged, staged
 
 #: A document's language must hold this share of its probability.
 MIN_LANGUAGE_SHARE = 0.5
@@ -80,9 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table is dropped once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            drop_staged(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
