@@ -28,7 +28,7 @@ STATUS_PHRASES = {
     "nicht ang": "dns", "ang": "dns", "apng": "dns", "n.gest": "dns", "nicht gestartet": "dns", "omt": "dns",
     "non partito": "dns", "ritirato": "dnf", "incompleta": "dnf", "fuori tempo max": "dsq",
     "gut": "ok", "super gelaufen": "ok", "teilg": "ok", "teilgenommen": "ok",
-    "zeitüb": "dsq", "zeit�b": "dsq", "zeitüberschreitung": "dsq", "maximalzeit": "dsq",
+    "zeitüb": "dsq", "zeit�b": "dsq", "zeitï¿½b": "dsq", "zeitüberschreitung": "dsq", "maximalzeit": "dsq",
     "keine zielzeit": "dnf", "keine e-card": "dns",
     "ohne wertung": "ok", "außer konkurrenz": "ok", "ausser konkurrenz": "ok", "wertungsfrei": "ok",
     "ak": "ok", "nc": "ok", "ok": "ok", "dnf": "dnf", "dns": "dns", "dsq": "dsq", "mp": "mp",
@@ -102,6 +102,37 @@ OPEN_CHAMPION = r"(?iuU)\böster(?:r|reich\w*)?\.?\s*meister"
 STATE_ABBREVIATION = r"(?iuU)\bö\(?st\)?m\b"
 OPEN_ABBREVIATION = r"(?iu)(?<![a-zäöüß])öm(?![a-zäöüß])"
 
+#: What a document's name, text or head (its first 4,000 characters) says about its kind, in order; a kind, whether a sole
+#: document is exempt, and the alternatives, each a set of patterns that must all be found.
+LIST_TYPE_RULES = (
+    ("race", False, ((("head", r"(?iuU)\bPl\s+\w*\s*Name\s+.*\bVerein\s+Kat\s+Zeit\b"),), (("head", r"(?iuU)\bPl\s+(?:Stnr\s+)?Name\s+Verein\s+Zeit\b"),))),
+    ("race", False, ((("head", r"(?iusU)ERGEBNISSE\s+SURPISE\s+MANNSCHAFT.*TEAMWERTUNG"),),)),
+    ("overall", True, ((("name", r"(?iu)(?:^|[-_])si[-_]"),),)),
+    ("overall", False, ((("name", r"(?iuU)(?:^|[-_ ])bericht(?:[-_ .]|$)|\breport\b"),),)),
+    ("overall", False, ((("name", r"(?iu)(?:zwischen|zw)zeit|split|reszidos|erg(?:ebnis)?[-_]?bahnen"),), (("head", r"(?U)\bZwischenzeiten\b"),))),
+    ("overall", False, ((("text", r"(?iuU)<th\b[^>]*>\s*N1\s*</th>"), ("text", r"(?iuU)<th\b[^>]*>\s*N2\s*</th>")),)),
+    ("race", False, ((("name", r"(?iu)einzel|individual"),),)),
+    ("race", False, ((("name", r"(?iu)wiener[-_ ]?wertung"),),)),
+    ("race", False, ((("name", r"(?iuU)meisterschafts[-_ ]?wertung|(?:Ö|OE)[-_ ]?(?:ST)?M\b|österreich\w*\s+(?:staats)?meister"),),)),
+    ("relay", False, ((("name", r"(?iu)staffel|relay"),),)),
+    ("relay", False, ((("text", r"(?iuU)<th\b[^>]*>\s*Staffel\s*</th>"),), (("text", r"(?iuU)<th\b[^>]*>\s*Team\s*</th>"), ("text", r"(?iuU)<th\b[^>]*>\s*Leg\s*</th>")))),
+    ("overall", True, ((("name", r"(?iu)gesamt|wertung|overall|endergebnis.*(?:lauf|läuf)"),), (("head", r"(?iuU)Gesamt(?:wertung|-Ergebnis)|Overall\s+results?|Endergebnis\s+nach\s+dem\s+\d+\.?\s*Lauf"),))),
+)
+
+#: How relay labels abbreviate clubs, after folding: pattern and what it becomes, in order.
+RELAY_CLUB_FOLDS = (
+    (r"\bnaturfreunde\b", "nf"), (r"\blaufklub\s+kompass\b", "lk"), (r"\basko\s+henndorf\s+orienteering\b", "ahdo"),
+    (r"\bwiener\b", "wr"), (r"\bneustadt\b", "neust"), (r"\bkitzbuhl\b", "kitzbuhel"),
+    (r"\borienteering\b|\boriente\b", ""), (r"\bol\b", ""), (r"\boc\s+furstenfeld\b", "ocff"),
+)
+
+#: Texts in a name's place that are page furniture or open places, besides those of digits and marks only.
+JUNK_NAME = r"^[\d\s:.,()/-]*$"
+JUNK_NAMES = (
+    "empty", "vacant", "leer", "frei", "orientierungslauf-club", "orientierungslauf club", "austria cup",
+    "mittel ms", "nolv schulcup ternitz wed", "mtbo world cup", "sg mtbo 2019 - wre",
+)
+
 RANKING_ATTACHMENT = r"(?iu)meisterschafts[-_ ]?wertung"
 RESULT_ATTACHMENT = r"(?iu)(?:ergebnis(?:se|liste)?|results?|gesamtwertung|(?:^|[-_ ])(?:oe|o|ö)(?:st)?m[-_ ].*[-_ ]erg(?:ebnis)?(?:[-_. ]|$))"
 OTHER_ATTACHMENT = r"(?iu)(?:split|zwischenzeit|reszidos|bahndat|meldung|startlist|startzeit|einladung|ausschreibung|l[aä]uferinfo|wettkampfinfo|bulletin|protokoll)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .text import _c, _t
+from .text import _c, _t, stripped
 
 TIME = r"^(?:(\d+):)?(\d{1,3}):(\d{2})$"
 
@@ -77,7 +77,7 @@ def name_and_year(x: Column | str) -> Column:
     pattern = r"^(.*?)\s+\((\d{4})\)$"
     t = _t(x)
     has = t.rlike(pattern)
-    return F.struct(F.when(has, F.trim(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("name"), F.when(has, F.regexp_extract(t, pattern, 2).cast("int")).alias("year"))
+    return F.struct(F.when(has, stripped(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("name"), F.when(has, F.regexp_extract(t, pattern, 2).cast("int")).alias("year"))
 
 
 def hash_id(prefix: str, *parts: Column | str) -> Column:

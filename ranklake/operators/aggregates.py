@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +95,13 @@ def medal_table(podium: DataFrame, who: list[str], place: str, elite: Column | N
     elite = elite if elite is not None else F.lit(False)
     n = [F.count_if((F.col(place) == i) & e).alias(f"{p}{m}") for p, e in (("", F.lit(True)), ("elite_", elite)) for i, m in enumerate(("gold", "silver", "bronze"), 1)]
     out = podium.filter(F.col(place).between(1, 3)).groupBy(*who).agg(*n)
-    order = Window.orderBy(*[F.col(f"{p}{m}").desc() for p in ("", "elite_") for m in ("gold", "silver", "bronze")])
-    return out.withColumn("place", F.rank().over(order))
+    # equal counts are few against people: places are found between them, and joined back
+    medals = [f"{p}{m}" for p in ("", "elite_") for m in ("gold", "silver", "bronze")]
+    every = out.groupBy(*medals).agg(F.count("*").alias("_n"))
+    better = Window.orderBy(*[F.col(m).desc() for m in medals]).rowsBetween(Window.unboundedPreceding, -1)
+    places = every.select(*[F.col(m).alias(f"_{m}") for m in medals], (F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1).cast("int").alias("place"))
+    same = reduce(and_, (F.col(m) == F.col(f"_{m}") for m in medals))
+    return out.join(places, same).drop(*[f"_{m}" for m in medals])
 
 
 def canonical_names(df: DataFrame, person: str, name: str, seq: str, authoritative: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def semantic(df: DataFrame, ignored: list[str], seq: str) -> DataFrame:
     """First of the rows that agree in all columns but the ignored ones (and the order)."""
@@ -42,8 +44,9 @@ def merged_snapshot(existing: DataFrame, fetched: DataFrame, key: str, pos: str)
     old = old.select(key, F.lit(True).alias("_old"), F.col(pos).alias("_pos_old"), *[F.col(c).alias(f"_o_{c}") for c in values])
     new = new.select(key, F.lit(True).alias("_new"), F.col(pos).alias("_pos_new"), *[F.col(c).alias(f"_n_{c}") for c in values])
     both = old.join(new, key, "full_outer")
-    order = Window.orderBy(F.col("_pos_old").asc_nulls_last(), F.col("_pos_new").asc_nulls_last())
-    return both.select(key, *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in values], F.row_number().over(order).alias(pos))
+    both = both.select(key, *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in values], "_pos_old", "_pos_new")
+    out = numbered(both, [F.col("_pos_old").asc_nulls_last(), F.col("_pos_new").asc_nulls_last(), F.col(key).asc()], pos)
+    return out.drop("_pos_old", "_pos_new")
 
 
 def appended_index(existing: DataFrame, fetched: DataFrame, owner: str, key: str, pos: str) -> DataFrame:
@@ -64,5 +67,4 @@ def upsert(df: DataFrame, keys: list[str], seq: str, replace: bool = False) -> D
 def document_order(df: DataFrame, event: str, name: str, kind: str, extract: Column) -> DataFrame:
     """doc_order: by event, split files last, relay lists first, championship extracts first, then by name."""
     split = F.col(name).rlike("(?i)split")
-    order = Window.orderBy(event, split.asc(), (F.col(kind) != "relay").asc(), (~extract).asc(), name)
-    return df.withColumn("doc_order", F.row_number().over(order))
+    return numbered(df, [F.col(event).asc(), split.asc(), (F.col(kind) != "relay").asc(), (~extract).asc(), F.col(name).asc()], "doc_order")

@@ -167,6 +167,7 @@ def canonical_clubs(names: DataFrame, official: DataFrame, aliases: dict[str, st
     """
     table = sorted(r[0] for r in official.select(official.columns[0]).distinct().collect() if r[0])
     known = dict((c.casefold(), c) for c in table)
+    exact = set(table)
     alias = {k.casefold(): v for k, v in (aliases or {}).items()}
 
     def one(value: str | None) -> str | None:
@@ -180,16 +181,16 @@ def canonical_clubs(names: DataFrame, official: DataFrame, aliases: dict[str, st
         now = alias.get(now.casefold(), now)
         now = known.get(now.casefold(), now)
         for _ in range(8):
-            if now in known.values():
+            if now in exact:
                 return now
             low = now.casefold()
             inside = [c for c in table if len(c) >= 8 and c.casefold() in low]
             begun = [c for c in table if len(now) >= 10 and c.casefold().startswith(low)]
             code = re.match(X.CLUB_CODE_PREFIX, now)
             spelled = re.match(X.CLUB_ABBREVIATED, now)
-            if code and code[2].strip() in known.values():
+            if code and code[2].strip() in exact:
                 now = code[2].strip()
-            elif spelled and f"Naturfreunde {spelled[1].strip()}" in known.values():
+            elif spelled and f"Naturfreunde {spelled[1].strip()}" in exact:
                 now = f"Naturfreunde {spelled[1].strip()}"
             elif len(inside) == 1:
                 now = inside[0]

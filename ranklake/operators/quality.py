@@ -1,4 +1,4 @@
-"""Findings, reports, invariants, fingerprints and review decisions. One DataFrame a rule, then one union."""
+"""Findings, reports, invariants, fingerprints and review decisions."""
 
 from __future__ import annotations
 
@@ -11,14 +11,17 @@ from ..functions import fixed as X
 from ..functions.numbers import hash_id
 from ..functions.text import _t, family_class
 from .filters import is_unreadable
-from .ranking import first_inversion
+from .ordering import numbered
 
 FINDING = ("list_id", "result_id", "code", "severity", "auto_resolvable")
 
 
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def _finding(df: DataFrame, code: str | Column, severity: str | Column, result: str | None = None, auto: bool = False) -> DataFrame:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select("list_id", (F.col(result).cast("long") if result else F.lit(None).cast("long")).alias("result_id"), lit(code).alias("code"), lit(severity).alias("severity"), F.lit(auto).alias("auto_resolvable"))
+    return df.select("list_id", (F.col(result).cast("long") if result else F.lit(None).cast("long")).alias("result_id"), _lit(code).alias("code"), _lit(severity).alias("severity"), F.lit(auto).alias("auto_resolvable"))
 
 
 def _marked(df: DataFrame, register: DataFrame | None, keys: list[str], out: str) -> DataFrame:
@@ -44,26 +47,33 @@ def findings(lists: DataFrame, results: DataFrame, registers: dict[str, DataFram
     category; missing_category by event_id).
     """
     known = registers or {}
-    r = results.join(lists.select("list_id", "event_id", "category", "source", "ranking_basis"), "list_id")
     api = F.col("source") == "api"
     individual = F.col("result_kind") == "individual"
+    fair = (F.col("status") == "ok") & ~F.coalesce(F.col("out_of_competition"), F.lit(False))
     counted = ~F.coalesce(F.col("out_of_competition"), F.lit(False)) & individual
-    per_list = results.groupBy("list_id").agg(
+    # one pass over results for all that lists are judged by: counts by list and rank, and each rank's least fair time
+    raced = fair & ~F.col("result_kind").isin("relay", "team", "family") & F.col("rank").isNotNull()
+    per_rank = results.groupBy("list_id", "rank").agg(
         F.count("*").alias("persisted"),
+        F.count_if(individual).alias("individuals"),
         F.count_if(counted & F.col("time_s").isNotNull()).alias("timed"),
         F.count_if(counted & F.col("rank").isNotNull()).alias("ranked"),
         F.count_if(counted & F.col("time_s").isNotNull() & (F.col("status") == "ok")).alias("timed_ok"),
-        F.count_if(F.col("rank").isNull() & (F.col("status") == "ok") & ~F.coalesce(F.col("out_of_competition"), F.lit(False)) & F.col("result_kind").isin("individual", "family")).alias("unranked_ok"),
+        F.count_if(F.col("rank").isNull() & fair & F.col("result_kind").isin("individual", "family")).alias("unranked_ok"),
         F.count_if(F.coalesce(F.col("note"), F.lit("")).contains("minutengenau")).alias("minute_rows"),
+        F.min(F.when(raced, F.col("time_s"))).alias("least_time"),
     )
-    li = lists.join(per_list, "list_id", "left").na.fill(0, ["persisted", "timed", "ranked", "timed_ok", "unranked_ok", "minute_rows"])
+    before = Window.partitionBy("list_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ["persisted", "individuals", "timed", "ranked", "timed_ok", "unranked_ok", "minute_rows"]
+    per_list = per_rank.withColumn("turned", F.col("least_time") < F.max("least_time").over(before)).groupBy("list_id").agg(*[F.sum(c).alias(c) for c in counts], F.bool_or("turned").alias("turned"))
+    li = lists.join(per_list, "list_id", "left").na.fill(0, counts)
     li = li.withColumn("family", family_class("category", "category_full"))
     case = ["event_id", "category", "declared", "source_units"]
     for name in ("recovered", "confirmed", "count_anomaly"):
         li = _marked(li, known.get(name), case, f"is_{name}")
     li = _marked(li, known.get("missing_category"), ["event_id"], "is_missing_category")
-    here = results.join(lists.select("list_id", "stage_id", "category"), "list_id").filter(individual).groupBy("stage_id", "category").agg(F.count("*").alias("stage_rows"))
-    li = li.join(here, ["stage_id", "category"], "left")
+    li = li.withColumn("stage_rows", F.sum("individuals").over(Window.partitionBy("stage_id", "category")))
+    li = _marked(li, known.get("rank_anomaly"), ["event_id", "category"], "is_reviewed")
     course = _t("category").rlike(r"(?i)^(?:bahn|course)\s+\d+\b")
     unranked = (F.col("ranking_basis") == "other") | _t("category_full").rlike(r"(?i)\b(?:annulliert|annulled|cancelled|canceled)\b")
     fewer, more = F.col("source_units") < F.col("declared"), F.col("source_units") > F.col("declared")
@@ -77,33 +87,39 @@ def findings(lists: DataFrame, results: DataFrame, registers: dict[str, DataFram
         .when(more, "entry_count_mismatch")
     )
     severity = F.when(code == "source_declared_omission", "warning").when(code == "entry_count_mismatch", "blocker").otherwise("info")
-    out = [
-        _finding(li.filter("family = 'ambiguous'"), "ambiguous_family_category", "warning"),
-        _finding(li.filter((F.col("persisted") > 0) & F.lower(_t("category")).isin("", "empty", "unknown")), F.when(F.col("is_missing_category"), "source_category_missing").otherwise("api_missing_category"), "warning"),
-        _finding(li.filter(code.isNotNull()), code, severity),
-        _finding(li.filter(~api & (F.col("timed") >= 3) & (F.col("ranked") == 0) & (F.col("family") == "ordinary") & ~unranked & ~course), "missing_ranking", "blocker"),
-        _finding(li.filter("minute_rows > 0"), "minute_precision", "warning"),
-        _finding(li.filter(~api & (F.col("timed_ok") >= 3) & (F.col("ranked") > 0) & (F.col("ranked") < F.col("timed_ok")) & ~course & ~unranked), "partial_ranking_coverage", "warning"),
-        _finding(r.filter(F.col("person_id").isNotNull() & ~F.col("identity_state").isin("resolved", "not_applicable") & F.col("championship").isNotNull()), "provisional_championship_identity", "warning", "result_id"),
+    rule = lambda cond, code, severity, auto=False: F.when(cond, F.struct(_lit(code).alias("code"), _lit(severity).alias("severity"), F.lit(auto).alias("auto_resolvable")))
+    of_list = [
+        rule(F.col("family") == "ambiguous", "ambiguous_family_category", "warning"),
+        rule((F.col("persisted") > 0) & F.lower(_t("category")).isin("", "empty", "unknown"), F.when(F.col("is_missing_category"), "source_category_missing").otherwise("api_missing_category"), "warning"),
+        rule(code.isNotNull(), code, severity),
+        rule(~api & (F.col("timed") >= 3) & (F.col("ranked") == 0) & (F.col("family") == "ordinary") & ~unranked & ~course, "missing_ranking", "blocker"),
+        rule(F.col("minute_rows") > 0, "minute_precision", "warning"),
+        rule(~api & (F.col("timed_ok") >= 3) & (F.col("ranked") > 0) & (F.col("ranked") < F.col("timed_ok")) & ~course & ~unranked, "partial_ranking_coverage", "warning"),
+        rule(
+            F.col("turned") & ~api & (F.col("ranking_basis") == "time"),
+            F.when(F.col("is_reviewed"), "source_rank_anomaly").otherwise("rank_time_inversion"),
+            F.when(F.col("is_reviewed"), "info").otherwise("warning"),
+        ),
     ]
-    r = r.withColumn("value", _t("observed_time"))
+    # and one more for what single rows are judged by
+    r = results.join(lists.select("list_id", "event_id", "category", "source", "ranking_basis"), "list_id").withColumn("value", _t("observed_time"))
     r = _marked(r, known.get("unreadable"), ["event_id", "category", "name", "value"], "is_confirmed_value")
     r = _marked(r, known.get("missing_value"), ["event_id", "category", "name"], "is_missing_value")
     like_time = F.col("value").rlike(r"^\d{1,3}:\d{2}(?::\d{2})?$")
     unknown = F.col("status") == "unknown"
     plain_ok = (F.col("status") == "ok") & (F.coalesce("individual_status", F.lit("ok")) == "ok") & F.col("time_s").isNull() & (F.col("value") != "") & ~api & (F.col("ranking_basis") == "time")
     unreadable = is_unreadable("value")
-    out += [
-        _finding(r.filter((unknown | plain_ok) & unreadable), "source_value_unreadable", F.when(F.col("is_confirmed_value"), "info").otherwise("warning"), "result_id"),
-        _finding(r.filter(unknown & ~unreadable & like_time), "time_text_unparsed", "blocker", "result_id", True),
-        _finding(r.filter(unknown & ~unreadable & ~like_time & F.col("is_missing_value")), "source_value_missing", "info", "result_id"),
-        _finding(r.filter(unknown & ~unreadable & ~like_time & ~F.col("is_missing_value")), "unknown_status", "blocker", "result_id"),
-        _finding(r.filter(plain_ok & ~unreadable & ~like_time & ~F.col("value").rlike(X.QUALITATIVE_OK)), "result_value_unparsed", "blocker", "result_id", True),
+    of_row = [
+        rule(F.col("person_id").isNotNull() & ~F.col("identity_state").isin("resolved", "not_applicable") & F.col("championship").isNotNull(), "provisional_championship_identity", "warning"),
+        rule((unknown | plain_ok) & unreadable, "source_value_unreadable", F.when(F.col("is_confirmed_value"), "info").otherwise("warning")),
+        rule(unknown & ~unreadable & like_time, "time_text_unparsed", "blocker", True),
+        rule(unknown & ~unreadable & ~like_time & F.col("is_missing_value"), "source_value_missing", "info"),
+        rule(unknown & ~unreadable & ~like_time & ~F.col("is_missing_value"), "unknown_status", "blocker"),
+        rule(plain_ok & ~unreadable & ~like_time & ~F.col("value").rlike(X.QUALITATIVE_OK), "result_value_unparsed", "blocker", True),
     ]
-    fair = r.filter((F.col("status") == "ok") & ~F.coalesce(F.col("out_of_competition"), F.lit(False)) & ~F.col("result_kind").isin("relay", "team", "family") & ~api & (F.col("ranking_basis") == "time"))
-    turned = _marked(first_inversion(fair, ["list_id"]).join(lists.select("list_id", "event_id", "category"), "list_id"), known.get("rank_anomaly"), ["event_id", "category"], "is_reviewed")
-    out.append(_finding(turned, F.when(F.col("is_reviewed"), "source_rank_anomaly").otherwise("rank_time_inversion"), F.when(F.col("is_reviewed"), "info").otherwise("warning")))
-    return with_issue_ids(reduce(DataFrame.unionByName, out))
+    by_list = li.select("list_id", F.lit(None).cast("long").alias("result_id"), F.explode(F.array_compact(F.array(*of_list))).alias("f"))
+    by_row = r.select("list_id", F.col("result_id").cast("long").alias("result_id"), F.explode(F.array_compact(F.array(*of_row))).alias("f"))
+    return with_issue_ids(by_list.unionByName(by_row).select("list_id", "result_id", "f.*"))
 
 
 def with_issue_ids(df: DataFrame) -> DataFrame:
@@ -144,7 +160,7 @@ def report(issues: DataFrame, lists: DataFrame, catalog: DataFrame) -> DataFrame
     scored = issues.join(F.broadcast(catalog.select("code", "owner", "domain")), "code", "left").withColumn("w", weight(X.SEVERITY_WEIGHT, "severity") + weight(X.OWNER_WEIGHT, "owner"))
     per = scored.groupBy("list_id").agg(F.sum("w").alias("score"), F.count("*").alias("issues"), F.count_if(F.col("severity") == "blocker").alias("blockers"))
     out = per.join(lists, "list_id")
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "list_id")))
+    return numbered(out, [F.col("score").desc(), F.col("list_id").asc()], "place")
 
 
 def summary(issues: DataFrame, catalog: DataFrame) -> DataFrame:

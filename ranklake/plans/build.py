@@ -21,6 +21,10 @@ from ..operators.lineage import cut
 from ..sources import readers, writers
 
 
+#: Up to this many distinct club names (under 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_CLUBS = 100_000
+
+
 def build(spark: SparkSession, documents: str, registry: DataFrame, official_clubs: DataFrame, events: DataFrame, ledger: DataFrame | None = None) -> dict[str, DataFrame]:
     """result, result_list, issue, award, check from a folder of normalized documents.
 
@@ -34,8 +38,8 @@ def build(spark: SparkSession, documents: str, registry: DataFrame, official_clu
     order = F.struct("event_id", (F.col("listType") != "relay").alias("late"), "path", "category_pos", "row_pos")
     rows = rows.withColumn("seq", order).withColumn("source_document_id", hash_id("document", "path")).withColumn("list_id", hash_id("list", "stage_id", "source_document_id", "category"))
     rows = rows.withColumn("result_id", F.abs(F.xxhash64("path", "category_pos", "row_pos"))).withColumn("name_key", name_key("name"))
-    clubs = E.canonical_clubs(rows.select("club"), official_clubs)
-    rows = cut(rows.join(F.broadcast(clubs), "club", "left"), "rows")
+    clubs = cut(E.canonical_clubs(rows.select("club"), official_clubs), "clubs")
+    rows = cut(rows.join(F.broadcast(clubs) if clubs.count() <= BROADCAST_CLUBS else clubs, "club", "left"), "rows")
 
     lists = rows.groupBy("list_id").agg(F.first("event_id").alias("event_id"), F.first("stage_id").alias("stage_id"), F.first("category").alias("category"), F.first("declared").alias("declared"), F.first("source").alias("source"), F.min("seq").alias("list_seq"))
     unit = U.source_unit("row_pos", "result_kind", "name", "rank", "status", "time_s", "club", "note", "team_number", "team_name")
