@@ -127,6 +127,7 @@ RELAY_CLUB_FOLDS = (
 )
 
 #: Texts in a name's place that are page furniture or open places, besides those of digits and marks only.
+JUNK_NAME_PATTERNS = (r"(?iuU)^Etappe\s+\d+\b", r"(?iuU)^Results\s*\(\s*stage\b", r"(?iu)^Bib\.?\s+Name$", r"(?iu)^mit\s+weniger$")
 JUNK_NAME = r"^[\d\s:.,()/-]*$"
 JUNK_NAMES = (
     "empty", "vacant", "leer", "frei", "orientierungslauf-club", "orientierungslauf club", "austria cup",
@@ -163,7 +164,39 @@ REGION_COMPACT = {"W": "WIEN", "N": "NOE", "B": "BGLD", "ST": "STMK", "O": "OOE"
 REGION_NATION_CODES = {"w": "WIEN", "nö": "NOE", "noe": "NOE", "b": "BGLD", "st": "STMK"}
 REGIONAL_TITLE = r"(?iuU)(?:\b(?:lm|lms|ms|km)\b|meisterschaft|landesmeister|landes[- ]?ms)"
 REGIONAL_FRAME = r"(?iu)(?:rahmen(?:bewerb)?|gäste?|offen|neu(?:ling(?:e)?)?|fam(?:il(?:ie|ien|y)|iliy)?|kids?|kinderfähnchen|bahn|lyceum)"
-CITY_NOT_REGION = r"(?iu)wiener\s+neustadt|wr\.?\s*neustadt"
+CITY_NOT_REGION = r"(?iu)wiener\s+neust(?:adt|ädter)"
+#: What is no region's name or code in a title, and what it becomes: the city, national titles, disciplines, matches of regions, dotted codes.
+REGION_NOISE = (
+    (CITY_NOT_REGION, ""),
+    (r"(?iuU)\b(?:Ö|OE)\s*\(\s*ST\s*\)\s*M\b|\b(?:Ö|OE)\s*ST\s*M\b|\b(?:Ö|OE)\s*M\b", ""),
+    (r"(?iuU)\b(?:Ski|MTB)\s*[- ]\s*O\b", ""),
+    (r"(?iuU)\bLänder(?:vergleich|kampf)\b[^,/;]*", ""),
+    (r"(?iuU)\bN\s*\.\s*Ö\b", "NÖ"),
+    (r"(?iuU)\bO\s*\.\s*Ö\b", "OÖ"),
+)
+REGION_CODE_ALONE = r"((?<![A-Za-z])(?:W|N|ST|O|S|T|K|V)(?![A-Za-z])|(?<![A-Za-z0-9])B(?![A-Za-z]))"
+#: Where a code may stand in a class: before a gender, behind an age, or in brackets.
+REGION_CODE_BEFORE = r"^\s*(ST|W|N|B|O|S|T|K|V)\s+(?=(?:D(?:AMEN)?|H(?:ERREN)?)(?:\b|[-\d]))"
+REGION_CODE_BEHIND = r"(?:D(?:AMEN)?|H(?:ERREN)?)\s*-?\s*\d[^/]*?[-, ]\s*(ST|W|N|B|O|S|T|K|V)\s*$"
+REGION_CODE_JOINED = r"(?:D(?:AMEN)?|H(?:ERREN)?)\s*-?\s*\d+\s*(ST|W|N|B|O|S|T|K|V)\s*$"
+REGION_CODE_INSIDE = r"(?<![A-Z0-9])(ST|W|N|B|O|S|T|K|V)(?![A-Z])"
+REGION_SEGMENT = r"(?iu)/(?=\s*(?:D(?:amen)?|H(?:erren)?)\s*-?\s*\d)"
+REGION_DIVISION = r"(?iu)\d\s*-?\s*([AB])(?:\s*-|\s*$)"
+REGION_GENDERS = (
+    (r"(?iuU)^(?:Damen\s*\+?&?\s*Herren|Herren\s*\+?&?\s*Damen)\b", "DH"),
+    (r"(?iu)^Damen(?=[\s\d-])", "D"),
+    (r"(?iu)^Herren(?=[\s\d-])", "H"),
+    (r"(?iuU)^(?:D\s*\+\s*H|H\s*\+\s*D)\b", "DH"),
+)
+REGION_DOCUMENT = {"WIEN": r"(?iu)wien(?:er)?[-_ ]?wertung|wr[-_ ]?wertung", "NOE": r"(?iu)n(?:ö|oe)[-_ ]?wertung|niederösterreich[-_ ]?wertung", "BGLD": r"(?iu)bgld[-_ ]?wertung|burgenland[-_ ]?wertung"}
+REGION_FOREIGN = r"(?iu)(?:^|[-_/()\s])(?:SLO|SVN|CZE|CZ|SVK|HUN|GER|DEU|ITA|FIN|POL|CRO|HRV|SUI|CHE)(?:$|[-_/()\s])"
+REGION_NO_STATE = r"(?iu)^\s*[MW]\s*-?\s*\d|^\s*N\s*$|^\s*AT-(?:N|F|OFF(?:-L)?)\s*$|^\s*R(?:\s|[-_])"
+REGION_NO_TITLE = r"(?iu)Schul|Vereinsmeister"
+NOT_CITY_TITLE = r"(?iu)Wiener\s+Neust(?:adt|ädter)|Schul|Vereinsmeister"
+REGION_EAST_TITLE = r"(?iuU)\bLM\s+Nacht\s*\(?\s*Ost\s*\)?"
+REGION_EAST = ("WIEN", "NOE", "BGLD", "STMK")
+#: How a regional class is announced.
+REGION_PREFIX = {"WIEN": "Wien", "NOE": "NÖ", "BGLD": "Burgenland", "STMK": "Steiermark", "OOE": "OÖ", "SBG": "Salzburg", "TIR": "Tirol", "KTN": "Kärnten", "VBG": "Vorarlberg"}
 GUEST_CODE = r"^[0-9]{4} - "
 GUEST_TEAM = r"(?iu)^AA "
 GUEST_TEAM_HOME = r"(?iu)^AA .*(?:kärnten|steiermark)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.numbers import hash_id
-from ..functions.text import compact_regions, min_age, open_eligible, regions, state_eligible, title_championships
+from ..functions.text import min_age, open_eligible, state_eligible, title_championships
 from .units import team_key
 
 
@@ -160,25 +160,6 @@ def awards(results: DataFrame, instance: str = "instance_id", place: str = "nati
     return won.select(hash_id("award", instance, "result_id").alias("award_id"), instance, "result_id", medal.alias("medal"), F.col(place).alias("place"), F.when(F.col(state) == "eligible", "derived").otherwise("provisional").alias("state"))
 
 
-def regional_mappings(lists: DataFrame) -> DataFrame:
-    """list_id, region, evidence, confidence for every region that a list's class, document or titles claim.
-
-    A class that names regions itself is the strongest; a document name is next; titles count where
-    they speak of a championship and the class is no frame class.
-    """
-    frame = F.col("category").rlike(X.REGIONAL_FRAME)
-    in_category = F.array_distinct(F.concat(regions("category"), compact_regions("category")))
-    in_document = F.when(F.col("file_name").rlike(X.REGIONAL_TITLE), regions("file_name")).otherwise(F.array().cast("array<string>"))
-    titles = F.concat_ws(" ", "event_title", "stage_title")
-    in_title = F.when(titles.rlike(X.REGIONAL_TITLE), regions(titles)).otherwise(F.array().cast("array<string>"))
-    entry = lambda e, c: lambda r: F.struct(r.alias("region"), F.lit(e).alias("evidence"), F.lit(c).alias("confidence"))
-    every = F.concat(F.transform(in_category, entry("category", 1.0)), F.transform(in_document, entry("document", 1.0)), F.transform(in_title, entry("event_title", 0.55)))
-    out = lists.filter(~frame).select("list_id", F.explode(every).alias("m")).select("list_id", "m.*")
-    strength = F.element_at(F.create_map(*[F.lit(x) for kv in X.EVIDENCE_ORDER.items() for x in kv]), F.col("evidence"))
-    n = F.row_number().over(Window.partitionBy("list_id", "region").orderBy(strength.desc()))
-    return out.withColumn("_n", n).filter("_n = 1").drop("_n")
-
-
 def partitioned_claims(units: DataFrame) -> DataFrame:
     """One region for each stage and unit: confirmed instances first, then the strongest evidence, then the mapping's id.
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions import numbers as N
 from ranklake.functions import text as T
+from ranklake.operators import regional as RG
 
 
 def values(spark, f, inputs):
@@ -30,12 +31,21 @@ CASES = [
     (T.declared_count, ["H 21 (14)", "H 21 (5 / 8)", "M 21 (1"], [14, 5, None]),
     (T.championship_of, ["Österr. Meister 2022", "Staatsmeisterin", "Niederösterreichischer Meister", "und ÖM"], ["ÖM", "ÖSTM", None, "ÖM"]),
     (T.regions, ["Wiener Neustadt", "Wiener MS", "NÖ und Steiermark"], [[], ["WIEN"], ["NOE", "STMK"]]),
-    (T.compact_regions, ["W D-14", "ST-H21", "D-14"], [["WIEN"], ["STMK"], []]),
+    (T.compact_regions, ["W D-14", "D45-W", "D19ST", "H35(W,NÖ)", "ST-H21", "W -14", "D-14"], [["WIEN"], ["WIEN"], ["STMK"], ["WIEN"], [], [], []]),
+    (RG.title_regions, ["Wiener Neustadt ÖM", "NÖ, W und ST", "Ski-O N.Ö.", "Ländervergleich Tirol, B"], [[], ["NOE", "WIEN", "STMK"], ["NOE"], ["BGLD"]]),
+    (RG.segments, ["D40-(St,B)/D45-(NÖ,W)", "D19-Bgld/NÖ", "H35"], [["D40-(St,B)", "D45-(NÖ,W)"], ["D19-Bgld/NÖ"], ["H35"]]),
+    (RG.regional_key, ["D19 A", "H21-B-", "D45", "H 40"], ["d19a", "h21b", "d45", "h40"]),
+    (RG.is_city_candidate, ["Wiener Meisterschaft", "Wiener Neustädter Meisterschaft", "Wien Schulmeisterschaft", "Lauf in Wien"], [True, False, False, False]),
+    (lambda x: RG.canonical_category(x, F.array(F.lit("STMK"), F.lit("BGLD")), F.array(F.lit("STMK"), F.lit("BGLD"))), ["D40-(St,B)", "Damen 40 Steiermark", "ST H 21", "D35 B", "H12(W)", "Damen + Herren 12"], ["D40", "D 40", "H 21", "D35", "H12(W", "DH 12"]),
+    (T.is_junk_name, ["", "12:30 (4)", "Etappe 3", "Bib. Name", "Austria Cup", "Anna Berg", None], [True, True, True, True, True, False, True]),
+    (lambda x: T.regional_label(F.lit("NOE"), x), ["D 14", "H 45", "H21 E", "DH -12", "Offen"], ["NÖ Damen -14", "NÖ Herren 45-", "NÖ Herren 21 Elite", "NÖ Damen und Herren -12", "NÖ Offen"]),
+    (T.club_key, ["OLG Groß", "OLG GROSS", " Óc-Fürst. 1"], ["olggross", "olggross", "ocfurst1"]),
+    (T.relay_club_key, ["Naturfreunde Wiener Neustadt", "Laufklub Kompass Innsbruck Orienteering"], ["nfwrneust", "lkinnsbruck"]),
     (T.category_key, ["D21E", "Damen ab 21 Elite", "H-14", "Herren bis 12", "Herren", "Offen Lang"], ["d21e", "d21e", "h14", "h12", "h21e", "offenlang"]),
     (T.age_group, ["D-14", "H35-", "ab 45", "H 21", "Elite"], ["youth", "senior", "senior", None, None]),
     (T.stage_title, ["Weekend - Ergebnis - ÖM Nacht", "ÖM Mittel 2016 - Ergebnis", "Lauf"], ["ÖM Nacht", "ÖM Mittel 2016", None]),
     (T.is_junk_document, ["x-split.html", "results-after-e3.html", "erg.html"], [True, True, False]),
-    (N.parse_time, ["26:21", "1:02:33", "114:08", "x"], [1581, 3753, 6848, None]),
+    (N.parse_time, ["26:21", "1:02:33", "114:08", "x", "\t26:21\u00a0", "26:21\n"], [1581, 3753, 6848, None, 1581, 1581]),
     (N.parse_time_loose, ["19:24 (*)", "-32:10", "Zeit 22:46 (+)"], [1164, None, 1366]),
     (N.sheet_duration, ["32:10:00", "26:21"], [1930, 1581]),
     (N.format_time, ["59", "3753", "600"], ["0:59", "1:02:33", "10:00"]),
