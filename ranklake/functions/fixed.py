@@ -205,7 +205,7 @@ CLUBLESS = r"(?iu)vereins?los|verienslos|kein\s*verein|ohne\s*verein|no\s*club|c
 EVIDENCE_ORDER = {"source_nat": 4, "document": 3, "category": 2, "event_title": 1}
 IDENTITY_CONFIDENCE = {"registry_year": 0.99, "registry_club": 0.95, "with_year": 0.75, "without_year": 0.55, "direct": 1.0}
 SEVERITY_WEIGHT = {"blocker": 10000, "warning": 100, "info": 1}
-OWNER_WEIGHT = {"parser": 50, "source": 30, "identity": 5, "review": 2}
+OWNER_WEIGHT = {"parser": 50, "rules": 30, "review": 5, "source": 2}
 MEDALS = {1: "gold", 2: "silver", 3: "bronze"}
 EVENT_STAGE_BASE, DATED_STAGE_BASE, MAPPED_STAGE_BASE = 10_000_000, 20_000_000, 30_000_000
 SYNTHETIC_ID_BITS = 62

@@ -13,7 +13,7 @@ from .units import team_key
 
 def api_tag(championships: Column) -> Column:
     """The first national type in an array of short names."""
-    return F.element_at(F.filter(championships, lambda c: c.isin("ÖM", "ÖSTM")), 1)
+    return F.get(F.filter(championships, lambda c: c.isin("ÖM", "ÖSTM")), 0)
 
 
 def title_fallback(results: DataFrame, stages: DataFrame, events: DataFrame) -> DataFrame:

@@ -67,6 +67,19 @@ def needs_fetch(df: DataFrame, fetched: str, date: str, cutoff: str, force: bool
     return df if force else df.filter(F.col(fetched).isNull() | (F.col(date) >= F.lit(cutoff)))
 
 
+def needs_index(events: DataFrame, date: str, known: str, selected: str, needs: str, today: str, cutoff: str | None = None, force: bool = False) -> DataFrame:
+    """Past events whose attachment index is to be read again.
+
+    It is unknown, the event is selected or recent, or all are forced; and the event is selected or
+    needs attachments (no usable structured results, or a sign of a championship). A null date is
+    in the future; null flags are false.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    recent = F.coalesce(F.col(date) >= F.lit(cutoff), F.lit(False)) if cutoff else F.lit(False)
+    asked = F.lit(force) | ~flag(known) | flag(selected) | recent
+    return events.filter(F.coalesce(F.col(date), F.lit("9999")).substr(1, 10) <= F.lit(today)).filter(asked & (flag(selected) | flag(needs)))
+
+
 def is_unreadable(value: str, fragments: list[str] | None = None) -> Column:
     """Question marks only, a negative time, or a registered fragment."""
     v = _t(value)

@@ -5,20 +5,25 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written below spark.checkpoint.dir, read back without its plan and its size estimate.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, not made yet.
 
     Where the setting is unset, a local master gets a folder of its own; any other is refused.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file:///tmp/ranklake-{os.getuid()}"
-    path = f"{folder.rstrip('/')}/ranklake/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/ranklake/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written below the shared folder, read back without its plan and its size estimate."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from ..functions.numbers import hash_id
 from ..functions.text import _t, family_class
 from .filters import is_unreadable
 from .ordering import numbered
+from .units import team_key
 
 FINDING = ("list_id", "result_id", "code", "severity", "auto_resolvable")
 
@@ -154,12 +155,28 @@ def decided(assertions: DataFrame, decisions: DataFrame, lists: DataFrame) -> Da
     return keep.unionByName(d.select(*keep.columns))
 
 
-def report(issues: DataFrame, lists: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Lists with issues: score by severity and owner of the rule, most urgent first (place)."""
-    weight = lambda table, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.lit(0))
-    scored = issues.join(F.broadcast(catalog.select("code", "owner", "domain")), "code", "left").withColumn("w", weight(X.SEVERITY_WEIGHT, "severity") + weight(X.OWNER_WEIGHT, "owner"))
-    per = scored.groupBy("list_id").agg(F.sum("w").alias("score"), F.count("*").alias("issues"), F.count_if(F.col("severity") == "blocker").alias("blockers"))
-    out = per.join(lists, "list_id")
+def _scored(issues: DataFrame, catalog: DataFrame) -> DataFrame:
+    """list_id, score, issues, blockers: weights by severity (unknown: 1) and by owner of the rule (unknown: none)."""
+    weight = lambda table, c, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.lit(other))
+    scored = issues.join(F.broadcast(catalog.select("code", "owner", "domain")), "code", "left").withColumn("w", weight(X.SEVERITY_WEIGHT, "severity", 1) + weight(X.OWNER_WEIGHT, "owner", 0))
+    return scored.groupBy("list_id").agg(F.sum("w").alias("score"), F.count("*").alias("issues"), F.count_if(F.col("severity") == "blocker").alias("blockers"))
+
+
+def report_by_source(issues: DataFrame, lists: DataFrame, catalog: DataFrame, source: list[str]) -> DataFrame:
+    """Sources with their lists that have issues: score, issues and lists."""
+    return _scored(issues, catalog).join(lists, "list_id").groupBy(*source).agg(F.sum("score").alias("score"), F.sum("issues").alias("issues"), F.count("*").alias("lists"))
+
+
+def report(issues: DataFrame, lists: DataFrame, catalog: DataFrame, campaign: str | None = None) -> DataFrame:
+    """Lists with issues: score by severity and owner of the rule, most urgent first (place).
+
+    campaign names a column of tiers that go before the score (null last); with it, date, event_id
+    and category, where lists have them, break ties before the list's id does.
+    """
+    out = _scored(issues, catalog).join(lists, "list_id")
+    if campaign:
+        ties = [F.col(c).asc_nulls_first() for c in ("date", "event_id", "category") if c in lists.columns]
+        return numbered(out, [F.col(campaign).asc_nulls_last(), F.col("score").desc(), *ties, F.col("list_id").asc()], "place")
     return numbered(out, [F.col("score").desc(), F.col("list_id").asc()], "place")
 
 
@@ -174,7 +191,9 @@ def auto_confirmable(lists: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def invariants(t: dict[str, DataFrame]) -> DataFrame:
-    """check, violations: what a build must never hold. t: result, result_list, award, entry, ledger, membership (those present are checked)."""
+    """check, violations: what a build must never hold. t: result and
+    result_list, and of award, entry, evidence with evidence_match, membership with person those present.
+    """
     rules: list[tuple[str, DataFrame]] = []
     r = t["result"]
     rules += [
@@ -189,8 +208,9 @@ def invariants(t: dict[str, DataFrame]) -> DataFrame:
         ("ooc_championship", r.filter(F.col("out_of_competition") & F.col("championship").isNotNull())),
     ]
     if "award" in t:
-        a = t["award"].join(r.select("result_id", "person_id", "eligibility", "result_kind"), "result_id", "left")
+        a = t["award"].join(r.select("result_id", "person_id", "eligibility", "result_kind", team_key("team_number", "team_name", "club").alias("_team")), "result_id", "left")
         rules += [
+            ("duplicate_relay_award", a.filter("result_kind = 'relay'").groupBy("instance_id", "person_id", "_team").count().filter("count > 1")),
             ("duplicate_individual_award", a.filter("result_kind = 'individual'").groupBy("instance_id", "person_id").count().filter("count > 1")),
             ("award_without_eligibility", a.filter(~F.coalesce("eligibility", F.lit("")).isin("eligible", "provisional"))),
             ("award_without_result", a.filter(F.col("result_kind").isNull())),
@@ -199,7 +219,13 @@ def invariants(t: dict[str, DataFrame]) -> DataFrame:
         rules += [
             ("double_region", t["entry"].groupBy("result_id").agg(F.count_distinct("region").alias("n")).filter("n > 1")),
             ("entry_without_result", t["entry"].join(r.select("result_id"), "result_id", "left_anti")),
+            ("family_in_region", t["entry"].join(r.filter("result_kind = 'family'").select("result_id"), "result_id", "left_semi")),
         ]
+    if "evidence" in t:
+        rules.append(("unmatched_inclusion", t["evidence"].filter("scope = 'inclusion'").join(t["evidence_match"].select("evidence_id"), "evidence_id", "left_anti")))
+    exact = ["list_id", "person_id", "observed_name", "observed_club", "rank", "observed_status", "observed_time"]
+    if set(exact) <= set(r.columns):
+        rules.append(("duplicate_individual_result", r.filter("result_kind = 'individual'").groupBy(*exact).count().filter("count > 1")))
     if "membership" in t and "person" in t:
         rules.append(("membership_without_person", t["membership"].join(t["person"].select("person_id"), "person_id", "left_anti")))
     one = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in rules]

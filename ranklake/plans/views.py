@@ -24,6 +24,39 @@ def _of_season(df: DataFrame, year: int | None) -> DataFrame:
     return out.filter(F.col("season") == year) if year is not None else out
 
 
+#: Addresses of views and what their parts are, in order; the first that begins an address reads it. Fixed values.
+ROUTES = (
+    ("runner", r"^#/runner/(-?\d+)(?:/(\d{4}))?", ("id", "year")),
+    ("event", r"^#/event/(\d+)(?:/stage/(\d+))?(?:(?:/(om))|(?:/lm/(WIEN|NOE|BGLD|STMK|OOE|SBG|TIR|KTN|VBG)))?", ("id", "stage", "scope", "region")),
+    ("club_non_starters", r"^#/club/([^/]+)/dns(?:/(\d{4}|alle))?(?:/(event|runner))?", ("id", "year", "scope")),
+    ("club", r"^#/club/([^/]+)(?:/(\d{4}))?/lm/(WIEN|NOE|BGLD|STMK|OOE|SBG|TIR|KTN|VBG)/?$", ("id", "year", "region")),
+    ("club", r"^#/club/([^/]+)(?:/(\d{4}))?(?:/(om))?(?:/(members))?", ("id", "year", "scope", "scope")),
+    ("clubs", r"^#/clubs(?:/(\d{4}))?/lm/(WIEN|NOE|BGLD|STMK|OOE|SBG|TIR|KTN|VBG)/?$", ("year", "region")),
+    ("clubs", r"^#/clubs(?:/(\d{4}))?(?:/(om))?(?:/(members))?", ("year", "scope", "scope")),
+    ("runners", r"^#/runners(?:/(\d{4}))?/lm/(WIEN|NOE|BGLD|STMK|OOE|SBG|TIR|KTN|VBG)/medals/?$", ("year", "region")),
+    ("runners", r"^#/runners(?:/(\d{4}))?(?:/(om))?(?:/(medals))?", ("year", "scope", "scope")),
+    ("events", r"^#/events(?:/(\d{4}))?/lm/(WIEN|NOE|BGLD|STMK|OOE|SBG|TIR|KTN|VBG)(?:/(top3))?/?$", ("year", "region", "scope")),
+    ("events", r"^#/events(?:/(\d{4}))?(?:/(om))?(?:/(top3))?", ("year", "scope", "scope")),
+)
+
+
+def route(address: Column) -> dict[str, Column]:
+    """view, id, stage, year, scope, region that an address asks for; what no route begins is the list of events.
+
+    scope is the last word of the address that narrows the view (members, medals, top3, om, a grouping).
+    """
+    out = {"view": F.lit("events"), **{k: F.lit(None).cast("int" if k in ("year", "stage") else "string") for k in ("id", "stage", "year", "scope", "region")}}
+    for view, pattern, parts in reversed(ROUTES):
+        hit = address.rlike(pattern)
+        found: dict[str, Column] = {}
+        for i, part in enumerate(parts, 1):
+            value = F.nullif(F.regexp_extract(address, pattern, i), F.lit(""))
+            value = value.try_cast("int") if part in ("year", "stage") else F.url_decode(value) if part == "id" else value
+            found[part] = F.coalesce(value, found[part]) if part in found else value
+        out = {k: F.when(hit, F.lit(view) if k == "view" else found.get(k, F.lit(None))).otherwise(v) for k, v in out.items()}
+    return out
+
+
 def person_results(result: DataFrame) -> DataFrame:
     """Results of people, a relay once for each team."""
     team = F.coalesce(F.concat(F.lit("n:"), "team_number"), F.concat(F.lit("t:"), "team_name"))

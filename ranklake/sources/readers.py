@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,21 @@ def member_registry(spark: SparkSession, csv: str, json: str | None = None) -> D
     return optional_json(spark, json, S.MEMBERS) if json else spark.createDataFrame([], S.MEMBERS)
 
 
+def member_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """key, kind, target, targets of a hand-kept ledger of members: one row an entry; a missing or unreadable file is an empty one.
+
+    Kinds: alias (a name key to a member id), not_member, internal_member, club_override (to a
+    club; null for none) and split_override (one garbled name to several people).
+    """
+    schema = "aliases map<string,string>, not_member array<string>, internal_member map<string,string>, club_override map<string,string>, split_override map<string,array<struct<name:string,id:string>>>"
+    m = optional_json(spark, path, schema)
+    none = F.lit(None).cast("array<struct<name:string,id:string>>").alias("targets")
+    out = [m.select(F.explode(c).alias("key", "target")).select("key", F.lit(kind).alias("kind"), "target", none) for c, kind in (("aliases", "alias"), ("internal_member", "internal_member"), ("club_override", "club_override"))]
+    out.append(m.select(F.explode("not_member").alias("key")).select("key", F.lit("not_member").alias("kind"), F.lit(None).cast("string").alias("target"), none))
+    out.append(m.select(F.explode("split_override").alias("key", "targets")).select("key", F.lit("split_override").alias("kind"), F.lit(None).cast("string").alias("target"), "targets"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def official_clubs(current: DataFrame, historical: DataFrame) -> DataFrame:
     return current.select("name").union(historical.select("name")).distinct()
 
@@ -170,8 +186,6 @@ def locked_transcripts(transcripts: DataFrame, files: DataFrame) -> DataFrame:
 
 def club_dictionary(*names: DataFrame) -> DataFrame:
     """Every club name seen anywhere that has three characters and two letters in a row."""
-    from functools import reduce
-
     every = reduce(DataFrame.union, [n.select(F.trim(n.columns[0]).alias("club")) for n in names]).distinct()
     return every.filter((F.length("club") >= 3) & F.col("club").rlike(r"(?U)\p{L}{2}"))
 
