@@ -18,7 +18,7 @@ from ..operators import quality as Q
 from ..operators import regional as RG
 from ..operators import units as U
 from ..operators.lineage import new_folder
-from ..sources import readers, writers
+from ..sources import html, layout, readers, writers
 from . import views as V
 from .queries import QUERIES, SQL, query
 from .tables import R, read, results
@@ -619,3 +619,103 @@ def r15_routes(spark, sf):
     hashes = ["#/runner/12/2024", "#/event/7/om", "#/event/7/stage/3/lm/WIEN", "#/club/NF%20Wien/2023/members", "#/club/NF%20Wien/dns", "#/clubs/2024/lm/TIR", "#/runners/2024/medals", "#/events/top3", "#/nothing"]
     r = V.route(in_turn(hashes, "p_partkey"))
     return read(spark, sf, "part").select("p_partkey", *[r[c].alias(c) for c in ("view", "id", "year", "scope", "region")])
+
+
+# parsers: lists written in a shape, then read back ------------------------------------------------
+
+
+def _pages(r: DataFrame, line: Column, head: Column, key: str = "list_id") -> DataFrame:
+    """A document a list: a head, then a line a row in order."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "\n")
+    return r.groupBy(key).agg(F.count("*").alias("n"), lines.alias("lines")).select(key, F.concat(head, F.col("lines")).alias("html"))
+
+
+_TIME_SQL = "(time_s // 60)::VARCHAR || ':' || lpad((time_s % 60)::VARCHAR, 2, '0')"
+_AS = "list_id, (seq - 1)::INT AS row_pos, rank, 'Person ' || chr(65 + (person_id % 26)::INT) AS name, club"
+
+
+def _person() -> Column:
+    return F.concat(F.lit("Person "), F.chr(65 + F.col("person_id") % 26))
+
+
+def _td(*cells: Column) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(c.cast("string"), F.lit("")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
+@query(R + f"SELECT {_AS}, {_TIME_SQL} AS time_text FROM r")
+def p22_dispatched_shapes(spark, sf):
+    """Lists in four shapes in turn: a table of labels, a fixed-width report, a club table, the report within a page."""
+    r = results(spark, sf)
+    rank, time = F.coalesce(F.col("rank").cast("string"), F.lit("")), N.format_time("time_s")
+    n, lit = F.col("n").cast("string"), F.lit
+    fixed = F.concat(F.rpad(rank, 5, " "), F.rpad(_person(), 25, " "), F.rpad("club", 25, " "), F.lpad(time, 8, " "))
+    report = F.concat(lit("Klasse A ("), n, lit(")\n"), lit("Pl".ljust(5) + "Name".ljust(25) + "Verein".ljust(25) + "   Zeit\n"))
+    table = F.concat(lit("<table><tr><td>Klasse A ("), n, lit(")</td></tr><tr><th>Pl<th>Name<th>Verein<th>Zeit</tr>"))
+    counted = F.concat(lit("<table><tr><td>Klasse A</td><td>("), n, lit("/"), n, lit(")</td><td>Zeit</td></tr>"))
+    cells = _td(rank, _person(), F.col("club"), time)
+    shapes = [_pages(r.filter("list_id % 4 = 0"), cells, table), _pages(r.filter("list_id % 4 = 1"), fixed, report), _pages(r.filter("list_id % 4 = 2"), cells, counted)]
+    inside = _pages(r.filter("list_id % 4 = 3"), fixed, report)
+    docs = shapes[0].union(shapes[1]).union(shapes[2]).union(inside.select("list_id", F.concat(lit("<html><pre>"), "html", lit("</pre></html>"))))
+    got = html.flattened(html.parsed(docs, "html", "list_id", layout.dispatched), "list_id")
+    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")
+
+
+_TEAM_ROWS = R + f""", t AS (SELECT *, {_TIME_SQL} AS time_text, 'Team ' || chr(65 + (seq - 1)::INT % 26) AS team FROM r WHERE seq <= 26)
+SELECT list_id, (2 * (seq - 1) + i - 1)::INT AS row_pos, seq::INT AS rank, team, i::INT AS leg, CASE WHEN i = 1 THEN 'Anna B' ELSE 'Eva C' END AS name, time_text, (time_s * 2 // 60)::VARCHAR || ':' || lpad((time_s * 2 % 60)::VARCHAR, 2, '0') AS team_time FROM t, (VALUES (1), (2)) v(i)"""
+
+
+def _teams(spark, sf) -> tuple[DataFrame, Column, Column, Column]:
+    r = results(spark, sf).filter("seq <= 26")
+    return r, F.concat(F.lit("Team "), F.chr(65 + (F.col("seq") - 1) % 26)), N.format_time("time_s"), N.format_time(F.col("time_s") * 2)
+
+
+@query(_TEAM_ROWS)
+def p21_relay_text(spark, sf):
+    r, team, time, both = _teams(spark, sf)
+    line = F.concat(F.col("seq").cast("string"), F.lit(" "), (F.col("seq") + 100).cast("string"), F.lit(" "), team, F.lit(" "), both, F.lit("\nName Jg Zeit\nAnna B 13 "), time, F.lit("\nEva C "), time)
+    docs = _pages(r, line, F.concat(F.lit("Klasse A ("), F.col("n").cast("string"), F.lit(")\nPl Stnr Staffel Zeit\n")))
+    got = html.flattened(html.parsed(docs, "html", "list_id", layout.dispatched), "list_id")
+    return got.select("list_id", "row_pos", "rank", "team", "leg", "name", "time_text", "team_time")
+
+
+@query(_TEAM_ROWS)
+def p6_numbered_relay(spark, sf):
+    r, team, time, both = _teams(spark, sf)
+    none, lit = F.lit(""), F.lit
+    member = lambda n, name: _td(none, lit(f"{n}."), lit(name), time, lit("x"), none)
+    line = F.concat(_td(none, F.concat(F.col("seq").cast("string"), lit(".")), team, both), member(1, "Anna B"), member(2, "Eva C"))
+    docs = _pages(r, line, F.concat(lit("<table><tr><td></td><td>Klasse A</td><td>("), F.col("n").cast("string"), lit(" / "), F.col("n").cast("string"), lit(")</td></tr>")))
+    got = html.flattened(html.parsed(docs, "html", "list_id", layout.dispatched), "list_id")
+    return got.select("list_id", "row_pos", "rank", "team", "leg", "name", "time_text", "team_time")
+
+
+@query(R + f"SELECT list_id, i::INT AS stage, {_AS.removeprefix('list_id, ')}, CASE WHEN i = 1 THEN {_TIME_SQL} ELSE (time_s * 2 // 60)::VARCHAR || ':' || lpad((time_s * 2 % 60)::VARCHAR, 2, '0') END AS time_text FROM r, (VALUES (1), (2)) v(i)")
+def p9_multistage(spark, sf):
+    r = results(spark, sf)
+    cells = _td(F.col("rank"), _person(), F.col("club"), N.format_time("time_s"), N.format_time(F.col("time_s") * 2))
+    docs = _pages(r, cells, F.concat(F.lit("<table><tr><td>Klasse A ("), F.col("n").cast("string"), F.lit(")</td></tr><tr><th>Pl<th>Name<th>Verein<th>Zeit 1<th>Zeit 2</tr>")))
+    got = html.parsed_stages(docs, 2, "html", "list_id")
+    rows = got.select("list_id", "stage", F.explode("classes").alias("c")).select("list_id", "stage", F.posexplode("c.results").alias("row_pos", "r"))
+    return rows.select("list_id", "stage", "row_pos", "r.rank", "r.name", "r.club", "r.time_text")
+
+
+@query(R + f"SELECT {_AS}, {_TIME_SQL} AS time_text FROM r")
+def p18_positioned_pages(spark, sf):
+    """Lists as pages of positioned words, three rows a page, with titles and page numbers that are no rows."""
+    r = results(spark, sf).withColumn("page", F.expr("(seq - 1) div 3"))
+    word = lambda x, top, t: F.struct(F.lit(float(x)).alias("x0"), top.cast("double").alias("top"), t.cast("string").alias("text"))
+    top = 60 + (F.col("seq") - 1) % 3 * 12
+    rank = F.when(F.col("rank").isNotNull(), F.array(word(10, top, F.col("rank"))))
+    club = [F.split_part("club", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    row = F.concat(F.coalesce(rank, F.array().cast("array<struct<x0:double,top:double,text:string>>")), F.array(word(60, top, F.lit("Person")), word(110, top, F.chr(65 + F.col("person_id") % 26)), word(200, top, club[0]), word(230, top, club[1]), word(300, top, N.format_time("time_s"))))
+    n = F.count("*").over(Window.partitionBy("list_id"))
+    body = r.withColumn("n", n).groupBy("list_id", "page", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("w")))), lambda x: x["w"])).alias("body"))
+    at = lambda t: F.lit(float(t))
+    labels = F.array(*[word(x, at(40), F.lit(t)) for x, t in ((10, "Pl"), (60, "Name"), (200, "Verein"), (300, "Zeit"))])
+    head = F.when(F.col("page") == 0, F.array(word(10, at(20), F.lit("Klasse")), word(40, at(20), F.lit("A")), word(60, at(20), F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")")))))
+    plain = F.array(word(10, at(5), F.lit("Cup")), word(10, at(800), F.lit("Seite")), word(50, at(800), F.col("page") + 1))
+    keep = F.when(F.col("n") > 3, plain)  # a document of one page has no furniture to tell
+    none = F.array().cast("array<struct<x0:double,top:double,text:string>>")
+    pages = body.select("list_id", "page", F.concat(F.coalesce(keep, none), F.coalesce(head, none), labels, "body").alias("words"))
+    got = html.flattened(layout.parsed_pages(pages, "list_id"), "list_id")
+    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: what headers, times, ranks and labels look like ---
 HEADER = re.compile(r"^(?P<name>.*\S)\s*\(\s*(?P<n>\d+)\s*(?:/\s*\d+\s*)?\)")
 TIME = re.compile(r"^\(?\s*\d{1,3}:\d{2}(?::\d{2})?")
 RANK = re.compile(r"^(\d{1,4})\.?$")
 
-#: Column labels and what they hold. Fixed values.
+#: Column labels and what they hold.
 LABELS = {
     "pl": "rank", "pl.": "rank", "platz": "rank", "pos": "rank", "place": "rank", "rang": "rank", "hely": "rank",
     "stnr": "bib", "st. no.": "bib", "rajtsz": "bib", "name": "name", "runner": "name", "név": "name", "teilnehmer": "name",
@@ -27,6 +28,9 @@ LABELS = {
 }
 
 
+# --- end of fixed values ---
+
+
 class Tables(HTMLParser):
     """Rows of every table as lists of cell texts; open rows and cells are closed by the next one, rows without cells are kept."""
 
@@ -229,7 +233,7 @@ def parse_multistage(html: str, stages: int) -> list[list[dict]]:
 
 CLASSES = (
     "array<struct<name:string,declared:int,results:array<struct<rank:int,name:string,club:string,time_text:string,"
-    "rank_text:string,bib:string,born:int,kind:string,team:string,leg:int>>>>"
+    "rank_text:string,bib:string,born:int,kind:string,team:string,leg:int,team_time:string,out_of_competition:boolean,legs:int>>>>"
 )
 
 
@@ -244,6 +248,18 @@ def parsed(docs: DataFrame, html: str = "html", key: str = "page_id", parser=par
     return docs.select(key, html).mapInPandas(run, f"`{key}` {kind}, classes {CLASSES}")
 
 
+def parsed_stages(docs: DataFrame, stages: int, html: str = "html", key: str = "page_id") -> DataFrame:
+    """key, stage, classes of documents whose rows have a time for each of `stages` stages; stages without classes are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, n, c) for k, h in zip(b[key], b[html], strict=True) for n, c in enumerate(parse_multistage(h or "", stages), 1) if c]
+            yield pd.DataFrame(rows, columns=[key, "stage", "classes"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, html).mapInPandas(run, f"`{key}` {kind}, stage int, classes {CLASSES}")
+
+
 def flattened(classes: DataFrame, key: str) -> DataFrame:
     """A row for each result, with the places that order them."""
     c = classes.select(key, F.posexplode("classes").alias("category_pos", "c"))

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .html import CLASSES, HEADER, LABELS, parse_document, parse_rows
+from .html import CLASSES, HEADER, LABELS, parse_bracket, parse_document, parse_rows
+from .relays import parse_club_table, parse_numbered_relay, parse_relay_text
 
 TIME_ROOM = 6  # characters a time may reach left of its label
 
@@ -98,8 +100,39 @@ def assign_columns(line: list[Word], heads: list[tuple[float, str]]) -> list[str
 
 
 def parse_words(words: list[Word], tolerance: float = 3.0) -> list[dict]:
-    """A page of positioned words; a line that stands on the page again and again is furniture."""
-    lines = group_lines(words, tolerance)
+    """A page of positioned words."""
+    return parse_pages([words], tolerance)
+
+
+def without_furniture(pages: list[list[list[Word]]], tolerance: float = 3.0) -> list[list[list[Word]]]:
+    """Pages of lines without those that stand on most pages at the same height: titles, footers, page numbers.
+
+    Digits count as alike, so that a page number is furniture too; lines of labels and of classes,
+    and those that hold a time, are none. A document of one page has none.
+    """
+    places: dict[tuple[str, int], set[int]] = {}
+    text = lambda line: re.sub(r"\d+", "0", " ".join(t for _, _, t in line))
+    spot = lambda line: round(sum(top for _, top, _ in line) / len(line) / (2 * tolerance))
+    for n, lines in enumerate(pages):
+        for line in lines:
+            for near in (-1, 0, 1):
+                places.setdefault((text(line), spot(line) + near), set()).add(n)
+
+    def stays(line: list[Word]) -> bool:
+        known = sum(t.lower() in LABELS for _, _, t in line)
+        plain = " ".join(t for _, _, t in line)
+        return known >= 2 or bool(HEADER.match(plain) or re.search(r"\d:\d{2}", plain)) or 2 * len(places[text(line), spot(line)]) <= len(pages)
+
+    return [[line for line in lines if stays(line)] for lines in pages] if len(pages) > 1 else pages
+
+
+def parse_pages(pages: list[list[Word]], tolerance: float = 3.0) -> list[dict]:
+    """Pages of positioned words as one document: furniture goes, labels hold on until the next ones.
+
+    Where a class has another number of rows than it declares, and its lines read as a flowing list
+    give just that number, the flowing list counts.
+    """
+    lines = [line for page in without_furniture([group_lines(p, tolerance) for p in pages], tolerance) for line in page]
     heads: list[tuple[float, str]] | None = None
     rows: list[list[str]] = []
     for line in lines:
@@ -112,7 +145,12 @@ def parse_words(words: list[Word], tolerance: float = 3.0) -> list[dict]:
             rows.append([" ".join(texts)])
         elif heads:
             rows.append(assign_columns(line, heads))
-    return merged_continuations(parse_rows(rows))
+    found = merged_continuations(parse_rows(rows))
+    if all(len(c["results"]) == c["declared"] for c in found):
+        return found
+    flowing = {c["name"]: c for c in parse_flowing("\n".join(" ".join(t for _, _, t in line) for line in lines))}
+    exact = lambda c: c["name"] in flowing and len(flowing[c["name"]]["results"]) == c["declared"] != len(c["results"])
+    return [flowing[c["name"]] if exact(c) else c for c in found]
 
 
 def two_columns(words: list[Word], middle: float) -> list[dict]:
@@ -165,24 +203,46 @@ def merged_continuations(classes: list[dict]) -> list[dict]:
     return out
 
 
-#: (predicate, parser) in the order they are asked; the first that fits reads the document.
-PARSERS: list[tuple[Callable[[str], bool], Callable[[str], list[dict]]]] = [
-    (lambda t: "<table" in t.lower() or "position:absolute" in t.lower().replace(" ", ""), parse_document),
-    (lambda t: "<pre" in t.lower(), lambda t: [c for block in pre_blocks(t) for c in parse_text(block)]),
-    (lambda t: re.search(r"(?im)^\s*pl\.?\s+.*\bname\b", t) is not None, parse_text),
-    (lambda t: re.search(r"(?m)^\d+\.?\s+.+\s{2,}\S+\s*\n\s+\S", t) is not None, parse_team_text),
-    (lambda t: re.search(r"(?m)^\d+[.)]?\s+\S+.*\s{2,}", t) is not None, parse_headerless),
-    (lambda t: True, parse_flowing),
+def _has(pattern: str) -> Callable[[str], bool]:
+    return lambda t: re.search(pattern, t) is not None
+
+
+#: Signatures in the order they are asked: a name, what a document must look like, and its parser. The first parser that finds a class reads the document.
+SIGNATURES: list[tuple[str, Callable[[str], bool], Callable[[str], list[dict]]]] = [
+    ("numbered relay", _has(r"(?is)<t[dh][^>]*>\s*\(\d+\s*/\s*\d+\)\s*<.*<t[dh][^>]*>\s*1\.?\s*<"), parse_numbered_relay),
+    ("club table", _has(r"(?is)\(\d+\s*/\s*\d+\)\s*</?t[dhr]|<t[dh][^>]*>\s*Zeit\s*</?t"), parse_club_table),
+    ("bracket", _has(r"(?i)viertelfinale|halbfinale|quarterfinal|semifinal"), parse_bracket),
+    ("tables", _has(r"(?i)<table|position:\s*absolute"), parse_document),
+    ("preformatted", _has(r"(?i)<pre"), lambda t: [c for block in pre_blocks(t) for c in dispatched(block)]),
+    ("relay text", _has(r"(?im)^\s*pl(?:atz)?\b.*\b(?:staffel|team|mannschaft)\b.*\b(?:zeit|time)\b"), parse_relay_text),
+    ("fixed width", _has(r"(?im)^\s*pl\.?\s+.*\bname\b"), parse_text),
+    ("team blocks", _has(r"(?m)^\d+\.?\s+.+\s{2,}\S+\s*\n\s+\S"), parse_team_text),
+    ("numbered lines", _has(r"(?m)^\d+[.)]?\s+\S+.*\s{2,}"), parse_headerless),
+    ("flowing", lambda t: True, parse_flowing),
 ]
 
 
 def dispatched(text: str) -> list[dict]:
-    for fits, parser in PARSERS:
-        if fits(text or ""):
-            return parser(text or "")
+    """Classes of a document by the first signature that fits and finds any, its rows repaired."""
+    for _, fits, parser in SIGNATURES:
+        if fits(text or "") and (found := parser(text or "")):
+            return [{**c, "results": [repaired(r) for r in c["results"]]} for c in found]
     return []
 
 
+def parsed_pages(pages: DataFrame, key: str = "page_id", page: str = "page", words: str = "words") -> DataFrame:
+    """key, classes of documents given as a row a page, with words as array<struct<x0, top, text>>."""
+    docs = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("n"), F.col(words).alias("w")))).alias("pages"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [parse_pages([[(w["x0"], w["top"], w["text"]) for w in p["w"]] if p["w"] is not None else [] for p in ps]) for ps in b["pages"]]
+            yield pd.DataFrame({key: b[key], "classes": out})
+
+    kind = pages.schema[key].dataType.simpleString()
+    return docs.mapInPandas(run, f"`{key}` {kind}, classes {CLASSES}")
+
+
 def parsed_words(pages: DataFrame, key: str = "page_id", words: str = "words") -> DataFrame:
     """key, classes of pages with words as array<struct<x0, top, text>>."""
 
@@ -198,6 +258,13 @@ def parsed_words(pages: DataFrame, key: str = "page_id", words: str = "words") -
 REPAIRS: dict[str, Callable[[dict], dict]] = {}
 
 
+def repaired(row: dict) -> dict:
+    """A row after every registered repair, in the order they were registered."""
+    for fix in REPAIRS.values():
+        row = fix(row)
+    return row
+
+
 def repair(name: str) -> Callable:
     """Register a repair of a row, to be applied by name."""
 
@@ -221,3 +288,16 @@ def unoverflowed(row: dict) -> dict:
     """A status at the end of the club cell belongs into the empty result cell."""
     m = re.match(r"(?i)^(.*?)\s+(aufg\.?|disq?\.?|fehlst\.?|n\.?\s*ang\.?|dnf|dns|mp)$", row["club"] or "")
     return {**row, "club": m[1], "time_text": m[2]} if m and not row["time_text"] else row
+
+
+@repair("interleaved")
+def untangled(row: dict) -> dict:
+    """A time whose figures stand between the letters of the club (`Beweg2u:0n4g:58`) is drawn out of it."""
+    club = row["club"] or ""
+    if row["time_text"] or not re.search(r"[^\W\d_]\d[^\W\d_]|[^\W\d_][\d:]+[^\W\d_]+[\d:]", club):
+        return row
+    at = re.search(r"\S*[^\W\d_][\d:]\S*$", club)
+    value = re.sub(r"[^\d:]", "", at[0]) if at else ""
+    if not re.fullmatch(r"\d{1,3}:\d{2}(?::\d{2})?", value):
+        return row
+    return {**row, "club": (club[: at.start()] + re.sub(r"[\d:]", "", at[0])).strip(), "time_text": value}
