@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.fixed import IDENTITY_CONFIDENCE
 from ..functions.numbers import synthetic_id
+from .lineage import cut
 
 
 def registry_match(rows: DataFrame, registry: DataFrame, key: str = "name_key", year: str = "birth_year", club: str = "club") -> DataFrame:
@@ -30,51 +33,62 @@ def registry_match(rows: DataFrame, registry: DataFrame, key: str = "name_key",
 def resolved(rows: DataFrame, key: str = "name_key", year: str = "birth_year", seq: str = "seq") -> DataFrame:
     """person_id, identity_state, confidence of every row, resolved within its name in the order of seq.
 
-    rows: name key, birth year, seq, user_id (direct, may be null), registry_id and basis (from
-    registry_match). A direct id is certain. A registry match is resolved. Else the name and year
-    seen before, any registered id of the name, a candidate of compatible year, or a new id.
-    State never crosses names, so each name is one group; a name's group is its rows alone.
+    rows: name key, birth year, seq (unique, of any type that has an order), user_id (direct, may be
+    null), registry_id and basis (from registry_match). A direct id is certain. A registry match is
+    resolved. Else the name and year seen before, any registered id of the name, a candidate of
+    compatible year, or a new id. State never crosses names.
+
+    Only the first of the rows that agree in year and ids changes what is known of a name, so that
+    first rows alone are walked through, a name at a time; the others take their outcome. The one
+    exception, rows without year and ids, go to the first registered id once there is one.
     """
-    fresh = rows.withColumn("_fresh", synthetic_id(F.col(key), F.col(year)))
-    schema = f"{fresh.schema.simpleString()[7:-1]},person_id:bigint,identity_state:string,identity_confidence:double"
+    own = [key, year, "user_id", "registry_id", "basis"]
+    first = rows.groupBy(*own).agg(F.min(seq).alias("_first"))
+    first = first.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("_first")))
+    first = cut(first.withColumn("_fresh", synthetic_id(F.col(key), F.col(year))), "identity-kinds")
+    kind = {c: first.schema[c].dataType.simpleString() for c in own}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq, kind="stable")
+        part = part.sort_values("_place")
         by_year: dict = {}
         registered: list[int] = []
         years: dict[int, object] = {}
         out = []
         none = lambda v: v is None or v is pd.NA or v != v
-        for r in part.itertuples(index=False):
-            y = getattr(r, year)
+        for name, y, user, registry, basis, place, fresh in part.itertuples(index=False):
             y = None if none(y) else int(y)
-            if not none(r.user_id):
-                p, state, sure = int(r.user_id), "resolved", IDENTITY_CONFIDENCE["direct"]
-            elif not none(r.registry_id):
-                p, state, sure = int(r.registry_id), "resolved", IDENTITY_CONFIDENCE[r.basis]
+            if not none(user):
+                p, state, sure = int(user), "resolved", IDENTITY_CONFIDENCE["direct"]
+            elif not none(registry):
+                p, state, sure = int(registry), "resolved", IDENTITY_CONFIDENCE[basis]
             else:
                 sure = IDENTITY_CONFIDENCE["with_year" if y is not None else "without_year"]
                 state = "candidate"
                 fits = [c for c, known in years.items() if known is None or y is None or known == y]
-                if y is not None and (y in by_year):
+                if y is not None and y in by_year:
                     p = by_year[y]
                 elif registered:
                     p = registered[0]
-                elif fits:
-                    p = fits[0]
                 else:
-                    p = int(r._fresh) if hasattr(r, "_fresh") else int(r[part.columns.get_loc("_fresh")])
+                    p = fits[0] if fits else int(fresh)
             if p > 0 and p not in registered:
                 registered.append(p)
             if y is not None:
                 by_year.setdefault(y, p)
             if years.get(p) is None:
                 years[p] = y
-            out.append((p, state, sure))
-        part["person_id"], part["identity_state"], part["identity_confidence"] = zip(*out, strict=True)
-        return part
-
-    return fresh.groupBy(key).applyInPandas(run, schema.replace(":", " ")).drop("_fresh")
+            out.append((name, place, p, state, sure))
+        return pd.DataFrame(out, columns=["_name", "_at", "person_id", "identity_state", "identity_confidence"])
+
+    walked = first.select(*own, "_place", "_fresh").groupBy(key).applyInPandas(run, f"_name {kind[key]}, _at int, person_id bigint, identity_state string, identity_confidence double")
+    solved = first.join(walked, F.col(key).eqNullSafe(F.col("_name")) & (F.col("_place") == F.col("_at"))).drop("_name", "_at", "_place", "_fresh")
+    solved = cut(solved, "identity-outcomes")
+    since = solved.filter("person_id > 0").groupBy(F.col(key).alias("_key")).agg(F.min("_first").alias("_since"), F.min_by("person_id", "_first").alias("_registered"))
+    solved = solved.select(*[F.col(c).alias(f"_{c}") for c in own], "person_id", "identity_state", "identity_confidence")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own))
+    out = rows.join(solved, same).join(since, F.col(key).eqNullSafe(F.col("_key")), "left")
+    late = F.col(year).isNull() & F.col("user_id").isNull() & F.col("registry_id").isNull() & F.coalesce(F.col(seq) > F.col("_since"), F.lit(False))
+    return out.withColumn("person_id", F.when(late, F.col("_registered")).otherwise(F.col("person_id"))).drop(*[f"_{c}" for c in own], "_key", "_since", "_registered")
 
 
 def merge_edges(persons: DataFrame, key: str = "name_key", year: str = "birth_year", verified: str = "verified") -> DataFrame:
