@@ -6,7 +6,8 @@ Every identifier-like token of the corpus, seed or not, gives edges between the
 and itself. Scoring alternates over that graph: a pattern's confidence is the mean score of the
 distinct instances it matches (each seed counts 1), an instance's score is the chance that not all
 of its patterns are wrong. After ROUNDS rounds, patterns of high confidence that matched enough
-distinct seeds give their kind to the unseen tokens they match. Those of a high score become seeds,
+distinct seeds, nearly all of one kind, give that kind to the unseen tokens they match that can be
+of it. Those of a high score become seeds,
 and all is scored again, up to GENERATIONS times.
 
 Edges are counts, so a context that a third of all texts share is one row a task before any
@@ -176,6 +177,19 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out + [(-1, a, b, text[a:b].lower(), *_left(text, a)) for a, b in sorted(set(unseen))]
 
 
+#: What an unseen token must hold to be of a kind: letters for an address, digits and no letters for numbers.
+CAN_BE = (r"[^\W\d_]", r"[0-9]", r"^[^A-Za-z]*[0-9][^A-Za-z]*$", r"^[^A-Za-z]*[0-9][^A-Za-z]*$")
+
+
+def can_be(token: str, kind: int) -> bool:
+    return re.search(CAN_BE[kind], token) is not None
+
+
+def _can_be(token: str, kind: str):
+    t = F.col(token)
+    return F.when(F.col(kind) == 0, t.rlike(r"\p{L}")).when(F.col(kind) == 1, t.rlike(CAN_BE[1])).otherwise(t.rlike(CAN_BE[2]))
+
+
 FOUND = "doc_id long, uid string, base array<struct<kind:int,start:long,end:long>>, found array<struct<kind:int,start:long,end:long,token:string,one:string,two:string>>"
 
 
@@ -201,9 +215,16 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def _by_pattern(rows: DataFrame, of_pattern: DataFrame, *own: str) -> DataFrame:
-    """rows joined to what each pattern has, a common pattern's rows dealt by a hash of their own columns."""
+    """rows joined to what each pattern has (a staged table, a row a pattern).
+
+    Few patterns are broadcast. More are joined by a shuffle, a common pattern's rows dealt by a
+    hash of their own columns.
+    """
+    if of_pattern.count() <= BROADCAST_PATTERNS:
+        return rows.join(F.broadcast(of_pattern), "pattern")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int"))
-    return dealt.join(of_pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pattern", "salt"]).drop("salt")
+    every = of_pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every.hint("merge"), ["pattern", "salt"]).drop("salt")
 
 
 def patterns(rows: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -234,8 +255,9 @@ def _scored(edges: DataFrame, rounds: int, min_confidence: float, min_seeds: int
     """The patterns that pass, and token, learned (a kind) of the tokens that they add to the seeds."""
     # only patterns that matched a seed can score now, and only tokens they touch
     live = edges.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("seeds")).filter("seeds > 0").select("pattern")
+    live = staged(live, "pii-live")
     edges = staged(_by_pattern(edges, live, "token"), "pii-live-edges")
-    done = [edges]
+    done = [live, edges]
     score = edges.filter("kind >= 0").select("token", F.lit(1.0).alias("score")).distinct()
     confidence = None
     for _ in range(rounds):
@@ -247,10 +269,11 @@ def _scored(edges: DataFrame, rounds: int, min_confidence: float, min_seeds: int
         score = staged(doubt.select("token", F.when(F.col("kind") >= 0, 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "pii-scores")
         done += [confidence, score]
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    kinds = seeds.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
-    good = confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "confidence")
+    kinds = seeds.groupBy("pattern").agg(F.sum("n").alias("all"), F.max("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
+    pure = F.col("seeds") >= min_confidence * F.col("all")  # a context of several kinds names none
+    good = confidence.join(kinds, "pattern").filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds) & pure).select("pattern", "kind", "confidence")
     good = staged(good, "pii-good")
-    hit = _by_pattern(edges.filter("kind < 0").select("pattern", "token"), good.withColumnRenamed("kind", "learned"), "token")
+    hit = _by_pattern(edges.filter("kind < 0").select("pattern", "token"), good.withColumnRenamed("kind", "learned"), "token").filter(_can_be("token", "learned"))
     hit = hit.groupBy("token").agg(F.max_by("learned", F.struct("confidence", -F.col("learned"))).alias("learned"))
     sure = score.filter(F.col("score") >= min_confidence).select("token")
     learned = staged(hit.join(sure, "token", "left_semi"), "pii-learned")
@@ -264,11 +287,10 @@ MORE = "array<struct<kind:int,start:long,end:long>>"
 
 def _hits(rows: DataFrame, good: DataFrame) -> DataFrame:
     """hit (a uid) and more: the spans that the patterns give to a text's unseen tokens."""
-    few = good.count() <= BROADCAST_PATTERNS
     unseen = rows.filter(F.exists("found", lambda f: f["kind"] < 0)).groupBy("uid").agg(F.first("found").alias("found"))
     unseen = unseen.select("uid", F.explode(F.filter("found", lambda f: f["kind"] < 0)).alias("f"))
-    unseen = unseen.select("uid", "f.start", "f.end", F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
-    hits = unseen.join(F.broadcast(good), "pattern") if few else _by_pattern(unseen, good, "uid", "start")
+    unseen = unseen.select("uid", "f.start", "f.end", "f.token", F.explode(F.array(F.concat(F.lit("1 "), "f.one"), F.concat(F.lit("2 "), "f.two"))).alias("pattern"))
+    hits = _by_pattern(unseen, good, "uid", "start").filter(_can_be("token", "kind"))
     hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     return hits.groupBy("uid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("more")).withColumnRenamed("uid", "hit")
 
@@ -334,8 +356,8 @@ def redacted(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 own = base_spans(text) if text else []
                 found = list(own)
-                for kind, a, b, _, one, two in instances(text, own) if table and text else ():
-                    if kind < 0 and (hits := [table[p] for p in (f"1 {one}", f"2 {two}") if p in table]):
+                for kind, a, b, token, one, two in instances(text, own) if table and text else ():
+                    if kind < 0 and (hits := [table[p] for p in (f"1 {one}", f"2 {two}") if p in table and can_be(token, -table[p][1])]):
                         found.append((-max(hits)[1], a, b))
                 out.append(_marked(text, found) if found else text)
             columns = batch.columns
