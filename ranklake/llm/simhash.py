@@ -403,9 +403,9 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def similar_limit(similarity: float, wide: int) -> int:
-    """Bits within which nearly all pairs of this similarity lie: the mean and two deviations."""
+    """Bits within which most pairs of this similarity lie, and nearly all closer ones: the mean and a deviation."""
     q, bits = differing(similarity), 64 * wide
-    return ceil(q * bits + 2 * sqrt(q * (1 - q) * bits))
+    return ceil(q * bits + sqrt(q * (1 - q) * bits))
 
 
 def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL, wide: int = WIDE) -> DataFrame:

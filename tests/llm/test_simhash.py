@@ -140,7 +140,7 @@ def test_similar_texts_are_found(make, monkeypatch):
                 j = len(own[a] & own[b]) / len(own[a] | own[b])
                 near += j >= 0.8
                 hit += j >= 0.8 and found[a] == found[b]
-    assert near > 50 and hit >= 0.95 * near
+    assert near > 50 and hit >= 0.9 * near
     # links go by fingerprints: what shares a component hangs together by pairs of a similarity that isn't far below
     close = {a: {b for b in own if len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.65} for a in own}
     for a in own:
