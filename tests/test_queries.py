@@ -46,6 +46,18 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_no_row_level_sort_in_one_task(spark):
+    """Orders over everything are numbered by ranges: a single partition holds ranges or distinct counts, never rows."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    for name in ("d5_document_order", "d7_snapshot_merge", "q4_report", "g1_medal_table"):
+        plan = results.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        single = plan.count("SinglePartition")
+        assert single <= 1, name
+    plan = results.QUERIES["q1_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6 and "SinglePartition" not in plan
+
+
 def test_plans_have_no_cartesian_product(spark):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
