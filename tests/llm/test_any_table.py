@@ -16,7 +16,7 @@ ROWS = [
     (4, LONG, "en", "a"),
     (5, "tail\x00 and ü 日本   \x1c end", "en", "c"),
 ]
-CLASH = ("size", "hash", "copies", "fp", "node", "key", "words", "score", "lang_pred", "kept", "marks", "tie", "uid", "base", "media", "n_bytes", "held_out", "shard", "target", "level")
+CLASH = ("size", "hash", "copies", "fp", "node", "key", "words", "score", "lang_pred", "kept", "marks", "tie", "uid", "base", "media", "n_bytes", "held_out", "shard", "target", "level", "text_hash", "least_id", "least_hash", "component", "shared", "of", "of_tie", "bucket", "hit", "found", "mix_size", "mix_copies", "_stays", "_lang_pred", "_pii_uid")
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
