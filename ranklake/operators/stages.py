@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,60 @@ def coverage_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("state", "reason").agg(F.count("*").alias("n"))
 
 
+def source_reasons(sources: DataFrame, events: DataFrame, published: DataFrame, excluded: DataFrame) -> DataFrame:
+    """sources with `state` of each: published, one of the reasons why parsed rows weren't published, or why a cached source has none.
+
+    sources: event_id, source_id, cached, skipped, ambiguous, parsed_rows, is_published, digest.
+    events: event_id, title. published: event_id of events with results. excluded: event_id.
+    Reasons are asked in order: a better source of the event, an excluded event, a clone's title, an
+    equal copy published elsewhere, else unexplained. Null flags are false, null counts none.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    mark = lambda t, c: t.select("event_id").distinct().withColumn(c, F.lit(True))
+    copies = sources.filter(flag("is_published") & F.col("digest").isNotNull()).select("digest").distinct().withColumn("_copy", F.lit(True))
+    out = sources.join(mark(published, "_results"), "event_id", "left").join(mark(excluded, "_excluded"), "event_id", "left")
+    out = out.join(events.groupBy("event_id").agg(F.first("title").alias("_title")), "event_id", "left").join(copies, "digest", "left")
+    parsed = F.coalesce("parsed_rows", F.lit(0)) > 0
+    clone = F.lower(F.coalesce("_title", F.lit(""))).contains("bewertung")
+    state = (
+        F.when(parsed & flag("is_published"), "published")
+        .when(parsed & flag("_results"), "shadowed")
+        .when(parsed & flag("_excluded"), "excluded_with_event")
+        .when(parsed & clone, "clone")
+        .when(parsed & flag("_copy"), "copy")
+        .when(parsed, "unexplained")
+        .when(flag("cached") & flag("skipped"), "skipped")
+        .when(flag("cached") & flag("ambiguous"), "ambiguous_gap")
+        .when(flag("cached"), "parser_gap")
+        .otherwise("not_cached")
+    )
+    return out.withColumn("state", state).withColumn("blind", ~flag("_results") & ~flag("_excluded") & ~clone).drop("_results", "_excluded", "_title", "_copy")
+
+
+def coverage_counters(events: DataFrame, external: DataFrame, published: DataFrame, excluded: DataFrame, sources: DataFrame) -> DataFrame:
+    """counter, n: the fourteen counts of an audit, of events and of their sources. See `source_reasons` for the tables.
+
+    external: event_id of a calendar that the snapshot should hold. An empty table counts as none.
+    """
+    s = source_reasons(sources, events, published, excluded)
+    per_event = s.groupBy("event_id").agg(F.bool_or(F.col("state") == "parser_gap").alias("gap"), F.sum(F.coalesce("parsed_rows", F.lit(0))).alias("rows"), F.bool_and("blind").alias("blind"))
+    names = {
+        "parser_gap": "cached_sources_without_parsed_rows", "ambiguous_gap": "ambiguous_cached_sources_without_parsed_rows", "skipped": "expected_skipped_sources",
+        "shadowed": "parsed_sources_shadowed_by_better_source", "copy": "duplicate_sources_published_elsewhere", "clone": "excluded_bewertung_clones",
+        "excluded_with_event": "parsed_sources_excluded_with_event", "unexplained": "unexplained_unpublished_sources",
+    }
+    counts = s.agg(*[F.count_if(F.col("state") == k).alias(n) for k, n in names.items()], F.count_if(F.col("state").isin("shadowed", "copy", "clone", "excluded_with_event", "unexplained")).alias("parsed_sources_not_published"))
+    ids = lambda t: t.select("event_id").distinct()
+    one = lambda t, n: t.agg(F.count("*").alias("n")).select(F.lit(n).alias("counter"), "n")
+    wide = counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, counts.columns)), F.array(*counts.columns))).alias("counter", "n"))
+    every = [
+        one(ids(events), "calendar_events"), one(ids(external).join(ids(events), "event_id", "left_anti"), "external_events_not_in_snapshot"),
+        one(ids(events).join(ids(published), "event_id", "left_anti"), "snapshot_events_not_in_database"), one(ids(excluded), "excluded_events_without_usable_results"),
+        one(per_event.filter("gap AND blind AND rows = 0"), "events_with_result_source_but_no_results"),
+    ]
+    return reduce(DataFrame.unionByName, every, wide)
+
+
 def fixed_order(column: str, order: list[str]) -> Column:
     """A sort key: the place in a list, what isn't in it last."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(column))

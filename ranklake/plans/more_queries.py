@@ -51,6 +51,27 @@ def q5_coverage_audit(spark, sf):
     return ST.coverage_audit(c, o, o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), o.filter("o_orderpriority = '1-URGENT'"), mod(11), mod(7), mod(5), mod(3))
 
 
+@query("""WITH s AS (SELECT o_custkey AS event_id, o_orderkey AS k, o_orderkey % 4 <> 3 AS cached, o_orderkey % 5 = 1 AS skipped, o_orderkey % 5 = 2 AS ambiguous, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 3 ELSE 0 END AS n, o_orderkey % 7 = 0 AS pub, o_orderpriority || (o_orderkey % 11)::VARCHAR AS digest FROM orders)
+, ev AS (SELECT c_custkey AS event_id, c_custkey % 9 = 0 AS clone FROM customer WHERE c_custkey % 2 = 0), d AS (SELECT DISTINCT digest FROM s WHERE pub)
+, x AS (SELECT s.*, s.event_id % 10 = 1 AS res, s.event_id % 8 = 3 AS exc, coalesce(clone, false) AS clone, d.digest IS NOT NULL AS cp FROM s LEFT JOIN ev USING (event_id) LEFT JOIN d USING (digest))
+, y AS (SELECT *, CASE WHEN n > 0 THEN CASE WHEN pub THEN 'p' WHEN res THEN 'shadowed' WHEN exc THEN 'excluded' WHEN clone THEN 'clone' WHEN cp THEN 'copy' ELSE 'unexplained' END WHEN cached AND skipped THEN 'skipped' WHEN cached AND ambiguous THEN 'amb' WHEN cached THEN 'gap' ELSE 'no' END AS st FROM x)
+, g AS (SELECT event_id FROM y GROUP BY event_id HAVING bool_or(st = 'gap') AND sum(n) = 0 AND bool_and(NOT res AND NOT exc AND NOT clone))
+SELECT 'calendar_events' AS counter, (SELECT count(*) FROM ev) AS n UNION ALL SELECT 'external_events_not_in_snapshot', (SELECT count(*) FROM customer WHERE c_custkey % 2 <> 0)
+UNION ALL SELECT 'snapshot_events_not_in_database', (SELECT count(*) FROM ev WHERE event_id % 10 <> 1) UNION ALL SELECT 'excluded_events_without_usable_results', (SELECT count(*) FROM customer WHERE c_custkey % 8 = 3)
+UNION ALL SELECT 'events_with_result_source_but_no_results', (SELECT count(*) FROM g) UNION ALL SELECT 'cached_sources_without_parsed_rows', count(*) FILTER (st = 'gap') FROM y UNION ALL SELECT 'ambiguous_cached_sources_without_parsed_rows', count(*) FILTER (st = 'amb') FROM y
+UNION ALL SELECT 'expected_skipped_sources', count(*) FILTER (st = 'skipped') FROM y UNION ALL SELECT 'parsed_sources_not_published', count(*) FILTER (st IN ('shadowed', 'excluded', 'clone', 'copy', 'unexplained')) FROM y
+UNION ALL SELECT 'parsed_sources_shadowed_by_better_source', count(*) FILTER (st = 'shadowed') FROM y UNION ALL SELECT 'duplicate_sources_published_elsewhere', count(*) FILTER (st = 'copy') FROM y UNION ALL SELECT 'excluded_bewertung_clones', count(*) FILTER (st = 'clone') FROM y
+UNION ALL SELECT 'parsed_sources_excluded_with_event', count(*) FILTER (st = 'excluded') FROM y UNION ALL SELECT 'unexplained_unpublished_sources', count(*) FILTER (st = 'unexplained') FROM y""")
+def q5_coverage_counters(spark, sf):
+    k, e = F.col("o_orderkey"), F.col("o_custkey")
+    sources = read(spark, sf, "orders").select(
+        e.alias("event_id"), k.alias("source_id"), (k % 4 != 3).alias("cached"), (k % 5 == 1).alias("skipped"), (k % 5 == 2).alias("ambiguous"), F.when(F.col("o_orderstatus") != "P", k % 3).alias("parsed_rows"), (k % 7 == 0).alias("is_published"), F.concat("o_orderpriority", (k % 11).cast("string")).alias("digest")
+    )
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("event_id"))
+    events = c.filter("event_id % 2 = 0").withColumn("title", F.when(F.col("event_id") % 9 == 0, "Cup Bewertung").otherwise("Cup"))
+    return ST.coverage_counters(events, c, sources.filter("event_id % 10 = 1"), c.filter("event_id % 8 = 3"), sources)
+
+
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END::BIGINT AS place FROM orders")
 def s9_fixed_order(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", ST.fixed_order("o_orderpriority", ["5-LOW", "1-URGENT"]).cast("long").alias("place"))
