@@ -9,7 +9,7 @@ from ..operators import championship as C
 from ..operators import identity as E
 from ..operators import stages as ST
 from ..operators import units as U
-from .queries import query
+from .queries import QUERIES, SQL, query
 from .tables import R, read, results
 
 
@@ -138,6 +138,10 @@ def e9_pending_candidates(spark, sf):
     return _pending(spark, sf, read(spark, sf, "orders"))
 
 
+#: The name that the query over all orders had beside one over some.
+QUERIES["e9_pending_candidates_all"], SQL["e9_pending_candidates_all"] = e9_pending_candidates, SQL["e9_pending_candidates"]
+
+
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'WIEN' WHEN 1 THEN 'STMK' WHEN 2 THEN 'NOE' END AS region FROM supplier")
 def t22_nation_regions(spark, sf):
     k = F.col("s_suppkey") % 4
