@@ -48,17 +48,21 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any longer."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a staged table, or of columns of one, that nothing reads any longer."""
+    kept = vars(df).get("staged_at")
+    for folder in [kept] if kept else {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_shared(uri: str, mode: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, byte_bpe, divergence, flac, kneser_ney, langid, mixing, pii, simhash, substring
+from . import bitpack, byte_bpe, divergence, fim, flac, kneser_ney, langid, mixing, pii, simhash, substring, warc, whitening
 
 QUERIES = {
     "op1_flac": flac.op1,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_bitpack": bitpack.op8,
     "op9_langid": langid.op9,
     "op10_mixing": mixing.op10,
+    "op11_whitening": whitening.op11,
+    "op12_fim": fim.op12,
+    "op13_warc": warc.op13,
 }
 
 SQL = {
     "op4_divergence": divergence.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_fim": fim.OP12_SQL,
+    "op13_warc": warc.OP13_SQL,
 }

@@ -19,7 +19,11 @@ ROWS = [
 CLASH = ("size", "hash", "copies", "fp", "node", "key", "words", "score", "lang_pred", "kept", "marks", "tie", "uid", "base", "media", "n_bytes", "held_out", "shard", "target", "level", "text_hash", "least_id", "least_hash", "component", "shared", "of", "of_tie", "bucket", "hit", "found", "mix_size", "mix_copies", "_stays", "_lang_pred", "_pii_uid")
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+#: Operators of other tables than documents have awkward tables of their own.
+OTHER = {"op11_whitening", "op13_warc"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - OTHER))
 def test_any_rows(spark, make, tmp_path, name):
     docs = make(ROWS)
     docs.write.parquet(f"{tmp_path}/plain/documents.parquet")
