@@ -93,24 +93,6 @@ def tables(html: str) -> list[list[list[str]]]:
     return p.done()
 
 
-def positioned_rows(html: str, tolerance: float = 3.0) -> list[list[str]]:
-    """Cells of absolutely positioned elements, rows by `top`, cells by `left`."""
-    cells = []
-    for m in re.finditer(r"<(?:div|span|p)\b[^>]*style\s*=\s*[\"'][^\"']*?(?=[^\"']*top)(?=[^\"']*left)([^\"']*)[\"'][^>]*>(.*?)</(?:div|span|p)>", html or "", re.I | re.S):
-        style = m[0][: m[0].index(">")]
-        top, left = re.search(r"top:\s*(-?[\d.]+)", style), re.search(r"left:\s*(-?[\d.]+)", style)
-        text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", m[2])).strip()
-        if top and left and text:
-            cells.append((float(top[1]), float(left[1]), text))
-    rows: list[list[tuple[float, float, str]]] = []
-    for c in sorted(cells):
-        if rows and abs(c[0] - rows[-1][0][0]) <= tolerance:
-            rows[-1].append(c)
-        else:
-            rows.append([c])
-    return [[t for _, _, t in sorted(r, key=lambda x: x[1])] for r in rows]
-
-
 def _labels(row: list[str]) -> list[str] | None:
     found = [LABELS.get(c.strip().lower()) for c in row]
     return found if sum(f is not None for f in found) >= 2 and ("name" in found or "team" in found) else None
@@ -187,12 +169,8 @@ def parse_rows(rows: list[list[str]]) -> list[dict]:
 
 
 def parse_document(html: str) -> list[dict]:
-    """Classes of an HTML document: from tables, else from positioned elements."""
-    every = [r for t in tables(html) for r in t]
-    if not every:
-        every = positioned_rows(html)
-    out = parse_rows(every)
-    return out or parse_simple(html)
+    """Classes of an HTML document: from the rows of its tables, else from a table below each heading."""
+    return parse_rows([r for t in tables(html) for r in t]) or parse_simple(html)
 
 
 def parse_simple(html: str) -> list[dict]:
@@ -205,16 +183,6 @@ def parse_simple(html: str) -> list[dict]:
     return out
 
 
-def parse_bracket(html: str) -> list[dict]:
-    """A knock-out page: every table is a heat, its first cell the heat's name."""
-    out = []
-    for t in tables(html):
-        rows = [r for r in t if any(r)]
-        if len(rows) > 1 and len([c for c in rows[0] if c]) == 1:
-            out += parse_rows([[f"{rows[0][0]} ({len(rows) - 2})"], *rows[1:]])
-    return out
-
-
 def parse_multistage(html: str, stages: int) -> list[list[dict]]:
     """A table with a time column for each stage (Z1, Z2, ... or several times): classes by stage."""
     rows = [r for t in tables(html) for r in t]
@@ -233,7 +201,7 @@ def parse_multistage(html: str, stages: int) -> list[list[dict]]:
 
 CLASSES = (
     "array<struct<name:string,declared:int,results:array<struct<rank:int,name:string,club:string,time_text:string,"
-    "rank_text:string,bib:string,born:int,kind:string,team:string,leg:int,team_time:string,out_of_competition:boolean,legs:int>>>>"
+    "rank_text:string,bib:string,born:int,kind:string,team:string,leg:int,team_time:string,out_of_competition:boolean,legs:int,uncounted:boolean>>>>"
 )
 
 

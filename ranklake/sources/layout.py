@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html import CLASSES, HEADER, LABELS, parse_bracket, parse_document, parse_rows
-from .relays import parse_club_table, parse_numbered_relay, parse_relay_text
+from .brackets import parse_bracket
+from .clubs import RESULT_END, Clubs, flow_row, is_result, looks_named, proven
+from .html import CLASSES, HEADER, LABELS, parse_document, parse_rows, parse_simple, tables
+from .positioned import parse_positioned
+from .relays import Teams, parse_club_table, parse_numbered_relay, parse_relay_text, row
 
 TIME_ROOM = 6  # characters a time may reach left of its label
 
@@ -59,21 +62,6 @@ def parse_headerless(text: str) -> list[dict]:
     return parse_rows(rows)
 
 
-def parse_team_text(text: str) -> list[dict]:
-    """Blocks of a ranked team line and indented member lines."""
-    rows: list[list[str]] = [["Pl", "Staffel", "Name", "Zeit"]]
-    for line in (text or "").splitlines():
-        if not line.strip():
-            continue
-        if HEADER.match(line.strip()):
-            rows.append([line.strip()])
-        elif m := re.match(r"^(\d+)\.?\s+(.+?)\s{2,}(\S+)\s*$", line):
-            rows.append([m[1], m[2], "", m[3]])
-        elif m := re.match(r"^\s+(.+?)(?:\s{2,}(\S+))?\s*$", line):
-            rows.append(["", "", m[1], m[2] or ""])
-    return parse_rows(rows)
-
-
 Word = tuple[float, float, str]  # left edge, top, text
 
 
@@ -126,13 +114,23 @@ def without_furniture(pages: list[list[list[Word]]], tolerance: float = 3.0) ->
     return [[line for line in lines if stays(line)] for lines in pages] if len(pages) > 1 else pages
 
 
-def parse_pages(pages: list[list[Word]], tolerance: float = 3.0) -> list[dict]:
+def parse_pages(pages: list[list[Word]], tolerance: float = 3.0, clubs: Clubs | None = None) -> list[dict]:
     """Pages of positioned words as one document: furniture goes, labels hold on until the next ones.
 
+    Pages of two columns are two streams of lines, each over all pages with a class of its own.
     Where a class has another number of rows than it declares, and its lines read as a flowing list
     give just that number, the flowing list counts.
     """
-    lines = [line for page in without_furniture([group_lines(p, tolerance) for p in pages], tolerance) for line in page]
+    every = without_furniture([group_lines(p, tolerance) for p in pages], tolerance)
+    border = gutter([line for page in every for line in page])
+    if border is None:
+        return _stream([line for page in every for line in page], clubs)
+    sides = [[[w for w in line if (w[0] >= border) == right] for page in every for line in page] for right in (False, True)]
+    return merged_continuations([c for side in sides for c in _stream([line for line in side if line], clubs)])
+
+
+def _stream(lines: list[list[Word]], clubs: Clubs | None) -> list[dict]:
+    """Classes of lines that follow each other, by their columns or, where the counts say so, as flowing rows."""
     heads: list[tuple[float, str]] | None = None
     rows: list[list[str]] = []
     for line in lines:
@@ -146,46 +144,126 @@ def parse_pages(pages: list[list[Word]], tolerance: float = 3.0) -> list[dict]:
         elif heads:
             rows.append(assign_columns(line, heads))
     found = merged_continuations(parse_rows(rows))
-    if all(len(c["results"]) == c["declared"] for c in found):
+    if found and all(len(c["results"]) == c["declared"] for c in found):
         return found
-    flowing = {c["name"]: c for c in parse_flowing("\n".join(" ".join(t for _, _, t in line) for line in lines))}
-    exact = lambda c: c["name"] in flowing and len(flowing[c["name"]]["results"]) == c["declared"] != len(c["results"])
-    return [flowing[c["name"]] if exact(c) else c for c in found]
+    flowing = parse_flowing("\n".join(" ".join(t for _, _, t in line) for line in lines), clubs)
+    if not any(c["results"] for c in found):
+        return flowing
+    by_name = {c["name"]: c for c in flowing}
+    exact = lambda c: c["name"] in by_name and len(by_name[c["name"]]["results"]) == c["declared"] != len(c["results"])
+    return [by_name[c["name"]] if exact(c) else c for c in found]
 
 
-def two_columns(words: list[Word], middle: float) -> list[dict]:
-    """A page of two columns, read left and then right."""
-    return parse_words([w for w in words if w[0] < middle]) + parse_words([w for w in words if w[0] >= middle])
-
-
-def parse_flowing(text: str) -> list[dict]:
-    """A numbered list that flows over lines: rank, name, club, time in one run."""
-    rows: list[list[str]] = [["Pl", "Name", "Verein", "Zeit"]]
-    for line in (text or "").splitlines():
-        s = line.strip()
-        if HEADER.match(s) and not re.search(r"\d:\d{2}", s):
-            rows.append([s])
-        elif m := re.match(r"^(\d+)\.?\s+(\S+\s+\S+)\s+(.*?)\s*(\d{1,3}:\d{2}(?::\d{2})?)$", s):
-            rows.append([m[1], m[2], m[3], m[4]])
-    return parse_rows(rows)
+def gutter(lines: list[list[Word]], room: float = 6.0) -> float | None:
+    """Where the right one of two columns of classes begins; None for pages of one column.
 
+    A line votes for the left edge of a word that begins anew behind something complete: a place
+    behind a result, a class behind a result or a class, a label that the line had before. The edge
+    of most votes counts if both sides then have a line that is a class.
+    """
+    votes: list[float] = []
+    for line in lines:
+        texts = [t for _, _, t in line]
+        for i in range(1, len(line)):
+            before, behind = " ".join(texts[:i]), " ".join(texts[i:])
+            whole = is_result(texts[i - 1]) or bool(HEADER.fullmatch(before))
+            begins = bool(re.match(r"\d{1,3}\.?\s+\D", behind)) or bool(HEADER.fullmatch(behind))
+            again = texts[i].lower() in LABELS and texts[i].lower() == texts[0].lower()
+            if whole and begins or again:
+                votes.append(line[i][0])
+                break
+    if not votes:
+        return None
+    best = max(sorted(votes), key=lambda x: sum(abs(x - v) <= room for v in votes))
+    border = min(v for v in votes if abs(v - best) <= room) - room
+    is_class = lambda words: bool(HEADER.fullmatch(" ".join(t for _, _, t in words)))
+    left = any(is_class([w for w in line if w[0] < border]) for line in lines)
+    right = any(is_class([w for w in line if w[0] >= border]) for line in lines)
+    return border if left and right else None
 
-def trailing_club(tokens: list[str], clubs: set[str], most: int = 8) -> tuple[list[str], str | None]:
-    """Tokens before the longest known club that ends them, and the club."""
-    for n in range(min(most, len(tokens) - 1), 0, -1):
-        club = " ".join(tokens[-n:])
-        if club.casefold() in clubs:
-            return tokens[:-n], club
-    return tokens, None
 
+def document_clubs(lines: list[str]) -> Clubs:
+    """Clubs that a document shows itself: the words that end several rows behind different names.
 
-def flow_row(text: str, clubs: set[str]) -> dict | None:
-    """A result in one run of words: rank, name, club of the dictionary, time or status."""
-    m = re.match(r"^(?:(\d+)\.?\s+)?(.+?)\s+(\d{1,3}:\d{2}(?::\d{2})?|Aufg\.?|Fehlst\.?|N\.?\s*Ang\.?|Disq?\.?)$", text.strip(), re.I)
-    if not m:
-        return None
-    name, club = trailing_club(m[2].split(), {c.casefold() for c in clubs})
-    return {"rank": int(m[1]) if m[1] else None, "name": " ".join(name), "club": club or "", "time_text": m[3]}
+    Of a row's endings that leave a name of two words or more, the one that is longest for its
+    number of rows counts.
+    """
+    bodies = [m["body"] for line in lines if (m := RESULT_END.match(" ".join(line.split())))]
+    each = [re.sub(r"^\d{1,4}\.?\s+", "", b).split() for b in bodies]
+    ends: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+    for words in each:
+        for n in range(1, len(words) - 1):
+            if looks_named(words[:-n]):
+                ends.setdefault(tuple(words[-n:]), set()).add(tuple(words[:-n]))
+    found = set()
+    for words in each:
+        own = [tuple(words[-n:]) for n in range(1, len(words) - 1) if len(ends.get(tuple(words[-n:]), ())) > 1]
+        if own:
+            found.add(max(own, key=lambda e: len(ends[e]) * len(e)))
+    return Clubs(" ".join(f) for f in found)
+
+
+def parse_flowing(text: str, clubs: Clubs | None = None) -> list[dict]:
+    """A list that flows in one run of words: class lines, then rank, name, club, time or status.
+
+    The border of name and club is where a known club begins; without a dictionary the document's
+    own repetitions are one. A champion's place on a line of its own goes to the row below.
+    """
+    lines = (text or "").splitlines()
+    clubs = clubs or document_clubs(lines)
+    out: list[dict] = []
+    carried: int | None = None
+    for line in lines:
+        s = " ".join(line.split())
+        if HEADER.fullmatch(s) or HEADER.match(s) and not re.search(r"\d:\d{2}", s):
+            m = HEADER.match(s)
+            out.append({"name": m["name"].strip(), "declared": int(m["n"]), "results": []})
+            carried = None
+        elif out and (m := re.match(r"(?i)^(\d+)\.?\s+(?:und|&)\s+\D*(?:meister\w*)(?:\s+\d{4})?$", s)):
+            carried = int(m[1])
+        elif out and (found := flow_row(s, clubs)):
+            rank = found["rank"] if found["rank"] is not None else carried
+            out[-1]["results"].append(row(found["name"], found["club"], found["time_text"], None if found["ooc"] else rank, out_of_competition=found["ooc"]))
+            carried = None
+    return merged_continuations(out)
+
+
+def parse_separated(text: str) -> list[dict]:
+    """Values parted by semicolons or tabs: class lines, a line of labels, result lines; a class may be a column too."""
+    rows: list[list[str]] = []
+    for line in (text or "").splitlines():
+        if line.strip():
+            rows.append([c.strip().strip('"') for c in re.split(r"[;\t]", line)])
+    return parse_by_column(rows) or parse_rows([[r[0]] if len([c for c in r if c]) == 1 else r for r in rows])
+
+
+def parse_by_column(rows: list[list[str]]) -> list[dict]:
+    """Rows whose class stands in a column of its own (labelled Kat), in the order of their first rows."""
+    at, kinds, groups = None, [], {}
+    for r in rows:
+        own = [LABELS.get(c.strip().lower()) for c in r]
+        if "kat" in own and "name" in own:
+            at, kinds = own.index("kat"), r
+        elif at is not None and len(r) == len(kinds) and r[at]:
+            groups.setdefault(r[at], []).append(r)
+    return [c for k, own in groups.items() for c in parse_rows([[f"{k} ({len(own)})"], kinds, *own])]
+
+
+def parse_team_blocks(text: str) -> list[dict]:
+    """Blocks of a ranked team line and indented member lines, each with its value behind two blanks."""
+    out = Teams("team")
+    for line in (text or "").splitlines():
+        if not line.strip():
+            continue
+        if HEADER.match(line.strip()) and not re.search(r"\d:\d{2}", line):
+            m = HEADER.match(line.strip())
+            out.category(m["name"].strip(), int(m["n"]))
+        elif m := re.match(r"^(?:(\d+)\.?\s+)?(\S.*?)\s{2,}(\S.*)$", line):
+            if is_result(m[3].strip()):
+                out.team(m[2], m[3].strip(), int(m[1]) if m[1] else None)
+        elif out.open and (m := re.match(r"^\s+(\S.*?)(?:\s{2,}(\S.*))?$", line)):
+            out.member(m[1], (m[2] or "").strip())
+    return out.done()
 
 
 def merged_continuations(classes: list[dict]) -> list[dict]:
@@ -207,36 +285,70 @@ def _has(pattern: str) -> Callable[[str], bool]:
     return lambda t: re.search(pattern, t) is not None
 
 
-#: Signatures in the order they are asked: a name, what a document must look like, and its parser. The first parser that finds a class reads the document.
-SIGNATURES: list[tuple[str, Callable[[str], bool], Callable[[str], list[dict]]]] = [
-    ("numbered relay", _has(r"(?is)<t[dh][^>]*>\s*\(\d+\s*/\s*\d+\)\s*<.*<t[dh][^>]*>\s*1\.?\s*<"), parse_numbered_relay),
-    ("club table", _has(r"(?is)\(\d+\s*/\s*\d+\)\s*</?t[dhr]|<t[dh][^>]*>\s*Zeit\s*</?t"), parse_club_table),
-    ("bracket", _has(r"(?i)viertelfinale|halbfinale|quarterfinal|semifinal"), parse_bracket),
-    ("tables", _has(r"(?i)<table|position:\s*absolute"), parse_document),
-    ("preformatted", _has(r"(?i)<pre"), lambda t: [c for block in pre_blocks(t) for c in dispatched(block)]),
-    ("relay text", _has(r"(?im)^\s*pl(?:atz)?\b.*\b(?:staffel|team|mannschaft)\b.*\b(?:zeit|time)\b"), parse_relay_text),
-    ("fixed width", _has(r"(?im)^\s*pl\.?\s+.*\bname\b"), parse_text),
-    ("team blocks", _has(r"(?m)^\d+\.?\s+.+\s{2,}\S+\s*\n\s+\S"), parse_team_text),
-    ("numbered lines", _has(r"(?m)^\d+[.)]?\s+\S+.*\s{2,}"), parse_headerless),
-    ("flowing", lambda t: True, parse_flowing),
+Parser = Callable[[str, Clubs | None], list[dict]]
+
+
+def _of(parser: Callable[[str], list[dict]]) -> Parser:
+    return lambda t, _: parser(t)
+
+
+#: Signatures: a name, what a document must look like, and its parser. Where several fit, the rows they read decide (`dispatched`); of equals the first counts.
+SIGNATURES: list[tuple[str, Callable[[str], bool], Parser]] = [
+    ("numbered relay", _has(r"(?is)<t[dh][^>]*>\s*\(\d+\s*/\s*\d+\)\s*<.*<t[dh][^>]*>\s*1\.?\s*<"), _of(parse_numbered_relay)),
+    ("club table", _has(r"(?is)\(\d+\s*/\s*\d+\)\s*</?t[dhr]|<t[dh][^>]*>\s*Zeit\s*</?t"), _of(parse_club_table)),
+    ("knock-out", _has(r"(?is)<t[dh][^>]*>\s*\(\d+(?:\s*/\s*\d+)?\)\s*<"), _of(parse_bracket)),
+    ("class column", _has(r"(?is)<t[dh][^>]*>\s*kat\s*<"), _of(lambda t: parse_by_column([r for x in tables(t) for r in x]))),
+    ("tables", _has(r"(?i)<table"), _of(parse_document)),
+    ("heading and table", _has(r"(?is)<h[1-6].*<table"), _of(parse_simple)),
+    ("placed elements", _has(r"(?is)style\s*=[^>]*\bleft\s*:"), _of(parse_positioned)),
+    ("preformatted", _has(r"(?i)<pre"), lambda t, clubs: [c for block in pre_blocks(t) for c in dispatched(block, clubs)]),
+    ("separated", _has(r"(?m)^[^<\n]*[;\t][^<\n]*[;\t]"), _of(parse_separated)),
+    ("relay text", _has(r"(?im)^\s*pl(?:atz)?\b.*\b(?:staffel|team|mannschaft)\b.*\b(?:zeit|time)\b"), _of(parse_relay_text)),
+    ("fixed width", _has(r"(?im)^\s*pl\.?\s+.*\bname\b"), _of(parse_text)),
+    ("team blocks", _has(r"(?m)^\d+\.?\s+.+\s{2,}\S+\s*\n\s+\S"), _of(parse_team_blocks)),
+    ("numbered lines", _has(r"(?m)^\d+[.)]?\s+\S+.*\s{2,}"), _of(parse_headerless)),
+    ("flowing", lambda t: "<t" not in t.lower(), parse_flowing),
 ]
 
 
-def dispatched(text: str) -> list[dict]:
-    """Classes of a document by the first signature that fits and finds any, its rows repaired."""
+def agreement(classes: list[dict]) -> tuple[float, float, int]:
+    """How far a reading of a document bears itself out: the share of classes with as many units as they
+    declare, the share of rows with a name and a result, and the number of rows."""
+    if not any(c["results"] for c in classes):
+        return (0.0, 0.0, 0)
+    units = lambda c: len({r["team"] for r in c["results"]} if c["results"] and all(r.get("team") for r in c["results"]) else [r for r in c["results"] if not r.get("uncounted")])
+    rows = [r for c in classes for r in c["results"]]
+    sound = sum(bool(re.search(r"[^\W\d_]", r["name"] or r.get("team") or "")) and is_result(r["time_text"]) and not is_result(r["club"]) for r in rows)
+    return (sum(units(c) == c["declared"] for c in classes) / len(classes), sound / len(rows), len(rows))
+
+
+def dispatched(text: str, clubs: Clubs | None = None) -> list[dict]:
+    """Classes of a document by the parser whose reading agrees best with the counts that it declares.
+
+    Every signature that fits is read; one that agrees in all classes and rows ends the search, as
+    none can do better. Rows are put right by the dictionary, if there is one, and by the repairs.
+    """
+    best, score = [], (0.0, 0.0, 0)
     for _, fits, parser in SIGNATURES:
-        if fits(text or "") and (found := parser(text or "")):
-            return [{**c, "results": [repaired(r) for r in c["results"]]} for c in found]
-    return []
+        if not fits(text or ""):
+            continue
+        found = parser(text or "", clubs)
+        own = agreement(found)
+        if own > score:
+            best, score = found, own
+        if score[:2] == (1.0, 1.0):
+            break
+    return [{**c, "results": [repaired(proven(r, clubs) if clubs else r) for r in c["results"]]} for c in best]
 
 
-def parsed_pages(pages: DataFrame, key: str = "page_id", page: str = "page", words: str = "words") -> DataFrame:
-    """key, classes of documents given as a row a page, with words as array<struct<x0, top, text>>."""
+def parsed_pages(pages: DataFrame, key: str = "page_id", page: str = "page", words: str = "words", clubs: list[str] | None = None) -> DataFrame:
+    """key, classes of documents given as a row a page, with words as array<struct<x0, top, text>>; clubs is a dictionary of bounded size."""
     docs = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("n"), F.col(words).alias("w")))).alias("pages"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [parse_pages([[(w["x0"], w["top"], w["text"]) for w in p["w"]] if p["w"] is not None else [] for p in ps]) for ps in b["pages"]]
+            known = Clubs(clubs) if clubs else None
+            out = [parse_pages([[(w["x0"], w["top"], w["text"]) for w in p["w"]] if p["w"] is not None else [] for p in ps], clubs=known) for ps in b["pages"]]
             yield pd.DataFrame({key: b[key], "classes": out})
 
     kind = pages.schema[key].dataType.simpleString()
@@ -255,6 +367,21 @@ def parsed_words(pages: DataFrame, key: str = "page_id", words: str = "words") -
     return pages.select(key, words).mapInPandas(run, f"`{key}` {kind}, classes {CLASSES}")
 
 
+def parsed_texts(docs: DataFrame, clubs: list[str] | None = None, text: str = "html", key: str = "page_id") -> DataFrame:
+    """key, classes of documents of any shape, read by agreement; clubs is a dictionary of bounded size.
+
+    A null document has no classes; repeated keys repeat.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Clubs(clubs) if clubs else None
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "classes": [dispatched(t or "", known) for t in b[text]]})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, classes {CLASSES}")
+
+
 REPAIRS: dict[str, Callable[[dict], dict]] = {}
 
 
