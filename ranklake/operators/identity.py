@@ -113,15 +113,6 @@ def merge_conflicts(df: DataFrame, person: str, key: str, year: str) -> DataFram
     return out.filter("names > 1 OR years > 1")
 
 
-def crossed_ids(rows: DataFrame, registry: DataFrame, key: str = "name_key") -> DataFrame:
-    """Rows whose direct id belongs to a profile that shares no word with the row's name; with `proven`: whether the name alone leads to one profile."""
-    r = registry.select(F.col("person_id").alias("_id"), F.col(key).alias("_own"))
-    unique = registry.groupBy(F.col(key).alias("_k")).agg(F.count_distinct("person_id").alias("_n"), F.min("person_id").alias("target")).filter("_n = 1")
-    disjoint = ~F.arrays_overlap(F.split(key, " "), F.split("_own", " "))
-    out = rows.join(r, F.col("user_id") == F.col("_id")).filter(disjoint)
-    return out.join(unique, F.col(key) == F.col("_k"), "left").withColumn("proven", F.col("target").isNotNull()).drop("_id", "_own", "_k", "_n")
-
-
 def pending_candidates(rows: DataFrame, registry: DataFrame, key: str = "name_key", most: int = 4) -> DataFrame:
     """Up to `most` profiles for each row that share words with its name, most shared words first.
 
@@ -171,56 +162,6 @@ def published_aliases(df: DataFrame, person: str, name: str, source: str) -> Dat
     return df.groupBy(person, name, source).agg(F.count("*").alias("occurrences"))
 
 
-def canonical_clubs(names: DataFrame, official: DataFrame, aliases: dict[str, str] | None = None, name: str = "club") -> DataFrame:
-    """club and official_club of every distinct club name.
-
-    Exact without a squad number or case; else, until it is one: without a short code before it,
-    with NF spelled out, the only official name inside it (eight letters), or the only one that it
-    begins (ten). The official names ride along as a parameter; the loop runs once for each
-    distinct name, not for each result.
-    """
-    table = sorted(r[0] for r in official.select(official.columns[0]).distinct().collect() if r[0])
-    known = dict((c.casefold(), c) for c in table)
-    exact = set(table)
-    alias = {k.casefold(): v for k, v in (aliases or {}).items()}
-
-    def one(value: str | None) -> str | None:
-        import re
-
-        if not value:
-            return None
-        now = value.rstrip("*").strip()
-        if m := re.match(X.CLUB_NUMBER_SUFFIX, now):
-            now = m[1].strip()
-        now = alias.get(now.casefold(), now)
-        now = known.get(now.casefold(), now)
-        for _ in range(8):
-            if now in exact:
-                return now
-            low = now.casefold()
-            inside = [c for c in table if len(c) >= 8 and c.casefold() in low]
-            begun = [c for c in table if len(now) >= 10 and c.casefold().startswith(low)]
-            code = re.match(X.CLUB_CODE_PREFIX, now)
-            spelled = re.match(X.CLUB_ABBREVIATED, now)
-            if code and code[2].strip() in exact:
-                now = code[2].strip()
-            elif spelled and f"Naturfreunde {spelled[1].strip()}" in exact:
-                now = f"Naturfreunde {spelled[1].strip()}"
-            elif len(inside) == 1:
-                now = inside[0]
-            elif len(begun) == 1:
-                now = begun[0]
-            else:
-                return None
-        return None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({name: b[name], "official_club": b[name].map(one)})
-
-    return names.select(name).distinct().mapInPandas(run, f"`{name}` string, official_club string")
-
-
 def first_names(people: DataFrame, first: str, last: str) -> DataFrame:
     """Lower-cased first names that are no one's last name and end like none."""
     low = lambda c: people.select(F.lower(F.trim(c)).alias("name")).filter("name <> ''")

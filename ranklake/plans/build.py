@@ -13,6 +13,7 @@ from ..functions.numbers import hash_id, stage_id
 from ..functions.text import is_valid_name, name_key, qualitative
 from ..operators import championship as C
 from ..operators import dedup as D
+from ..operators import evidence as EV
 from ..operators import identity as E
 from ..operators import quality as Q
 from ..operators import ranking as W
@@ -38,7 +39,7 @@ def build(spark: SparkSession, documents: str, registry: DataFrame, official_clu
     order = F.struct("event_id", (F.col("listType") != "relay").alias("late"), "path", "category_pos", "row_pos")
     rows = rows.withColumn("seq", order).withColumn("source_document_id", hash_id("document", "path")).withColumn("list_id", hash_id("list", "stage_id", "source_document_id", "category"))
     rows = rows.withColumn("result_id", F.abs(F.xxhash64("path", "category_pos", "row_pos"))).withColumn("name_key", name_key("name"))
-    clubs = cut(E.canonical_clubs(rows.select("club"), official_clubs), "clubs")
+    clubs = cut(EV.canonical_clubs(rows.select("club"), official_clubs), "clubs")
     rows = cut(rows.join(F.broadcast(clubs) if clubs.count() <= BROADCAST_CLUBS else clubs, "club", "left"), "rows")
 
     lists = rows.groupBy("list_id").agg(F.first("event_id").alias("event_id"), F.first("stage_id").alias("stage_id"), F.first("category").alias("category"), F.first("declared").alias("declared"), F.first("source").alias("source"), F.min("seq").alias("list_seq"))

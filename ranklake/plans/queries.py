@@ -812,11 +812,6 @@ def h1_list_fingerprints(spark, sf):
     return Q.list_fingerprint(results(spark, sf), "list_id", "seq", ["person_id", "status"])
 
 
-@query()
-def m15_table_fingerprint(spark, sf):
-    return Q.fingerprint(results(spark, sf), ["source"])
-
-
 @query(R + _LISTS + """, a AS (SELECT list_id, CASE WHEN list_id % 2 = 0 THEN source ELSE 'old' END AS f FROM ls) SELECT count(*) FILTER (f = source) AS accepted, count(*) FILTER (f <> source) AS stale FROM a JOIN ls USING (list_id)""")
 def q3_review_states(spark, sf):
     li = _lists(spark, sf).withColumn("fingerprint", F.col("source"))

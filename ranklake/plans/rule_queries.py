@@ -11,13 +11,17 @@ from ..functions import fixed as X
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import championship as C
+from ..operators import dedup as D
+from ..operators import evidence as EV
 from ..operators import filters as FI
+from ..operators import history as H
 from ..operators import identity as E
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import regional as RG
 from ..operators import units as U
 from ..operators.lineage import new_folder
+from ..operators.ordering import numbered
 from ..sources import html, layout, readers, writers
 from . import views as V
 from .queries import QUERIES, SQL, query
@@ -184,10 +188,10 @@ def f24_review_queue(spark, sf):
     return FI.review_queue(li, "spring", "1995-01-01", "1997-12-31", "O", "urgent").select("o_orderkey")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR NOT (c_custkey % 2 = 0)""")
+@query("""SELECT c_custkey FROM customer WHERE (c_custkey % 3 = 0 OR c_custkey % 2 <> 0) AND (c_custkey % 3 = 0 OR c_custkey % 5 < 2)""")
 def f17_index_refresh(spark, sf):
     k = F.col("c_custkey")
-    e = read(spark, sf, "customer").select("c_custkey", F.lit("2024-05-01").alias("date"), (k % 2 == 0).alias("known"), (k % 3 == 0).alias("selected"), (k % 5 >= 0).alias("needs"))
+    e = read(spark, sf, "customer").select("c_custkey", F.lit("2024-05-01").alias("date"), (k % 2 == 0).alias("known"), (k % 3 == 0).alias("selected"), F.when(k % 5 != 4, k % 5 < 2).alias("needs"))
     return FI.needs_index(e, "date", "known", "selected", "needs", today="2025-01-01").select("c_custkey")
 
 
@@ -277,15 +281,6 @@ def c17_unit_regions(spark, sf):
     return C.unit_region(r, clubs, m).select(F.col("unit_id").alias("result_id"), "region", "region_basis")
 
 
-@query("""SELECT o_orderkey AS seq, c_custkey AS person_id, c_custkey AS target, true AS proven FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0""")
-def e6_crossed_ids(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.concat(F.lit("aa"), F.col("c_custkey").cast("string"), F.lit(" bb"), F.col("c_custkey").cast("string")).alias("name_key"))
-    k, own = F.col("o_custkey"), lambda x: F.concat(F.lit("aa"), x.cast("string"), F.lit(" bb"), x.cast("string"))
-    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, -1 - k).otherwise(k).alias("user_id"), own(k).alias("name_key"))
-    registry = c.unionByName(c.select((-1 - F.col("person_id")).alias("person_id"), F.concat(F.lit("zz"), F.col("person_id").cast("string")).alias("name_key")))
-    return E.crossed_ids(rows, registry).select("seq", F.col("target").alias("person_id"), "target", "proven")
-
-
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS old_id, p_partkey - 1 AS new_id FROM part WHERE p_partkey % 4 <> 1), c AS (SELECT old_id, new_id FROM e UNION ALL SELECT c.old_id, e.new_id FROM c JOIN e ON c.new_id = e.old_id)
 SELECT old_id, min(new_id) AS new_id FROM c GROUP BY ALL HAVING min(new_id) IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 1)""")
 def e11_redirects(spark, sf):
@@ -400,12 +395,10 @@ def s7_priorities(spark, sf):
 # sources and sinks: written below the shared folder, read back, compared --------------------------
 
 
-def _one_file(df: DataFrame, name: str, array: bool = True) -> str:
-    """A register as one JSON file of its own, as registers are; small tables only."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    out = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns))))) if array else df
-    out.toDF("value").coalesce(1).write.text(path)
+def _lines(df: DataFrame, name: str, by: str | None = None) -> str:
+    """A register or a scan as JSON, a record a line, written by as many tasks as hold it; by names its folders."""
+    path = new_folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).json(path)
     return path
 
 
@@ -415,26 +408,35 @@ def src1_calendar(spark, sf):
     c = read(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, "Cup Bewertung").otherwise("Cup").alias("title"), F.lit("2024-05-01T10:00:00Z").alias("dateFrom"), F.lit("foot-o").alias("sportType"))
     excluded = read(spark, sf, "customer").filter(k % 7 == 0).select(k.alias("event_id"))
     sports = read(spark, sf, "customer").filter(k % 5 == 0).select(k.alias("event_id"), F.lit("skiOrienteering").alias("sport"))
-    return readers.calendar(spark, _one_file(c, "calendar"), excluded, sports).select("id", F.col("sportType").alias("sport"), "date_from")
+    return readers.calendar(spark, _lines(c, "calendar"), excluded, sports, lines=True).select("id", F.col("sportType").alias("sport"), "date_from")
 
 
-@query("SELECT 0::BIGINT AS n")
+@query("SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 4 = 0 THEN 'doubled' END AS reason FROM orders WHERE o_orderkey % 4 <> 1")
 def src2_missing_register(spark, sf):
-    return readers.optional_json(spark, new_folder(spark, "no-such"), "event_id long, reason string").agg(F.count("*").alias("n"))
+    """Events marked by one register and thinned out by another one; a third that is missing changes nothing."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf, "orders").select(k.alias("event_id"))
+    schema = "event_id long, reason string"
+    out = _lines(o.filter("event_id % 4 = 1").withColumn("reason", F.lit("out")), "excluded")
+    marks = _lines(o.filter("event_id % 4 = 0").withColumn("reason", F.lit("doubled")), "marked")
+    gone = readers.optional_json(spark, new_folder(spark, "no-such"), schema, lines=True)
+    kept = o.join(readers.optional_json(spark, out, schema, lines=True), "event_id", "left_anti").join(gone, "event_id", "left_anti")
+    return kept.join(readers.optional_json(spark, marks, schema, lines=True), "event_id", "left").select("event_id", "reason")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS p FROM orders WHERE o_orderpriority <> '5-LOW')
-SELECT k AS category, count(*) AS n, min(CASE WHEN o_orderkey % 2 = 0 THEN 'mp' ELSE 'ok' END) AS first_status FROM (SELECT * FROM o QUALIFY p = min(p) OVER (PARTITION BY k)) GROUP BY ALL""")
+SELECT k % 16 AS event_id, k AS category, count(*) AS n, min(CASE WHEN o_orderkey % 2 = 0 THEN 'mp' ELSE 'ok' END) AS first_status FROM (SELECT * FROM o QUALIFY p = min(p) OVER (PARTITION BY k)) GROUP BY ALL""")
 def src3_api_rows(spark, sf):
+    """API rows in a folder an event, a row a line; the event is told by the folder."""
     k = F.col("o_orderkey")
     o = read(spark, sf, "orders").select(
         k.alias("id"), F.lit("u").alias("userId"), k.cast("string").alias("firstName"), F.col("o_custkey").cast("string").alias("categoryShortTitle"), F.lit(1).cast("long").alias("eventStageId"), F.lit("Klub").alias("clubName"),
         F.when(F.col("o_orderpriority") == "5-LOW", "inactive").when(k % 2 == 0, "missingPunch").otherwise("classified").alias("classification"),
-        F.when(k % 3 == 0, "official").when(k % 3 == 1, "unofficial").otherwise("live").alias("resultType"),
+        F.when(k % 3 == 0, "official").when(k % 3 == 1, "unofficial").otherwise("live").alias("resultType"), (F.col("o_custkey") % 16).alias("event_id"),
     )
     twice = o.unionByName(o.filter("id % 10 = 0").withColumn("id", F.col("id") + 1_000_000_000))  # duplicates but for their ids
-    got = readers.api_rows(spark, _one_file(twice, "api"))
-    return got.groupBy(F.col("categoryShortTitle").cast("long").alias("category")).agg(F.count("*").alias("n"), F.min("status").alias("first_status"))
+    got = readers.api_rows(spark, _lines(twice.repartition("event_id"), "api", "event_id"), lines=True)
+    return got.groupBy("event_id", F.col("categoryShortTitle").cast("long").alias("category")).agg(F.count("*").alias("n"), F.min("status").alias("first_status"))
 
 
 @query(R + "SELECT list_id, category, seq - 1 AS row_pos, 'Person ' || person_id::VARCHAR AS name, club, CASE status WHEN 'dnf' THEN 'dnf' WHEN 'mp' THEN 'mp' ELSE 'ok' END AS status, time_s * 60 + 5 AS time_s, out_of_competition AS ooc FROM r")
@@ -463,13 +465,10 @@ def src5_member_csv(spark, sf):
 
 @query("SELECT key, kind, target FROM (SELECT c_name AS key, 'alias' AS kind, c_custkey::VARCHAR AS target FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_name, 'not_member', NULL FROM customer WHERE c_custkey % 2 = 1)")
 def src6_member_mapping(spark, sf):
-    c = read(spark, sf, "customer")
-    m = c.agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("c_custkey") % 2 == 0, F.struct("c_name", "c_custkey")))).alias("aliases"),
-        F.collect_list(F.when(F.col("c_custkey") % 2 == 1, F.col("c_name"))).alias("not_member"),
-    )
-    path = _one_file(m.select(F.to_json(F.struct("aliases", "not_member"))), "mapping", array=False)
-    return readers.member_mapping(spark, path).select("key", "kind", "target")
+    """The ledger in pieces, an entry a line."""
+    even, name = F.col("c_custkey") % 2 == 0, F.col("c_name")
+    m = read(spark, sf, "customer").select(F.when(even, F.create_map(name, F.col("c_custkey").cast("string"))).alias("aliases"), F.when(~even, F.array(name)).alias("not_member"))
+    return readers.member_mapping(spark, _lines(m, "mapping"), lines=True).select("key", "kind", "target")
 
 
 @query("SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION SELECT 'Old ' || c_mktsegment FROM customer)")
@@ -482,24 +481,47 @@ def src7_official_clubs(spark, sf):
 def src8_club_regions(spark, sf):
     k = F.col("c_custkey") % 3
     c = read(spark, sf, "customer").select(F.col("c_name").alias("club"), F.when(k == 0, "WIEN").when(k == 1, "NOE").otherwise("XX").alias("jurisdiction"))
-    path = _one_file(c.agg(F.to_json(F.struct(F.collect_list(F.struct("club", "jurisdiction")).alias("clubs")))), "regions", array=False)
-    return readers.club_jurisdictions(spark, path).select("club", "region")
+    path = _lines(c.select(F.array(F.struct("club", "jurisdiction")).alias("clubs")), "regions")
+    return readers.club_jurisdictions(spark, path, lines=True).select("club", "region")
 
 
 @query("SELECT c_custkey AS person_id, 'A ' || c_name AS name, c_custkey % 2 = 0 AS verified FROM customer")
 def src9_person_registry(spark, sf):
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("A").alias("first_name"), F.col("c_name").alias("last_name"), (F.col("c_custkey") % 2 == 0).alias("is_verified"))
-    path = _one_file(c.agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(F.struct(*c.columns)).alias("users")))), "users", array=False)
-    old = readers.person_registry(spark, path, version=2)
-    return readers.person_registry(spark, path).unionByName(old).select("person_id", "name", "verified")
+    users = F.array(F.struct(*c.columns)).alias("users")
+    path = _lines(c.select(F.lit(1).alias("schema_version"), users).unionByName(c.select(F.lit(2).alias("schema_version"), users)), "users")
+    return readers.person_registry(spark, path, lines=True).select("person_id", "name", "verified")
 
 
-@query("SELECT i AS id, 2 AS seen FROM range(1, 41) t(i)")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'later' ELSE o_orderpriority END AS title FROM orders")
 def src10_pages(spark, sf):
-    """Five pages of ten ids, every id on two of them: the later one counts."""
-    body = lambda page: {"data": [{"id": (10 * page + i - 1) % 40 + 1, "seen": 1 + (page > 4 or page > 1 and 10 * page + i > 40)} for i in range(10)], "lastPage": 8}
-    got = readers.pages(spark, lambda page: {**body((page - 1) % 4 + 1), "data": [{"id": d["id"], "seen": 1 if page <= 4 else 2} for d in body((page - 1) % 4 + 1)["data"]]}, "id long, seen int")
-    return got.select("id", "seen")
+    """A scan in pages of a hundred rows; every tenth row stands on a later page again, where it counts."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    rows = _paged(o, ["id"], F.col("id") % 10 == 0)
+    got = readers.stored_pages(spark, _lines(rows, "pages", "page"), "id long, title string")
+    return D.upsert(got, ["id"], "pos", replace=True).select("id", "title")
+
+
+def _paged(rows: DataFrame, order: list[str], again: Column, size: int = 100) -> DataFrame:
+    """rows by pages in an order, those of `again` once more at the end with another title."""
+    first = numbered(rows, [F.col(c).asc() for c in order], "_no")
+    more = numbered(rows.filter(again).withColumn("title", F.lit("later")), [F.col(c).asc() for c in order], "_no").withColumn("_no", F.col("_no") + rows.count())
+    every = first.unionByName(more).withColumn("page", F.expr(f"cast((_no - 1) div {size} + 1 as int)")).withColumn("at", F.expr(f"cast((_no - 1) % {size} as int)"))
+    return every.withColumn("last_page", F.lit(every.agg(F.max("page")).first()[0])).drop("_no")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_orderkey AS p FROM orders WHERE o_orderkey % 3 <> 0), f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'later' ELSE o_orderstatus END AS title, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS q FROM orders WHERE o_orderkey % 4 <> 1)
+SELECT id, coalesce(f.title, e.title) AS title, row_number() OVER (ORDER BY e.p NULLS LAST, q NULLS LAST, id) AS pos FROM e FULL JOIN f USING (id)""")
+def src11_durable_calendar(spark, sf):
+    """A calendar of an earlier scan, and the pages of a new one, merged and committed as the next version."""
+    o = read(spark, sf, "orders")
+    versions = H.Versions(spark, new_folder(spark, "calendar"), ["id"])
+    before = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("pos"))
+    H.merged_version(versions, before, "id", "pos")
+    fetched = o.filter("o_orderkey % 4 <> 1").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), "o_custkey")
+    path = _lines(_paged(fetched, ["o_custkey", "id"], F.col("id") % 10 == 0).drop("o_custkey"), "pages", "page")
+    H.merged_version(versions, readers.stored_pages(spark, path, "id long, title string"), "id", "pos")
+    return versions.read()
 
 
 @query(R + "SELECT result_id, CASE WHEN status = 'ok' THEN time_s END AS time_s, CASE status WHEN 'ok' THEN 'ok' WHEN 'mp' THEN 'mp' ELSE 'dnf' END AS status, CASE WHEN status = 'ok' THEN rank END AS rank FROM r")
@@ -515,11 +537,13 @@ def src13_timing_snapshot(spark, sf):
     return readers.timing_snapshot(c).select("c_custkey", "name", "birth_year", "course_length_m")
 
 
-@query("SELECT c_name AS path, true AS verified FROM customer")
+@query("SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN 'no source' WHEN c_custkey % 7 = 0 THEN 'other source' WHEN c_custkey % 3 <> 0 THEN 'other count' END AS refused FROM customer")
 def src14_locked_transcripts(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_name").alias("path"), F.encode("c_mktsegment", "UTF-8").alias("content"))
-    t = c.select("path", F.sha2("content", 256).alias("source_sha256"), F.lit(3).alias("declared"), F.lit(3).alias("n_rows"))
-    return readers.locked_transcripts(t, c).select("path", "verified")
+    """Transcripts of which some have no file, some another one, and some more or fewer rows than they declare."""
+    k = F.col("c_custkey")
+    c = read(spark, sf, "customer").withColumn("path", F.col("c_name")).withColumn("content", F.encode("c_mktsegment", "UTF-8"))
+    t = c.select("path", F.sha2(F.when(k % 7 == 0, F.encode(F.lower("c_mktsegment"), "UTF-8")).otherwise(F.col("content")), 256).alias("source_sha256"), (k % 3).alias("declared"), F.lit(0).cast("long").alias("n_rows"))
+    return readers.checked_transcripts(t, c.filter(k % 5 != 0).select("path", "content")).select("path", "refused")
 
 
 @query("SELECT DISTINCT club FROM (SELECT trim(c_mktsegment) AS club FROM customer UNION SELECT trim(s_name) FROM supplier) WHERE length(club) >= 3 AND regexp_matches(club, '\\pL{2}')")
@@ -528,10 +552,17 @@ def src15_club_dictionary(spark, sf):
     return readers.club_dictionary(a, read(spark, sf, "supplier").select("s_name"), spark.createDataFrame([("x1",), ("12345",)], "n string"))
 
 
-@query("SELECT o_custkey AS event_id, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY ALL")
+@query("""WITH o AS (SELECT o_custkey AS event_id, o_orderkey // 3 AS entry_id, count(*) AS n, bool_or(o_orderpriority = '5-LOW') AS other FROM orders GROUP BY ALL)
+SELECT event_id, count(*) FILTER (n = 1 AND NOT other) AS recovered, count(*) FILTER (n > 1) AS twice, count(*) FILTER (n = 1 AND other) AS others FROM o GROUP BY ALL""")
 def src16_omission_recovery(spark, sf):
-    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("event_id"), F.lit("H21").alias("category"), F.col("o_orderkey").alias("entry_id"), F.lit("dns").alias("status"), F.lit("n").alias("name"), F.lit("c").alias("club"))
-    return readers.omission_recovery(o).select("event_id", F.size("results").cast("long").alias("n"), F.col("results")[0]["entry_id"].alias("first"))
+    """Non-starters to be recovered; entries that stand twice, or that are none, are refused and the rest recovered."""
+    status = F.when(F.col("o_orderpriority") == "5-LOW", "ok").otherwise("dns")
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("event_id"), F.lit("H21").alias("category"), F.expr("o_orderkey div 3").alias("entry_id"), status.alias("status"), F.lit("n").alias("name"), F.lit("c").alias("club"))
+    bad = readers.refused_omissions(o)
+    good = readers.omission_recovery(o.join(bad, ["event_id", "category", "entry_id"], "left_anti")).select("event_id", F.size("results").cast("long").alias("n"))
+    refused = bad.groupBy("event_id").agg(F.count_if(F.col("refused") == "twice").alias("twice"), F.count_if(F.col("refused") != "twice").alias("others"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return good.join(refused, "event_id", "full").select("event_id", zero(F.col("n")).alias("recovered"), zero(F.col("twice")).alias("twice"), zero(F.col("others")).alias("others"))
 
 
 @query(R + """SELECT result_id, CASE WHEN status = 'mp' AND rank IS NOT NULL THEN 'ok' WHEN status = 'mp' THEN 'unknown' ELSE status END AS status, CASE WHEN time_s >= 10 THEN time_s - 10 END AS time_s, CASE WHEN person_id % 2 = 0 THEN 'resolved' ELSE 'candidate' END AS identity_state,

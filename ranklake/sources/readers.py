@@ -20,16 +20,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) is not None and len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
 
 
-def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON register; a missing file is an empty one."""
+def optional_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON register, one value a file or (lines) one a line, which large ones are split by; a missing file is an empty one."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def calendar(spark: SparkSession, path: str, excluded: DataFrame | None = None, sport_overrides: DataFrame | None = None) -> DataFrame:
+def calendar(spark: SparkSession, path: str, excluded: DataFrame | None = None, sport_overrides: DataFrame | None = None, lines: bool = False) -> DataFrame:
     """Events without clones and excluded ids; dates cut to days; sport types corrected by a register (event_id, sport)."""
-    e = spark.read.schema(S.EVENT).option("multiLine", True).json(path).filter(~is_clone_title("title"))
+    e = spark.read.schema(S.EVENT).option("multiLine", not lines).json(path).filter(~is_clone_title("title"))
     if excluded is not None:
         e = e.join(excluded.select(F.col("event_id").alias("id")), "id", "left_anti")
     e = e.withColumn("date_from", F.substring("dateFrom", 1, 10)).withColumn("date_to", F.substring("dateTo", 1, 10))
@@ -76,13 +76,17 @@ def sequenced(rows: DataFrame, *order: Column | str, out: str = "seq") -> DataFr
     return rows.withColumn(out, F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order]))
 
 
-def api_rows(spark: SparkSession, path: str) -> DataFrame:
-    """API result rows that are active, semantic duplicates once, best result type of each class, with status and tag."""
+def api_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """API result rows that are active, semantic duplicates once, best result type of each class, with status and tag.
+
+    An event is a file (`17.json`, one array) or a folder of files (`event_id=17`, a row a line).
+    """
     from ..operators.championship import api_tag
     from ..operators.dedup import best_priority, semantic
 
-    raw = spark.read.schema(S.API_ROW).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
-    raw = raw.withColumn("event_id", F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long"))
+    raw = spark.read.schema(S.API_ROW).option("multiLine", not lines).json(path).withColumn("path", F.input_file_name())
+    event = [F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")) for pattern in (r"event_id=(\d+)/", r"(\d+)\.json$")]
+    raw = raw.withColumn("event_id", F.coalesce(*event).try_cast("long"))
     raw = raw.filter(is_active("classification", "categoryShortTitle", "clubName"))
     raw = semantic(raw, ["id", "updatedAt"], "id")
     kind = F.when(F.col("resultType") == "official", 0).when(F.col("resultType") == "unofficial", 1).when(F.col("resultType") == "live", 2).otherwise(3)
@@ -104,14 +108,14 @@ def member_registry(spark: SparkSession, csv: str, json: str | None = None) -> D
     return optional_json(spark, json, S.MEMBERS) if json else spark.createDataFrame([], S.MEMBERS)
 
 
-def member_mapping(spark: SparkSession, path: str) -> DataFrame:
+def member_mapping(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """key, kind, target, targets of a hand-kept ledger of members: one row an entry; a missing or unreadable file is an empty one.
 
     Kinds: alias (a name key to a member id), not_member, internal_member, club_override (to a
     club; null for none) and split_override (one garbled name to several people).
     """
     schema = "aliases map<string,string>, not_member array<string>, internal_member map<string,string>, club_override map<string,string>, split_override map<string,array<struct<name:string,id:string>>>"
-    m = optional_json(spark, path, schema)
+    m = optional_json(spark, path, schema, lines)
     none = F.lit(None).cast("array<struct<name:string,id:string>>").alias("targets")
     out = [m.select(F.explode(c).alias("key", "target")).select("key", F.lit(kind).alias("kind"), "target", none) for c, kind in (("aliases", "alias"), ("internal_member", "internal_member"), ("club_override", "club_override"))]
     out.append(m.select(F.explode("not_member").alias("key")).select("key", F.lit("not_member").alias("kind"), F.lit(None).cast("string").alias("target"), none))
@@ -123,15 +127,15 @@ def official_clubs(current: DataFrame, historical: DataFrame) -> DataFrame:
     return current.select("name").union(historical.select("name")).distinct()
 
 
-def club_jurisdictions(spark: SparkSession, path: str) -> DataFrame:
+def club_jurisdictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """club, region, validity; codes that are no region are skipped."""
-    j = optional_json(spark, path, S.JURISDICTION).select(F.explode("clubs").alias("c")).select(F.col("c.club").alias("club"), F.col("c.jurisdiction").alias("region"), F.col("c.valid_from").alias("valid_from"), F.col("c.valid_to").alias("valid_to"))
+    j = optional_json(spark, path, S.JURISDICTION, lines).select(F.explode("clubs").alias("c")).select(F.col("c.club").alias("club"), F.col("c.jurisdiction").alias("region"), F.col("c.valid_from").alias("valid_from"), F.col("c.valid_to").alias("valid_to"))
     return j.filter(F.col("region").isin(*X.REGIONS))
 
 
-def person_registry(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+def person_registry(spark: SparkSession, path: str, version: int = 1, lines: bool = False) -> DataFrame:
     """Profiles of a registry snapshot of the right version, else none."""
-    u = optional_json(spark, path, S.USERS).filter(F.col("schema_version") == version).select(F.explode("users").alias("u"))
+    u = optional_json(spark, path, S.USERS, lines).filter(F.col("schema_version") == version).select(F.explode("users").alias("u"))
     return u.select(F.col("u.user_id").alias("person_id"), F.concat_ws(" ", "u.first_name", "u.last_name").alias("name"), F.col("u.year_of_birth").alias("birth_year"), F.col("u.nationality").alias("nationality"), F.col("u.is_verified").alias("verified"), F.col("u.active_memberships").alias("memberships")).filter("person_id is not null")
 
 
@@ -160,6 +164,20 @@ def pages(spark: SparkSession, fetch: Callable[[int], dict], schema: str, key: s
     return df.withColumn("_n", n).filter("_n = 1").drop("_n", "_pos")
 
 
+def stored_pages(spark: SparkSession, path: str, schema: str, page: str = "page", at: str = "at", last: str = "last_page") -> DataFrame:
+    """A paginated scan that lies in folders `page=N`, a row a line: its rows with pos, their place in the scan.
+
+    Every row says which page is the last; a scan that lacks a page, or says two things, is refused.
+    A row that moved on while pages were fetched stands on two; `dedup.merged_snapshot` takes the
+    later one's values at the earlier one's place.
+    """
+    rows = spark.read.schema(f"{schema}, {at} int, {last} int, {page} int").json(path)
+    seen = rows.agg(F.count_distinct(page).alias("pages"), F.min(page).alias("first"), F.max(last).alias("last"), F.min(last).alias("least")).first()
+    if seen["pages"] and not (seen["first"] == 1 and seen["pages"] == seen["last"] == seen["least"]):
+        raise ValueError(f"{seen['pages']} pages of {seen['last']}")
+    return rows.withColumn("pos", F.col(page).cast("long") * (1 << 32) + F.col(at)).drop(page, at, last)
+
+
 def live_results(rows: DataFrame) -> DataFrame:
     """Live timing rows (class, name, club, place, centiseconds, code) with seconds and status."""
     return rows.withColumn("time_s", F.when(F.col("code") == 0, F.floor(F.col("centiseconds") / 100).cast("int"))).withColumn("status", live_status("code")).withColumn("rank", F.when(F.col("code") == 0, F.col("place").try_cast("int")))
@@ -173,15 +191,19 @@ def timing_snapshot(rows: DataFrame) -> DataFrame:
     return rows.select("*", n["name"].alias("name"), n["year"].alias("birth_year"), F.round(F.col("kilometres") * 1000).cast("int").alias("course_length_m"), normalized_status("state")["status"].alias("status")).drop("name_year")
 
 
-def locked_transcripts(transcripts: DataFrame, files: DataFrame) -> DataFrame:
-    """Transcripts of files (path, content) that are byte for byte those they were made from, with whole counts.
-
-    A transcript whose hash, or whose declared count, doesn't hold is an error, not a gap.
-    """
+def checked_transcripts(transcripts: DataFrame, files: DataFrame) -> DataFrame:
+    """Transcripts with refused: why one isn't of its file (path, content) byte for byte, or not whole; null where it is."""
     f = files.select(F.col("path").alias("_path"), F.sha2("content", 256).alias("_sha"))
     t = transcripts.join(f, F.col("path") == F.col("_path"), "left")
-    ok = (F.col("_sha") == F.col("source_sha256")) & (F.col("declared") == F.col("n_rows"))
-    return t.withColumn("verified", F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("transcript does not match its source: "), F.col("path"))).cast("boolean"))).drop("_path", "_sha")
+    why = F.when(F.col("_sha").isNull(), "no source").when(~F.col("_sha").eqNullSafe(F.col("source_sha256")), "other source").when(~F.col("declared").eqNullSafe(F.col("n_rows")), "other count")
+    return t.withColumn("refused", why).drop("_path", "_sha")
+
+
+def locked_transcripts(transcripts: DataFrame, files: DataFrame) -> DataFrame:
+    """Transcripts that are all of their files and whole; one that isn't is an error, not a gap."""
+    t = checked_transcripts(transcripts, files)
+    said = F.raise_error(F.concat(F.lit("transcript does not match its source: "), F.col("path"), F.lit(", "), F.col("refused")))
+    return t.withColumn("verified", F.when(F.col("refused").isNull(), True).otherwise(said.cast("boolean"))).drop("refused")
 
 
 def club_dictionary(*names: DataFrame) -> DataFrame:
@@ -190,10 +212,15 @@ def club_dictionary(*names: DataFrame) -> DataFrame:
     return every.filter((F.length("club") >= 3) & F.col("club").rlike(r"(?U)\p{L}{2}"))
 
 
+def refused_omissions(rows: DataFrame) -> DataFrame:
+    """event_id, category, entry_id, refused: entries that stand twice, or with another status than `dns`."""
+    n = rows.groupBy("event_id", "category", "entry_id").agg(F.count("*").alias("n"), F.count_if(~F.col("status").eqNullSafe("dns")).alias("other"))
+    return n.filter("n > 1 OR other > 0").select("event_id", "category", "entry_id", F.when(F.col("n") > 1, "twice").otherwise("no non-starter").alias("refused"))
+
+
 def omission_recovery(rows: DataFrame) -> DataFrame:
     """Reviewed non-starters by event and class; anything else than `dns`, or an entry twice, is an error."""
-    bad = rows.groupBy("event_id", "category", "entry_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "dns").alias("other")).filter("n > 1 OR other > 0")
-    if bad.limit(1).count():
+    if refused_omissions(rows).limit(1).count():
         raise ValueError("a recovery holds an entry twice, or one that is no non-starter")
     return rows.groupBy("event_id", "category").agg(F.sort_array(F.collect_list(F.struct("entry_id", "name", "club"))).alias("results"))
 

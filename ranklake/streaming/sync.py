@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import appended_index, merged_snapshot
+from ..operators.history import Versions
 
 
 def selected_jobs(jobs: DataFrame, manifest: DataFrame | None = None, event_id: int | None = None) -> DataFrame:
@@ -24,41 +25,18 @@ def index_additions(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     return appended_index(existing, fetched, "event_id", "url", "position")
 
 
-class Ledger:
-    """Decisions in versions that never shrink: every write is a new folder, an equal one is no write."""
+class Ledger(Versions):
+    """Decisions (person_id, event_id, decision) in versions that never shrink; an equal one is no write."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+        super().__init__(spark, root, ["person_id", "event_id"])
 
     def read(self, version: int | None = None) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], "person_id long, event_id long, decision string")
-        return self.spark.read.parquet(f"{self.root}/v{version or versions[-1]}")
-
-    def write(self, decisions: DataFrame) -> int:
-        """The new version, or the present one if nothing changed; refused if a decision would be lost."""
-        versions = self._versions()
-        if versions:
-            now = self.read()
-            if now.join(decisions, ["person_id", "event_id"], "left_anti").limit(1).count():
-                raise ValueError("the ledger would shrink")
-            if not decisions.exceptAll(now).limit(1).count():
-                return versions[-1]
-        version = (versions[-1] if versions else 0) + 1
-        decisions.select("person_id", "event_id", "decision").write.parquet(f"{self.root}/v{version}")
-        return version
-
-    def restore(self, version: int) -> int:
-        """An old version as the newest, its later decisions kept in history."""
-        new = self._versions()[-1] + 1
-        self.read(version).write.parquet(f"{self.root}/v{new}")
-        return new
+        found = super().read(version)
+        return self.spark.createDataFrame([], "person_id long, event_id long, decision string") if found is None else found
+
+    def write(self, decisions: DataFrame, reason: str = "update") -> int:
+        return super().write(decisions.select("person_id", "event_id", "decision"), reason)
 
 
 def undecided(candidates: DataFrame, ledger: DataFrame) -> DataFrame:

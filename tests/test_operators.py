@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklake.operators import championship as C
+from ranklake.operators import evidence as EV
 from ranklake.operators import identity as E
 from ranklake.operators import joins as J
 from ranklake.operators import quality as Q
@@ -107,7 +108,7 @@ def test_identities(spark):
 def test_canonical_clubs(spark):
     official = spark.createDataFrame([("Naturfreunde Wien",), ("LZ OMAHA",), ("OC Ost",), ("HSV OL Wiener Neustadt",)], "name string")
     names = ["Naturfreunde Wien 2", "lz omaha", "NF Wien 1", "NWN Naturfreunde Wien", "HSV OL Wiener Neus", "OC Ost*", "Unknown", None]
-    got = {r.club: r.official_club for r in E.canonical_clubs(spark.createDataFrame([(n,) for n in names], "club string"), official).collect()}
+    got = {r.club: r.official_club for r in EV.canonical_clubs(spark.createDataFrame([(n,) for n in names], "club string"), official).collect()}
     assert got == {"Naturfreunde Wien 2": "Naturfreunde Wien", "lz omaha": "LZ OMAHA", "NF Wien 1": "Naturfreunde Wien", "NWN Naturfreunde Wien": "Naturfreunde Wien", "HSV OL Wiener Neus": "HSV OL Wiener Neustadt", "OC Ost*": "OC Ost", "Unknown": None, None: None}
 
 
@@ -145,7 +146,7 @@ def test_html_documents():
     c = html.parse_document(relay)
     assert [(r["name"], r["kind"], r["team"], r["leg"], r["rank"]) for r in c[0]["results"]] == [("Anna B", "relay", "NF 1", 1, 1), ("Eva C", "relay", "NF 1", 2, 1)]
     placed = "".join(f'<div style="position:absolute; top:{t}px; left:{x}px">{s}</div>' for t, x, s in [(10, 5, "D 21 (1)"), (30, 5, "Pl"), (30, 50, "Name"), (31, 150, "Verein"), (30, 250, "Zeit"), (50, 5, "1"), (50, 50, "Anna B"), (49, 150, "NF"), (50, 250, "26:21")])
-    assert html.parse_document(placed)[0]["results"][0]["time_text"] == "26:21"
+    assert layout.dispatched(placed)[0]["results"][0]["time_text"] == "26:21"
 
 
 def test_text_and_words():
@@ -193,8 +194,8 @@ def test_stream_follows_files_once(spark, tmp_path):
 
 
 def test_flow_rows():
-    clubs = {"NF Wien", "OL Ost Graz"}
-    assert layout.flow_row("1. Anna Berg NF Wien 26:21", clubs) == {"rank": 1, "name": "Anna Berg", "club": "NF Wien", "time_text": "26:21"}
+    clubs = layout.Clubs({"NF Wien", "OL Ost Graz"})
+    assert layout.flow_row("1. Anna Berg NF Wien 26:21", clubs) == {"rank": 1, "ooc": False, "name": "Anna Berg", "club": "NF Wien", "time_text": "26:21"}
     assert layout.flow_row("Eva Tal OL Ost Graz Aufg.", clubs)["club"] == "OL Ost Graz"
     assert layout.flow_row("nothing here", clubs) is None
 
