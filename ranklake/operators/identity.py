@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.fixed import IDENTITY_CONFIDENCE
 from ..functions.numbers import synthetic_id
+from ..functions.text import clean_name, is_valid_name, name_key
 from .lineage import cut
 
 
@@ -113,27 +114,65 @@ def merge_conflicts(df: DataFrame, person: str, key: str, year: str) -> DataFram
     return out.filter("names > 1 OR years > 1")
 
 
+#: Names of more words than this are compared word by word; all others by their subsets of words.
+MOST_WORDS = 8
+
+
 def pending_candidates(rows: DataFrame, registry: DataFrame, key: str = "name_key", most: int = 4) -> DataFrame:
-    """Up to `most` profiles for each row that share words with its name, most shared words first.
+    """Up to `most` profiles for each row that share words with its name: most shared words first, then the least id.
 
-    Rows of equal words have equal choices, and of profiles of equal words only the first `most`
-    can be chosen: words are joined between distinct names, not between rows and profiles.
+    Names are joined by the sets of words that they share. Who is among the best by sharing k words
+    is among the least `most` ids of those who have these k words, for any more of the others would
+    come first; so a set keeps `most` profiles, and a word that half of all names have makes no more
+    pairs than any other. Names of more than MOST_WORDS words, which have too many subsets, are
+    joined word by word. A word counts once in a name; rows without a name have no candidates.
     """
     words = F.array_distinct(F.split(key, " "))
-    bag = lambda df, own: df.filter(F.col(key).isNotNull()).groupBy(own).agg(F.array_sort(F.flatten(F.collect_list(words))).alias("_bag"))
-    named = bag(rows, "seq")
-    a = named.select("_bag").distinct().select("_bag", F.explode("_bag").alias("_w"))
-    first = Window.partitionBy("_bag").orderBy("person_id")
-    profiles = bag(registry, "person_id").withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most)
-    own = profiles.groupBy("_bag").agg(F.collect_list("person_id").alias("_people"))
-    b = own.select(F.col("_bag").alias("_own"), "_people", F.explode("_bag").alias("_w"))
-    n = a.join(b, "_w").groupBy("_bag", "_own").agg(F.count("*").alias("shared"), F.first("_people").alias("_people"))
-    n = n.select("_bag", F.explode("_people").alias("person_id"), "shared")
+    bag = lambda df, own: df.filter(F.col(key).isNotNull()).groupBy(own).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("_bag"))
+    named, people = bag(rows, "seq"), bag(registry, "person_id")
+    narrow = F.size("_bag") <= MOST_WORDS
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("_bag")).cast("int") - 1)
+    inside = lambda m: F.filter("_bag", lambda _, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
+    sets = F.transform(masks, lambda m: F.struct(F.array_join(inside(m), " ").alias("set"), F.bit_count(m).alias("shared")))
+    asked = named.select("_bag").distinct()
+    a = asked.filter(narrow).select("_bag", F.explode(sets).alias("_s")).select("_bag", "_s.*")
+    first = Window.partitionBy("set").orderBy("person_id")
+    b = people.filter(narrow).select("person_id", F.explode(sets).alias("_s")).select("person_id", F.col("_s.set").alias("set"))
+    b = b.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most).groupBy("set").agg(F.collect_list("person_id").alias("_people"))
+    by_sets = a.join(b, "set").select("_bag", F.explode("_people").alias("person_id"), "shared")
+    wide = lambda df, at: df.select(at, F.explode("_bag").alias("_w"))
+    one = wide(asked.filter(~narrow), "_bag").join(wide(people, "person_id"), "_w").unionByName(wide(asked.filter(narrow), "_bag").join(wide(people.filter(~narrow), "person_id"), "_w"))
+    by_words = one.groupBy("_bag", "person_id").agg(F.count("*").alias("shared"))
+    n = by_sets.groupBy("_bag", "person_id").agg(F.max("shared").cast("long").alias("shared")).unionByName(by_words)
     by = Window.partitionBy("_bag").orderBy(F.col("shared").desc(), "person_id")
     chosen = n.withColumn("choice", F.row_number().over(by)).filter(F.col("choice") <= most)
     return named.join(chosen, "_bag").select("seq", "person_id", "shared", "choice")
 
 
+def profile_index(profiles: DataFrame) -> DataFrame:
+    """person_id, name, name_key, birth_year, nationality of the registry's usable profiles, one a person.
+
+    Names are cleaned as those of results are; placeholder years are none. Profiles without a
+    positive id or a name that can be one are left out; of repeated ids the last name counts.
+    """
+    name = clean_name(F.concat_ws(" ", F.trim("first_name"), F.trim("last_name")))
+    out = profiles.select(F.col("person_id").try_cast("long").alias("person_id"), name.alias("name"), F.when(~F.col("birth_year").isin(1900, 1901), F.col("birth_year")).alias("birth_year"), F.nullif(F.col("nationality"), F.lit("")).alias("nationality"))
+    out = out.filter((F.col("person_id") > 0) & is_valid_name("name")).withColumn("name_key", name_key("name"))
+    best = F.max(F.struct("name", "name_key", "birth_year", "nationality")).alias("_p")
+    return out.groupBy("person_id").agg(best).select("person_id", "_p.*")
+
+
+def directly_known(rows: DataFrame, index: DataFrame, user: str = "user_id") -> DataFrame:
+    """person_id, name, birth_year, nationality of every id that rows name: the profile's values, else the first row's that has one.
+
+    rows: seq, user_id, name, birth_year, nationality. Only positive ids are anyone's.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    seen = rows.filter(F.col(user) > 0).groupBy(F.col(user).alias("person_id")).agg(*[first(c).alias(f"_{c}") for c in ("name", "birth_year", "nationality")])
+    out = seen.join(index, "person_id", "left")
+    return out.select("person_id", *[F.coalesce(c, f"_{c}").alias(c) for c in ("name", "birth_year", "nationality")])
+
+
 def member_match(rows: DataFrame, members: DataFrame, aliases: DataFrame, key: str = "name_key", year: str = "birth_year") -> DataFrame:
     """member_id by a confirmed alias, else by the one member of that name, else of that name and year."""
     a = aliases.groupBy(F.col(key).alias("_ka")).agg(F.min("member_id").alias("_a"))

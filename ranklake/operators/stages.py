@@ -25,6 +25,20 @@ def round_number(text: Column) -> Column:
     return F.coalesce(pick(r"(?i)(\d+)\.\s*(?:lauf|etappe|tag)"), pick(r"(?i)(?:etappe|stage|tag)\s*(\d+)"), pick(r"(?i)(?:^|[-_ ])e(\d)(?:[-_. ]|$)"))
 
 
+#: Stages that an event has by itself are numbered from here on.
+DEFAULT_STAGES = 10_000_000
+
+
+def with_default_stages(events: DataFrame, stages: DataFrame) -> DataFrame:
+    """stages, and for every event without any one of its own: first and only, on the event's first day.
+
+    events: event_id, date_from, location. stages: stage_id, event_id, number, title, date, location.
+    """
+    bare = events.dropDuplicates(["event_id"]).join(stages.select("event_id"), "event_id", "left_anti")
+    own = bare.select((F.col("event_id") + DEFAULT_STAGES).alias("stage_id"), "event_id", F.lit(1).alias("number"), F.lit(None).cast("string").alias("title"), F.nullif(F.substring("date_from", 1, 10), F.lit("")).alias("date"), "location")
+    return stages.select(*own.columns).unionByName(own)
+
+
 def mapped_stages(docs: DataFrame, stages: DataFrame) -> DataFrame:
     """docs with stage_id and how: by explicit number, round number, the only stage of its discipline, the only stage of its day.
 

@@ -15,6 +15,8 @@ from ..functions.numbers import season_year
 from ..functions.text import category_order, gender_base, is_course_list
 from ..operators import aggregates as A
 from ..operators import ranking as W
+from ..operators import regional
+from ..operators.lineage import cut
 from ..operators.filters import of_discipline
 from ..operators.units import display_unit
 
@@ -125,17 +127,49 @@ def podiums(result: DataFrame, stage: DataFrame, event: DataFrame, club: str | N
 def runner_medals(podium: DataFrame, person: DataFrame, cap: int | None = None, place: str = "national_rank") -> DataFrame:
     """Medals by person; names only break ties in the display, never places. The cap comes after the tally."""
     elite = F.col("championship") == "ÖSTM"
-    t = A.medal_table(podium.filter(F.col("person_id").isNotNull()), ["person_id"], place, F.coalesce(elite, F.lit(False)))
+    won = cut(podium.filter(F.col("person_id").isNotNull()).select("person_id", place, "championship"), "podium")  # counted, and its counts placed
+    t = A.medal_table(won, ["person_id"], place, F.coalesce(elite, F.lit(False)))
     out = t.join(person.select("person_id", "name"), "person_id", "left").orderBy("place", "name", "person_id")
     return out.limit(cap) if cap else out
 
 
 def club_medals(podium: DataFrame, cap: int | None = None, place: str = "national_rank") -> DataFrame:
     elite = F.coalesce(F.col("championship") == "ÖSTM", F.lit(False))
-    out = A.medal_table(podium.filter(F.col("official_club").isNotNull()), ["official_club"], place, elite).orderBy("place", "official_club")
+    won = cut(podium.filter(F.col("official_club").isNotNull()).select("official_club", place, "championship"), "podium")
+    out = A.medal_table(won, ["official_club"], place, elite).orderBy("place", "official_club")
     return out.limit(cap) if cap else out
 
 
+def regional_podiums(entered: DataFrame, result: DataFrame, stage: DataFrame, event: DataFrame, region: str | None = None, club: str | None = None, person_id: int | None = None, year: int | None = None) -> DataFrame:
+    """Places 1 to 3 of confirmed regional championships with their event and day, a row a member."""
+    won = regional.podiums(entered, result, region, club, person_id).withColumn("championship", F.col("region"))
+    s = stage.select("stage_id", "event_id", F.col("date").alias("stage_date"), "stage_title")
+    out = won.join(s, "stage_id").join(event.select("event_id", "title", "date", "sport"), "event_id").withColumn("date", F.coalesce("stage_date", "date"))
+    return _of_season(out, year).drop("stage_date")
+
+
+def regional_club_medals(podium: DataFrame, cap: int | None = None) -> DataFrame:
+    """Medals of regional championships by club: an entry counts once for each club that is in it."""
+    return club_medals(podium.select("entry_id", "official_club", "rank", F.lit(None).cast("string").alias("championship")).distinct(), cap, "rank")
+
+
+def regional_runner_medals(podium: DataFrame, person: DataFrame, cap: int | None = None) -> DataFrame:
+    return runner_medals(podium.select("entry_id", "person_id", "rank", F.lit(None).cast("string").alias("championship")).distinct(), person, cap, "rank")
+
+
+def regional_stages(entered: DataFrame) -> DataFrame:
+    """region, stage_id, entries, eligible, champions of every stage that has a regional championship."""
+    ok = F.col("eligibility_state") == "eligible"
+    return entered.groupBy("region", "stage_id").agg(F.count("*").alias("entries"), F.count_if(ok).alias("eligible"), F.count_if(ok & (F.col("regional_rank") == 1)).alias("champions"))
+
+
+def regional_event(entered: DataFrame, result: DataFrame, stage_id: int, region: str) -> DataFrame:
+    """A stage's results as a regional championship: by class, placed ones first, who may not be placed last; a row a member."""
+    own = entered.filter((F.col("stage_id") == stage_id) & (F.col("region") == region)).select("entry_id", "instance_id", "regional_rank", "eligibility_state", F.explode("result_ids").alias("result_id"))
+    rows = own.join(result.drop("stage_id"), "result_id")
+    return rows.orderBy(*category_order("category"), F.col("regional_rank").isNull(), "regional_rank", "rank", "entry_id", F.col("leg_number").asc_nulls_first(), "result_id")
+
+
 def medal_chronicle(podium: DataFrame) -> DataFrame:
     return podium.orderBy(F.col("date").desc(), "stage_id", *category_order("category"), F.coalesce("national_rank", "rank"))
 

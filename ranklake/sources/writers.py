@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import content_hash, hash_id
@@ -44,13 +43,19 @@ def normalized(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def json_file(path: str, value) -> None:
-    """A small JSON file on the driver, replaced in one step."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, own = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
-    os.replace(own, path)
+def json_file(spark: SparkSession, path: str, value) -> None:
+    """A small JSON file in any folder that Spark reaches, replaced in one step: readers see the former file or the whole new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    to = hadoop.Path(path)
+    own = hadoop.Path(to.getParent(), f".{to.getName()}.{uuid.uuid4().hex}")
+    system = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = system.create(own, False)
+    stream.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    stream.close()
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(system.makeQualified(own), system.makeQualified(to), options)
 
 
 def with_defaults(r: DataFrame) -> DataFrame:
@@ -73,3 +78,17 @@ def registered(docs: DataFrame, parser: str) -> DataFrame:
     """source_document rows: id, path, url, hashes of content and of the parser; the first of an id stays."""
     d = docs.select(hash_id("document", "path").alias("source_document_id"), "path", "source_url", content_hash("categories").alias("normalized_sha256"), F.sha2(F.lit(parser), 256).alias("parser_sha256"))
     return d.dropDuplicates(["source_document_id"])
+
+
+def registered_api(events: DataFrame, files: DataFrame, parser: str) -> DataFrame:
+    """source_document rows of API results, one an event: the address they come from, the snapshot and its hash.
+
+    events: event_id, url. files: path, content; a snapshot is named by its event (`17.json`). An
+    event without a snapshot isn't registered; of repeated ones the first path stays.
+    """
+    f = files.select(F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long").alias("event_id"), "path", F.sha2("content", 256).alias("snapshot_sha256"))
+    f = f.filter("event_id is not null").groupBy("event_id").agg(F.min(F.struct("path", "snapshot_sha256")).alias("f"))
+    return events.dropDuplicates(["event_id"]).join(f, "event_id").select(
+        F.concat(F.lit("api-results:"), F.col("event_id").cast("string")).alias("source_document_id"), "event_id", F.lit("api").alias("source_type"), F.col("url").alias("source_url"),
+        F.element_at(F.split("f.path", "/"), -1).alias("file_name"), F.col("f.path").alias("snapshot_path"), "f.snapshot_sha256", F.sha2(F.lit(parser), 256).alias("parser_sha256"),
+    )

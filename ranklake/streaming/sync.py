@@ -53,6 +53,11 @@ def is_fresh(snapshot: DataFrame, at: str, now: str, hours: int) -> bool:
     return bool(r and r["fresh"])
 
 
+def with_freshness(snapshots: DataFrame, at: str, now: str, hours: int) -> DataFrame:
+    """snapshots with fresh: whether each was fetched within so many hours of now; one never fetched isn't."""
+    return snapshots.withColumn("fresh", F.coalesce(F.to_timestamp(F.lit(now)) - F.to_timestamp(at) < F.expr(f"INTERVAL {hours} HOURS"), F.lit(False)))
+
+
 def follow(source: DataFrame, apply: Callable[[DataFrame], DataFrame], target: str, keys: list[str], checkpoint: str):
     """A stream of new files: each batch is applied and written once, by its number, however often it is tried."""
 

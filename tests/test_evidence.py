@@ -118,3 +118,46 @@ def test_a_scan_is_merged_into_versions(spark, tmp_path):
     assert history.merged_version(v, scan((7, "c", 1), (3, "B", 2)), "id", "pos") == 2
     assert [tuple(r) for r in v.read().orderBy("pos").collect()] == [(5, "a", 1), (3, "B", 2), (7, "c", 3)]
     assert history.merged_version(v, scan((3, "B", 1)), "id", "pos") == 2
+
+
+def test_candidates_equal_all_pairs(spark):
+    """The best by shared words, found by sets of words, against every pair; half of the names have one word."""
+    import random
+
+    from ranklake.operators import identity
+
+    r = random.Random(5)
+    word = lambda: "hot" if r.random() < 0.5 else f"w{r.randrange(12)}"
+    name = lambda: " ".join(word() for _ in range(r.choice([1, 2, 3, 4, 11])))
+    rows = [(i, name()) for i in range(60)] + [(60, None)]
+    people = [(i, name()) for i in range(90)]
+    got = identity.pending_candidates(spark.createDataFrame(rows, "seq long, name_key string"), spark.createDataFrame(people, "person_id long, name_key string"))
+    want = set()
+    for seq, n in rows:
+        shared = sorted((-len(set(n.split()) & set(p.split())), i) for i, p in people if n and set(n.split()) & set(p.split()))
+        want |= {(seq, i, -s, k) for k, (s, i) in enumerate(shared[:4], 1)}
+    assert {(x.seq, x.person_id, x.shared, x.choice) for x in got.collect()} == want
+
+
+def test_hot_words_make_no_pairs(spark):
+    """A word that every name has: what is joined grows with the names, not with their product."""
+    from ranklake.operators import identity
+
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("hot a"), F.col("id").cast("string")).alias("name_key"))
+    people = spark.range(n).select(F.col("id").alias("person_id"), F.concat(F.lit("hot b"), F.col("id").cast("string")).alias("name_key"))
+    got = identity.pending_candidates(rows, people)
+    assert got.count() == 4 * n and {r.person_id for r in got.select("person_id").distinct().collect()} == {0, 1, 2, 3}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_json_files_are_replaced(spark, tmp_path):
+    from ranklake.sources import writers
+
+    path = f"file://{tmp_path}/a/x.json"
+    for value in ({"a": "ü"}, [1, 2]):
+        writers.json_file(spark, path, value)
+        import json
+
+        assert json.loads((tmp_path / "a" / "x.json").read_text()) == value
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
