@@ -9,8 +9,8 @@ are remembered by the worker, as words repeat.
 
 Every labelled language is learned, LANG_BLOCK of them at a time: the probabilities of a block are
 a file in the shared folder that workers map, so the driver holds one block however many there are.
-Characters outside the vocabulary take a piece of their own. Words of any length are scored whole:
-beyond LONG characters the forward pass carries its last values from stretch to stretch.
+Characters outside the vocabulary take a piece of their own. Words of any length are fitted and
+scored whole: beyond LONG characters the passes carry their last values from stretch to stretch.
 """
 
 from __future__ import annotations
@@ -205,6 +205,66 @@ def expected(edges: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.nda
     return out[:-1]
 
 
+def _forward_stretch(last: np.ndarray, scale: float, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward values and their log scales behind each character of a stretch, the SPAN values before it in front."""
+    alpha, logs = np.concatenate([last, np.zeros(len(weight))]), np.full(SPAN + len(weight), scale)
+    for i, w in enumerate(weight, SPAN):
+        alpha[i] = alpha[i - SPAN : i] @ w[::-1]
+        logs[i] = scale
+        if i % SPAN == 0:
+            top = alpha[i - SPAN + 1 : i + 1].max()
+            if top > 0:
+                alpha[i - SPAN + 1 : i + 1] /= top
+                scale += np.log(top)
+                logs[i - SPAN + 1 : i + 1] = scale
+    return alpha, logs
+
+
+def expected_long(own: Vocabulary, marked: str, table: np.ndarray, weight: float) -> np.ndarray:
+    """As `expected`, of one word of any length: forward values at the beginnings of stretches are kept, and the
+    backward pass goes through the stretches from the last one, carrying its first SPAN values on."""
+    prob = np.append(table, 0.0)
+    starts = range(0, len(marked), LONG)
+
+    def edges(at: int) -> np.ndarray:
+        before = min(at, SPAN - 1)
+        return own.pieces([marked[at - before : at + LONG]])[0, before:]
+
+    last, scale, before = np.zeros(SPAN), 0.0, []
+    last[-1] = 1
+    for at in starts:
+        before.append((last, scale))
+        alpha, logs = _forward_stretch(last, scale, prob[edges(at)])
+        last, scale = alpha[-SPAN:] * np.exp(logs[-SPAN:] - logs[-1]), logs[-1]
+    out = np.zeros(len(prob))
+    if last[-1] <= 0:
+        return out[:-1]
+    total = np.log(last[-1]) + scale
+    carried, scale = np.zeros(SPAN), 0.0
+    carried[-1] = 1
+    for at, (first, first_scale) in zip(reversed(starts), reversed(before), strict=True):
+        e = edges(at)
+        w = prob[e]
+        alpha, logs = _forward_stretch(first, first_scale, w)
+        beta, said = np.concatenate([np.zeros(len(e)), carried]), np.zeros(len(e))
+        ends = np.zeros(len(e))
+        for k in range(len(e) - 1, -1, -1):  # what ends behind character k ends at place k + SPAN
+            i = k + SPAN
+            ends[k], said[k] = beta[i], scale
+            beta[i - SPAN : i] += beta[i] * w[k, ::-1]
+            if k % SPAN == 0:
+                top = beta[i - SPAN : i].max()
+                if top > 0:
+                    beta[i - SPAN : i] /= top
+                    scale += np.log(top)
+        carried = beta[:SPAN]
+        places = np.arange(len(e))[:, None] + SPAN - np.arange(1, SPAN + 1)
+        value = weight * alpha[places] * w * ends[:, None] * np.exp(np.minimum(logs[places] + said[:, None] - total, 700))
+        there = e >= 0
+        out += np.bincount(e[there], value[there], len(prob))
+    return out[:-1]
+
+
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
     """Indices of words of like length, few enough to work on at once."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -292,10 +352,8 @@ def fit(labelled: DataFrame, path: str | None = None) -> tuple[list[str], list[s
     """Languages, and a file of piece probabilities for each LANG_BLOCK of them, in the shared folder.
 
     labelled: doc_id, text, lang. Reads about FIT_ROWS rows of each language, every one of them;
-    equal texts of a language count once in the sample. Words of LONG characters or more are
-    counted in stretches of that length, the later ones without a mark of a word's begin (the
-    scoring cuts nothing). What reaches the driver at once is a count for each piece and language
-    of one block. Rows without text or lang teach nothing; with none left there are no languages.
+    equal texts of a language count once in the sample. Words of any length are counted whole.
+    What reaches the driver at once is a count for each piece and language of one block. Rows without text or lang teach nothing; with none left there are no languages.
     """
     path = path or default_path()
     spark = labelled.sparkSession
@@ -333,12 +391,12 @@ def _fitted(sample: DataFrame, langs: list[str], path: str, size: int) -> np.nda
                 words: dict[str, Counter] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     seen = words.setdefault(lang, Counter())
-                    for w in text.lower().split():
-                        w = "▁" + w.replace("\0", "�")
-                        seen.update([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w), LONG)))
+                    seen.update("▁" + w.replace("\0", "�") for w in text.lower().split())
                 for lang, seen in words.items():
-                    names = list(seen)
+                    names = [w for w in seen if len(w) <= LONG]
                     total = np.zeros(size + 1)
+                    for w in (w for w in seen if len(w) > LONG):
+                        total += expected_long(own, w, table[:, at[lang]], float(seen[w]))
                     for group in by_length(names):
                         total += expected(own.pieces([names[i] for i in group]), table[:, at[lang]], np.array([seen[names[i]] for i in group], float))
                     piece = np.flatnonzero(total)

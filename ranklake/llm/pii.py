@@ -34,10 +34,10 @@ GENERATIONS = 3
 MIN_CONFIDENCE = 0.8
 #: Distinct seeds that a pattern must match.
 MIN_SEEDS = 5
-MIN_LENGTH = 6
-#: Digits of the longest run of groups that is one candidate (a card number has up to 19).
+#: The shortest text that is of any kind (`a@b.c`), and the most digits that any kind allows (a card): what an unseen token must reach, or a run of groups stay within.
+MIN_LENGTH = 5
 RUN_DIGITS = 19
-#: Characters before an instance that may hold its context.
+#: Characters before an instance that are read first for its context; more follow until two words are found.
 CONTEXT = 120
 #: Up to this many patterns (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
@@ -128,13 +128,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _left(text: str, start: int) -> tuple[str, str]:
-    """The word before a place and the two before it, lower-cased, without marks at their edges; empty where there are none."""
-    at = max(0, start - CONTEXT)
-    near = text[at:start].lower().split()
-    if at and near and text[at - 1] not in SPACES and text[at] not in SPACES:
-        near = near[1:] if len(near) < 3 else near  # a word that the bound cuts is no word
-    words = [w for w in (x.strip(EDGE) for x in near[-4:]) if w][-2:]
-    return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "")
+    """The word before a place and the two before it, lower-cased, without marks at their edges; empty where there are none.
+
+    Pieces of marks alone are no words, and the walk to the left goes on until two words are found:
+    no instance is passed by more than the next two, as instances are words themselves.
+    """
+    reach = CONTEXT
+    while True:
+        at = max(0, start - reach)
+        near = text[at:start].lower().split()
+        if at and near and text[at - 1] not in SPACES and text[at] not in SPACES:
+            near = near[1:]  # a word that the window cuts is no word yet
+        words = [w for w in (x.strip(EDGE) for x in near) if w][-2:]
+        if len(words) == 2 or not at:
+            return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "")
+        reach *= 4
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
@@ -302,7 +310,7 @@ def spans(docs: DataFrame) -> DataFrame:
     other columns of docs are not read.
     """
     rows = staged(extracted(docs), "pii-rows")
-    hits = _hits(rows, staged(patterns(rows), "pii-patterns"))
+    hits = _hits(rows, patterns(rows))
     # texts without any instance, most of a corpus, need no join
     plain = rows.filter(F.size("found") == 0).select("doc_id", "uid", "base", F.col("base").alias("spans"))
     out = rows.filter(F.size("found") > 0).join(hits, F.col("uid") == F.col("hit"), "left")
@@ -316,7 +324,11 @@ def _said(column: str):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans as text, of every row that `spans` gives."""
+    """doc_id, counts of base spans by kind, base_sha256 and spans as text, of every row that `spans` gives.
+
+    A null doc_id stays null; a row without spans has counts of 0, the digest of nothing and an empty
+    text; repeated rows repeat; an empty table gives no rows; other columns are not read.
+    """
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"))
 

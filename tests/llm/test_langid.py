@@ -56,6 +56,21 @@ def test_expected_counts_of_long_words():
     assert np.allclose(langid.expected(edges, table, np.array([0.0, 3.0])), short)
 
 
+def test_expected_counts_over_stretches(monkeypatch):
+    """The passes that go from stretch to stretch count as those over the whole word, wherever stretches end."""
+    own = langid.vocabulary(langid.default_path())
+    r = np.random.default_rng(7)
+    table = r.random(own.size + 1) ** 3
+    table /= table.sum()
+    for word in ("reading日本語" * 31, "x" * 200, "the quick".replace(" ", "") * 40, "日" * 65):
+        marked = "▁" + word
+        want = langid.expected(own.edges([word]), table, np.array([2.5]))
+        for stretch in (16, 17, 50, 64, len(marked) - 1, len(marked), 10_000):
+            monkeypatch.setattr(langid, "LONG", stretch)
+            got = langid.expected_long(own, marked, table, 2.5)
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-12), (word[:8], stretch)
+
+
 def test_long_words_are_not_cut(monkeypatch):
     own = langid.vocabulary(langid.default_path())
     r = np.random.default_rng(2)
