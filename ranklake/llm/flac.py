@@ -629,25 +629,79 @@ def pcm_blocks(media: DataFrame, samples: int = 1 << 16) -> DataFrame:
 
 
 def write_pcm(media: DataFrame, path: str, samples: int = 1 << 16) -> DataFrame:
-    """`pcm_blocks` as a table below path, read back; files are sorted, so that a seek prunes row groups."""
+    """`pcm_blocks` as a table below path, read back; files are sorted, so that a seek prunes row groups.
+
+    Rows are those of `pcm_blocks`: none for nulls and empty streams, repeated ones again.
+    """
     pcm_blocks(media, samples).sortWithinPartitions("doc_id", "sample_offset").write.option("compression", "zstd").parquet(path)
     return media.sparkSession.read.parquet(path)
 
 
 def seek_pcm(blocks: DataFrame, doc_id: int, sample: int, count: int) -> DataFrame:
-    """The blocks of one document that hold `count` samples from `sample` on; the filters reach the scan."""
+    """The blocks of one document that hold `count` samples from `sample` on; the filters reach the scan.
+
+    Blocks without a doc_id are nobody's; repeated ones all come; beyond the end there are none.
+    """
     return blocks.filter((F.col("doc_id") == doc_id) & (F.col("sample_offset") < sample + count) & (F.col("sample_offset") + F.col("n_samples") > sample))
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _features(ids: pa.Array, n_bytes: pa.Array, media: list[bytes]) -> pa.RecordBatch:
+#: Samples of a PCM block in the file that a task writes and seeks in.
+PCM_SAMPLES = 1 << 16
+
+
+def _described(blocks: Iterator[bytes]) -> tuple[int, str, int, str]:
+    """Bytes, digest, checksum of the last 16 bytes and signal features of a stream of 8-bit samples, block by block."""
+    n = peak = energy = changes = 0
+    digest, tail, last = hashlib.sha256(), b"", None
+    for block in blocks:
+        x = (np.frombuffer(block, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        digest.update(block)
+        tail = (tail + block)[-16:]
+        n += len(x)
+        peak = max(peak, int(np.abs(x).max(initial=0)))
+        energy += int((x.astype(np.int64) ** 2).sum())
+        changes += int(np.count_nonzero(np.diff(x))) + int(last is not None and len(x) > 0 and x[0] != last)
+        last = x[-1] if len(x) else last
+    return n, digest.hexdigest(), zlib.crc32(tail), f"samples={n};peak={peak};energy={energy};changes={changes}"
+
+
+def _sought(uri: str, streams: list[bytes], samples: int) -> Iterator[Iterator[bytes]]:
+    """The blocks of each stream, read back by their places from a file of PCM blocks that is deleted then."""
+    index: list[list[tuple[int, int]]] = []
+    with create_shared(uri) as file:
+        at = 0
+        for pcm in streams:
+            own = []
+            for offset in range(0, len(pcm), samples):  # block i of a stream begins at sample i * samples
+                own.append((at, min(samples, len(pcm) - offset)))
+                file.write(pcm[offset : offset + samples])
+                at += own[-1][1]
+            index.append(own)
+    try:
+        with open_shared(uri, "rb") as file:
+
+            def read(places: list[tuple[int, int]]) -> Iterator[bytes]:
+                for at, n in places:
+                    file.seek(at)
+                    yield bytes(file.read(n))
+
+            for places in index:
+                yield read(places)
+    finally:
+        remove_shared(uri)
+
+
+def _features(ids: pa.Array, n_bytes: pa.Array, media: list[bytes], uri: str | None = None) -> pa.RecordBatch:
+    """Features of decoded streams, by way of a file of PCM blocks if uri names one."""
+    streams = list(decode_media(media))
+    blocks = _sought(uri, streams, PCM_SAMPLES) if uri else ((p[i : i + PCM_SAMPLES] for i in range(0, len(p), PCM_SAMPLES)) for p in streams)
     rows = []
-    for m, p in zip(media, decode_media(media), strict=True):
-        x = (np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-        says = f"samples={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int((x.astype(np.int64) ** 2).sum())};changes={int(np.count_nonzero(np.diff(x)))}"
-        rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), says))
+    for m, own in zip(media, blocks, strict=True):
+        n, digest, tail, says = _described(own)
+        rows.append((n, digest, tail, len(m), hashlib.sha256(m).hexdigest(), says))
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
     return pa.RecordBatch.from_arrays([ids, n_bytes, *columns], [x.split()[0] for x in FEATURES.split(", ")])
 
@@ -667,9 +721,11 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The `features` of every text, by way of a file of the shared folder.
+    """The `features` of every text, by way of files of the shared folder.
 
-    A task writes its streams to a file of its own, reads them back from there and deletes it, so
+    A task writes its streams to a file of its own and reads them back from there; what they decode
+    to goes to a second file, in PCM blocks whose places follow from their sample offsets, and the
+    features are taken from blocks sought there. Both are deleted, the second after every batch, so
     the disk holds no more than the tasks at work need; `stored` keeps the streams. A null or
     empty text is 192 spaces; repeated rows repeat; a null doc_id stays null; an empty table gives
     no rows; other columns of docs are not read.
@@ -691,7 +747,7 @@ def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:
             with open_shared(uri, "rb") as file:
                 for ids, sizes, lengths in index:
                     raw, end = bytes(file.read(int(lengths.sum()))), np.cumsum(lengths)
-                    yield _features(ids, sizes, [raw[a:b] for a, b in zip((end - lengths).tolist(), end.tolist(), strict=True)])
+                    yield _features(ids, sizes, [raw[a:b] for a, b in zip((end - lengths).tolist(), end.tolist(), strict=True)], f"{uri}.pcm")
         finally:
             remove_shared(uri)
 

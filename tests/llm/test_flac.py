@@ -113,3 +113,16 @@ def test_stored_streams_and_blocks_are_read_back(spark, make, tmp_path):
     assert b"".join(bytes(r.pcm) for r in got)[990:2010] == text.encode()[2990:4010]
     wide = blocks.filter("doc_id = 3").first()
     assert (wide.sample_offset, wide.n_samples, wide.channels, wide.sample_bytes, bytes(wide.pcm)) == (0, 4, 2, 2, PCM)
+
+
+@pytest.mark.parametrize("samples", [1, 7, 192, 1 << 16])
+def test_features_of_sought_blocks(tmp_path, monkeypatch, samples):
+    """Blocks read back by their places describe a stream as its bytes in one piece do, and leave no file."""
+    monkeypatch.setattr(flac, "PCM_SAMPLES", samples)
+    streams = [b"", b"abc", bytes(range(256)) * 2, b"\xff" * 193]
+    uri = f"file://{tmp_path}/pcm.bin"
+    for pcm, blocks in zip(streams, flac._sought(uri, streams, samples), strict=True):
+        x = (np.frombuffer(pcm, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
+        says = f"samples={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int((x**2).sum())};changes={int(np.count_nonzero(np.diff(x)))}"
+        assert flac._described(blocks) == (len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), says)
+    assert list(tmp_path.iterdir()) == []
