@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, staged
+from .common import GAP, staged
 
 SHARE = 0.005
 #: A language of fewer words has no reference: its own documents would be most of it.
@@ -45,7 +45,11 @@ def _windows(hashed: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the base counts of every document (null text: empty)."""
+    """doc_id, lang, words and the base counts of every document (null text: empty).
+
+    Every row stays: a null lang or doc_id stays null, repeated rows repeat, a text without words
+    has counts of 0; an empty table gives no rows; other columns are not read.
+    """
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
@@ -102,17 +106,26 @@ def references(docs: DataFrame, share: float = SHARE, min_reference: int = MIN_R
     empty table gives no reference.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counted = staged(counted.filter("n > 1"), "divergence-words")
-    left1 = F.regexp_replace("text", r"\p{Ll}+", "")
-    sized = rows.select("lang", F.regexp_count("text", F.lit(WORD)).alias("words"), F.length("text").alias("n0"), left1.alias("a"))
-    for i, pattern in enumerate((GAP, r"\p{Lu}+", r"\p{Nd}+", r"\p{P}+")):
-        sized = sized.withColumn(f"n{i + 1}", F.length("a")).withColumn("a", F.regexp_replace("a", pattern, ""))
-    sized = sized.withColumn("n5", F.length("a"))
-    n = [F.col(f"n{i}") for i in range(6)]
-    counts = [n[0] - n[1], n[2] - n[3], n[3] - n[4], n[1] - n[2], n[4] - n[5], n[5]]
-    sums = sized.groupBy("lang").agg(F.sum("words").alias("total"), *[F.sum(c).cast("double").alias(f"c{i}") for i, c in enumerate(counts)])
+    rows = rows.select("lang", F.length("text").alias("chars"), _words(F.col("text")).alias("words"))
+    # a text's white space rides along as one more word, a blank and its length: texts are read once, and
+    # classes of characters are counted in distinct words
+    gap = F.concat(F.lit(" "), (F.col("chars") - F.length(F.array_join("words", ""))).cast("string"))
+    counted = rows.select("lang", F.explode(F.array_append("words", gap)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    is_gap = F.col("word").startswith(" ")
+    sized = counted.withColumn("n0", F.length("word")).withColumn("a", F.regexp_replace("word", r"\p{Ll}+", ""))
+    for i, pattern in enumerate((r"\p{Lu}+", r"\p{Nd}+", r"\p{P}+"), 1):
+        sized = sized.withColumn(f"n{i}", F.length("a")).withColumn("a", F.regexp_replace("a", pattern, ""))
+    n = [F.col(f"n{i}") for i in range(4)]
+    last = F.length("a")
+    spaces = F.when(is_gap, F.trim("word").cast("long")).otherwise(0)
+    counts = [n[0] - n[1], n[1] - n[2], n[2] - n[3], spaces, n[3] - last, last]
+    per_class = [F.sum((c if i == 3 else F.when(is_gap, 0).otherwise(c)) * F.col("n")).cast("double").alias(f"c{i}") for i, c in enumerate(counts)]
+    # words that occur once are in no list: they are one row of a language
+    named = F.when(~is_gap & (F.col("n") > 1), F.col("word")).alias("word")
+    counted = staged(sized.groupBy("lang", named).agg(F.sum(F.when(~is_gap, F.col("n")).otherwise(0)).alias("n"), *per_class), "divergence-words")
+    sums = counted.groupBy("lang").agg(F.sum("n").alias("total"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(6)])
     sums = staged(sums.filter(F.col("total") >= min_reference).select("lang", "total", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("chars")), "divergence-langs")
+    counted = counted.filter(F.col("word").isNotNull()).select("lang", "word", "n")
     total = sums.select("lang", "total")
     common = (
         counted.join(F.broadcast(total) if total.count() <= BROADCAST_LANGS else total, "lang")
@@ -146,7 +159,7 @@ def _shares(counts: Column) -> Column:
 
 
 def scored(docs: DataFrame, share: float = SHARE, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """measured() with char_distance and common_distance (null where no reference applies)."""
+    """measured() with char_distance and common_distance (null where no reference applies); rows as there."""
     own = staged(references(docs, share, min_reference), "divergence-references")
     few = own.count() <= BROADCAST_LANGS
     # at most 1 / share words of each language: where they are few, words are tested against all of them first
