@@ -195,12 +195,16 @@ def f17_index_refresh(spark, sf):
     return FI.needs_index(e, "date", "known", "selected", "needs", today="2025-01-01").select("c_custkey")
 
 
-@query("""SELECT c_name AS name_key, min(c_custkey) AS person_id FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL""")
+@query("""WITH m AS (SELECT 'name ' || (c_custkey // 2)::VARCHAR AS name_key, c_custkey AS person_id, CASE c_custkey % 3 WHEN 0 THEN 'nfwien' WHEN 1 THEN 'olost' ELSE 'nfwiennord' END AS club FROM customer)
+, l AS (SELECT 'name ' || c_custkey::VARCHAR AS name_key, list_extract(['nfwie', 'nfwi', 'nfwien', 'olostgraz', 'olos', '', 'xy'], (c_custkey % 7)::INT + 1) AS part FROM customer)
+SELECT name_key, min(person_id) AS person_id FROM l JOIN m USING (name_key) WHERE part <> '' AND (part = club OR length(part) >= 5 AND starts_with(club, part) OR length(club) >= 5 AND starts_with(part, club)) GROUP BY name_key HAVING count(DISTINCT person_id) = 1""")
 def j11_prefix_members(spark, sf):
+    """Parts of team labels, too short, too long or of another club, against the clubs of the two members of a name."""
+    k = F.col("c_custkey")
     c = read(spark, sf, "customer")
-    labels = c.select(F.col("c_name").alias("name_key"), F.lit("nfwie").alias("component"))
-    members = c.select(F.col("c_name").alias("name_key"), F.when(F.col("c_custkey") % 2 == 0, "nfwien").otherwise("olost").alias("club"), F.col("c_custkey").alias("person_id"))
-    return J.prefix_members(labels.withColumnRenamed("component", "part"), members, "name_key", "part", "club", "person_id").select("name_key", "person_id")
+    labels = c.select(F.concat(F.lit("name "), k.cast("string")).alias("name_key"), in_turn(["nfwie", "nfwi", "nfwien", "olostgraz", "olos", "", "xy"], "c_custkey").alias("part"))
+    members = c.select(F.concat(F.lit("name "), F.expr("c_custkey div 2").cast("string")).alias("name_key"), in_turn(["nfwien", "olost", "nfwiennord"], "c_custkey").alias("club"), k.alias("person_id"))
+    return J.prefix_members(labels, members, "name_key", "part", "club", "person_id").select("name_key", "person_id")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ÖM' WHEN 1 THEN 'ÖSTM' END AS tag FROM orders")

@@ -13,7 +13,7 @@ from ..operators.stages import with_default_stages
 from ..sources import writers
 from ..streaming import sync
 from . import views as V
-from .queries import query
+from .queries import SQL, query
 from .tables import R, read, results
 from .view_queries import _tables
 
@@ -67,6 +67,19 @@ def e5_legacy_ids(spark, sf):
     return E.resolved(E.registry_match(rows, registry)).select("seq", "person_id", "identity_state", "identity_confidence")
 
 
+#: The walk through a name's rows in order, as a recursion that carries what is known of the name.
+SQL["e3_resolved_identities"] = f"""WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS k, CASE WHEN o_orderkey % 3 <> 0 THEN (1950 + o_orderkey % 4)::INT END AS y, o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey END AS u, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+, w AS (SELECT k, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS p, false AS direct, false AS dated, NULL::BIGINT AS reg, []::STRUCT(y INT, p BIGINT)[] AS years, []::STRUCT(p BIGINT, y INT)[] AS people FROM (SELECT DISTINCT k FROM o)
+UNION ALL
+SELECT k, n, seq, p, u IS NOT NULL, y IS NOT NULL, coalesce(reg, CASE WHEN p > 0 THEN p END),
+  CASE WHEN y IS NULL OR len(list_filter(years, lambda x: x.y = y)) > 0 THEN years ELSE list_append(years, {{'y': y, 'p': p}}) END,
+  CASE WHEN len(list_filter(people, lambda c: c.p = p)) = 0 THEN list_append(people, {{'p': p, 'y': y}}) ELSE list_transform(people, lambda c: CASE WHEN c.p = p AND c.y IS NULL THEN {{'p': c.p, 'y': y}} ELSE c END) END
+FROM (SELECT o.k, o.n, o.seq, o.y, o.u, w.reg, w.years, w.people,
+  coalesce(o.u, list_extract(list_filter(w.years, lambda x: x.y = o.y), 1).p, w.reg, list_extract(list_filter(w.people, lambda c: c.y IS NULL OR o.y IS NULL OR c.y = o.y), 1).p, {_MINTED.replace('|| k ||', '|| o.k ||').replace('(y::', '(o.y::')}) AS p
+  FROM w JOIN o ON o.k = w.k AND o.n = w.n + 1))
+SELECT seq, p AS person_id, CASE WHEN direct THEN 'resolved' ELSE 'candidate' END AS identity_state, CASE WHEN direct THEN 1.0 WHEN dated THEN 0.75 ELSE 0.55 END::DOUBLE AS identity_confidence FROM w WHERE n > 0"""
+
+
 @query("""WITH p AS (SELECT lower(trim(CASE c_custkey % 3 WHEN 0 THEN ' Anna' WHEN 1 THEN c_mktsegment ELSE 'Jana' END)) AS f, lower(CASE c_custkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'Novakova' ELSE 'Berg' || (c_custkey % 9)::VARCHAR END) AS l FROM customer)
 SELECT DISTINCT f AS name FROM p WHERE f NOT IN (SELECT l FROM p)""")
 def t43_first_names(spark, sf):

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ranklake.plans import queries as results
-from ranklake.plans import evidence_queries, more_queries, parser_queries, rule_queries, view_queries, wanted_queries  # noqa: F401  they register themselves
+from ranklake.plans import composed_queries, evidence_queries, more_queries, parser_queries, rule_queries, view_queries, wanted_queries  # noqa: F401  they register themselves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
