@@ -324,3 +324,50 @@ def u16_continued_classes(spark, sf):
     known = _known(p)
     got = html.flattened(layout.parsed_texts(docs, known, "html", "list_id"), "list_id")
     return got.select("list_id", "category", "declared", "row_pos", "rank", "name", "club", "time_text")
+
+
+# stages, long clubs, long names ----------------------------------------------------------------------
+
+
+@query(P + """SELECT list_id, i::INT AS stage, (seq - 1)::INT AS row_pos, CASE WHEN list_id % 4 = 2 THEN (seq + i)::INT ELSE rank END AS rank, name, club, CASE WHEN i = 1 THEN value ELSE (time_s * 2 // 60)::VARCHAR || ':' || lpad((time_s * 2 % 60)::VARCHAR, 2, '0') END AS time_text FROM p, (VALUES (1), (2)) v(i)""")
+def p9_stage_columns(spark, sf):
+    """Two stages in one table, labelled in four ways in turn, once with a place of its own for each."""
+    p = printed(spark, sf)
+    second, count = N.format_time(F.col("time_s") * 2), _text("<table><tr><td>Klasse A (", F.col("n"), ")</td></tr>")
+    heads = ["<th>Pl<th>Name<th>Verein<th>Zeit 1<th>Zeit 2", "<th>Pl<th>Name<th>Verein<th>E1<th>E2", "<th>Pl<th>Name<th>Verein<th>1. Lauf<th>Pl 1<th>2. Lauf<th>Pl 2", "<th>Pl<th>Name<th>Verein<th>Zeit<th>Zeit"]
+    line = F.when(F.col("list_id") % 4 == 2, _td(_c("rank"), _c("name"), _c("club"), _c("value"), F.col("seq") + 1, second, F.col("seq") + 2)).otherwise(_td(_c("rank"), _c("name"), _c("club"), _c("value"), second))
+    head = _text(count, "<tr>", in_turn(heads, "list_id"), "</tr>")
+    got = html.parsed_stages(_pages(p, line, head), None, "html", "list_id")
+    rows = got.select("list_id", "stage", F.explode("classes").alias("c")).select("list_id", "stage", F.posexplode("c.results").alias("row_pos", "r"))
+    return rows.select("list_id", "stage", "row_pos", "r.rank", "r.name", "r.club", "r.time_text")
+
+
+@query(ROWS)
+def p18_wrapped_clubs(spark, sf):
+    """Pages of words whose long clubs go on in a line of their own; the labels stand on the first page alone."""
+    p = printed(spark, sf).withColumn("page", F.expr("(seq - 1) div 3"))
+    n = F.count("*").over(Window.partitionBy("list_id"))
+    kind = "array<struct<x0:double,top:double,text:string>>"
+    none = F.array().cast(kind)
+    word = lambda left, top, t: F.struct(left.cast("double").alias("x0"), top.cast("double").alias("top"), t.alias("text"))
+    run = lambda left, top, text: F.when(text != "", F.transform(F.split(text, " "), lambda t, i: word(F.lit(left) + i, top, t))).otherwise(none)
+    top = 60 + (F.col("seq") - 1) % 3 * 24
+    words = F.split("club", " ")
+    first, rest = F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " ")
+    row = F.concat(run(10.0, top, _text(_c("rank"))), run(60.0, top, _c("name")), run(200.0, top, first), run(300.0, top, _c("value")), run(200.0, top + 10, rest))
+    body = p.withColumn("n", n).groupBy("list_id", "page", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("w")))), lambda x: x["w"])).alias("body"))
+    labels = F.flatten(F.array(*[run(x, F.lit(40), F.lit(t)) for x, t in ((10.0, "Pl"), (60.0, "Name"), (200.0, "Verein"), (300.0, "Zeit"))]))
+    head = F.concat(run(10.0, F.lit(20), _text("Klasse A (", F.col("n"), ")")), labels)
+    pages = body.select("list_id", "page", F.concat(F.when(F.col("page") == 0, head).otherwise(none), "body").alias("words"))
+    got = html.flattened(layout.parsed_pages(pages, "list_id"), "list_id")
+    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")
+
+
+@query(P + "SELECT list_id, (seq - 1)::INT AS row_pos, rank, CASE WHEN name NOT LIKE '% %' THEN name || ' Tal' ELSE name END AS name, CASE WHEN club = '' THEN 'Union Nord' ELSE club END AS club, value AS time_text FROM p")
+def p10_overflowing_names(spark, sf):
+    """Fixed-width reports whose columns are too narrow: what is longer pushes the rest of its line to the right."""
+    p = printed(spark, sf).withColumn("club", F.when(F.col("club") == "", "Union Nord").otherwise(F.col("club"))).withColumn("name", F.when(F.instr("name", " ") == 0, F.concat("name", F.lit(" Tal"))).otherwise(F.col("name")))
+    wide = lambda c, w: F.when(F.length(c) < w, F.rpad(c, w, " ")).otherwise(F.concat(c, F.lit(" ")))
+    line = F.concat(F.rpad(_text(_c("rank")), 5, " "), wide(F.col("name"), 14), wide(F.col("club"), 20), _c("value"))
+    head = _text("Klasse A (", F.col("n"), ")\n", "Pl".ljust(5) + "Name".ljust(14) + "Verein".ljust(20) + "Zeit\n")
+    return _read(_pages(p, line, head), sorted(CLUBS))

@@ -183,19 +183,55 @@ def parse_simple(html: str) -> list[dict]:
     return out
 
 
-def parse_multistage(html: str, stages: int) -> list[list[dict]]:
-    """A table with a time column for each stage (Z1, Z2, ... or several times): classes by stage."""
+#: Labels of a stage's own columns: a word and the stage's number, or the number first. Fixed values.
+STAGE_TIME = re.compile(r"(?i)^(?:(?:zeit|z|n|time|e|etappe|lauf|tag|stage)\s*\.?\s*(\d{1,2})|(\d{1,2})\.\s*(?:zeit|lauf|etappe|tag|stage))$")
+STAGE_RANK = re.compile(r"(?i)^(?:pl\.?|platz|rang)\s*(\d{1,2})$")
+
+
+def stage_columns(labels: list[str]) -> dict[int, dict[str, int]]:
+    """The columns of each stage in a row of labels: its time, and its place if it has one of its own.
+
+    Labels bear the stage's number; labels of time that come several times without one are the
+    stages in their order. A row of less than two stages has none.
+    """
+    out: dict[int, dict[str, int]] = {}
+    for i, label in enumerate(labels):
+        if m := STAGE_TIME.match(label.strip()):
+            out.setdefault(int(m[1] or m[2]), {}).setdefault("time", i)
+        elif m := STAGE_RANK.match(label.strip()):
+            out.setdefault(int(m[1]), {}).setdefault("rank", i)
+    out = {s: c for s, c in sorted(out.items()) if "time" in c}
+    if len(out) < 2:
+        plain = [i for i, label in enumerate(labels) if LABELS.get(label.strip().lower()) == "time"]
+        out = {s: {"time": i} for s, i in enumerate(plain, 1)} if len(plain) > 1 else {}
+    return out
+
+
+def parse_multistage(html: str, stages: int | None = None) -> list[list[dict]]:
+    """A table with columns of its own for each stage: classes by stage, as many as the labels show.
+
+    A stage takes its own time and place; without a place of its own it takes the row's. Given a
+    number, that many stages come back, empty ones too.
+    """
     rows = [r for t in tables(html) for r in t]
+    found = {s for r in rows for s in stage_columns(r)}
     out = []
-    for s in range(1, stages + 1):
-        own = []
+    for s in range(1, (stages if stages is not None else max(found, default=0)) + 1):
+        own: list[list[str]] = []
+        columns: dict[int, dict[str, int]] = {}
         for r in rows:
-            at = [i for i, c in enumerate(r) if re.match(rf"(?i)^(?:zeit|z|n|time)\s*{s}$", c)]
-            if at:
-                own.append([("Zeit" if i == at[0] else ("" if re.match(r"(?i)^(?:zeit|z|n|time)\s*\d$", c) else c)) for i, c in enumerate(r)])
-            else:
+            here = stage_columns(r)
+            columns = here or columns
+            if here and s in here:
+                mine, others = here[s], {i for t, c in here.items() if t != s for i in c.values()}
+                labels = ["" if i in others or "rank" in mine and i != mine["rank"] and LABELS.get(c.strip().lower()) == "rank" else c for i, c in enumerate(r)]
+                labels[mine["time"]] = "Zeit"
+                if "rank" in mine:
+                    labels[mine["rank"]] = "Pl"
+                own.append(labels)
+            elif not here:
                 own.append(r)
-        out.append(parse_rows(own))
+        out.append(parse_rows(own) if s in columns else [])
     return out
 
 
@@ -216,8 +252,8 @@ def parsed(docs: DataFrame, html: str = "html", key: str = "page_id", parser=par
     return docs.select(key, html).mapInPandas(run, f"`{key}` {kind}, classes {CLASSES}")
 
 
-def parsed_stages(docs: DataFrame, stages: int, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key, stage, classes of documents whose rows have a time for each of `stages` stages; stages without classes are left out."""
+def parsed_stages(docs: DataFrame, stages: int | None = None, html: str = "html", key: str = "page_id") -> DataFrame:
+    """key, stage, classes of documents whose rows have a time for each stage (of `stages`, or as many as they show); stages without classes are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -17,6 +17,7 @@ from .positioned import parse_positioned
 from .relays import Teams, parse_club_table, parse_numbered_relay, parse_relay_text, row
 
 TIME_ROOM = 6  # characters a time may reach left of its label
+LINE_ROOM = 16.0  # a line this far below one with a time may go on with it
 
 
 def pre_blocks(html: str) -> list[str]:
@@ -39,15 +40,28 @@ def parse_text(text: str) -> list[dict]:
         words = [(m[0], m.start()) for m in re.finditer(r"\S+", line)]
         known = [w for w in words if w[0].lower() in LABELS]
         if len(known) >= 2 and any(LABELS[w.lower()] in ("name", "team") for w, _ in known):
-            bounds = column_bounds([w for w, _ in known], [s for _, s in known])
-            rows.append([w for w, _ in known])
+            labels = [w for w, _ in known]
+            bounds = column_bounds(labels, [s for _, s in known])
+            rows.append(labels)
         elif HEADER.match(line.strip()) and not re.search(r"\d:\d{2}\s*$", line):
             rows.append([line.strip()])
         elif bounds:
-            rows.append([line[a:b].strip() for a, b in bounds])
+            _add(rows, [line[a:b].strip() for a, b in bounds], labels)
     return parse_rows(rows)
 
 
+def _add(rows: list[list[str]], cells: list[str], labels: list[str]) -> None:
+    """Add a line's cells; one that has a club and nothing else goes on with the club of the row above."""
+    kinds = [LABELS.get(x.lower()) for x in labels]
+    held = {k for k, c in zip(kinds, cells, strict=True) if c}
+    above = rows[-1] if rows else []
+    if held == {"club"} and len(above) == len(cells) and above[kinds.index("club")] and "name" in kinds and above[kinds.index("name")] and above != labels:
+        at = kinds.index("club")
+        rows[-1] = [f"{c} {cells[i]}" if i == at else c for i, c in enumerate(above)]
+    else:
+        rows.append(cells)
+
+
 def parse_headerless(text: str) -> list[dict]:
     """Numbered lines `1. Name  Club  12:34` under class lines, columns parted by two blanks."""
     rows: list[list[str]] = [["Pl", "Name", "Verein", "Zeit"]]
@@ -96,7 +110,8 @@ def without_furniture(pages: list[list[list[Word]]], tolerance: float = 3.0) ->
     """Pages of lines without those that stand on most pages at the same height: titles, footers, page numbers.
 
     Digits count as alike, so that a page number is furniture too; lines of labels and of classes,
-    and those that hold a time, are none. A document of one page has none.
+    those that hold a result, and what stands between such or just below one, are none. A document
+    of one page has none.
     """
     places: dict[tuple[str, int], set[int]] = {}
     text = lambda line: re.sub(r"\d+", "0", " ".join(t for _, _, t in line))
@@ -106,12 +121,16 @@ def without_furniture(pages: list[list[list[Word]]], tolerance: float = 3.0) ->
             for near in (-1, 0, 1):
                 places.setdefault((text(line), spot(line) + near), set()).add(n)
 
-    def stays(line: list[Word]) -> bool:
+    tops = [[line[0][1] for line in lines if any(is_result(t) for _, _, t in line)] for lines in pages]
+
+    def stays(line: list[Word], inside: list[float]) -> bool:
+        if inside and inside[0] <= line[0][1] <= inside[-1] + LINE_ROOM:
+            return True
         known = sum(t.lower() in LABELS for _, _, t in line)
         plain = " ".join(t for _, _, t in line)
         return known >= 2 or bool(HEADER.match(plain) or re.search(r"\d:\d{2}", plain)) or 2 * len(places[text(line), spot(line)]) <= len(pages)
 
-    return [[line for line in lines if stays(line)] for lines in pages] if len(pages) > 1 else pages
+    return [[line for line in lines if stays(line, inside)] for lines, inside in zip(pages, tops, strict=True)] if len(pages) > 1 else pages
 
 
 def parse_pages(pages: list[list[Word]], tolerance: float = 3.0, clubs: Clubs | None = None) -> list[dict]:
@@ -142,7 +161,7 @@ def _stream(lines: list[list[Word]], clubs: Clubs | None) -> list[dict]:
         elif HEADER.match(" ".join(texts)) and not re.search(r"\d:\d{2}$", texts[-1]):
             rows.append([" ".join(texts)])
         elif heads:
-            rows.append(assign_columns(line, heads))
+            _add(rows, assign_columns(line, heads), [t for _, t in heads])
     found = merged_continuations(parse_rows(rows))
     if found and all(len(c["results"]) == c["declared"] for c in found):
         return found

@@ -196,3 +196,22 @@ def test_flow_rows_as_a_join(spark):
     assert [tuple(r)[1:] for r in got] == [
         (1, "H 21", 1, "Anna Maria Berg", "NF Wien", "26:21"), (2, "H 21", 2, "Eva Tal", "Orienteering Innsbruck Imst", "Fehlst."), (6, "D", None, "Max Berg", "", "30:00"), (7, "D", None, "AB", "Verein der Freunde des Laufs im Wald Nord", "31:00"),
     ]
+
+
+def test_columns_of_stages():
+    from ranklake.sources import html
+
+    assert html.stage_columns(["Pl", "Name", "Zeit 1", "Zeit 2"]) == {1: {"time": 2}, 2: {"time": 3}}
+    assert html.stage_columns(["Pl", "Name", "1. Lauf", "Pl 1", "2. Lauf", "Pl 2"]) == {1: {"time": 2, "rank": 3}, 2: {"time": 4, "rank": 5}}
+    assert html.stage_columns(["Pl", "Name", "Zeit", "Zeit"]) == {1: {"time": 2}, 2: {"time": 3}}
+    assert html.stage_columns(["Pl", "Name", "Zeit"]) == html.stage_columns(["E1", "Name"]) == {}
+    page = table(["H 21 (2)"], ["Pl", "Name", "Verein", "E1", "Pl 1", "E2", "Pl 2"], ["1", "Anna Berg", "NF", "10:00", "2", "11:00", "1"], ["2", "Eva Tal", "OL", "9:00", "1", "Aufg.", ""])
+    assert [short(c) for c in html.parse_multistage(page)] == [
+        [("H 21", 2, [(2, "Anna Berg", "NF", "10:00"), (1, "Eva Tal", "OL", "9:00")])], [("H 21", 2, [(1, "Anna Berg", "NF", "11:00"), (None, "Eva Tal", "OL", "Aufg.")])],
+    ]
+    assert html.parse_multistage("<table></table>") == [] and html.parse_multistage("<table></table>", 2) == [[], []]
+
+
+def test_clubs_that_go_on_below():
+    text = "H 21 (2)\nPl   Name                Verein        Zeit\n1    Anna Berg           Laufklub      26:21\n                         Kompass\n2    Eva Tal             OL Ost        27:00\n"
+    assert short(layout.parse_text(text)) == [("H 21", 2, [(1, "Anna Berg", "Laufklub Kompass", "26:21"), (2, "Eva Tal", "OL Ost", "27:00")])]
