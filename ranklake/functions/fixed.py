@@ -181,6 +181,17 @@ REGION_CODE_BEHIND = r"(?:D(?:AMEN)?|H(?:ERREN)?)\s*-?\s*\d[^/]*?[-, ]\s*(ST|W|N
 REGION_CODE_JOINED = r"(?:D(?:AMEN)?|H(?:ERREN)?)\s*-?\s*\d+\s*(ST|W|N|B|O|S|T|K|V)\s*$"
 REGION_CODE_INSIDE = r"(?<![A-Z0-9])(ST|W|N|B|O|S|T|K|V)(?![A-Z])"
 REGION_SEGMENT = r"(?iu)/(?=\s*(?:D(?:amen)?|H(?:erren)?)\s*-?\s*\d)"
+#: What stands before and behind a code that a class drops; and the mark of a class that has no region.
+REGION_CODE_AROUND = (
+    (r"^\s*(?:", r")\s+(?=(?:D(?:amen)?|H(?:erren)?)(?:\b|[-\d]))"),
+    (r"(?<![A-Za-z0-9])(?:", r")(?![A-Za-z])"),
+    (r"(?<=\d)\s*-?\s*(?:", r")\s*$"),
+)
+REGION_RUNDEN = r"(?iu)(?<=\d)\s*-?\s*R\s*$"
+COURSE_CLASS = r"(?i)^(?:bahn|course)\s+\d+\b"
+CANCELLED_CLASS = r"(?i)\b(?:annulliert|annulled|cancelled|canceled)\b"
+ROUND_NUMBERS = (r"(?i)(\d+)\.\s*(?:lauf|etappe|tag)", r"(?i)(?:etappe|stage|tag)\s*(\d+)", r"(?i)(?:^|[-_ ])e(\d)(?:[-_. ]|$)")
+RELAY_HEAD_LINES = r"^(?:Pl(?:atz)?\b.*(?:Staffel|Team|Verein|Mannschaft).*(?:Zeit|Time)\b|Name\b.*(?:Zeit|Time|Jg)\b)"
 REGION_DIVISION = r"(?iu)\d\s*-?\s*([AB])(?:\s*-|\s*$)"
 REGION_GENDERS = (
     (r"(?iuU)^(?:Damen\s*\+?&?\s*Herren|Herren\s*\+?&?\s*Damen)\b", "DH"),

@@ -124,13 +124,15 @@ def pending_candidates(rows: DataFrame, registry: DataFrame, key: str = "name_ke
     Names are joined by the sets of words that they share. Who is among the best by sharing k words
     is among the least `most` ids of those who have these k words, for any more of the others would
     come first; so a set keeps `most` profiles, and a word that half of all names have makes no more
-    pairs than any other. Names of more than MOST_WORDS words, which have too many subsets, are
-    joined word by word. A word counts once in a name; rows without a name have no candidates.
+    pairs than any other. Names of more than MOST_WORDS words, which have too many subsets, and
+    those of a row or person that has several names with a word in common, are joined word by word.
+    A word counts once in a name, and once more for each further name; rows without a name have no
+    candidates.
     """
     words = F.array_distinct(F.split(key, " "))
-    bag = lambda df, own: df.filter(F.col(key).isNotNull()).groupBy(own).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("_bag"))
+    bag = lambda df, own: df.filter(F.col(key).isNotNull()).groupBy(own).agg(F.array_sort(F.flatten(F.collect_list(words))).alias("_bag"))
     named, people = bag(rows, "seq"), bag(registry, "person_id")
-    narrow = F.size("_bag") <= MOST_WORDS
+    narrow = (F.size("_bag") <= MOST_WORDS) & (F.size(F.array_distinct("_bag")) == F.size("_bag"))
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("_bag")).cast("int") - 1)
     inside = lambda m: F.filter("_bag", lambda _, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
     sets = F.transform(masks, lambda m: F.struct(F.array_join(inside(m), " ").alias("set"), F.bit_count(m).alias("shared")))

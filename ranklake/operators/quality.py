@@ -75,8 +75,8 @@ def findings(lists: DataFrame, results: DataFrame, registers: dict[str, DataFram
     li = _marked(li, known.get("missing_category"), ["event_id"], "is_missing_category")
     li = li.withColumn("stage_rows", F.sum("individuals").over(Window.partitionBy("stage_id", "category")))
     li = _marked(li, known.get("rank_anomaly"), ["event_id", "category"], "is_reviewed")
-    course = _t("category").rlike(r"(?i)^(?:bahn|course)\s+\d+\b")
-    unranked = (F.col("ranking_basis") == "other") | _t("category_full").rlike(r"(?i)\b(?:annulliert|annulled|cancelled|canceled)\b")
+    course = _t("category").rlike(X.COURSE_CLASS)
+    unranked = (F.col("ranking_basis") == "other") | _t("category_full").rlike(X.CANCELLED_CLASS)
     fewer, more = F.col("source_units") < F.col("declared"), F.col("source_units") > F.col("declared")
     anomaly = more & (F.col("unranked_ok") == 0) & F.col("is_count_anomaly")
     recovered = F.col("is_recovered") & (F.coalesce("stage_rows", F.lit(0)) >= F.col("declared"))

@@ -61,7 +61,7 @@ def canonical_category(segment: Column | str, explicit: Column, compact: Column)
     table = F.create_map(*[F.lit(x) for kv in X.REGION_COMPACT.items() for x in kv])
     codes = sorted(X.REGION_COMPACT, key=lambda c: (-len(c), c))
     accepted = F.array_join(F.filter(F.array(*map(F.lit, codes)), lambda c: F.array_contains(compact, F.element_at(table, c))), "|")
-    for before, after in ((r"^\s*(?:", r")\s+(?=(?:D(?:amen)?|H(?:erren)?)(?:\b|[-\d]))"), (r"(?<![A-Za-z0-9])(?:", r")(?![A-Za-z])"), (r"(?<=\d)\s*-?\s*(?:", r")\s*$")):
+    for before, after in X.REGION_CODE_AROUND:
         value = F.regexp_replace(value, F.when(accepted != "", F.concat(F.lit("(?iuU)" + before), accepted, F.lit(after))).otherwise("(?!)"), F.lit(""))
     value = F.regexp_replace(F.regexp_replace(value, r"\s*[,/]+\s*$", ""), r"(?U)\s+", " ")
     value = F.btrim(value, F.lit(" -/,()"))
@@ -97,7 +97,7 @@ def mappings(lists: DataFrame) -> DataFrame:
     known = F.array_union("_title", "_document")
     df = df.withColumn("_compact", F.array_intersect(compact_regions("_segment"), known))
     df = df.withColumn("_explicit", F.array_union(regions("_segment"), F.col("_compact")))
-    df = df.filter((F.size("_explicit") > 0) | ~F.col("_segment").rlike(r"(?iu)(?<=\d)\s*-?\s*R\s*$"))
+    df = df.filter((F.size("_explicit") > 0) | ~F.col("_segment").rlike(X.REGION_RUNDEN))
     df = df.withColumn("canonical_category", canonical_category("_segment", F.col("_explicit"), F.col("_compact")))
     df = cut(df, "regional-classes")  # the long expressions end here, once for each list and class
     df = df.withColumn("category_key", regional_key("canonical_category")).filter("category_key <> ''")

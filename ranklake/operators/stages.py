@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
+
 #: Words that name a discipline in titles and file names. Fixed values.
 DISCIPLINES = ("sprint", "mittel", "lang", "nacht", "staffel", "ultralang", "mixed")
 
@@ -22,7 +24,7 @@ def round_number(text: Column) -> Column:
     """The number of `3. Lauf`, `Etappe 2`, `E2` or `stage 2`."""
     t = F.coalesce(text, F.lit(""))
     pick = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("int")
-    return F.coalesce(pick(r"(?i)(\d+)\.\s*(?:lauf|etappe|tag)"), pick(r"(?i)(?:etappe|stage|tag)\s*(\d+)"), pick(r"(?i)(?:^|[-_ ])e(\d)(?:[-_. ]|$)"))
+    return F.coalesce(*map(pick, X.ROUND_NUMBERS))
 
 
 #: Stages that an event has by itself are numbered from here on.

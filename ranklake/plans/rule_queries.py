@@ -255,7 +255,7 @@ def j14_ordered_claims(spark, sf):
     return ordered.groupBy("stage_id", "region", "category_key", F.col("instance_state").alias("state"), "evidence").agg(F.count("*").alias("lists"))
 
 
-@query(R + """, u AS (SELECT list_id, person_id, min(result_id) AS first, bool_or(out_of_competition) AS out, min(CASE WHEN status = 'ok' THEN rank END) AS rk, min(CASE WHEN status = 'ok' THEN time_s END) AS t, bool_or(status = 'ok') AS ok, list_distinct(list(CASE club WHEN 'Club 1' THEN 'BGLD' WHEN 'Club 2' THEN 'STMK' END)) AS g FROM r WHERE result_kind = 'individual' GROUP BY ALL)
+@query(R + """, u AS (SELECT list_id, person_id, min(result_id) AS first, bool_or(out_of_competition) AS out, min(CASE WHEN status = 'ok' THEN rank END) AS rk, min(CASE WHEN status = 'ok' THEN time_s END) AS t, bool_or(status = 'ok') AS ok, list_distinct(list(CASE club WHEN 'Club 1' THEN 'BGLD' WHEN 'Club 2' THEN 'STMK' END)) AS g FROM r WHERE result_kind <> 'family' GROUP BY ALL)
 , c AS (SELECT list_id, list_id // 6 AS stage_id, person_id, first, ok, rk, t, CASE WHEN list_id % 6 = 1 THEN 'WIEN' WHEN list_id % 6 = 2 AND g = ['STMK'] THEN 'STMK' WHEN list_id % 6 = 0 AND len(g) = 1 THEN g[1] END AS region, CASE WHEN list_id % 6 = 1 THEN 3 WHEN list_id % 6 = 0 THEN 2 ELSE 1 END AS power FROM u WHERE NOT out AND list_id % 6 IN (0, 1, 2))
 , w AS (SELECT * FROM c WHERE region IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stage_id, person_id ORDER BY power = 1, power DESC, list_id) = 1)
 SELECT stage_id, region, person_id, CASE WHEN ok THEN rank() OVER (PARTITION BY stage_id, region, list_id, ok ORDER BY rk NULLS LAST, t) END AS regional_rank FROM w""", whole="regional_rank")
@@ -263,7 +263,7 @@ def c15_regional_entries(spark, sf):
     li = _region_lists(spark, sf)
     claims = RG.mappings(li)
     ordered = RG.claims_in_order(claims, li.select("list_id", "stage_id", F.lit("2024-05-01").alias("stage_date")), RG.instances(claims))
-    r = results(spark, sf).filter("result_kind = 'individual'").withColumn("unit", F.col("person_id").cast("string")).withColumn("observed_nation", F.lit(None).cast("string"))
+    r = results(spark, sf).withColumn("unit", F.col("person_id").cast("string")).withColumn("observed_nation", F.lit(None).cast("string"))
     clubs = spark.createDataFrame([("Club 1", "BGLD"), ("Club 2", "STMK")], "club string, region string")
     none = spark.createDataFrame([], "person_id long, club string, valid_from string, valid_to string")
     return RG.entries(ordered, r, clubs, none)[0].select("stage_id", "region", F.col("unit").cast("long").alias("person_id"), "regional_rank")

@@ -17,7 +17,7 @@ STATUS = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(k) + r"\.?" for k in sort
 VALUE_AT_END = re.compile(rf"^(?P<body>.*?\S)\s+(?P<value>\(?{TIME.pattern}\)?|{STATUS.pattern})(?:\s+\+?{TIME.pattern})?$", re.I)
 COUNTS = re.compile(r"^\((\d+)\s*/\s*(\d+)\)$")
 NAMED_COUNTS = re.compile(r"^(?P<name>.+?)\s+\((?P<finished>\d+)\s*/\s*(?P<entered>\d+)\)$")
-HEAD_LINES = re.compile(r"^(?:Pl(?:atz)?\b.*(?:Staffel|Team|Verein|Mannschaft).*(?:Zeit|Time)\b|Name\b.*(?:Zeit|Time|Jg)\b)", re.I)
+HEAD_LINES = re.compile(X.RELAY_HEAD_LINES, re.I)
 
 
 def seconds(value: str) -> int | None:
