@@ -161,3 +161,24 @@ def test_json_files_are_replaced(spark, tmp_path):
 
         assert json.loads((tmp_path / "a" / "x.json").read_text()) == value
     assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
+def test_a_tree_of_two_levels_ends_in_its_least_digest(spark):
+    """Beyond fan * fan rows a tree of two levels has several digests left, as the SQL of m15_table_fingerprint has it."""
+    import hashlib
+
+    from ranklake.operators.history import ordered_fingerprint
+
+    sha = lambda texts: hashlib.sha256("\n".join(texts).encode()).hexdigest()
+    tree = lambda texts: [sha(texts[i : i + 3]) for i in range(0, len(texts), 3)]
+    for n in (0, 2, 9, 10, 40):
+        texts = [str(i) for i in range(n)]
+        df = spark.range(n).repartition(3)
+        a = tree(texts)
+        b = tree(a)
+        two = min(b) if len(a) > 1 else a[0] if a else sha([])
+        assert ordered_fingerprint(df, [F.col("id").asc()], F.col("id").cast("string"), 3, levels=2) == two
+        top = a
+        while len(top) > 1:
+            top = tree(top)
+        assert ordered_fingerprint(df, [F.col("id").asc()], F.col("id").cast("string"), 3) == (top[0] if top else sha([]))
