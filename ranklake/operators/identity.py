@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,46 +44,47 @@ def resolved(rows: DataFrame, key: str = "name_key", year: str = "birth_year", s
     exception, rows without year and ids, go to the first registered id once there is one.
     """
     own = [key, year, "user_id", "registry_id", "basis"]
-    first = rows.groupBy(*own).agg(F.min(seq).alias("_first"))
-    first = first.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("_first")))
-    first = cut(first.withColumn("_fresh", synthetic_id(F.col(key), F.col(year))), "identity-kinds")
-    kind = {c: first.schema[c].dataType.simpleString() for c in own}
+    first = rows.groupBy(*own).agg(F.min(seq).alias("_first")).withColumn("_fresh", synthetic_id(F.col(key), F.col(year)))
+    kind = ", ".join(f"`{c}` {first.schema[c].dataType.simpleString()}" for c in [*own, "_first"])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_place")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_year: dict = {}
-        registered: list[int] = []
+        registered: dict[int, None] = {}
         years: dict[int, object] = {}
-        out = []
-        none = lambda v: v is None or v is pd.NA or v != v
-        for name, y, user, registry, basis, place, fresh in part.itertuples(index=False):
-            y = None if none(y) else int(y)
-            if not none(user):
-                p, state, sure = int(user), "resolved", IDENTITY_CONFIDENCE["direct"]
-            elif not none(registry):
-                p, state, sure = int(registry), "resolved", IDENTITY_CONFIDENCE[basis]
-            else:
-                sure = IDENTITY_CONFIDENCE["with_year" if y is not None else "without_year"]
-                state = "candidate"
-                fits = [c for c, known in years.items() if known is None or y is None or known == y]
-                if y is not None and y in by_year:
-                    p = by_year[y]
-                elif registered:
-                    p = registered[0]
+        last: object = run  # no name is equal to it
+        none = lambda v: v is None or v != v
+        for b in batches:
+            out = []
+            for name, y, user, registry, basis, fresh in zip(*[b.column(c).to_pylist() for c in [*own, "_fresh"]], strict=True):
+                if name != last:
+                    by_year, registered, years, last = {}, {}, {}, name
+                y = None if none(y) else int(y)
+                if not none(user):
+                    p, state, sure = int(user), "resolved", IDENTITY_CONFIDENCE["direct"]
+                elif not none(registry):
+                    p, state, sure = int(registry), "resolved", IDENTITY_CONFIDENCE[basis]
                 else:
-                    p = fits[0] if fits else int(fresh)
-            if p > 0 and p not in registered:
-                registered.append(p)
-            if y is not None:
-                by_year.setdefault(y, p)
-            if years.get(p) is None:
-                years[p] = y
-            out.append((name, place, p, state, sure))
-        return pd.DataFrame(out, columns=["_name", "_at", "person_id", "identity_state", "identity_confidence"])
-
-    walked = first.select(*own, "_place", "_fresh").groupBy(key).applyInPandas(run, f"_name {kind[key]}, _at int, person_id bigint, identity_state string, identity_confidence double")
-    solved = first.join(walked, F.col(key).eqNullSafe(F.col("_name")) & (F.col("_place") == F.col("_at"))).drop("_name", "_at", "_place", "_fresh")
-    solved = cut(solved, "identity-outcomes")
+                    sure = IDENTITY_CONFIDENCE["with_year" if y is not None else "without_year"]
+                    state = "candidate"
+                    if y is not None and y in by_year:
+                        p = by_year[y]
+                    elif registered:
+                        p = next(iter(registered))
+                    else:
+                        p = next((c for c, known in years.items() if known is None or y is None or known == y), int(fresh))
+                if p > 0:
+                    registered.setdefault(p)
+                if y is not None:
+                    by_year.setdefault(y, p)
+                if years.get(p) is None:
+                    years[p] = y
+                out.append((p, state, sure))
+            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [*own, "_first"]], *more], [*own, "_first", "person_id", "identity_state", "identity_confidence"])
+
+    # a name's rows lie in one task, one behind the other: names are walked through without a frame for each
+    walked = first.repartition(key).sortWithinPartitions(key, "_first").mapInArrow(run, f"{kind}, person_id bigint, identity_state string, identity_confidence double")
+    solved = cut(walked, "identity-outcomes")
     since = solved.filter("person_id > 0").groupBy(F.col(key).alias("_key")).agg(F.min("_first").alias("_since"), F.min_by("person_id", "_first").alias("_registered"))
     solved = solved.select(*[F.col(c).alias(f"_{c}") for c in own], "person_id", "identity_state", "identity_confidence")
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own))
