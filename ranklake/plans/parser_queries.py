@@ -70,8 +70,7 @@ def _known(p: DataFrame) -> list[str]:
 
 
 def _read(docs: DataFrame, clubs: list[str] | None = None) -> DataFrame:
-    got = html.flattened(layout.parsed_texts(docs, clubs, "html", "list_id"), "list_id")
-    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")
+    return layout.parsed_texts(docs, clubs, "html", "list_id", fields=("row_pos", "rank", "name", "club", "time_text"))
 
 
 # placed elements ---------------------------------------------------------------------------------
@@ -102,8 +101,7 @@ def p5_placed_relays(spark, sf):
     member = lambda i, name: _text(_at(102, top + 20 * i, name), _at(384, top + 20 * i, time))
     rows = _text(_at(48, top, _text(_c("seq"), ".")), _at(78, top, team), _at(528, top, both), member(1, "Anna B"), member(2, "Eva C"))
     docs = _pages(r, rows, _text(_at(48, F.lit(20), "Klasse A"), _at(384, F.lit(20), _text("(", n, " / ", n, ")"))))
-    got = html.flattened(layout.parsed_texts(docs, None, "html", "list_id"), "list_id")
-    return got.select("list_id", "row_pos", "rank", "team", "leg", "name", "time_text", "team_time")
+    return layout.parsed_texts(docs, None, "html", "list_id", fields=("row_pos", "rank", "team", "leg", "name", "time_text", "team_time"))
 
 
 # knock-out ---------------------------------------------------------------------------------------
@@ -135,7 +133,7 @@ def p7_knock_out(spark, sf):
     block = F.concat(_td(none, _c("title"), _text("(", _c("n"), " / ", _c("n"), ")"), F.lit("Time"), F.lit("Behind")), "rows")
     docs = cells.groupBy("list_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("heat", block.alias("t")))), lambda x: x["t"]), "").alias("t"))
     docs = docs.select("list_id", _text("<table>", _td(none, F.lit("KO-Sprint"), F.lit("2024-05-01")), _c("t"), "</table>").alias("html"))
-    got = html.flattened(html.parsed(docs, "html", "list_id", brackets.parse_bracket), "list_id").withColumn("time_s", N.parse_time("time_text"))
+    got = html.parsed(docs, "html", "list_id", brackets.parse_bracket, fields=("category", "rank", "name", "time_text")).withColumn("time_s", N.parse_time("time_text"))
     return brackets.overall(got, "list_id").select("list_id", "person", "round", "heat", "from_heat", "place")
 
 
@@ -217,8 +215,7 @@ def p20_two_columns(spark, sf):
     head = F.when(F.col("nth") == 0, line(F.array(F.when(F.col("side") == 0, "HA").otherwise("HB"), _text("(", F.col("n"), ")")), F.lit(20)))
     none = F.array().cast("array<struct<x0:double,top:double,text:string>>")
     pages = p.groupBy("list_id", "page").agg(F.flatten(F.collect_list(F.concat(F.coalesce(head, none), row))).alias("words"))
-    got = html.flattened(layout.parsed_pages(pages, "list_id", clubs=_known(p)), "list_id")
-    return got.select("list_id", "category", "row_pos", "rank", "name", "club", "time_text")
+    return layout.parsed_pages(pages, "list_id", clubs=_known(p), fields=("category", "row_pos", "rank", "name", "club", "time_text"))
 
 
 # shapes told apart by what they give ---------------------------------------------------------------
@@ -273,8 +270,7 @@ def p2_team_tables(spark, sf):
     """Tables with a column of names for each member: a row a member, with the team's place and time."""
     head = _text("<table><tr><td>Klasse A (", F.col("n"), ")</td></tr><tr><th>Pl<th>Name<th>Name<th>Verein<th>Zeit</tr>")
     docs = _pages(printed(spark, sf), _td(_c("rank"), _c("name"), F.lit("Eva C"), _c("club"), _c("value")), head)
-    got = html.flattened(html.parsed(docs, "html", "list_id"), "list_id")
-    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text", "leg", "team")
+    return html.parsed(docs, "html", "list_id", fields=("row_pos", "rank", "name", "club", "time_text", "leg", "team"))
 
 
 @query(_TEAM_ROWS.rpartition(", (time_s * 2")[0] + " FROM t, (VALUES (1), (2)) v(i)")
@@ -284,8 +280,7 @@ def p3_relay_tables(spark, sf):
     head = _text("<table><tr><td>Klasse A (", F.col("n"), ")</td></tr><tr><th>Pl<th>Stnr<th>Staffel<th>Name<th>Zeit</tr>")
     none = F.lit("")
     line = F.concat(_td(_text(_c("seq"), "."), F.col("seq") + 100, team, none, both), _td(none, none, none, F.lit("Anna B"), time), _td(none, none, none, F.lit("Eva C"), time))
-    got = html.flattened(html.parsed(_pages(r, line, head), "html", "list_id"), "list_id")
-    return got.select("list_id", "row_pos", "rank", "team", "leg", "name", "time_text")
+    return html.parsed(_pages(r, line, head), "html", "list_id", fields=("row_pos", "rank", "team", "leg", "name", "time_text"))
 
 
 @query(ROWS)
@@ -300,8 +295,7 @@ def p12_team_blocks(spark, sf):
     r, team, time, both = _teams(spark, sf)
     line = _text(_c("seq"), ". ", team, "   ", both, "\n    Anna B   ", time, "\n    Eva C   ", time)
     docs = _pages(r, line, _text("Klasse A (", F.col("n"), ")\n"))
-    got = html.flattened(html.parsed(docs, "html", "list_id", layout.parse_team_blocks), "list_id")
-    return got.select("list_id", "row_pos", "rank", "team", "leg", "name", "time_text", "team_time")
+    return html.parsed(docs, "html", "list_id", layout.parse_team_blocks, fields=("row_pos", "rank", "team", "leg", "name", "time_text", "team_time"))
 
 
 @query(P + "SELECT list_id, (seq - 1)::INT AS row_pos, seq::INT AS rank, name, club, value AS time_text FROM p")
@@ -309,8 +303,7 @@ def p13_numbered_lines(spark, sf):
     """Text without labels: numbered lines whose columns are parted by two blanks."""
     line = _text(_c("seq"), ". ", _c("name"), F.when(F.col("club") != "", _text("  ", _c("club"))), "   ", _c("value"))
     docs = _pages(printed(spark, sf), line, _text("Klasse A (", F.col("n"), ")\n"))
-    got = html.flattened(html.parsed(docs, "html", "list_id", layout.parse_headerless), "list_id")
-    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")
+    return html.parsed(docs, "html", "list_id", layout.parse_headerless, fields=("row_pos", "rank", "name", "club", "time_text"))
 
 
 @query(P + "SELECT list_id, 'Damen ab 35 lang und weit' AS category, n::INT AS declared, (seq - 1)::INT AS row_pos, seq::INT AS rank, name, club, value AS time_text FROM p JOIN (SELECT list_id, count(*) AS n FROM p GROUP BY ALL) USING (list_id)")
@@ -322,8 +315,7 @@ def u16_continued_classes(spark, sf):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "\n")
     docs = p.groupBy("list_id", "n").agg(lines.alias("lines")).select("list_id", _text("Damen ab 35 lang und weit (", F.col("n"), ")\n", F.col("lines")).alias("html"))
     known = _known(p)
-    got = html.flattened(layout.parsed_texts(docs, known, "html", "list_id"), "list_id")
-    return got.select("list_id", "category", "declared", "row_pos", "rank", "name", "club", "time_text")
+    return layout.parsed_texts(docs, known, "html", "list_id", fields=("category", "declared", "row_pos", "rank", "name", "club", "time_text"))
 
 
 # stages, long clubs, long names ----------------------------------------------------------------------
@@ -337,9 +329,7 @@ def p9_stage_columns(spark, sf):
     heads = ["<th>Pl<th>Name<th>Verein<th>Zeit 1<th>Zeit 2", "<th>Pl<th>Name<th>Verein<th>E1<th>E2", "<th>Pl<th>Name<th>Verein<th>1. Lauf<th>Pl 1<th>2. Lauf<th>Pl 2", "<th>Pl<th>Name<th>Verein<th>Zeit<th>Zeit"]
     line = F.when(F.col("list_id") % 4 == 2, _td(_c("rank"), _c("name"), _c("club"), _c("value"), F.col("seq") + 1, second, F.col("seq") + 2)).otherwise(_td(_c("rank"), _c("name"), _c("club"), _c("value"), second))
     head = _text(count, "<tr>", in_turn(heads, "list_id"), "</tr>")
-    got = html.parsed_stages(_pages(p, line, head), None, "html", "list_id")
-    rows = got.select("list_id", "stage", F.explode("classes").alias("c")).select("list_id", "stage", F.posexplode("c.results").alias("row_pos", "r"))
-    return rows.select("list_id", "stage", "row_pos", "r.rank", "r.name", "r.club", "r.time_text")
+    return html.parsed_stages(_pages(p, line, head), None, "html", "list_id", fields=("row_pos", "rank", "name", "club", "time_text"))
 
 
 @query(ROWS)
@@ -359,8 +349,7 @@ def p18_wrapped_clubs(spark, sf):
     labels = F.flatten(F.array(*[run(x, F.lit(40), F.lit(t)) for x, t in ((10.0, "Pl"), (60.0, "Name"), (200.0, "Verein"), (300.0, "Zeit"))]))
     head = F.concat(run(10.0, F.lit(20), _text("Klasse A (", F.col("n"), ")")), labels)
     pages = body.select("list_id", "page", F.concat(F.when(F.col("page") == 0, head).otherwise(none), "body").alias("words"))
-    got = html.flattened(layout.parsed_pages(pages, "list_id"), "list_id")
-    return got.select("list_id", "row_pos", "rank", "name", "club", "time_text")
+    return layout.parsed_pages(pages, "list_id", fields=("row_pos", "rank", "name", "club", "time_text"))
 
 
 @query(P + "SELECT list_id, (seq - 1)::INT AS row_pos, rank, CASE WHEN name NOT LIKE '% %' THEN name || ' Tal' ELSE name END AS name, CASE WHEN club = '' THEN 'Union Nord' ELSE club END AS club, value AS time_text FROM p")
