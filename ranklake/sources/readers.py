@@ -165,8 +165,10 @@ def pages(spark: SparkSession, fetch: Callable[[int], dict], schema: str, key: s
 
 
 def stored_pages(spark: SparkSession, path: str, schema: str, page: str = "page", at: str = "at", last: str = "last_page") -> DataFrame:
-    """A paginated scan that lies in folders `page=N`, a row a line: its rows with pos, their place in the scan.
+    """A paginated scan, a row a line: its rows with pos, their place in the scan.
 
+    Rows lie in folders `page=N`, or say their page themselves; then many pages share a file, and the
+    driver has not to list as many folders as there are pages.
     Every row says which page is the last; a scan that lacks a page, or says two things, is refused.
     A row that moved on while pages were fetched stands on two; `dedup.merged_snapshot` takes the
     later one's values at the earlier one's place.
