@@ -172,7 +172,9 @@ _MIXED_SQL = P + f"SELECT list_id, seq::INT AS line, name, list_extract({_list(M
 def p23_mixed_letters(spark, sf):
     """The end of every club stands letter by letter between the characters of its result, and is drawn out again."""
     p = printed(spark, sf).withColumn("club", in_turn(list(MIXED), "time_s"))
-    rest, value = F.regexp_replace(F.expr("substring(club, instr(club, ' '))"), " ", ""), F.col("value")
+    # a column of its own, or it would be worked out for every letter
+    p = p.withColumn("rest", F.replace(F.expr("substring(club, instr(club, ' '))"), F.lit(" "), F.lit("")))
+    rest, value = F.col("rest"), F.col("value")
     steps = F.sequence(F.lit(1), F.greatest(F.length(rest), F.length(value)))
     mixed = F.array_join(F.transform(steps, lambda i: F.concat(F.substring(rest, i, F.lit(1)), F.substring(value, i, F.lit(1)))), "")
     rows = p.withColumn("time_text", mixed).withColumn("club", F.expr("substring(club, 1, instr(club, ' ') - 1)"))
