@@ -1,8 +1,10 @@
 """Work that grows with what is new in rows, not with their number, and the same results."""
 
+import gc
+
 import pytest
 
-from ranklake.sources import clubs
+from ranklake.sources import clubs, html, layout, relays
 
 KNOWN = ["OLC Graz Nord", "HSV Wiener Neustadt", "Union Nord", "SK Brno"]
 
@@ -44,3 +46,60 @@ def test_proven_rows_keep_other_columns(spark):
     got = {r["id"]: tuple(r)[1:] for r in clubs.proven_rows(df, KNOWN).collect()}
     assert got == {1: ("Eva Berg", "Union Nord", "0:41", [1.5]), 2: ("Ida", "HSV Wiener Neustadt", "0:23", None), 3: ("", "", "Aufg.", []), 4: ("Eva Berg", "Union Nord", "0:41", [2.5])}
     assert clubs.proven_rows(df.filter("id > 9"), KNOWN).count() == 0
+
+
+def _count(monkeypatch, module, name):
+    calls = []
+    plain = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a: calls.append(a) or plain(*a))
+    return calls
+
+
+def test_relay_lines_that_recur_are_read_once(monkeypatch):
+    calls = _count(monkeypatch, relays, "value_at_end")
+    relays._relay_line.cache_clear()
+    text = "Klasse A (1)\nPl Stnr Staffel Zeit\n1 101 Team Q 1:30\nName Jg Zeit\nAnna Q 13 0:45\nEva Q 0:45"
+    found = [relays.parse_relay_text(text) for _ in range(5)]
+    assert all(f == found[0] for f in found) and len({id(f[0]["results"][0]) for f in found}) == 5
+    assert [(r["team"], r["rank"], r["bib"], r["name"], r["time_text"], r["team_time"], r["leg"]) for r in found[0][0]["results"]] == [("Team Q", 1, "101", "Anna Q", "0:45", "1:30", 1), ("Team Q", 1, "101", "Eva Q", "0:45", "1:30", 2)]
+    assert len(calls) == 3
+    assert relays.parse_relay_text(text.split("\n", 2)[2]) == []  # teams and members above the first class are none
+
+
+def test_flowing_lines_that_recur_are_read_once(monkeypatch):
+    calls = _count(monkeypatch, clubs, "flow_row")
+    known = clubs.Clubs(KNOWN)
+    found = [layout.parse_flowing("Klasse A (2)\n1. Eva Berg Union Nord 0:41\n2. Ida Union Nord Aufg.", known) for _ in range(5)]
+    assert all(f == found[0] for f in found) and [(r["rank"], r["name"], r["club"], r["time_text"]) for r in found[0][0]["results"]] == [(1, "Eva Berg", "Union Nord", "0:41"), (2, "Ida", "Union Nord", "Aufg.")]
+    assert len(calls) == 2
+
+
+def test_tasks_share_a_dictionary():
+    assert clubs.shared(tuple(KNOWN)) is clubs.shared(tuple(KNOWN)) is not clubs.shared(("OLC Graz",))
+
+
+@pytest.mark.parametrize("front", ["<h2>Klasse A</h2>\n", "Klasse A\n<H3>Klasse A</H3>"])
+def test_a_heading_and_its_table_are_one_table(monkeypatch, front):
+    calls = _count(monkeypatch, html, "_plain_tables")
+    html._tables.cache_clear()
+    text = front + "<table><tr><th>Pl<th>Name<th>Zeit</tr><tr><td>1</td><td>Eva</td><td>0:41</td></tr></table>"
+    assert [(c["name"], c["declared"], [r["name"] for r in c["results"]]) for c in html.parse_document(text)] == [("Klasse A", 1, ["Eva"])]
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("front", ["", "x ", "<h2>A</h2>", "<tr><td>no table", "<!-- <table> -->", "<script>", "a &amp; b <h1>", "<h2 id='x'>A</h2>", "<table><tr><td>first</table>"])
+@pytest.mark.parametrize("behind", ["", " \n", "tail", "<tr><td>more", "</table> <p>x"])
+def test_what_stands_before_a_table_changes_none(front, behind):
+    text = front + "<table><tr><td>1</td><td> Eva </td></tr><tr><td>2 " + behind
+    p = html.Tables()
+    p.feed(text)
+    p.close()
+    assert html.tables(text) == p.done()
+
+
+def test_no_collection_while_documents_are_read():
+    seen = []
+    assert html.uncollected(lambda x: seen.append(gc.isenabled()) or x, 7) == 7
+    with pytest.raises(ZeroDivisionError):
+        html.uncollected(lambda: 1 / 0)
+    assert seen == [False] and gc.isenabled()
