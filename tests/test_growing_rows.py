@@ -103,3 +103,16 @@ def test_no_collection_while_documents_are_read():
     with pytest.raises(ZeroDivisionError):
         html.uncollected(lambda: 1 / 0)
     assert seen == [False] and gc.isenabled()
+
+
+def test_flow_rows_move_no_row_for_a_small_dictionary(spark, monkeypatch):
+    """Beyond what is read, only the distinct clubs are shuffled; a large dictionary, joined by a shuffle, gives the same."""
+    lines = ["1 Eva Berg Union Nord 0:41", "2. Ida SK Brno (Aufg.)", "2. Ida SK Brno Aufg.", "Max Union  Nord 1:00 +0:19", "footer", None, "Nord 0:10", "AK Eva 0:41\u2028", "a\u2028b 0:41", "1 2 0:41"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+    names = spark.createDataFrame([(k,) for k in [*KNOWN, "Nord", "Union  Nord"]], "club string")
+    small = clubs.flow_rows(df, names, ["line"])
+    got = sorted(map(tuple, small.collect()))
+    assert got == [(0, 1, "Eva Berg", "Union Nord", "0:41"), (2, 2, "Ida", "SK Brno", "Aufg."), (3, None, "Max", "Union Nord", "1:00"), (6, None, "Nord", "", "0:10"), (7, None, "AK Eva", "", "0:41")]
+    assert "SortMergeJoin" not in (plan := small._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    monkeypatch.setattr(clubs, "BROADCAST_CLUBS", 0)
+    assert sorted(map(tuple, clubs.flow_rows(df, names, ["line"]).collect())) == got
