@@ -182,3 +182,20 @@ def test_a_tree_of_two_levels_ends_in_its_least_digest(spark):
         while len(top) > 1:
             top = tree(top)
         assert ordered_fingerprint(df, [F.col("id").asc()], F.col("id").cast("string"), 3) == (top[0] if top else sha([]))
+
+
+def test_the_fingerprint_of_a_table_counts_every_row(spark, tmp_path):
+    """Beyond 1024 * 1024 orders two levels leave several digests; the tree goes on, in the query and in its SQL."""
+    import duckdb
+
+    from ranklake.plans import evidence_queries, queries
+
+    n = 1024 * 1024 + 1500
+    orders = spark.range(n).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "if(id = 5, 'X', 'F') as o_orderstatus", "'1-URGENT' as o_orderpriority", "timestamp'2024-01-01 00:00:00' as o_orderdate")
+    path = f"{tmp_path}/orders.parquet"
+    orders.write.parquet(path)
+    want = tree([f"{i}|{i % 7}|{'X' if i == 5 else 'F'}|1-URGENT" for i in range(n)], 1024)
+    got = evidence_queries.m15_table_fingerprint(spark, str(tmp_path)).first()["fingerprint"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    assert got == con.execute(queries.SQL["m15_table_fingerprint"]).fetchall()[0][0] == want
