@@ -43,15 +43,18 @@ P = (
 ROWS = P + "SELECT list_id, (seq - 1)::INT AS row_pos, rank, name, club, value AS time_text FROM p"
 
 
+def _club() -> Column:
+    return F.element_at(F.array(*map(F.lit, CLUBS)), F.substring("club", 6, 9).cast("int") + 1)
+
+
 def printed(spark, sf) -> DataFrame:
-    club = F.element_at(F.array(*map(F.lit, CLUBS)), F.substring("club", 6, 9).cast("int") + 1)
     return results(spark, sf).select(
         "list_id",
         "seq",
         F.when(F.col("status") == "ok", F.col("rank")).alias("rank"),
         "time_s",
         F.concat(in_turn(list(GIVEN), "person_id"), in_turn(["", " Berg", " Maria Berg", " Maria von Berg"], "person_id")).alias("name"),
-        F.when(F.col("seq") % 7 == 6, "").otherwise(club).alias("club"),
+        F.when(F.col("seq") % 7 == 6, "").otherwise(_club()).alias("club"),
         F.when(F.col("status") == "ok", N.format_time("time_s")).when(F.col("status") == "dnf", "Aufg.").otherwise("Fehlst.").alias("value"),
     )
 
@@ -209,15 +212,16 @@ def p24_shifted_cells(spark, sf):
 def p20_two_columns(spark, sf):
     """Every list as two classes side by side, two rows of each a page; a class goes on at the top of its own side."""
     p = printed(spark, sf).withColumn("side", (F.col("seq") + 1) % 2).withColumn("nth", F.expr("(seq - 1) div 2"))
-    p = p.withColumn("page", F.expr("nth div 2")).withColumn("n", F.count("*").over(Window.partitionBy("list_id", "side")))
+    p = p.withColumn("page", F.expr("nth div 2")).withColumn("n", F.count("*").over(Window.partitionBy("list_id"))).withColumn("n", F.expr("(n + 1 - side) div 2"))
     word = lambda left, top, t: F.struct(left.cast("double").alias("x0"), top.cast("double").alias("top"), t.alias("text"))
     words = F.split(_flow(), " ")
     line = lambda texts, top: F.transform(texts, lambda t, i: word(F.col("side") * 400 + 10 + i * 20, top, t))
     row = line(words, 40 + F.col("nth") % 2 * 12)
     head = F.when(F.col("nth") == 0, line(F.array(F.when(F.col("side") == 0, "HA").otherwise("HB"), _text("(", F.col("n"), ")")), F.lit(20)))
     none = F.array().cast("array<struct<x0:double,top:double,text:string>>")
-    pages = p.groupBy("list_id", "page").agg(F.flatten(F.collect_list(F.concat(F.coalesce(head, none), row))).alias("words"))
-    return layout.parsed_pages(pages, "list_id", clubs=_known(p), fields=("category", "row_pos", "rank", "name", "club", "time_text"))
+    parts = p.select("list_id", "page", F.concat(F.coalesce(head, none), row).alias("words"))
+    known = dictionary(results(spark, sf).select(_club().alias("club")))  # whether a row prints it or not, so no rows have to be ordered
+    return layout.parsed_pages(parts, "list_id", clubs=known, fields=("category", "row_pos", "rank", "name", "club", "time_text"), parts=True)
 
 
 # shapes told apart by what they give ---------------------------------------------------------------
@@ -347,11 +351,10 @@ def p18_wrapped_clubs(spark, sf):
     words = F.split("club", " ")
     first, rest = F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " ")
     row = F.concat(run(10.0, top, _text(_c("rank"))), run(60.0, top, _c("name")), run(200.0, top, first), run(300.0, top, _c("value")), run(200.0, top + 10, rest))
-    body = p.withColumn("n", n).groupBy("list_id", "page", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("w")))), lambda x: x["w"])).alias("body"))
     labels = F.flatten(F.array(*[run(x, F.lit(40), F.lit(t)) for x, t in ((10.0, "Pl"), (60.0, "Name"), (200.0, "Verein"), (300.0, "Zeit"))]))
     head = F.concat(run(10.0, F.lit(20), _text("Klasse A (", F.col("n"), ")")), labels)
-    pages = body.select("list_id", "page", F.concat(F.when(F.col("page") == 0, head).otherwise(none), "body").alias("words"))
-    return layout.parsed_pages(pages, "list_id", fields=("row_pos", "rank", "name", "club", "time_text"))
+    parts = p.withColumn("n", n).select("list_id", "page", F.concat(F.when(F.col("seq") == 1, head).otherwise(none), row).alias("words"))
+    return layout.parsed_pages(parts, "list_id", fields=("row_pos", "rank", "name", "club", "time_text"), parts=True)
 
 
 @query(P + "SELECT list_id, (seq - 1)::INT AS row_pos, rank, CASE WHEN name NOT LIKE '% %' THEN name || ' Tal' ELSE name END AS name, CASE WHEN club = '' THEN 'Union Nord' ELSE club END AS club, value AS time_text FROM p")
