@@ -346,13 +346,15 @@ def p18_wrapped_clubs(spark, sf):
     kind = "array<struct<x0:double,top:double,text:string>>"
     none = F.array().cast(kind)
     word = lambda left, top, t: F.struct(left.cast("double").alias("x0"), top.cast("double").alias("top"), t.alias("text"))
-    run = lambda left, top, text: F.when(text != "", F.transform(F.split(text, " "), lambda t, i: word(F.lit(left) + i, top, t))).otherwise(none)
+    run = lambda left, top, texts: F.transform(texts, lambda t, i: word(F.lit(left) + i, top, t))
     top = 60 + (F.col("seq") - 1) % 3 * 24
-    words = F.split("club", " ")
-    first, rest = F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " ")
-    row = F.concat(run(10.0, top, _text(_c("rank"))), run(60.0, top, _c("name")), run(200.0, top, first), run(300.0, top, _c("value")), run(200.0, top + 10, rest))
-    labels = F.flatten(F.array(*[run(x, F.lit(40), F.lit(t)) for x, t in ((10.0, "Pl"), (60.0, "Name"), (200.0, "Verein"), (300.0, "Zeit"))]))
-    head = F.concat(run(10.0, F.lit(20), _text("Klasse A (", F.col("n"), ")")), labels)
+    texts = lambda c: F.when(F.col(c) != "", F.split(c, " ")).otherwise(F.array().cast("array<string>"))
+    p = p.withColumn("words", texts("club"))  # a column of its own, as it is cut twice
+    first, rest = F.slice("words", 1, 2), F.slice(F.col("words"), F.lit(3), F.greatest(F.size("words") - 2, F.lit(0)))
+    place = F.when(F.col("rank").isNotNull(), F.array(word(F.lit(10.0), top, _text(_c("rank"))))).otherwise(none)
+    row = F.concat(place, run(60.0, top, F.split("name", " ")), run(200.0, top, first), F.array(word(F.lit(300.0), top, _c("value"))), F.when(F.size(rest) > 0, run(200.0, top + 10, rest)).otherwise(none))
+    labels = F.array(*[word(F.lit(x), F.lit(40), F.lit(t)) for x, t in ((10.0, "Pl"), (60.0, "Name"), (200.0, "Verein"), (300.0, "Zeit"))])
+    head = F.concat(run(10.0, F.lit(20), F.split(_text("Klasse A (", F.col("n"), ")"), " ")), labels)
     parts = p.withColumn("n", n).select("list_id", "page", F.concat(F.when(F.col("seq") == 1, head).otherwise(none), row).alias("words"))
     return layout.parsed_pages(parts, "list_id", fields=("row_pos", "rank", "name", "club", "time_text"), parts=True)
 
